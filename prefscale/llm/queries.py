@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from prefscale.llm import exact_dedup, mixing, sharding
+from prefscale.llm import exact_dedup, license_scan, line_dedup, mixing, quality, sharding, top_k, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op4_top_k": top_k.op4_top_k,
+    "op6_quality": quality.op6_quality,
+    "op7_license_scan": license_scan.op7_license_scan,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 SQL = {
     "op1_mixing": mixing.ORACLE,
+    "op4_top_k": top_k.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
