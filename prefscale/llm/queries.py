@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from prefscale.llm import exact_dedup, license_scan, line_dedup, mixing, quality, sharding, top_k, url_filter
+from prefscale.llm import exact_dedup, license_scan, line_dedup, mixing, ngram_join, pieces, quality, sharding, top_k, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_top_k": top_k.op4_top_k,
+    "op5_pieces": pieces.op5_pieces,
     "op6_quality": quality.op6_quality,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_line_dedup": line_dedup.op8_line_dedup,
