@@ -21,27 +21,47 @@ def menu_graph(menus: DataFrame) -> DataFrame:
     return star.where("src is not null and dst is not null").distinct()
 
 
+def compressed(parents: DataFrame, max_jumps: int = 40) -> DataFrame:
+    """(node, label) with labels followed to their roots: each jump doubles the way."""
+    for _ in range(max_jumps):
+        far = parents.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        new = cut(parents.join(far, parents["label"] == far["via"]).select("node", F.col("label").alias("old"), F.col("far").alias("label")))
+        parents = new.select("node", "label")
+        if new.where("old <> label").isEmpty():
+            break
+    return parents
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (src, dst); a component is named by its smallest node.
 
-    Each round a node takes the smallest label among its neighbours' and then the label of that label (pointer
-    jumping), so the rounds grow with the logarithm of a component's diameter. Edges are partitioned once; a round
-    joins them with the labels and combines minima before the shuffle.
+    Each round every node points to the smallest among itself and its neighbours, pointers are followed to their roots,
+    and the graph is contracted to the roots. A root has a neighbour that is none, so the nodes at least halve, and the
+    edges that are left are joined only once a round. Minima are combined before the shuffle, so hot nodes don't matter.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = cut(both.where("src is not null and dst is not null").distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("label")))
+    known = edges.where("src is not null and dst is not null").select("src", "dst")
+    pairs = cut(known.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    out = None
     for _ in range(max_rounds):
-        heard = both.join(labels, both["src"] == labels["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("heard"))
-        new = labels.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        new = cut(new)
-        jump = new.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = new.join(jump, new["label"] == jump["via"], "left").select("node", "old", F.least("label", "far").alias("label"))
-        new = cut(new)
-        labels = new.select("node", "label")
-        if new.where("old <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if pairs.isEmpty():
+            break
+        ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"))))
+        near = pairs.select(ends.alias("e")).select("e.node", "e.other").groupBy("node").agg(F.min("other").alias("other"))
+        labels = compressed(cut(near.select("node", F.least("node", "other").alias("label"))))
+        a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+        moved = pairs.join(a, pairs["src"] == a["a"]).join(b, F.col("dst") == b["b"])
+        pairs = cut(moved.where("la <> lb").select(F.least("la", "lb").alias("src"), F.greatest("la", "lb").alias("dst")).distinct())
+        if out is None:
+            out = labels
+        else:
+            out = cut(out.join(labels.toDF("via", "far"), F.col("label") == F.col("via"), "left").select("node", F.coalesce("far", "label").alias("label")))
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    alone = known.where("src = dst").select(F.col("src").alias("node")).distinct()
+    if out is None:
+        return alone.select("node", F.col("node").alias("component"))
+    out = out.withColumnRenamed("label", "component")
+    return out.unionByName(alone.join(out, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def is_connected(edges: DataFrame, n_items: int) -> bool:
