@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prefscale.llm.text import SPACE
+from prefscale.llm.text import SPACE, packed, unpacked
 from prefscale.session import cut, ship, table
 
 #: Bytes of texts that a trie holds before it spills a subtree.
 TRIE_BYTES = 96 << 20
 #: What a node costs beside its label.
 NODE_BYTES = 200
+#: Stands for a missing doc_id, as it is larger than all others.
+NO_ID = (1 << 63) - 1
 ENTRY = "text_key binary, n_bytes long, body binary, keep_id long, group_size long"
 
 
@@ -39,11 +41,7 @@ class Node:
     __slots__ = ("label", "children", "owner", "count", "key")
 
     def __init__(self, label: bytes):
-        self.label, self.children, self.owner, self.count, self.key = label, None, None, 0, None
-
-
-def smaller(a: int | None, b: int | None) -> int | None:
-    return b if a is None else a if b is None else min(a, b)
+        self.label, self.children, self.owner, self.count, self.key = label, None, NO_ID, 0, None
 
 
 def common(a: bytes, b: bytes, start: int) -> int:
@@ -70,7 +68,7 @@ class Trie:
         self.weight: dict[int, int] = {}  # bytes held below each child of the root
         self.spilled: dict[int, object] = {}  # scratch files by the child's first byte
 
-    def add(self, body: bytes, key: bytes, owner: int | None, count: int) -> None:
+    def add(self, body: bytes, key: bytes, owner: int, count: int) -> None:
         first = body[self.depth] if len(body) > self.depth else -1
         if first in self.spilled:
             pickle.dump((body[self.depth :], key, owner, count), self.spilled[first], protocol=5)
@@ -81,7 +79,7 @@ class Trie:
         if self.held > self.budget:
             self._spill()
 
-    def _insert(self, body: bytes, key: bytes, owner: int | None, count: int) -> int:
+    def _insert(self, body: bytes, key: bytes, owner: int, count: int) -> int:
         node, at = self.root, self.depth
         more = 0
         while at < len(body):
@@ -100,13 +98,13 @@ class Trie:
                 child, more = upper, more + NODE_BYTES
             node, at = child, at + same
         if node.count:
-            node.owner = smaller(node.owner, owner)
+            node.owner = min(node.owner, owner)
         else:
             node.owner, node.key = owner, key
         node.count += count
         return more
 
-    def _walk(self, node: Node, above: bytes) -> Iterator[tuple[bytes, bytes, int | None, int]]:
+    def _walk(self, node: Node, above: bytes) -> Iterator[tuple[bytes, bytes, int, int]]:
         stack = [(node, above)]
         while stack:
             node, above = stack.pop()
@@ -124,7 +122,7 @@ class Trie:
             pickle.dump(entry, out, protocol=5)
         self.held -= self.weight.pop(heavy)
 
-    def entries(self) -> Iterator[tuple[bytes, bytes, int | None, int]]:
+    def entries(self) -> Iterator[tuple[bytes, bytes, int, int]]:
         """(body from ``depth`` on, key, owner, count) of every distinct string; spilled subtrees come last."""
         yield from self._walk(self.root, b"")
         self.root = Node(b"")
@@ -141,7 +139,7 @@ class Trie:
                 yield head + body, key, owner, count
 
 
-def loaded(file) -> Iterator[tuple[bytes, bytes, int | None, int]]:
+def loaded(file) -> Iterator[tuple[bytes, bytes, int, int]]:
     file.seek(0)
     while True:
         try:
@@ -155,7 +153,7 @@ def owners(parts: Iterator[pd.DataFrame], budget: int, whole: bool) -> Iterator[
     trie, rows, size = Trie(budget), [], 0
     for part in parts:
         for body, key, owner, count in zip(part["body"], part["text_key"], part["keep_id"], part["group_size"], strict=True):
-            trie.add(body, key, None if pd.isna(owner) else int(owner), int(count))
+            trie.add(body, key, int(owner), int(count))
     for body, key, owner, count in trie.entries():
         if whole or count > 1:
             rows.append((key, len(body), body if whole else None, owner, count))
@@ -168,7 +166,7 @@ def owners(parts: Iterator[pd.DataFrame], budget: int, whole: bool) -> Iterator[
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["text_key", "n_bytes", "body", "keep_id", "group_size"])
-    return out.astype({"keep_id": "Int64", "group_size": "int64", "n_bytes": "int64"})
+    return out.astype({"keep_id": "int64", "group_size": "int64", "n_bytes": "int64"})
 
 
 def normal_text(text):
@@ -179,17 +177,17 @@ def text_owners(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """(text_key, keep_id, group_size) for every text that more than one row has."""
     ship(docs.sparkSession)
     body = F.encode(normal_text(F.col("text")), "UTF-8")
-    rows = docs.select(body.alias("body"), F.col("doc_id").cast("long").alias("keep_id"))
+    rows = docs.select(body.alias("body"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("keep_id"))
     rows = rows.select(F.unhex(F.sha2("body", 256)).alias("text_key"), F.length("body").cast("long").alias("n_bytes"), "body", "keep_id", F.lit(1).cast("long").alias("group_size"))
     local = rows.mapInPandas(lambda parts: owners(parts, budget, True), ENTRY)
     dealt = local.repartition("n_bytes", "text_key")
-    return dealt.mapInPandas(lambda parts: owners(parts, budget, False), ENTRY).select("text_key", "keep_id", "group_size")
+    return dealt.mapInPandas(lambda parts: owners(parts, budget, False), ENTRY).select("text_key", F.nullif("keep_id", F.lit(NO_ID)).alias("keep_id"), "group_size")
 
 
 def exact_groups(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 (of the normalised text); every row stays, other columns too."""
     found = cut(text_owners(docs, budget)).withColumnRenamed("text_key", "_key")
-    made = ("keep_id", "group_size", "kept", "text_sha256", "_copy")
+    made = ("keep_id", "group_size", "kept", "text_sha256")
     rows = docs.drop(*made).withColumn("text_sha256", F.sha2(F.encode(normal_text(F.col("text")), "UTF-8"), 256))
     rows = rows.join(found, F.unhex(rows["text_sha256"]) == found["_key"], "left").drop("_key")
     alone = F.col("group_size").isNull()
@@ -206,7 +204,8 @@ def one_of_each(rows: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts, the one with the smallest doc_id."""
-    return one_of_each(exact_groups(docs, budget).where("kept")).where("kept").select(*docs.columns)
+    rows = exact_groups(packed(docs, "doc_id", "text"), budget).where("kept")
+    return unpacked(one_of_each(rows).where("kept"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,8 @@ TEMPLATES = {
 MIN_RUN = 5
 MAX_GAP = 12
 COVERAGE = 0.6
-RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,coverage:double>>"
+NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,coverage:double>>"
 
 
 class SuffixAutomaton:
@@ -178,17 +179,17 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
     """Per row of ``docs`` (doc_id, text): words, places and labels of phrases, all labels, the score and the spans."""
     ship(docs.sparkSession)
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(RESULT)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(templates, phrases, min_run, max_gap, coverage)
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
-        for part in parts:
-            got = [scanner.scan(t) for t in part["text"]]
-            rows = pd.DataFrame(got, columns=names, index=part.index)
+        for texts in batches:
+            got = [scanner.scan(t) for t in texts]
+            rows = pd.DataFrame(got, columns=NAMES)
             rows["spans"] = [[dict(zip(("label", "first", "last", "coverage"), s, strict=True)) for s in x[-1]] for x in got]
-            rows = rows.astype({"first_word": "Int64", "last_word": "Int64"})
-            yield rows.assign(doc_id=part["doc_id"].astype("Int64"))[["doc_id", *names]]
+            yield rows.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, RESULT)
+    rows = docs.select("doc_id", scan(F.coalesce("text", F.lit(""))).alias("found"))
+    return rows.select("doc_id", "found.*")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

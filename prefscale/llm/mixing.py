@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prefscale.llm.text import HASH_BITS, place, range_bits, word_count
+from prefscale.llm.text import HASH_BITS, packed, place, range_bits, unpacked, word_count
 from prefscale.session import cut, table
 
 SEED = "mix"
@@ -59,7 +59,7 @@ def cuts(sized: DataFrame, weights: Sequence[int], rows: int, per_range: int = 5
     near = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)
     at = ranges.withColumn("_upto", F.sum("_sum").over(near)).alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
     at = at.where("_left > _upto - _sum and _left <= _upto and _left > 0").select(F.col("r.source").alias("_s"), F.col("_range").alias("_edge"), (F.col("_upto") - F.col("_sum")).alias("_before"), "_left")
-    edge = sized.join(F.broadcast(at) if rows <= BROADCAST_SOURCES else at, sized["source"].eqNullSafe(at["_s"]) & (spot == at["_edge"]))
+    edge = sized.join(at, sized["source"].eqNullSafe(at["_s"]) & (spot == at["_edge"]))
     edge = edge.groupBy("source", "_at", "doc_id", "_before", "_left").agg(F.sum("size").alias("_there"))
     line = W.partitionBy("source").orderBy("_at", F.col("doc_id").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("_upto", F.col("_before") + F.sum("_there").over(line))
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: str = SEED) -
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it whole, to the nearest time; the columns stay."""
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
-    return mix(docs.select(*docs.columns), weights).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    return unpacked(mix(packed(docs, "doc_id", "text", "source"), weights).select("_packed", F.explode(F.array_repeat(F.lit(1), copies))))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

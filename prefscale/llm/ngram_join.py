@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from prefscale.llm.text import packed, unpacked
 from prefscale.operators.graph import connected_components
 from prefscale.session import cut, ship, table
 
@@ -102,13 +103,15 @@ def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 def doc_sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch) of every row."""
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            sets = [shingle_set(t, k) for t in part["text"]]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_key": keys, "sketch": [parity_sketch(s) for s in sets]})
+    @F.pandas_udf("n_shingles long, set_key binary, sketch array<long>")
+    def work(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            s = shingle_set(text, k)
+            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, parity_sketch(s)))
+        return pd.DataFrame(rows, columns=["n_shingles", "set_key", "sketch"])
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
+    return docs.select("doc_id", work(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -121,7 +124,7 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, shingles array<long>")
 
 
-MET = "key long, doc_id long, centre long, route long"
+MET = "key long, doc_id long, centre long, route long, met boolean"
 
 
 def groups_of(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,14 +139,14 @@ def groups_of(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def map_side(k: int, percent: int) -> Callable:
-    """Block rows of a task: one row a key goes on to meet other tasks' (centre null), the rest have met their centre."""
+    """Block rows of a task: one row a key goes on to meet other tasks', the rest have met their centre."""
 
     def flush(keys: list, docs: list) -> pd.DataFrame:
         key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
         key, doc, centre, _ = groups_of(key, np.concatenate(docs) if docs else np.zeros(0, np.int64))
         head = doc == centre
         route = np.where(head, key, scatter(key.view(U) ^ (doc.view(U) * ODD[3])).view(np.int64))
-        return pd.DataFrame({"key": key, "doc_id": doc, "centre": pd.array(centre, "Int64"), "route": route}).assign(centre=lambda x: x["centre"].mask(head))
+        return pd.DataFrame({"key": key, "doc_id": doc, "centre": centre, "route": route, "met": ~head})
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, docs, held, seen = [], [], 0, set()
@@ -168,14 +171,14 @@ def reduce_side(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of keys that more than one document has, with the document that each is tested against."""
     keys, docs = [], []
     for part in parts:
-        met = part["centre"].notna().to_numpy()
+        met = part["met"].to_numpy(bool)
         if met.any():
             yield part[met]
         keys.append(part["key"].to_numpy()[~met])
         docs.append(part["doc_id"].to_numpy()[~met])
     key, doc, centre, size = groups_of(np.concatenate(keys), np.concatenate(docs)) if keys else [np.zeros(0, np.int64)] * 4
     some = size > 1
-    yield pd.DataFrame({"key": key[some], "doc_id": doc[some], "centre": centre[some], "route": key[some]})
+    yield pd.DataFrame({"key": key[some], "doc_id": doc[some], "centre": centre[some], "route": key[some], "met": True})
 
 
 def similar(pairs: DataFrame, docs: DataFrame, thin: DataFrame, k: int, percent: int) -> DataFrame:
@@ -198,7 +201,7 @@ def across(percent: int) -> Callable:
     """Pairs of documents of one key, of different components, whose sketches allow a link; by rows of (key, chunks)."""
 
     def pairs_of(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        sketch = np.stack(group["sketch"].to_numpy())
+        sketch = np.stack(group["sketch"].to_numpy()).view(U)  # bits of signed numbers are counted without the sign
         doc, part, n = (group[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
         left, right = np.flatnonzero(group["left"].to_numpy()), np.flatnonzero(group["right"].to_numpy())
         found = []
@@ -284,8 +287,8 @@ def near_dedup(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     parts = link_components(docs.select("doc_id", "text"), k, percent)
     gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
     one = W.partitionBy("doc_id").orderBy("text")
-    rows = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("_row", F.row_number().over(one))
-    rows = rows.where("_row = 1").select(*docs.columns)
+    rows = packed(docs.where("doc_id is not null"), "doc_id", "text").join(gone, "doc_id", "left_anti")
+    rows = unpacked(rows.withColumn("n", F.row_number().over(one)).where("n = 1"))
     return rows.unionByName(docs.where("doc_id is null"))
 
 

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefscale.llm.text import packed, unpacked
 from prefscale.session import ship, table
 
 MAX_LABELLED = 40_000
@@ -199,7 +200,8 @@ def with_score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject."""
-    return with_score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    rows = with_score(packed(docs, "text"), train(docs, labels))
+    return unpacked(rows.where(F.col("score") >= threshold))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

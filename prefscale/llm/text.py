@@ -29,6 +29,15 @@ def place(*parts: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(whole), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of ``docs`` beside the whole row as ``_packed``, so that names that an operator makes clash with none."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_packed"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_packed.*")
+
+
 def range_bits(rows: int, per_range: int) -> int:
     """How many leading bits of a place name a range that holds about ``per_range`` rows."""
     return max(0, min(24, (max(1, rows) // max(1, per_range)).bit_length()))

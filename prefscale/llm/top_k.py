@@ -32,6 +32,8 @@ BLOCK_ROWS = 512
 STRIPE_BLOCKS = 16
 LEAF = 64
 EXACT_FLOAT = float(1 << 53)
+#: The floor of a query that hasn't k candidates yet.
+LOWEST = -(1 << 63)
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -68,7 +70,7 @@ class BallTree:
         self.spans, self.below = spans, below
         self.largest = float(np.abs(points).max(initial=0))
 
-    def search(self, own_id: int, query: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
+    def search(self, own_id: int, query: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
         """The k best (score, -id) that reach ``floor``, but not the query's own row."""
         q = query.astype(np.float64)
         bounds = self.centres @ q + np.sqrt(q @ q) * self.radii
@@ -115,8 +117,7 @@ def searches(k: int):
         if len(trees) and len(queries):
             tree = pickle.loads(trees["tree"].iloc[0])
             for own, vec, floor in zip(queries["vec_id"], queries["vec"], queries["floor"], strict=True):
-                at_least = -np.inf if pd.isna(floor) else float(floor)
-                out.extend((own, -neg, score) for score, neg in tree.search(own, np.asarray(vec), k, at_least))
+                out.extend((own, -neg, score) for score, neg in tree.search(own, np.asarray(vec), k, floor))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return work
@@ -142,10 +143,10 @@ def top_k(rows: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS, b
     stripes = F.greatest(F.ceil(F.col("shards") * shard_rows / QUERY_STEP / stripe_rows), F.lit(1))
     asked = asked.withColumn("stripe", F.pmod(F.xxhash64("vec_id"), stripes).cast("int"))
     home = F.pmod(F.col("stripe"), F.col("shards"))
-    first = meet(trees, asked.select("dim", home.alias("shard"), "stripe", "vec_id", "vec", F.lit(None).cast("long").alias("floor")), k)
+    first = meet(trees, asked.select("dim", home.alias("shard"), "stripe", "vec_id", "vec", F.lit(LOWEST).alias("floor")), k)
     first = cut(first)
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    asked = asked.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+    asked = asked.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))
     others = F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s != home)
     later = meet(trees, asked.select("dim", F.explode(others).alias("shard"), "stripe", "vec_id", "vec", "floor"), k)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
