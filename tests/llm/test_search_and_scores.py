@@ -177,7 +177,7 @@ def segmentations(c, text):
         if i == len(s):
             out.append(score)
             return
-        for j in range(i + 1, min(len(s), i + c.longest) + 1):
+        for j in range(i + 1, min(len(s), i + max(map(len, c.ids))) + 1):
             if s[i:j] in c.scores:
                 go(j, score + c.scores[s[i:j]])
         if s[i] not in c.scores:
