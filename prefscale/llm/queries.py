@@ -18,6 +18,8 @@ QUERIES = {
 }
 SQL = {
     "op1_mixing": mixing.ORACLE,
+    "op2_url_filter": url_filter.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
     "op4_top_k": top_k.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
