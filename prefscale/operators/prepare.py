@@ -112,6 +112,18 @@ def distinct_menus(rankings: DataFrame) -> DataFrame:
     return rankings.select(F.array_sort("items").alias("items")).distinct()
 
 
+def hash_ranked(rankings: DataFrame, seed: object) -> DataFrame:
+    """``rankings`` with ``rank`` from 0 in the order of a hash. Ranges of the hash (4096) are counted, and rows are
+    sorted within their range only, so no task gets all rows."""
+    rows = rankings.withColumn("_k", hash_key(seed, F.col("ranking_id"))).withColumn("_range", F.substring("_k", 1, 3))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_range").orderBy("_k", "ranking_id")
+    rows = rows.join(F.broadcast(counts), "_range")  # 4096 rows at most
+    return rows.withColumn("rank", F.row_number().over(inside) - 1 + F.col("_before")).drop("_k", "_range", "_before")
+
+
 def split_rankings(rankings: DataFrame, train: float = 0.8, val: float = 0.2, seed: object = 119, mode: str = "exact") -> DataFrame:
     """``rankings`` with ``part``: train, val or test. exact: the given counts to the row, by a sort on a hash;
     hash: by thresholds on a hash, without a sort or a shuffle, for tables of any size."""
@@ -122,10 +134,8 @@ def split_rankings(rankings: DataFrame, train: float = 0.8, val: float = 0.2, se
     m = rankings.count()
     n_train = int(m * train)
     n_val = int(n_train * val)
-    at = F.row_number().over(W.orderBy(hash_key(seed, F.col("ranking_id")), "ranking_id"))
-    ids = rankings.select("ranking_id", at.alias("_at"))
-    part = F.when(F.col("_at") <= n_train - n_val, "train").when(F.col("_at") <= n_train, "val").otherwise("test")
-    return rankings.join(ids.select("ranking_id", part.alias("part"), (F.col("_at") - 1).alias("rank")), "ranking_id")
+    part = F.when(F.col("rank") < n_train - n_val, "train").when(F.col("rank") < n_train, "val").otherwise("test")
+    return hash_ranked(rankings, seed).withColumn("part", part)
 
 
 def learning_curve_prefixes(rankings: DataFrame, ratios: Sequence[float], seed: object = 119) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prefscale.functions.hashing import hash_key, hash_uniform
+from prefscale.functions.hashing import hash_uniform
+from prefscale.operators.prepare import hash_ranked
 
 
 def noise_of(kind: str, u: Column) -> Column:
@@ -76,7 +77,7 @@ def sample_menu_rankings(rankings: DataFrame, menus: DataFrame, m: int, seed: ob
     Rankings get a dense number by their hash order; a draw is a number by hash.
     """
     total = rankings.agg(F.count("*").alias("total"))
-    numbered = rankings.select((F.row_number().over(W.orderBy(hash_key(seed, F.col("ranking_id")), "ranking_id")) - 1).alias("n"), F.col("items").alias("whole"))
+    numbered = hash_ranked(rankings, seed).select(F.col("rank").alias("n"), F.col("items").alias("whole"))
     draws = menus.select("menu_id", F.col("items").alias("menu")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).join(F.broadcast(total))
-    draws = draws.withColumn("n", F.floor(hash_uniform(seed, F.col("menu_id"), F.col("draw")) * F.col("total")).cast("int"))
+    draws = draws.withColumn("n", F.floor(hash_uniform(seed, F.col("menu_id"), F.col("draw")) * F.col("total")).cast("long"))
     return draws.join(numbered, "n").select("menu_id", "draw", F.filter("whole", lambda x: F.array_contains("menu", x)).alias("items"))
