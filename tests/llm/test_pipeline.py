@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from prefscale.llm import pieces, quality
 from prefscale.llm.mixing import mix
@@ -39,7 +41,7 @@ def test_stages_by_brute_force(spark):
 
 
 def test_awkward_rows_and_empty_tables(spark):
-    for docs in (documents(spark), empty(spark)):
+    for docs in (documents(spark).withColumn("lang", F.lit("en")), empty(spark).withColumn("lang", F.lit("en"))):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, DATA)
             assert out.columns == docs.columns
