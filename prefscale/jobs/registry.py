@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from prefscale.functions import embeddings as emb
 from prefscale.functions.links import gennorm, gumbel_ev, laplace, logit, probit
 from prefscale.jobs import fixtures as fx
+from prefscale.jobs import grid
 from prefscale.operators import breaking, clustering, consensus, estimators, evaluate, graph, mixture, prepare, sampling
 from prefscale.streaming import timed
 
@@ -320,12 +321,60 @@ def embed_expected(s, d):
 # --- errors, links, models
 
 
-@query("model_errors", f"WITH {fx.PARAMS.replace('params AS', 'raw AS', 1)}, {CENTRED}, t AS (SELECT a.component AS a, z.component AS b, sum((a.theta - z.theta) ** 2) AS d2 FROM params a JOIN params z ON a.item = z.item GROUP BY 1, 2), m AS (SELECT least(sum(d2) FILTER (a = b), sum(d2) FILTER (a <> b)) AS best FROM t) SELECT round(sqrt((SELECT best FROM m)), 6) AS matched, round((SELECT sqrt(sum((x.theta - y.theta) ** 2)) FROM raw x JOIN raw y ON x.item = y.item AND x.component = 0 AND y.component = 1), 6) AS separation, (SELECT count(*) FROM orders) AS orders")
-def model_errors(s, d):
-    p = fx.fixed_params(s)
-    swapped = p.withColumn("component", (1 - F.col("component")).cast("int"))
-    n = fx.table(s, d, "orders").agg(F.count("*").alias("orders"))
-    return rounded(evaluate.mixture_l2_error(p, swapped).withColumnRenamed("err", "matched").join(evaluate.component_separation(p)).join(n))
+OWN = "raw AS (SELECT (ranking_id % 2)::INTEGER AS component, item, ln(count(*) + 1.0) AS theta FROM r GROUP BY 1, 2)"
+OWN_CENTRED = f"{OWN}, {CENTRED}"
+
+
+def own_params(s, d):
+    """Two models from the data: ln of how often a brand occurs in even and in odd orders."""
+    rows = fx.brand_rankings(s, d).select((F.col("ranking_id") % 2).cast("int").alias("component"), F.explode("items").alias("item"))
+    return rows.groupBy("component", "item").agg(F.log(F.count("*") + 1.0).alias("theta"))
+
+
+@query("mixture_l2_error", f"WITH {fx.R_BRAND}, {OWN_CENTRED}, t AS (SELECT a.component AS a, z.component AS b, sum((a.theta - z.theta) ** 2) AS d2 FROM params a JOIN params z ON a.item = z.item GROUP BY 1, 2) SELECT round(sqrt(least(sum(d2) FILTER (a = b), sum(d2) FILTER (a <> b))), 6) AS err FROM t")
+def mixture_l2_error(s, d):
+    p = own_params(s, d)
+    return rounded(evaluate.mixture_l2_error(p, p.withColumn("component", (1 - F.col("component")).cast("int"))))
+
+
+@query("l2_error", f"WITH {fx.R_BRAND}, {OWN_CENTRED} SELECT a.component::BIGINT AS component, round(sqrt(sum((a.theta - z.theta) ** 2)), 6) AS err FROM params a JOIN params z ON a.item = z.item AND a.component <> z.component GROUP BY 1")
+def l2_error(s, d):
+    p = own_params(s, d)
+    return rounded(evaluate.l2_error(p, p.withColumn("component", (1 - F.col("component")).cast("int"))))
+
+
+@query("component_separation", f"WITH {fx.R_BRAND}, {OWN} SELECT round(sqrt(sum((a.theta - z.theta) ** 2)), 6) AS separation FROM raw a JOIN raw z ON a.item = z.item AND a.component = 0 AND z.component = 1")
+def component_separation(s, d):
+    return rounded(evaluate.component_separation(own_params(s, d)))
+
+
+@query("softmax", f"WITH {fx.R_BRAND}, {OWN} SELECT component::BIGINT AS component, item::BIGINT AS item, round(theta, 6) AS theta, round(exp(theta) / sum(exp(theta)) OVER (PARTITION BY component), 6) AS share FROM raw")
+def softmax(s, d):
+    return rounded(evaluate.softmax(own_params(s, d)))
+
+
+@query("expected_pair_vector", f"WITH {fx.R_BRAND}, {OWN} SELECT a.component::BIGINT AS component, a.item::BIGINT AS item, z.item::BIGINT AS opponent, round(0.5 / (1 + exp(z.theta - a.theta)) - 0.5 / (1 + exp(a.theta - z.theta)), 6) AS value FROM raw a JOIN raw z ON a.component = z.component AND a.item < z.item")
+def expected_pair_vector(s, d):
+    return rounded(evaluate.expected_pair_vector(own_params(s, d)))
+
+
+@query("timed_error", f"WITH {fx.R_DAYS}, x AS (SELECT dayofweek(day) + 1 AS t, item, ln(count(*) + 1.0) AS theta FROM r GROUP BY 1, 2), y AS (SELECT item, ln(count(*) / 7.0 + 1.0) AS theta FROM r GROUP BY 1) SELECT round(sum((x.theta - y.theta) ** 2), 6) AS err FROM x JOIN y USING (item)")
+def timed_error(s, d):
+    rows = fx.daily_event_rankings(s, d).select(F.dayofweek("day").alias("t"), F.explode("items").alias("item"))
+    by_day = rows.groupBy("t", "item").agg(F.log(F.count("*") + 1.0).alias("theta"))
+    whole = rows.groupBy("item").agg(F.log(F.count("*") / 7.0 + 1.0).alias("theta"))
+    return rounded(evaluate.timed_error(by_day, by_day.select("t").distinct().join(whole)))
+
+
+@query("drop_empty_users", f"WITH {ACTIVE} SELECT c_custkey AS user_id FROM customer WHERE c_custkey IN (SELECT user_id FROM active)")
+def drop_empty_users(s, d):
+    users = fx.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return prepare.drop_empty_users(users, prepare.filter_active(fx.ratings(s, d), 35, 28))
+
+
+@query("dense_index", f"WITH {fx.RATINGS}, n AS (SELECT item_id, count(*) AS n FROM ratings GROUP BY 1 ORDER BY n DESC, item_id LIMIT 50) SELECT item_id, n, row_number() OVER (ORDER BY n DESC, item_id) - 1 AS idx FROM n")
+def dense_index(s, d):
+    return rounded(prepare.dense_index(prepare.top_n_by_count(fx.ratings(s, d), 10, 50)[1], "item_id"))
 
 
 LABELS = "l AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 0 WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS t, o_orderkey % 3 AS p FROM orders), c AS (SELECT t, p, count(*) AS n FROM l GROUP BY 1, 2)"
@@ -378,13 +427,13 @@ def sample_menu_rankings(s, d):
 @query("sample_rankings")
 def sample_rankings(s, d):
     menus = prepare.distinct_menus(fx.brand_rankings(s, d)).where(F.size("items") > 1).withColumn("menu_id", F.md5(F.array_join(F.col("items").cast("array<string>"), ",")))
-    return sampling.sample_rankings(fx.fixed_params(s), 2, "gumbel", 1, menus).select("ranking_id", "component", text())
+    return sampling.sample_rankings(own_params(s, d), 2, "gumbel", 1, menus).select("ranking_id", "component", text())
 
 
 @query("sample_mixture_rankings")
 def sample_mixture_rankings(s, d):
     m = fx.table(s, d, "orders").count()
-    return sampling.sample_mixture_rankings(fx.fixed_params(s), fx.fixed_mixture(s), m, "gumbel", 1).select("ranking_id", "component", text())
+    return sampling.sample_mixture_rankings(own_params(s, d), fx.fixed_mixture(s), m, "gumbel", 1).select("ranking_id", "component", text())
 
 
 # --- graphs and time
@@ -521,3 +570,8 @@ def cluster_rankings(s, d):
 def complete_ratings(s, d):
     rows = prepare.index_ratings(fx.ratings(s, d), 300, 50).select(F.col("user").cast("int"), F.col("item").cast("int"), F.col("rating").cast("float"))
     return estimators.complete_ratings(rows, rank=5, iters=5, num_items=50).select("ranking_id", text())
+
+
+@query("evaluate_grid")
+def evaluate_grid(s, d):
+    return rounded(grid.evaluate_grid(fx.nation_rankings(s, d), fx.N_NATIONS, [1, 2], [0.5, 1.0], ["mm"], max_iters=2, timings=False))
