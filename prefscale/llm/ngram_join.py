@@ -39,6 +39,10 @@ SKETCH_BITS = 512
 SPARE = 1.1
 #: Rows of blocks that a map task groups at a time, and documents of a block that are compared as one chunk.
 FLUSH_ROWS, CHUNK = 2_000_000, 512
+#: Up to so many ids are sent to every task.
+BROADCAST_IDS = 200_000
+#: Pairs that a task gathers, each once, before it gives them out.
+GATHERED = 1_000_000
 
 U = np.uint64
 ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD))
@@ -124,7 +128,7 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, shingles array<long>")
 
 
-MET = "key long, doc_id long, centre long, route long, met boolean"
+MET = "key long, doc_id long, centre long, met boolean"
 
 
 def groups_of(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +149,7 @@ def map_side(k: int, percent: int) -> Callable:
         key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
         key, doc, centre, _ = groups_of(key, np.concatenate(docs) if docs else np.zeros(0, np.int64))
         head = doc == centre
-        route = np.where(head, key, scatter(key.view(U) ^ (doc.view(U) * ODD[3])).view(np.int64))
-        return pd.DataFrame({"key": key, "doc_id": doc, "centre": centre, "route": route, "met": ~head})
+        return pd.DataFrame({"key": key, "doc_id": doc, "centre": centre, "met": ~head})
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, docs, held, seen = [], [], 0, set()
@@ -178,7 +181,7 @@ def reduce_side(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs.append(part["doc_id"].to_numpy()[~met])
     key, doc, centre, size = groups_of(np.concatenate(keys), np.concatenate(docs)) if keys else [np.zeros(0, np.int64)] * 4
     some = size > 1
-    yield pd.DataFrame({"key": key[some], "doc_id": doc[some], "centre": centre[some], "route": key[some], "met": True})
+    yield pd.DataFrame({"key": key[some], "doc_id": doc[some], "centre": centre[some], "met": True})
 
 
 def similar(pairs: DataFrame, docs: DataFrame, thin: DataFrame, k: int, percent: int) -> DataFrame:
@@ -189,8 +192,9 @@ def similar(pairs: DataFrame, docs: DataFrame, thin: DataFrame, k: int, percent:
     allowed = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart <= allowed)
     both = cut(both.where(close).select("a", "b").distinct())
-    wanted = both.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(whole_sets(docs.join(wanted, "doc_id", "left_semi"), k))
+    wanted = cut(both.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    few = wanted.count() <= BROADCAST_IDS  # then the texts needn't be shuffled to be picked
+    sets = cut(whole_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), k))
     both = both.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
     good = shared * 100 >= (F.size("xa") + F.size("xb") - shared) * percent
@@ -216,19 +220,22 @@ def across(percent: int) -> Callable:
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         spot = ["key", "i", "j"]
+        found = np.zeros((2, 0), np.int64)  # documents share many keys, but each pair is given out once
 
-        def done(rows: pd.DataFrame) -> pd.DataFrame:
-            got = [pairs_of(g) for _, g in rows.groupby(spot, sort=False)]
-            a, b = np.concatenate(got, 1) if got else np.zeros((2, 0), np.int64)
-            return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        def more(rows: pd.DataFrame) -> np.ndarray:
+            return np.unique(np.concatenate([found, *[pairs_of(g) for _, g in rows.groupby(spot, sort=False)]], 1), axis=1)
 
         for part in parts:
             part = part if rest is None else pd.concat([rest, part], ignore_index=True)
             last = (part[spot] == part[spot].iloc[-1]).all(axis=1).to_numpy() if len(part) else np.zeros(0, bool)
             rest = part[last]  # the last group may go on
-            yield done(part[~last])
+            found = more(part[~last])
+            if found.shape[1] > GATHERED:
+                yield pd.DataFrame({"a": found[0], "b": found[1]})
+                found = found[:, :0]
         if rest is not None:
-            yield done(rest)
+            found = more(rest)
+        yield pd.DataFrame({"a": found[0], "b": found[1]})
 
     return work
 
@@ -237,7 +244,8 @@ def cross_pairs(met: DataFrame, thin: DataFrame, parts: DataFrame, percent: int)
     """Pairs (a, b) that share a key, lie in different components, and may be similar by their sketches.
 
     In a key, the documents outside its largest component meet all others. They are dealt to chunks of at most about
-    CHUNK documents, and each pair of chunks is one piece of work.
+    CHUNK documents, and each pair of chunks is one piece of work. Pieces of keys with one largest component and the
+    same chunks go to one task, which gives a pair out once however many of the keys it shares.
     """
     rows = met.select("key", "doc_id").unionByName(met.select("key", F.col("centre").alias("doc_id"))).distinct()
     rows = rows.join(parts, rows["doc_id"] == parts["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
@@ -245,15 +253,15 @@ def cross_pairs(met: DataFrame, thin: DataFrame, parts: DataFrame, percent: int)
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"))
     keys = keys.where("parts > 1 and all > 2")  # two documents have been tested against each other
-    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    chunks = lambda n: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n / CHUNK, F.lit(1.0))))).cast("int")  # noqa: E731  powers of two, alike for like keys
     rows = rows.join(keys.withColumn("cl", F.greatest(chunks(F.col("all") - F.col("most")), F.lit(1))).withColumn("cr", chunks(F.col("all"))), "key")
     rows = rows.join(thin.select("doc_id", "n_shingles", "sketch"), "doc_id")
     other = F.col("component") != F.col("main")
     mine = F.pmod(F.hash("doc_id"), F.col("cl"))
     right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cl") - 1))).withColumn("j", F.pmod(F.xxhash64("doc_id"), F.col("cr")).cast("int")).withColumn("left", F.lit(False)).withColumn("right", F.lit(True))
     left = rows.where(other).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cr") - 1))).withColumn("left", F.lit(True)).withColumn("right", F.lit(False))
-    work = left.unionByName(right).select("key", "i", "j", "doc_id", "component", "n_shingles", "sketch", "left", "right")
-    work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    work = left.unionByName(right).select("key", "main", "i", "j", "doc_id", "component", "n_shingles", "sketch", "left", "right")
+    work = work.repartition("main", "i", "j").sortWithinPartitions("key", "i", "j")
     return work.mapInPandas(across(percent), "a long, b long").distinct()
 
 
@@ -262,7 +270,9 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     ship(docs.sparkSession)
     thin = cut(doc_sets(docs, k))
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    met = known.mapInPandas(map_side(k, percent), MET).repartition("route").mapInPandas(reduce_side, MET)
+    # rows that have met their centre only pass through, so they go anywhere
+    place = F.when(F.col("met"), F.xxhash64("key", "doc_id")).otherwise(F.col("key"))
+    met = known.mapInPandas(map_side(k, percent), MET).repartition(place).mapInPandas(reduce_side, MET)
     met = cut(met.select("key", "doc_id", "centre"))
     sized = thin.where("doc_id is not null and n_shingles > 0")
     first = met.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
