@@ -275,15 +275,26 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     met = known.mapInPandas(map_side(k, percent), MET).repartition(place).mapInPandas(reduce_side, MET)
     met = cut(met.select("key", "doc_id", "centre"))
     sized = thin.where("doc_id is not null and n_shingles > 0")
-    first = met.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    links = cut(similar(first, known, sized, k, percent))
+    # a centre is the smallest document of its block
+    first = cut(met.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")))
+    best = cut(first.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
     copies = sized.groupBy("set_key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = cut(copies)
     # the first copy of a set stands for all: what is linked to one copy is linked to the others
     stands = sized.join(copies, "set_key").select("doc_id", "a").where("doc_id <> a")
     stands = cut(stands)
     edges = lambda found: found.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(stands.select(F.col("a").alias("src"), F.col("doc_id").alias("dst")))
+    # each document against the centre with which it shares most blocks, then the others that lie in other components,
+    # then whatever else lies in other components
+    links = cut(similar(best, known, sized, k, percent))
     parts = connected_components(edges(links))
+    named = lambda c: parts.toDF(c, f"p{c}")
+    apart = F.coalesce("pa", "a") != F.coalesce("pb", "b")
+    rest = first.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").where(apart).select("a", "b")
+    new = cut(similar(cut(rest.join(best, ["a", "b"], "left_anti")), known, sized, k, percent))
+    links = links.unionByName(new)
+    if not new.isEmpty():
+        parts = connected_components(edges(links))
     more = cross_pairs(met, sized, parts, percent).join(first, ["a", "b"], "left_anti")
     new = cut(similar(cut(more), known, sized, k, percent))
     if not new.isEmpty():
