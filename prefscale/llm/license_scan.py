@@ -3,16 +3,19 @@
 A file's words stream through the automaton, which at each word knows the longest run of words, ending there, that
 occurs in some template (matching statistics). Runs that cannot be longer and have at least ``min_run`` words are
 anchored at their places in the templates and chained, in order in the file and in the template and without long gaps;
-a template's span is reported if its best chain covers enough of it. Phrases are found beside, word by word.
+a template's span is reported if its best chain covers enough of it. A licence has several templates, each covered for
+itself: the head, further parts and the warranty. Its short notices, and templates of fewer than ``min_run`` words, hold
+no long run and are found whole or not at all. Phrases are found beside, word by word.
 
 Defined results: a null or empty text has no words, no labels and the score 0; every row of the input gives one row; the
-text is scanned whole, in one pass, whatever its length.
+text is scanned whole, in one pass, whatever its length. Labels name the wordings that a text has, not which of them
+prevails: a BSD licence with the line "All rights reserved." has both labels.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,40 @@ TEMPLATES = {
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
     "proprietary": "copyright all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher",
 }
+# Further parts of the same licences.
+PARTS = {
+    "mit": (
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    "apache-2": (
+        "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "bsd": (
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    "gpl": (
+        "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed the gnu general public license is a free copyleft license for software and other kinds of works",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses",
+    ),
+    "cc-by-nc": ("adapt remix transform and build upon the material noncommercial you may not use the material for commercial purposes",),
+    "cc-by": ("adapt remix transform and build upon the material for any purpose even commercially",),
+}
+WORDINGS = {label: (text, *PARTS.get(label, ())) for label, text in TEMPLATES.items()}
+# Short notices, of which every word must be there.
+NOTICES = {
+    "mit": ("under the mit license", "under mit license", "spdx license identifier mit"),
+    "apache-2": ("under the apache license version 2 0", "apache license 2 0", "spdx license identifier apache 2 0"),
+    "bsd": ("under the bsd license", "bsd 2 clause license", "bsd 3 clause license", "spdx license identifier bsd 2 clause", "spdx license identifier bsd 3 clause"),
+    "gpl": ("under the gnu general public license", "under the terms of the gnu general public license", "gnu general public license version 2", "gnu general public license version 3", "gnu general public license v2", "gnu general public license v3", "spdx license identifier gpl 2 0", "spdx license identifier gpl 3 0"),
+    "cc-by-nc": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0", "creative commons attribution non commercial 4 0"),
+    "cc-by": ("cc by 4 0", "creative commons attribution 4 0"),
+    "proprietary": ("all rights reserved",),
+}
 MIN_RUN = 5
 MAX_GAP = 12
 COVERAGE = 0.6
@@ -110,15 +147,27 @@ class SuffixAutomaton:
 class Scanner:
     """Phrases and templates made ready for scanning."""
 
-    def __init__(self, templates: Mapping[str, str], phrases: Mapping[str, str], min_run: int, max_gap: int, coverage: float):
+    def __init__(self, templates: Mapping[str, str | Sequence[str]], phrases: Mapping[str, str], min_run: int, max_gap: int, coverage: float, notices: Mapping[str, Sequence[str]] | None = None):
         self.vocab: dict[bytes, int] = {}
-        self.names = sorted(templates)
-        texts = [self._numbers(templates[k]) for k in self.names]
+        every = [(k, self._numbers(t)) for k in sorted(templates) for t in ([templates[k]] if isinstance(templates[k], str) else templates[k])]
+        long = [x for x in every if len(x[1]) >= min_run]
+        self.names = [k for k, _ in long]
+        texts = [t for _, t in long]
         self.sizes = [len(t) for t in texts]
+        self.longest = max(self.sizes, default=0)
         self.automaton = SuffixAutomaton(texts)
+        whole = [x for x in every if 0 < len(x[1]) < min_run]
+        whole += [(k, n) for k in sorted(notices or {}) for t in notices[k] if (n := self._numbers(t))]
+        sizes = {number: len(word) for word, number in self.vocab.items()}
+        #: By a notice's longest word: (label, notice, the word's place in it).
+        self.notices: dict[int, list[tuple[str, list[int], int]]] = {}
+        for label, words in whole:
+            at = max(range(len(words)), key=lambda i: sizes[words[i]])
+            self.notices.setdefault(words[at], []).append((label, words, at))
         self.phrases = [(np.array(self._numbers(p)), label) for p, label in phrases.items()]
         self.min_run, self.max_gap, self.coverage = min_run, max_gap, coverage
-        self.least = min(min_run, *[len(p) for p, _ in self.phrases])
+        self.pivots = np.zeros(len(self.vocab) + 1, bool)
+        self.pivots[list(self.notices)] = True
 
     def _numbers(self, text: str) -> list[int]:
         return [self.vocab.setdefault(w, len(self.vocab) + 1) for w in WORDS.findall(text.encode().lower())]
@@ -137,13 +186,24 @@ class Scanner:
                 if hits.any():
                     labels.add(label)
                     places.append(np.flatnonzero(hits))
-        spans = self.spans(ids)
+        spans = self.whole(ids) + self.spans(ids)
         found = np.concatenate(places) if places else np.zeros(0, np.int64)
         score = 1.0 if labels else max((s[3] for s in spans), default=0.0)
         every = labels | {s[0] for s in spans if s[3] >= self.coverage}
         first, last = (int(found.min()), int(found.max())) if len(found) else (None, None)
         return len(words), len(found), first, last, ",".join(sorted(labels)), ",".join(sorted(every)), float(score), [s for s in spans if s[3] >= self.coverage]
 
+    def whole(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
+        """Each label's first notice: (label, first word, last word, 1.0)."""
+        first: dict[str, tuple[int, int]] = {}
+        for place in np.flatnonzero(self.pivots[ids]).tolist():
+            for label, words, at in self.notices[ids[place]]:
+                start = place - at
+                if start >= 0 and ids[start : start + len(words)].tolist() == words:
+                    span = (start, start + len(words) - 1)
+                    first[label] = min(first.get(label, span), span)
+        return [(label, a, b, 1.0) for label, (a, b) in sorted(first.items())]
+
     def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
         """Per template, the best chain of long matches: (label, first word, last word, share of the template)."""
         known = np.r_[False, ids > 0, False]
@@ -166,7 +226,7 @@ class Scanner:
             total, first = n, at
             for j in range(i - 1, -1, -1):
                 p_at, p_there, p_n = matches[j]
-                if at - p_at > self.max_gap + 1000:
+                if at - p_at > self.max_gap + self.longest:
                     break  # no match is as long as that
                 if 0 <= at - p_at - p_n <= self.max_gap and there >= p_there + p_n and best[j][0] + n > total:
                     total, first = best[j][0] + n, best[j][1]
@@ -175,13 +235,13 @@ class Scanner:
         return first, last, words
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, min_run: int = MIN_RUN, max_gap: int = MAX_GAP, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str | Sequence[str]] = WORDINGS, phrases: Mapping[str, str] = PHRASES, min_run: int = MIN_RUN, max_gap: int = MAX_GAP, coverage: float = COVERAGE, notices: Mapping[str, Sequence[str]] = NOTICES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): words, places and labels of phrases, all labels, the score and the spans."""
     ship(docs.sparkSession)
 
     @F.pandas_udf(RESULT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, phrases, min_run, max_gap, coverage)
+        scanner = Scanner(templates, phrases, min_run, max_gap, coverage, notices)
         for texts in batches:
             got = [scanner.scan(t) for t in texts]
             rows = pd.DataFrame(got, columns=NAMES)

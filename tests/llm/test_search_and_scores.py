@@ -127,6 +127,30 @@ def test_license_phrases_by_brute_force(spark):
     assert license_scan.scan_licenses(documents(spark)).count() == len(ROWS)
 
 
+def test_short_notices_and_further_parts_get_labels(spark):
+    bodies = [(label, " ".join(t.split()[:9] + ["x"] + t.split()[9:])) for label, parts in license_scan.PARTS.items() for t in parts]
+    texts = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "one two All rights reserved.": "proprietary",
+        "Copyright all rights reserved no part of it": "proprietary",
+        "This work is licensed under a creative house": "",
+        "all rights are reserved": "",
+    } | {body: label for label, body in bodies}
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
+    assert [got[i]["labels"] for i in range(len(rows))] == list(texts.values())
+    assert got[1]["score"] == 1 and [(s["first"], s["last"], s["coverage"]) for s in got[1]["spans"]] == [(2, 4, 1.0)]
+    assert got[1]["base_labels"] == "" and got[1]["n_base"] == 0
+
+
+def test_short_templates_are_found_and_long_ones_chained():
+    short = Scanner({"s": "red green", "t": ("a b c d e f", "blue")}, {"x y": "z"}, 5, 12, 0.6)
+    assert [short.scan(t)[5] for t in ("a red green b", "red a green", "some blue", "a b c d e f")] == ["s", "", "t", "t"]
+    words = [f"w{i}" for i in range(3000)]
+    (span,) = Scanner({"long": " ".join(words)}, {"x y": "z"}, 5, 12, 0.6).scan(" ".join(words[:1500] + ["gap"] + words[1500:]))[7]
+    assert span == ("long", 0, 3000, 1.0)
+
+
 # --- quality
 
 
