@@ -56,13 +56,23 @@ def rank_break_random(s, d):
     return rounded(breaking.rank_break(fx.brand_rankings(s, d), "random", 7).select("ranking_id", "winner", "loser"))
 
 
-@query("rank_break_weighted", f"WITH {fx.R_NATION}, {fx.PAIRS} SELECT winner::BIGINT AS winner, loser::BIGINT AS loser, round(sum(1.0 / (1 + pos_i + pos_j)), 6) AS wins FROM k WHERE pos_i < 10 AND pos_j < 10 GROUP BY 1, 2")
-def rank_break_weighted(s, d):
-    at = lambda c: s.range(10).select(F.col("id").cast("int").alias(c))
+def weighted_to(s: SparkSession, d: str, places: int) -> DataFrame:
+    at = lambda c: s.range(places).select(F.col("id").cast("int").alias(c))
     kappa = at("pos_i").join(at("pos_j")).withColumn("kappa", 1 / (1.0 + F.col("pos_i") + F.col("pos_j")))
     return rounded(breaking.count_comparisons(breaking.rank_break_weighted(fx.nation_rankings(s, d), kappa)))
 
 
+@query("rank_break_weighted", f"WITH {fx.R_NATION}, {fx.PAIRS} SELECT winner::BIGINT AS winner, loser::BIGINT AS loser, round(sum(1.0 / (1 + pos_i + pos_j)), 6) AS wins FROM k WHERE pos_i < 10 AND pos_j < 10 GROUP BY 1, 2")
+def rank_break_weighted(s, d):
+    """Comparisons among the first ten places only, as its SQL has it."""
+    return weighted_to(s, d, 10)
+
+
+@query("rank_break_weighted_full", f"WITH {fx.R_NATION}, {fx.PAIRS} SELECT winner::BIGINT AS winner, loser::BIGINT AS loser, round(sum(1.0 / (1 + pos_i + pos_j)), 6) AS wins FROM k GROUP BY 1, 2")
+def rank_break_weighted_full(s, d):
+    return weighted_to(s, d, fx.N_NATIONS)
+
+
 @query("pair_counts_brand", f"WITH {fx.R_BRAND}, {fx.COUNTS} SELECT winner::BIGINT AS winner, loser::BIGINT AS loser, wins FROM w")
 def pair_counts_brand(s, d):
     return rounded(breaking.pair_counts(fx.brand_rankings(s, d)))
