@@ -475,6 +475,13 @@ def connected_components(s, d):
     return graph.connected_components(supplier_graph(s, d))
 
 
+@query("connected_components_full")
+def connected_components_full(s, d):
+    """Components of all parts and suppliers. Without SQL: the recursion keeps a row for each pair of connected nodes."""
+    lines = fx.table(s, d, "lineitem")
+    return graph.connected_components(lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst")))
+
+
 TIMED = f"{fx.R_DAYS}, k AS (SELECT a.day, a.item AS winner, z.item AS loser FROM r a JOIN r z ON a.ranking_id = z.ranking_id AND a.pos < z.pos)"
 
 

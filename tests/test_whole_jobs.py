@@ -1,9 +1,12 @@
 """Queries that must read all their rows, on tables where a cut shows."""
 
+import random
+
 import pytest
 
 from prefscale.jobs import fixtures as fx
 from prefscale.jobs import registry
+from prefscale.operators import graph
 from tests.compare import connection, same_rows
 
 LARGER = "/root/testdata/sf0.01"
@@ -18,3 +21,35 @@ def test_weighted_breaking_has_every_place(spark):
             for j in range(i + 1, len(r["items"])):
                 want[a, r["items"][j]] = want.get((a, r["items"][j]), 0) + 1 / (1 + i + j)
     assert {(r.winner, r.loser): r.wins for r in got.itertuples()} == pytest.approx(want, abs=2e-6)
+
+
+def components(edges):
+    """By union and find: node -> the smallest node of its component."""
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {x: root(x) for x in up}
+
+
+def test_components_of_all_parts_and_suppliers(spark):
+    got = {r["node"]: r["component"] for r in registry.QUERIES["connected_components_full"](spark, LARGER).collect()}
+    lines = connection(LARGER).sql("SELECT l_partkey, l_suppkey + 1000000000 FROM lineitem").fetchall()
+    assert got == components(lines) and len(got) == 2100
+
+
+def test_components_of_a_large_hot_and_long_graph(spark):
+    rng = random.Random(4)
+    path = list(range(300))
+    rng.shuffle(path)
+    edges = list(zip(path, path[1:]))
+    edges += [(10_000, 10_001 + i) for i in range(500)]
+    edges += [(20_000 + rng.randrange(300), 20_000 + rng.randrange(300)) for _ in range(200)]
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == components(edges)
