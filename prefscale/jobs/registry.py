@@ -538,6 +538,7 @@ def over_pairs(f) -> Query:
 
 
 query("rank_centrality_from_probs")(over_pairs(estimators.rank_centrality_from_probs))
+query("luce_mm_full")(fitted(estimators.luce_mm))
 query("luce_spectral")(fitted(estimators.luce_spectral))
 query("luce_spectral_map")(fitted(lambda r, n: estimators.luce_spectral_map(r, n)[0]))
 query("pair_gmm")(fitted(estimators.pair_gmm))
@@ -554,10 +555,10 @@ def pair_posterior(s, d):
     return rounded(estimators.pair_posterior(rows, 1.0, ["weekday"]))
 
 
-def mixture_fit(m_step: str, iters: int = 5) -> Query:
+def mixture_fit(m_step: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         rows = fx.nation_rankings(s, d).cache()
-        return rounded(mixture.fit_mixture(rows, 2, fx.N_NATIONS, m_step, max_iters=iters, seed=1, c=1.1, d=0.1, alpha0=1.0).params(rows))
+        return rounded(mixture.fit_mixture(rows, 2, fx.N_NATIONS, m_step, seed=1, c=1.1, d=0.1, alpha0=1.0).params(rows))
 
     return run
 
@@ -569,13 +570,13 @@ for step in mixture.STEPS:
 @query("sample_posterior")
 def sample_posterior(s, d):
     rows = fx.nation_rankings(s, d).cache()
-    return rounded(mixture.sample_posterior(rows, 2, fx.N_NATIONS, n_samples=5, burn=2).params(rows))
+    return rounded(mixture.sample_posterior(rows, 2, fx.N_NATIONS).params(rows))
 
 
 @query("mixture_moments")
 def mixture_moments(s, d):
     rows = fx.nation_rankings(s, d)
-    return rounded(mixture.mixture_moments(rows, 2, fx.N_NATIONS, iters=50).params(rows))
+    return rounded(mixture.mixture_moments(rows, 2, fx.N_NATIONS).params(rows))
 
 
 @query("cluster_rankings")
@@ -585,8 +586,10 @@ def cluster_rankings(s, d):
 
 @query("complete_ratings")
 def complete_ratings(s, d):
-    rows = prepare.index_ratings(fx.ratings(s, d), 300, 50).select(F.col("user").cast("int"), F.col("item").cast("int"), F.col("rating").cast("float"))
-    return estimators.complete_ratings(rows, rank=5, iters=5, num_items=50).select("ranking_id", text())
+    ratings = fx.ratings(s, d)
+    users, items = (ratings.select(c).distinct().count() for c in ("user_id", "item_id"))
+    rows = prepare.index_ratings(ratings, users, items).select(F.col("user").cast("int"), F.col("item").cast("int"), F.col("rating").cast("float"))
+    return estimators.complete_ratings(rows).select("ranking_id", text())
 
 
 @query("evaluate_grid")

@@ -229,10 +229,22 @@ def complete_ratings(ratings: DataFrame, rank: int = 30, iters: int = 30, num_it
     from pyspark.ml.recommendation import ALS
 
     model = ALS(rank=rank, maxIter=iters, nonnegative=True, userCol="user", itemCol="item", ratingCol="rating", seed=seed).fit(ratings)
-    every = num_items or ratings.agg(F.count_distinct("item")).first()[0]
-    top = model.recommendForAllUsers(every)
-    by = F.array_sort(F.transform("recommendations", lambda r: F.struct((-r["rating"]).alias("s"), r["item"].alias("i"))))
-    return top.select(F.col("user").alias("ranking_id"), F.transform(by, lambda x: x["i"]).alias("items"))
+    rows = model.itemFactors.orderBy("id").collect()
+    ids, factors = np.array([r["id"] for r in rows], np.int32), np.array([r["features"] for r in rows], np.float32).reshape(len(rows), rank)
+    every = len(ids) if num_items is None else num_items
+    shared = ratings.sparkSession.sparkContext.broadcast((ids, factors))
+
+    def complete(batches):
+        import pandas as pd
+
+        ids, factors = shared.value
+        for users in batches:
+            for start in range(0, len(users), 64):  # so many rows of scores at once
+                part = users.iloc[start : start + 64]
+                order = np.argsort(-(np.stack(part["features"].to_numpy()).astype(np.float32) @ factors.T), axis=1, kind="stable")[:, :every]
+                yield pd.DataFrame({"ranking_id": part["id"].to_numpy(), "items": list(ids[order])})
+
+    return model.userFactors.select("id", "features").mapInPandas(complete, "ranking_id int, items array<int>")
 
 
 def score_grid(user_factors: DataFrame, item_factors: DataFrame) -> DataFrame:

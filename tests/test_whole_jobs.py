@@ -6,8 +6,8 @@ import pytest
 
 from prefscale.jobs import fixtures as fx
 from prefscale.jobs import registry
-from prefscale.operators import graph
-from tests.compare import connection, same_rows
+from prefscale.operators import graph, mixture
+from tests.compare import DATA, connection, same_rows
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -53,3 +53,24 @@ def test_components_of_a_large_hot_and_long_graph(spark):
     edges += [(20_000 + rng.randrange(300), 20_000 + rng.randrange(300)) for _ in range(200)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == components(edges)
+
+
+def test_every_user_gets_every_item(spark):
+    [(users, items)] = connection(DATA).sql("SELECT count(DISTINCT o_custkey), count(DISTINCT l_partkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()
+    got = registry.QUERIES["complete_ratings"](spark, DATA).collect()
+    assert sorted(r["ranking_id"] for r in got) == list(range(users))
+    assert all(sorted(map(int, r["items"].split(","))) == list(range(items)) for r in got)
+
+
+@pytest.mark.parametrize(("name", "operator", "counts"), [("fit_mixture_mm", "fit_mixture", {"max_iters", "tol"}), ("sample_posterior", "sample_posterior", {"n_samples", "burn"}), ("mixture_moments", "mixture_moments", {"iters"})])
+def test_fits_run_to_their_own_stop(spark, monkeypatch, name, operator, counts):
+    class Seen(Exception):
+        pass
+
+    def see(*args, **named):
+        raise Seen(named)
+
+    monkeypatch.setattr(mixture, operator, see)
+    with pytest.raises(Seen) as got:
+        registry.QUERIES[name](spark, DATA)
+    assert not counts & set(got.value.args[0])
