@@ -7,6 +7,7 @@ from prefscale.llm import exact_dedup, license_scan, line_dedup, mixing, ngram_j
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op2_url_filter_full": url_filter.op2_url_filter_full,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_top_k": top_k.op4_top_k,
     "op5_pieces": pieces.op5_pieces,

@@ -62,6 +62,19 @@ def brute_rule(url):
 URLS = [None, "", "nothing", "http://", "http://net", "http://NET/", "http://a.Example.NET/en/1", "http://example.net/enx", "http://x.example.com/de/5?q#f", "http://x.example.com/de", "http://x.org/fr/", "https://fr.org/fr/1#/x", "http://borg/fr/1", "http://a.net?/en/", "http://a://b/c", "http://b.example.com/en/" + "x/" * 30, "http://u.example.org/" + "y" * 5000]
 
 
+def test_url_tree_labels_paths_and_passes_purity_on(spark):
+    urls = [f"http://a.org/casino/{i}" for i in range(40)] + ["http://a.org/about/us", "http://one.org/ads/x", "http://one.org/"]
+    urls += ["http://big.org/ads/x"] * 4 + [f"http://big.org/{w}/page" for w in ("news", "sport", "art") for _ in range(100)]
+    urls += ["http://deep.org/" + "/".join("abcdefghijkl")]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r["url"]: r for r in url_filter.judge_urls_by_tree(df).collect()}
+    assert len(got) == len(set(urls))
+    assert {u for u, r in got.items() if r["verdict"] == "block"} == {u for u in urls if "a.org" in u or "/ads/" in u}
+    assert got["http://a.org/about/us"]["purity"] == pytest.approx((40 + 0.2 + 4 * 0.2) / (41 + 4))
+    assert got["http://deep.org/a/b/c/d/e/f/g/h/i/j/k/l"]["template"] == "/a/b/c/d/e/f/g/h/i/j/k/l"
+    assert url_filter.judge_urls_by_tree(df.limit(0)).count() == 0
+
+
 def test_urls_by_brute_force(spark):
     rows = [(i, u) for i, u in enumerate(URLS)] + [(3, URLS[3])]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "purity", "raw", "segs")})
