@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,16 +146,44 @@ def component_distances(params: DataFrame, truth: DataFrame) -> DataFrame:
     return centre(params).join(t, "item").groupBy(F.col("component").alias("a"), "b").agg(F.sum(F.pow(F.col("theta") - F.col("true"), 2)).alias("d2"))
 
 
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """For each row of a table with at least as many columns, its column in the one-to-one matching of least cost, by shortest augmenting paths."""
+    n, m = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for start in range(n):
+        least, before, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, at = start, -1
+        while row >= 0:
+            if at >= 0:
+                done[at] = True
+            gap = cost[row] - u[row] - v
+            better = ~done & (gap < least)
+            least[better], before[better] = gap[better], at
+            at = int(np.argmin(np.where(done, np.inf, least)))
+            step = least[at]
+            u[start] += step
+            u[owner[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            row = owner[at]
+        while at >= 0:
+            owner[at] = owner[before[at]] if before[at] >= 0 else start
+            at = before[at]
+    out = np.empty(n, int)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
+
+
 def best_matching(table: DataFrame, a: str, b: str, value: str, largest: bool) -> DataFrame:
-    """One row: ``best``, the best total of a one-to-one matching of a small table of labels (at most 8 a side)."""
-    cells = {(r[a], r[b]): float(r[value]) for r in table.select(a, b, value).limit(65).collect()}
+    """One row: ``best``, the best total of a one-to-one matching of a table of labels, which the driver holds."""
+    cells = {(r[a], r[b]): float(r[value]) for r in table.select(a, b, value).collect()}
     left, right = sorted({k[0] for k in cells}), sorted({k[1] for k in cells})
-    if len(cells) > 64:
-        raise ValueError("matching is for tables of at most 8 x 8 labels")
     if len(left) > len(right):
         left, right, cells = right, left, {(y, x): v for (x, y), v in cells.items()}
-    totals = [sum(cells.get((x, y), 0.0) for x, y in zip(left, p, strict=True)) for p in itertools.permutations(right, len(left))]
-    best = (max if largest else min)(totals) if totals else 0.0
+    values = np.array([[cells.get((x, y), 0.0) for y in right] for x in left]).reshape(len(left), len(right))
+    if not np.isfinite(values).all():
+        raise ValueError("matching is for finite values")
+    best = sum(values[range(len(left)), assignment(-values if largest else values)])
     return table.sparkSession.range(1).select(F.lit(float(best)).alias("best"))
 
 

@@ -1,12 +1,14 @@
 """Queries that must read all their rows, on tables where a cut shows."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from prefscale.jobs import fixtures as fx
 from prefscale.jobs import registry
-from prefscale.operators import graph, mixture
+from prefscale.operators import evaluate, graph, mixture
 from tests.compare import DATA, connection, same_rows
 
 LARGER = "/root/testdata/sf0.01"
@@ -74,3 +76,24 @@ def test_fits_run_to_their_own_stop(spark, monkeypatch, name, operator, counts):
     with pytest.raises(Seen) as got:
         registry.QUERIES[name](spark, DATA)
     assert not counts & set(got.value.args[0])
+
+
+def test_assignment_by_brute_force():
+    rng = np.random.default_rng(3)
+    for trial in range(300):
+        n = int(rng.integers(1, 6))
+        m = int(rng.integers(n, 7))
+        cost = rng.integers(-4, 5, (n, m)).astype(float) if trial % 2 else rng.normal(size=(n, m))
+        got = evaluate.assignment(cost)
+        assert len(set(got)) == n
+        assert cost[range(n), got].sum() == pytest.approx(min(cost[range(n), p].sum() for p in itertools.permutations(range(m), n)))
+
+
+def test_twelve_labels_are_matched(spark):
+    rows = [(i, (i * 5 + 3) % 12) for i in range(12) for _ in range(5)] + [(i, j) for i in range(12) for j in range(12)]
+    got = evaluate.clustering_accuracy(spark.createDataFrame(rows, "true int, pred int")).first()["accuracy"]
+    assert got == pytest.approx(12 * 6 / len(rows))
+    params = spark.createDataFrame([(c, i, float((c * 7 + i * i) % 13)) for c in range(10) for i in range(4)], "component int, item int, theta double")
+    turned = params.withColumn("component", (params["component"] * 3 + 1) % 10)
+    assert evaluate.mixture_l2_error(params, turned).first()["err"] == pytest.approx(0, abs=1e-6)
+    assert evaluate.mixture_l2_error(params.limit(0), turned).first()["err"] == 0
