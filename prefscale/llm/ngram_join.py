@@ -8,10 +8,12 @@ d + 1 of them in any common order; blocks of many shingles come first, as they a
 on these blocks. A second, short parity sketch (one bit flipped per shingle) gives the Hamming distance, which never
 exceeds the difference, and so drops candidates before their whole sets are fetched and intersected.
 
-A block that many documents share doesn't give all their pairs: they are tested against one of them each (first within
-a map task, then across tasks), and the components of what passed are found. Then, in blocks that hold more than one
-component, every pair across components is compared by its sketches, in chunks and without being written out, and what
-passes is verified too. So no link between different components is lost, and no group is expanded.
+A block that many documents share doesn't give all their pairs. Equal sets are grouped first: the smallest doc_id stands
+for its copies. Each other document is then tested against one document only, among the smallest ones of its blocks the
+one with which it shares most of them (smallest within a map task, then across tasks). What passes is a forest of
+pointers to smaller doc_ids, whose roots name the components so far. Then, in blocks that hold more than one component,
+every pair across components is compared by its sketches, in chunks and without being written out, and what passes is
+verified too. So no link between different components is lost, and no group is expanded.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows that repeat a doc_id are one
 document with any of their texts; rows without a doc_id have no links and a null component.
@@ -23,6 +25,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +45,10 @@ SPARE = 1.1
 FLUSH_ROWS, CHUNK = 2_000_000, 512
 #: Up to so many ids are sent to every task.
 BROADCAST_IDS = 200_000
-#: Pairs that a task gathers, each once, before it gives them out.
-GATHERED = 1_000_000
+#: Pairs that a task looks at together, and pairs that it gathers, each once, before it gives them out.
+TOGETHER, GATHERED = 500_000, 1_000_000
+#: Jumps over a forest of pointers; each doubles the way.
+MAX_JUMPS = 64
 
 U = np.uint64
 ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD))
@@ -104,203 +110,261 @@ def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def doc_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch) of every row."""
+#: Rows of one pass over the texts: of a document (key null, other: the number of shingles) or of a block (key, doc_id,
+#: and, if the document has met one of its own task, that one as other).
+MADE = "key long, doc_id long, other long, set_key binary, sketch array<long>"
 
-    @F.pandas_udf("n_shingles long, set_key binary, sketch array<long>")
-    def work(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            s = shingle_set(text, k)
-            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, parity_sketch(s)))
-        return pd.DataFrame(rows, columns=["n_shingles", "set_key", "sketch"])
 
-    return docs.select("doc_id", work(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
+def groups_of(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key and doc sorted and each pair once, and the smallest doc of each row's key."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    once = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
+    key, doc = key[once], doc[once]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key, doc, np.repeat(doc[starts], np.diff(np.r_[starts, len(key)]))
 
 
-def whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in range(0, len(part), 256):
-                some = part.iloc[i : i + 256]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "shingles": [shingle_set(t, k).view(np.int64) for t in some["text"]]})
+def nullable(values: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    return pa.array(values, pa.int64(), mask=null)
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, shingles array<long>")
 
+def batch_of(key: pa.Array, doc: pa.Array, other: pa.Array, set_key: pa.Array | None = None, sketch: pa.Array | None = None) -> pa.RecordBatch:
+    n, longs = len(doc), pa.list_(pa.int64())
+    columns = [key, doc, other, pa.nulls(n, pa.binary()) if set_key is None else set_key, pa.nulls(n, longs) if sketch is None else sketch]
+    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "other", "set_key", "sketch"])
 
-MET = "key long, doc_id long, centre long, met boolean"
 
+def map_side(k: int, percent: int) -> Callable:
+    """Rows of MADE. Of a task's equal sets the smallest document gives blocks; of its documents with the same block the
+    smallest goes on to meet other tasks', the rest have met it."""
+
+    def flush(held: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+        keys = [x[1] for x in held.values()]
+        docs = np.repeat(np.array([x[0] for x in held.values()], np.int64), [len(x) for x in keys])
+        key, doc, centre = groups_of(np.concatenate([np.zeros(0, U), *keys]).view(np.int64), docs)
+        for i in range(0, len(key), 100_000):
+            own = slice(i, i + 100_000)
+            yield batch_of(nullable(key[own]), nullable(doc[own]), nullable(centre[own], doc[own] == centre[own]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+        rows = 0
+        for batch in batches:
+            sizes, names, bits = [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                hashes = shingle_set(text.as_py(), k)
+                name = xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+                sizes.append(len(hashes))
+                names.append(name)
+                bits.append(parity_sketch(hashes))
+                if name is None or doc is None:
+                    continue
+                if name in held:
+                    held[name][0] = min(held[name][0], doc)
+                    continue
+                held[name] = [doc, block_keys(hashes, percent)]
+                rows += len(held[name][1])
+                if rows >= FLUSH_ROWS:
+                    yield from flush(held)
+                    held, rows = {}, 0
+            ends = np.arange(len(bits) + 1, dtype=np.int32) * (SKETCH_BITS // 64)
+            sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
+            yield batch_of(pa.nulls(len(sizes), pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), sketch)
+        yield from flush(held)
 
-def groups_of(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """key and doc sorted and each pair once, the smallest doc of each row's key, and how many its key has."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    once = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
-    key, doc = key[once], doc[once]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(key)]).astype(np.int64)
-    return key, doc, np.repeat(doc[starts], sizes), np.repeat(sizes, sizes)
+    return work
 
 
-def map_side(k: int, percent: int) -> Callable:
-    """Block rows of a task: one row a key goes on to meet other tasks', the rest have met their centre."""
+def reduce_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, doc_id): those of blocks get the smallest document of their key as other, or none if they are
+    that one; the rest passes. Only the last key's centre is held."""
+    last, centre = None, 0
+    for batch in batches:
+        block = batch.column("key").is_valid()
+        rest = batch.filter(pa.compute.invert(block))
+        if rest.num_rows:
+            yield rest
+        met = batch.filter(pa.compute.and_(block, batch.column("other").is_valid()))
+        if met.num_rows:
+            yield met
+        heads = batch.filter(pa.compute.and_(block, batch.column("other").is_null()))
+        if not heads.num_rows:
+            continue
+        key, doc = heads.column("key").to_numpy(zero_copy_only=False), heads.column("doc_id").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first = doc[starts]
+        if last == key[0]:
+            first[0] = centre
+        to = np.repeat(first, np.diff(np.r_[starts, len(key)]))
+        last, centre = int(key[-1]), int(to[-1])
+        more = doc != to
+        if more.any():
+            yield batch_of(nullable(key[more]), nullable(doc[more]), nullable(to[more]))
+
+
+def sets_and_blocks(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_key, sketch) of every row, and the meetings (key, doc_id, centre) of documents with the
+    same block: each but the smallest with the smallest of its task or of all. One pass over the texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(map_side(k, percent), MADE)
+    # rows of documents, and those that have met their centre, only pass through: they go anywhere
+    place = F.when(F.col("key").isNull() | F.col("other").isNotNull(), F.xxhash64("doc_id", "other")).otherwise(F.col("key"))
+    made = cut(rows.repartition(place).sortWithinPartitions("key", "doc_id").mapInArrow(reduce_side, MADE))
+    thin = made.where("key is null").select("doc_id", F.col("other").alias("n_shingles"), "set_key", "sketch")
+    return thin, made.where("key is not null").select("key", "doc_id", F.col("other").alias("centre"))
 
-    def flush(keys: list, docs: list) -> pd.DataFrame:
-        key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-        key, doc, centre, _ = groups_of(key, np.concatenate(docs) if docs else np.zeros(0, np.int64))
-        head = doc == centre
-        return pd.DataFrame({"key": key, "doc_id": doc, "centre": centre, "met": ~head})
 
+def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, docs, held, seen = [], [], 0, set()
         for part in parts:
-            for doc, text in zip(part["doc_id"].to_numpy(np.int64), part["text"], strict=True):
-                hashes = shingle_set(text, k)
-                if not len(hashes) or (same := xxhash.xxh3_128_digest(hashes.tobytes())) in seen:
-                    continue  # copies are grouped by their sets
-                seen.add(same)
-                keys.append(own := block_keys(hashes, percent))
-                docs.append(np.full(len(own), doc))
-                held += len(own)
-                if held >= FLUSH_ROWS:
-                    yield flush(keys, docs)
-                    keys, docs, held, seen = [], [], 0, set()
-        yield flush(keys, docs)
-
-    return work
-
+            for i in range(0, len(part), 256):
+                some = part.iloc[i : i + 256]
+                yield pd.DataFrame({"doc_id": some["doc_id"], "shingles": [shingle_set(t, k).view(np.int64) for t in some["text"]]})
 
-def reduce_side(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of keys that more than one document has, with the document that each is tested against."""
-    keys, docs = [], []
-    for part in parts:
-        met = part["met"].to_numpy(bool)
-        if met.any():
-            yield part[met]
-        keys.append(part["key"].to_numpy()[~met])
-        docs.append(part["doc_id"].to_numpy()[~met])
-    key, doc, centre, size = groups_of(np.concatenate(keys), np.concatenate(docs)) if keys else [np.zeros(0, np.int64)] * 4
-    some = size > 1
-    yield pd.DataFrame({"key": key[some], "doc_id": doc[some], "centre": centre[some], "met": True})
+    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, shingles array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, thin: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar: sizes, then sketches, then the whole sets."""
+def close(pairs: DataFrame, thin: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and sketches allow."""
     side = thin.select("doc_id", "n_shingles", "sketch")
-    both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+    both = pairs.join(side.toDF("b", "nb", "sb"), "b").join(side.toDF("a", "na", "sa"), "a")
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     allowed = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart <= allowed)
-    both = cut(both.where(close).select("a", "b").distinct())
-    wanted = cut(both.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = wanted.count() <= BROADCAST_IDS  # then the texts needn't be shuffled to be picked
-    sets = cut(whole_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), k))
-    both = both.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+    return both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart <= allowed)).select("a", "b").distinct()
+
+
+def verified(both: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Those of the pairs (a, b), read twice, whose whole sets are similar; None if there are no pairs."""
+    n = both.count()
+    if not n:
+        return None
+    wanted = both.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # few ids go to the texts, so that these needn't be shuffled to be picked
+    sets = cut(whole_sets(docs.join(F.broadcast(wanted) if 2 * n <= BROADCAST_IDS else wanted, "doc_id", "left_semi"), k))
+    # many b have one a: their sets travel to it, and its own isn't repeated in a shuffle
+    both = both.join(sets.toDF("b", "xb"), "b").join(sets.toDF("a", "xa"), "a")
     shared = F.size(F.array_intersect("xa", "xb"))
-    good = shared * 100 >= (F.size("xa") + F.size("xb") - shared) * percent
-    return both.where(good).select("a", "b").distinct()
+    return both.where(shared * 100 >= (F.size("xa") + F.size("xb") - shared) * percent).select("a", "b")
 
 
-def across(percent: int) -> Callable:
-    """Pairs of documents of one key, of different components, whose sketches allow a link; by rows of (key, chunks)."""
-
-    def pairs_of(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        sketch = np.stack(group["sketch"].to_numpy()).view(U)  # bits of signed numbers are counted without the sign
-        doc, part, n = (group[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        left, right = np.flatnonzero(group["left"].to_numpy()), np.flatnonzero(group["right"].to_numpy())
-        found = []
-        for i in left:
-            j = right[part[right] != part[i]]
-            j = j[np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent]
-            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
-            j = j[apart <= (100 - percent) * (n[i] + n[j]) // (100 + percent)]
-            found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
-        return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+def roots(pointers: DataFrame) -> DataFrame:
+    """pointers (node, label, copy), one a node, all to smaller nodes -> the same with the roots as labels."""
+    for _ in range(MAX_JUMPS):
+        far = pointers.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        new = pointers.join(far, F.col("label") == F.col("via"), "left")
+        new = cut(new.select("node", F.coalesce("far", "label").alias("label"), "copy", F.col("far").isNotNull().alias("moved")))
+        pointers = new.select("node", "label", "copy")
+        if new.where("moved").isEmpty():
+            return pointers
+    raise RuntimeError(f"pointers did not settle in {MAX_JUMPS} jumps")
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        spot = ["key", "i", "j"]
-        found = np.zeros((2, 0), np.int64)  # documents share many keys, but each pair is given out once
 
-        def more(rows: pd.DataFrame) -> np.ndarray:
-            return np.unique(np.concatenate([found, *[pairs_of(g) for _, g in rows.groupby(spot, sort=False)]], 1), axis=1)
+def across(percent: int) -> Callable:
+    """Pairs of documents of one piece (key, i, j), of different components, whose sketches allow a link. Rows come sorted
+    by piece, a piece's left rows before its right ones."""
+    piece = ["key", "i", "j"]
+
+    def pairs_of(rows: pd.DataFrame) -> np.ndarray:
+        sketch = np.stack(rows["sketch"].to_numpy()).view(U)  # bits of signed numbers are counted without the sign
+        doc, part, n, right = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "right"))
+        at = rows[piece].to_numpy()
+        number = np.cumsum(np.r_[0, (at[1:] != at[:-1]).any(1)])
+        rights = np.bincount(number[right], minlength=number[-1] + 1)
+        begin = np.searchsorted(number, np.arange(number[-1] + 1), side="right") - rights
+        left = np.flatnonzero(~right)
+        ends = np.cumsum(rights[number[left]])
+        found, done = [np.zeros((2, 0), np.int64)], 0
+        while done < len(left):
+            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + TOGETHER, side="right")))
+            own = left[done:stop]
+            many = rights[number[own]]
+            i = np.repeat(own, many)
+            j = np.repeat(begin[number[own]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            fits = (part[i] != part[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+            i, j = i[fits], j[fits]
+            fits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= (100 - percent) * (n[i] + n[j]) // (100 + percent)
+            a, b = doc[i[fits]], doc[j[fits]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+            done = stop
+        return np.concatenate(found, 1)
 
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, found = None, np.zeros((2, 0), np.int64)  # documents share many keys, but each pair is given out once
         for part in parts:
             part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            last = (part[spot] == part[spot].iloc[-1]).all(axis=1).to_numpy() if len(part) else np.zeros(0, bool)
-            rest = part[last]  # the last group may go on
-            found = more(part[~last])
+            if not len(part):
+                continue
+            last = (part[piece] == part[piece].iloc[-1]).all(axis=1).to_numpy()
+            rest = part[last]  # the last piece may go on
+            if not last.all():
+                found = np.unique(np.concatenate([found, pairs_of(part[~last])], 1), axis=1)
             if found.shape[1] > GATHERED:
                 yield pd.DataFrame({"a": found[0], "b": found[1]})
                 found = found[:, :0]
         if rest is not None:
-            found = more(rest)
+            found = np.unique(np.concatenate([found, pairs_of(rest)], 1), axis=1)
         yield pd.DataFrame({"a": found[0], "b": found[1]})
 
     return work
 
 
-def cross_pairs(met: DataFrame, thin: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components, and may be similar by their sketches.
+def cross_pairs(met: DataFrame, thin: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs (a, b) that share a key, lie in different components, and may be similar by their sketches; None if no key
+    has two components.
 
     In a key, the documents outside its largest component meet all others. They are dealt to chunks of at most about
-    CHUNK documents, and each pair of chunks is one piece of work. Pieces of keys with one largest component and the
-    same chunks go to one task, which gives a pair out once however many of the keys it shares.
+    CHUNK documents, and each pair of chunks of a key is one piece of work, so a hot key or component is spread. Copies
+    stay out: the document that stands for them has all their keys.
     """
     rows = met.select("key", "doc_id").unionByName(met.select("key", F.col("centre").alias("doc_id"))).distinct()
-    rows = rows.join(parts, rows["doc_id"] == parts["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
-    rows = cut(rows)
+    rows = rows.join(labels, F.col("doc_id") == F.col("node"), "left").where("copy is null or not copy")
+    rows = rows.select("key", "doc_id", F.coalesce("label", "doc_id").alias("component"))
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    keys = keys.where("parts > 1 and all > 2")  # two documents have been tested against each other
-    chunks = lambda n: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n / CHUNK, F.lit(1.0))))).cast("int")  # noqa: E731  powers of two, alike for like keys
-    rows = rows.join(keys.withColumn("cl", F.greatest(chunks(F.col("all") - F.col("most")), F.lit(1))).withColumn("cr", chunks(F.col("all"))), "key")
-    rows = rows.join(thin.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    other = F.col("component") != F.col("main")
-    mine = F.pmod(F.hash("doc_id"), F.col("cl"))
-    right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cl") - 1))).withColumn("j", F.pmod(F.xxhash64("doc_id"), F.col("cr")).cast("int")).withColumn("left", F.lit(False)).withColumn("right", F.lit(True))
-    left = rows.where(other).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cr") - 1))).withColumn("left", F.lit(True)).withColumn("right", F.lit(False))
-    work = left.unionByName(right).select("key", "main", "i", "j", "doc_id", "component", "n_shingles", "sketch", "left", "right")
-    work = work.repartition("main", "i", "j").sortWithinPartitions("key", "i", "j")
+    chunks = lambda n: F.greatest(F.ceil(n / CHUNK), F.lit(1)).cast("int")
+    keys = cut(keys.where("parts > 1").select("key", "main", chunks(F.col("all") - F.col("most")).alias("cl"), chunks(F.col("all")).alias("cr")))
+    if keys.isEmpty():
+        return None
+    rows = rows.join(keys, "key").join(thin.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    left, right = F.pmod(F.hash("doc_id"), F.col("cl")), F.pmod(F.xxhash64("doc_id"), F.col("cr")).cast("int")
+    spots = lambda i, j, is_right: F.struct(i.alias("i"), j.alias("j"), F.lit(is_right).alias("right"))
+    rights = F.transform(F.sequence(F.lit(0), F.col("cl") - 1), lambda i: spots(i, right, True))
+    lefts = F.transform(F.sequence(F.lit(0), F.col("cr") - 1), lambda j: spots(left, j, False))
+    work = rows.withColumn("at", F.explode(F.when(F.col("component") == F.col("main"), rights).otherwise(F.concat(rights, lefts))))
+    work = work.select("key", "at.*", "doc_id", "component", "n_shingles", "sketch")
+    work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right")
     return work.mapInPandas(across(percent), "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id), a row each."""
     ship(docs.sparkSession)
-    thin = cut(doc_sets(docs, k))
+    thin, met = sets_and_blocks(docs, k, percent)
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    # rows that have met their centre only pass through, so they go anywhere
-    place = F.when(F.col("met"), F.xxhash64("key", "doc_id")).otherwise(F.col("key"))
-    met = known.mapInPandas(map_side(k, percent), MET).repartition(place).mapInPandas(reduce_side, MET)
-    met = cut(met.select("key", "doc_id", "centre"))
     sized = thin.where("doc_id is not null and n_shingles > 0")
-    # a centre is the smallest document of its block
-    first = cut(met.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")))
-    best = cut(first.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
-    copies = sized.groupBy("set_key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = cut(copies)
     # the first copy of a set stands for all: what is linked to one copy is linked to the others
-    stands = sized.join(copies, "set_key").select("doc_id", "a").where("doc_id <> a")
-    stands = cut(stands)
-    edges = lambda found: found.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(stands.select(F.col("a").alias("src"), F.col("doc_id").alias("dst")))
-    # each document against the centre with which it shares most blocks, then the others that lie in other components,
-    # then whatever else lies in other components
-    links = cut(similar(best, known, sized, k, percent))
-    parts = connected_components(edges(links))
-    named = lambda c: parts.toDF(c, f"p{c}")
-    apart = F.coalesce("pa", "a") != F.coalesce("pb", "b")
-    rest = first.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").where(apart).select("a", "b")
-    new = cut(similar(cut(rest.join(best, ["a", "b"], "left_anti")), known, sized, k, percent))
-    links = links.unionByName(new)
-    if not new.isEmpty():
-        parts = connected_components(edges(links))
-    more = cross_pairs(met, sized, parts, percent).join(first, ["a", "b"], "left_anti")
-    new = cut(similar(cut(more), known, sized, k, percent))
-    if not new.isEmpty():
-        parts = connected_components(edges(links.unionByName(new)))
-    out = thin.select("doc_id", "n_shingles").join(parts, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    copies = sized.groupBy("set_key").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")).where("n > 1")
+    copies = cut(sized.join(copies, "set_key").where("doc_id <> label").groupBy(F.col("doc_id").alias("node")).agg(F.min("label").alias("label")).withColumn("copy", F.lit(True)))
+    best = met.groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
+    best = best.join(copies, F.col("b") == F.col("node"), "left_anti")
+    best = best.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    near = cut(close(best, sized, percent))
+    links = verified(near, known, k, percent)
+    labels = copies
+    if links is not None:
+        labels = copies.unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("label"), F.lit(False).alias("copy")).distinct())
+    labels = roots(cut(labels))
+    pairs = cross_pairs(met, sized, labels, percent)
+    links = None if pairs is None else verified(cut(pairs.join(near, ["a", "b"], "left_anti")), known, k, percent)
+    out = thin.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    if links is None:
+        return out
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    edges = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    parts = connected_components(edges.select(F.coalesce("la", "a").alias("src"), F.coalesce("lb", "b").alias("dst")))
+    out = out.join(parts, F.col("component_id") == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
