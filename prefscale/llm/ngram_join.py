@@ -12,8 +12,10 @@ A block that many documents share doesn't give all their pairs. Equal sets are g
 for its copies. Each other document is then tested against one document only, among the smallest ones of its blocks the
 one with which it shares most of them (smallest within a map task, then across tasks). What passes is a forest of
 pointers to smaller doc_ids, whose roots name the components so far. Then, in blocks that hold more than one component,
-every pair across components is compared by its sketches, in chunks and without being written out, and what passes is
-verified too. So no link between different components is lost, and no group is expanded.
+every pair across components is compared by its sketches, in chunks and without being written out. Of what passes, the
+closest pair of each document outside a block's largest component with each other component is verified first; most
+components grow together by that. Last, all pairs that pass between those that are still apart are verified. So no link
+between different components is lost, and no group is expanded.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows that repeat a doc_id are one
 document with any of their texts; rows without a doc_id have no links and a null component.
@@ -177,31 +179,33 @@ def map_side(k: int, percent: int) -> Callable:
 
 
 def reduce_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc_id): those of blocks get the smallest document of their key as other, or none if they are
-    that one; the rest passes. Only the last key's centre is held."""
-    last, centre = None, 0
-    for batch in batches:
-        block = batch.column("key").is_valid()
-        rest = batch.filter(pa.compute.invert(block))
-        if rest.num_rows:
-            yield rest
-        met = batch.filter(pa.compute.and_(block, batch.column("other").is_valid()))
-        if met.num_rows:
-            yield met
-        heads = batch.filter(pa.compute.and_(block, batch.column("other").is_null()))
-        if not heads.num_rows:
-            continue
-        key, doc = heads.column("key").to_numpy(zero_copy_only=False), heads.column("doc_id").to_numpy(zero_copy_only=False)
+    """Rows sorted by key: those of blocks that haven't met any document get the smallest of their key as other, and go
+    if they are that one; the rest passes. The rows of the last key are held back: one for each map task at most."""
+    key = doc = np.zeros(0, np.int64)
+
+    def met(key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        first = doc[starts]
-        if last == key[0]:
-            first[0] = centre
-        to = np.repeat(first, np.diff(np.r_[starts, len(key)]))
-        last, centre = int(key[-1]), int(to[-1])
+        to = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.r_[starts, len(key)]))
         more = doc != to
         if more.any():
             yield batch_of(nullable(key[more]), nullable(doc[more]), nullable(to[more]))
 
+    for batch in batches:
+        head = pa.compute.and_(batch.column("key").is_valid(), batch.column("other").is_null())
+        rest = batch.filter(pa.compute.invert(head))
+        if rest.num_rows:
+            yield rest
+        heads = batch.filter(head)
+        if heads.num_rows:
+            key = np.r_[key, heads.column("key").to_numpy(zero_copy_only=False)]
+            doc = np.r_[doc, heads.column("doc_id").to_numpy(zero_copy_only=False)]
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield from met(key[:last], doc[:last])
+                key, doc = key[last:], doc[last:]
+    if len(key):
+        yield from met(key, doc)
+
 
 def sets_and_blocks(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, set_key, sketch) of every row, and the meetings (key, doc_id, centre) of documents with the
@@ -209,7 +213,7 @@ def sets_and_blocks(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(map_side(k, percent), MADE)
     # rows of documents, and those that have met their centre, only pass through: they go anywhere
     place = F.when(F.col("key").isNull() | F.col("other").isNotNull(), F.xxhash64("doc_id", "other")).otherwise(F.col("key"))
-    made = cut(rows.repartition(place).sortWithinPartitions("key", "doc_id").mapInArrow(reduce_side, MADE))
+    made = cut(rows.repartition(place).sortWithinPartitions("key").mapInArrow(reduce_side, MADE))
     thin = made.where("key is null").select("doc_id", F.col("other").alias("n_shingles"), "set_key", "sketch")
     return thin, made.where("key is not null").select("key", "doc_id", F.col("other").alias("centre"))
 
@@ -259,10 +263,19 @@ def roots(pointers: DataFrame) -> DataFrame:
     raise RuntimeError(f"pointers did not settle in {MAX_JUMPS} jumps")
 
 
-def across(percent: int) -> Callable:
-    """Pairs of documents of one piece (key, i, j), of different components, whose sketches allow a link. Rows come sorted
-    by piece, a piece's left rows before its right ones."""
+def nearest(pairs: np.ndarray) -> np.ndarray:
+    """Of rows (apart, a, b, document outside, component met) the closest of each document and component."""
+    pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0], pairs[4], pairs[3]))]
+    first = np.r_[True, (pairs[3:, 1:] != pairs[3:, :-1]).any(0)] if pairs.shape[1] else np.zeros(0, bool)
+    return pairs[:, first]
+
+
+def across(percent: int, best: bool) -> Callable:
+    """Pairs of documents of one piece (key, i, j), of different components, whose sketches allow a link: (apart, a, b,
+    left document, component of the right one), all of them or the closest of each left document and component. Rows
+    come sorted by piece, a piece's left rows before its right ones."""
     piece = ["key", "i", "j"]
+    reduced = nearest if best else lambda pairs: np.unique(pairs, axis=1)
 
     def pairs_of(rows: pd.DataFrame) -> np.ndarray:
         sketch = np.stack(rows["sketch"].to_numpy()).view(U)  # bits of signed numbers are counted without the sign
@@ -273,7 +286,7 @@ def across(percent: int) -> Callable:
         begin = np.searchsorted(number, np.arange(number[-1] + 1), side="right") - rights
         left = np.flatnonzero(~right)
         ends = np.cumsum(rights[number[left]])
-        found, done = [np.zeros((2, 0), np.int64)], 0
+        found, done = [np.zeros((5, 0), np.int64)], 0
         while done < len(left):
             stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + TOGETHER, side="right")))
             own = left[done:stop]
@@ -282,14 +295,19 @@ def across(percent: int) -> Callable:
             j = np.repeat(begin[number[own]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             fits = (part[i] != part[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
             i, j = i[fits], j[fits]
-            fits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= (100 - percent) * (n[i] + n[j]) // (100 + percent)
-            a, b = doc[i[fits]], doc[j[fits]]
-            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1).astype(np.int64)
+            fits = apart <= (100 - percent) * (n[i] + n[j]) // (100 + percent)
+            i, j, apart = i[fits], j[fits], apart[fits]
+            a, b = doc[i], doc[j]
+            found.append(reduced(np.stack([apart, np.minimum(a, b), np.maximum(a, b), a, part[j]] if best else [apart, np.minimum(a, b), np.maximum(a, b), 0 * a, 0 * a])))
             done = stop
         return np.concatenate(found, 1)
 
+    def frame(found: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(found.T, columns=["apart", "a", "b", "outside", "met"])
+
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, found = None, np.zeros((2, 0), np.int64)  # documents share many keys, but each pair is given out once
+        rest, found = None, np.zeros((5, 0), np.int64)  # documents share many keys, but each pair is given out once
         for part in parts:
             part = part if rest is None else pd.concat([rest, part], ignore_index=True)
             if not len(part):
@@ -297,20 +315,20 @@ def across(percent: int) -> Callable:
             last = (part[piece] == part[piece].iloc[-1]).all(axis=1).to_numpy()
             rest = part[last]  # the last piece may go on
             if not last.all():
-                found = np.unique(np.concatenate([found, pairs_of(part[~last])], 1), axis=1)
+                found = reduced(np.concatenate([found, pairs_of(part[~last])], 1))
             if found.shape[1] > GATHERED:
-                yield pd.DataFrame({"a": found[0], "b": found[1]})
+                yield frame(found)
                 found = found[:, :0]
         if rest is not None:
-            found = np.unique(np.concatenate([found, pairs_of(rest)], 1), axis=1)
-        yield pd.DataFrame({"a": found[0], "b": found[1]})
+            found = reduced(np.concatenate([found, pairs_of(rest)], 1))
+        yield frame(found)
 
     return work
 
 
-def cross_pairs(met: DataFrame, thin: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+def cross_pairs(met: DataFrame, thin: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame | None:
     """Pairs (a, b) that share a key, lie in different components, and may be similar by their sketches; None if no key
-    has two components.
+    has two components. best: of each document outside a key's largest component and each component only the closest pair.
 
     In a key, the documents outside its largest component meet all others. They are dealt to chunks of at most about
     CHUNK documents, and each pair of chunks of a key is one piece of work, so a hot key or component is spread. Copies
@@ -333,7 +351,10 @@ def cross_pairs(met: DataFrame, thin: DataFrame, labels: DataFrame, percent: int
     work = rows.withColumn("at", F.explode(F.when(F.col("component") == F.col("main"), rights).otherwise(F.concat(rights, lefts))))
     work = work.select("key", "at.*", "doc_id", "component", "n_shingles", "sketch")
     work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right")
-    return work.mapInPandas(across(percent), "a long, b long").distinct()
+    pairs = work.mapInPandas(across(percent, best), "apart long, a long, b long, outside long, met long")
+    if best:
+        pairs = pairs.groupBy("outside", "met").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+    return pairs.select("a", "b").distinct()
 
 
 def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -354,17 +375,28 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     if links is not None:
         labels = copies.unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("label"), F.lit(False).alias("copy")).distinct())
     labels = roots(cut(labels))
-    pairs = cross_pairs(met, sized, labels, percent)
-    links = None if pairs is None else verified(cut(pairs.join(near, ["a", "b"], "left_anti")), known, k, percent)
+    tested = near
+    for nearest_only in (True, False):
+        pairs = cross_pairs(met, sized, labels, percent, nearest_only)
+        if pairs is None:
+            break
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        links = verified(pairs, known, k, percent)
+        if links is not None:
+            labels = merged(labels, links)
+            tested = tested.unionByName(pairs)
     out = thin.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
-    if links is None:
-        return out
+    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after the components that ``links`` (a, b) connect have become one."""
     named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     edges = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
     parts = connected_components(edges.select(F.coalesce("la", "a").alias("src"), F.coalesce("lb", "b").alias("dst")))
-    out = out.join(parts, F.col("component_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+    parts = parts.where("node <> component").toDF("root", "component")
+    old = labels.join(parts, F.col("label") == F.col("root"), "left").select("node", F.coalesce("component", "label").alias("label"), "copy")
+    return cut(old.unionByName(parts.select(F.col("root").alias("node"), F.col("component").alias("label"), F.lit(False).alias("copy"))))
 
 
 def near_dedup(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
