@@ -45,6 +45,8 @@ SKETCH_BITS = 512
 SPARE = 1.1
 #: Rows of blocks that a map task groups at a time, and documents of a block that are compared as one chunk.
 FLUSH_ROWS, CHUNK = 2_000_000, 512
+#: Rows of blocks with the same largest component that go to one task, so that a pair is given out by few tasks.
+PIECE_ROWS = 5_000
 #: Up to so many ids are sent to every task.
 BROADCAST_IDS = 200_000
 #: Pairs that a task looks at together, and pairs that it gathers, each once, before it gives them out.
@@ -79,9 +81,13 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS bits, of which each shingle flips one, as 64-bit numbers."""
+    """SKETCH_BITS bits, of which each shingle flips one, in bytes."""
     bits = np.bincount(((hashes >> U(7)) & U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return np.packbits(bits.astype(np.uint8))
+
+
+def sketch_rows(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), U).reshape(len(sketches), SKETCH_BITS // 64)
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -114,7 +120,8 @@ def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 #: Rows of one pass over the texts: of a document (key null, other: the number of shingles) or of a block (key, doc_id,
 #: and, if the document has met one of its own task, that one as other).
-MADE = "key long, doc_id long, other long, set_key binary, sketch array<long>"
+#: Sketches are binary, as lists are slow to send to Python row by row.
+MADE = "key long, doc_id long, other long, set_key binary, sketch binary"
 
 
 def groups_of(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +139,8 @@ def nullable(values: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
 
 
 def batch_of(key: pa.Array, doc: pa.Array, other: pa.Array, set_key: pa.Array | None = None, sketch: pa.Array | None = None) -> pa.RecordBatch:
-    n, longs = len(doc), pa.list_(pa.int64())
-    columns = [key, doc, other, pa.nulls(n, pa.binary()) if set_key is None else set_key, pa.nulls(n, longs) if sketch is None else sketch]
+    none = pa.nulls(len(doc), pa.binary())
+    columns = [key, doc, other, none if set_key is None else set_key, none if sketch is None else sketch]
     return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "other", "set_key", "sketch"])
 
 
@@ -159,7 +166,7 @@ def map_side(k: int, percent: int) -> Callable:
                 name = xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
                 sizes.append(len(hashes))
                 names.append(name)
-                bits.append(parity_sketch(hashes))
+                bits.append(parity_sketch(hashes).tobytes())
                 if name is None or doc is None:
                     continue
                 if name in held:
@@ -170,9 +177,7 @@ def map_side(k: int, percent: int) -> Callable:
                 if rows >= FLUSH_ROWS:
                     yield from flush(held)
                     held, rows = {}, 0
-            ends = np.arange(len(bits) + 1, dtype=np.int32) * (SKETCH_BITS // 64)
-            sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
-            yield batch_of(pa.nulls(len(sizes), pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), sketch)
+            yield batch_of(pa.nulls(len(sizes), pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bits, pa.binary()))
         yield from flush(held)
 
     return work
@@ -232,9 +237,14 @@ def close(pairs: DataFrame, thin: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that sizes and sketches allow."""
     side = thin.select("doc_id", "n_shingles", "sketch")
     both = pairs.join(side.toDF("b", "nb", "sb"), "b").join(side.toDF("a", "na", "sa"), "a")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+    @F.pandas_udf("long")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(np.bitwise_count(sketch_rows(x) ^ sketch_rows(y)).sum(1).astype(np.int64))
+
+    both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     allowed = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    return both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart <= allowed)).select("a", "b").distinct()
+    return both.where(apart("sa", "sb") <= allowed).select("a", "b").distinct()
 
 
 def verified(both: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -264,21 +274,21 @@ def roots(pointers: DataFrame) -> DataFrame:
 
 
 def nearest(pairs: np.ndarray) -> np.ndarray:
-    """Of rows (apart, a, b, document outside, component met) the closest of each document and component."""
-    pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0], pairs[4], pairs[3]))]
-    first = np.r_[True, (pairs[3:, 1:] != pairs[3:, :-1]).any(0)] if pairs.shape[1] else np.zeros(0, bool)
+    """Of rows (apart, a, b, outside) the closest of each document outside."""
+    pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0], pairs[3]))]
+    first = np.r_[True, pairs[3, 1:] != pairs[3, :-1]] if pairs.shape[1] else np.zeros(0, bool)
     return pairs[:, first]
 
 
 def across(percent: int, best: bool) -> Callable:
     """Pairs of documents of one piece (key, i, j), of different components, whose sketches allow a link: (apart, a, b,
-    left document, component of the right one), all of them or the closest of each left document and component. Rows
-    come sorted by piece, a piece's left rows before its right ones."""
+    left document), all of them or the closest of each left document. Rows come sorted by piece, a piece's left rows
+    before its right ones."""
     piece = ["key", "i", "j"]
     reduced = nearest if best else lambda pairs: np.unique(pairs, axis=1)
 
     def pairs_of(rows: pd.DataFrame) -> np.ndarray:
-        sketch = np.stack(rows["sketch"].to_numpy()).view(U)  # bits of signed numbers are counted without the sign
+        sketch = sketch_rows(rows["sketch"])
         doc, part, n, right = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "right"))
         at = rows[piece].to_numpy()
         number = np.cumsum(np.r_[0, (at[1:] != at[:-1]).any(1)])
@@ -286,7 +296,7 @@ def across(percent: int, best: bool) -> Callable:
         begin = np.searchsorted(number, np.arange(number[-1] + 1), side="right") - rights
         left = np.flatnonzero(~right)
         ends = np.cumsum(rights[number[left]])
-        found, done = [np.zeros((5, 0), np.int64)], 0
+        found, done = [np.zeros((4, 0), np.int64)], 0
         while done < len(left):
             stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + TOGETHER, side="right")))
             own = left[done:stop]
@@ -299,15 +309,15 @@ def across(percent: int, best: bool) -> Callable:
             fits = apart <= (100 - percent) * (n[i] + n[j]) // (100 + percent)
             i, j, apart = i[fits], j[fits], apart[fits]
             a, b = doc[i], doc[j]
-            found.append(reduced(np.stack([apart, np.minimum(a, b), np.maximum(a, b), a, part[j]] if best else [apart, np.minimum(a, b), np.maximum(a, b), 0 * a, 0 * a])))
+            found.append(reduced(np.stack([apart, np.minimum(a, b), np.maximum(a, b), a if best else 0 * a])))
             done = stop
         return np.concatenate(found, 1)
 
     def frame(found: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame(found.T, columns=["apart", "a", "b", "outside", "met"])
+        return pd.DataFrame(found.T, columns=["apart", "a", "b", "outside"])
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, found = None, np.zeros((5, 0), np.int64)  # documents share many keys, but each pair is given out once
+        rest, found = None, np.zeros((4, 0), np.int64)  # documents share many keys, but each pair is given out once
         for part in parts:
             part = part if rest is None else pd.concat([rest, part], ignore_index=True)
             if not len(part):
@@ -328,11 +338,12 @@ def across(percent: int, best: bool) -> Callable:
 
 def cross_pairs(met: DataFrame, thin: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame | None:
     """Pairs (a, b) that share a key, lie in different components, and may be similar by their sketches; None if no key
-    has two components. best: of each document outside a key's largest component and each component only the closest pair.
+    has two components. best: of each document outside a key's largest component only the closest pair.
 
     In a key, the documents outside its largest component meet all others. They are dealt to chunks of at most about
-    CHUNK documents, and each pair of chunks of a key is one piece of work, so a hot key or component is spread. Copies
-    stay out: the document that stands for them has all their keys.
+    CHUNK documents, and each pair of chunks of a key is one piece of work. Pieces of keys with the same largest component
+    go to one task, or to several by their key if they are many, so a hot key or component is spread. Copies stay out:
+    the document that stands for them has all their keys.
     """
     rows = met.select("key", "doc_id").unionByName(met.select("key", F.col("centre").alias("doc_id"))).distinct()
     rows = rows.join(labels, F.col("doc_id") == F.col("node"), "left").where("copy is null or not copy")
@@ -340,20 +351,22 @@ def cross_pairs(met: DataFrame, thin: DataFrame, labels: DataFrame, percent: int
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"))
     chunks = lambda n: F.greatest(F.ceil(n / CHUNK), F.lit(1)).cast("int")
-    keys = cut(keys.where("parts > 1").select("key", "main", chunks(F.col("all") - F.col("most")).alias("cl"), chunks(F.col("all")).alias("cr")))
+    keys = cut(keys.where("parts > 1").select("key", "main", "all", chunks(F.col("all") - F.col("most")).alias("cl"), chunks(F.col("all")).alias("cr")))
     if keys.isEmpty():
         return None
+    tasks = keys.groupBy("main").agg(F.ceil(F.sum("all") / PIECE_ROWS).alias("tasks"))
+    keys = keys.join(tasks, "main").select("key", "main", "cl", "cr", F.pmod(F.xxhash64("key"), F.col("tasks")).alias("task"))
     rows = rows.join(keys, "key").join(thin.select("doc_id", "n_shingles", "sketch"), "doc_id")
     left, right = F.pmod(F.hash("doc_id"), F.col("cl")), F.pmod(F.xxhash64("doc_id"), F.col("cr")).cast("int")
     spots = lambda i, j, is_right: F.struct(i.alias("i"), j.alias("j"), F.lit(is_right).alias("right"))
     rights = F.transform(F.sequence(F.lit(0), F.col("cl") - 1), lambda i: spots(i, right, True))
     lefts = F.transform(F.sequence(F.lit(0), F.col("cr") - 1), lambda j: spots(left, j, False))
     work = rows.withColumn("at", F.explode(F.when(F.col("component") == F.col("main"), rights).otherwise(F.concat(rights, lefts))))
-    work = work.select("key", "at.*", "doc_id", "component", "n_shingles", "sketch")
-    work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right")
-    pairs = work.mapInPandas(across(percent, best), "apart long, a long, b long, outside long, met long")
+    work = work.select("key", "main", "task", "at.*", "doc_id", "component", "n_shingles", "sketch")
+    work = work.repartition("main", "task", "i", "j").sortWithinPartitions("key", "i", "j", "right")
+    pairs = work.drop("main", "task").mapInPandas(across(percent, best), "apart long, a long, b long, outside long")
     if best:
-        pairs = pairs.groupBy("outside", "met").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+        pairs = pairs.groupBy("outside").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
     return pairs.select("a", "b").distinct()
 
 

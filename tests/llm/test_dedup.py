@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prefscale.llm import exact_dedup, line_dedup, ngram_join
 from prefscale.llm.exact_dedup import Trie
@@ -87,6 +88,30 @@ def test_lines_insert_delete_and_insert_again(spark):
     assert state(back) == state(index)
 
 
+def test_a_batch_inserted_again_changes_nothing(spark):
+    rows = line_rows(random.Random(7), 40)
+    docs = documents(spark, rows)
+    once = line_dedup.build_index(docs)
+    twice = once.insert(docs.where("doc_id < 30"))
+    state = lambda ix: {(bytes(r["kh"]), r["n_docs"], r["max_doc"]) for r in ix.refs.collect()}
+    assert state(twice) == state(once) and twice.postings.count() == once.postings.count()
+
+
+def test_without_lines_keeps_columns_of_its_own_names(spark):
+    docs = documents(spark, line_rows(random.Random(8), 30)).withColumns({c: F.lit("y") for c in ("_lines", "_packed", "kh")})
+    got = line_dedup.without_lines(docs, line_dedup.build_index(docs).doomed())
+    assert set(got.columns) == set(docs.columns) | {"n_dropped", "kept_text"}
+    rows = got.collect()
+    assert all(r["keys"] == "x" and r["_lines"] == r["_packed"] == r["kh"] == "y" for r in rows) and sum(r["n_dropped"] for r in rows)
+
+
+def test_of_rows_of_one_id_and_text_the_smallest_raw_text_stays(spark):
+    rows = [(1, "b  a", "x"), (1, "b a", "x"), (1, "b\ta", "x"), (2, "b a", "x")]
+    for n in (1, 4):
+        kept = exact_dedup.exact_dedup(documents(spark, rows).repartition(n)).collect()
+        assert [(r["doc_id"], r["text"]) for r in kept] == [(1, "b\ta")]
+
+
 def test_filters_are_rebuilt_when_full(spark):
     index = LineIndex.empty(spark, 1)
     for b in range(3):
@@ -159,7 +184,7 @@ def test_block_keys_meet_for_all_similar_sets():
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 85 * (len(a) + len(b) - both):
             assert np.intersect1d(ngram_join.block_keys(a, 85), ngram_join.block_keys(b, 85)).size
-            apart = int(np.bitwise_count((ngram_join.parity_sketch(a) ^ ngram_join.parity_sketch(b)).view(np.uint64)).sum())
+            apart = int(np.bitwise_count(ngram_join.parity_sketch(a) ^ ngram_join.parity_sketch(b)).sum())
             assert apart <= len(a) + len(b) - 2 * both
 
 
