@@ -1,9 +1,16 @@
 """Exact top-k inner-product search with one ball tree per shard.
 
-Vectors are dealt to shards of bounded size by a hash; each shard builds a ball tree once. Queries travel in blocks.
-First every block searches one shard, which gives each query a k-th score that no later candidate may fall below; then
-the blocks go to all other shards with these scores. Within a tree, nodes are taken in the order of the upper bound
-``q.c + |q| r`` of their inner products, and the search ends when the bound is below the k-th score.
+Vectors of one length are dealt to cells by their nearest pivot, and cells to shards of bounded size, so that a shard
+holds vectors that lie together; each shard builds a ball tree once. Queries are rows of the table, so a shard's queries
+first search their own shard, which gives each a k-th score that no later candidate may fall below. They go on in packed
+blocks with their vectors, best hits and k-th scores. The trees' roots (a centre and a radius a shard) are sent to all
+tasks: a query goes to another shard only if the root's bound reaches its k-th score. It goes in two waves: to the
+shards with the best bounds first, then, with the k-th score that it has by then, to all others that still may hold a
+hit. Within a tree, nodes are taken in the order of the upper bound ``q.c + |q| r`` of their inner products, and the
+search ends when the bound is below the k-th score.
+
+The pivots are up to MAX_PIVOTS vectors of the smallest hashes; they only steer which vectors lie together. All vectors
+are in a tree, and results are exact whatever the pivots. Roots are at most MAX_SHARDS in all: beyond that, shards grow.
 
 Defined results: vectors that are null, hold a null or a non-finite component, or have no vec_id take no part; rows
 that repeat a vec_id are one row (the greatest vector of them); vectors are compared with vectors of their length only;
@@ -15,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,13 +38,28 @@ SHARD_ROWS = 8_192
 BLOCK_ROWS = 512
 #: Blocks of queries that meet a shard in one group.
 STRIPE_BLOCKS = 16
+#: Pivots of a length, lengths that get pivots (the most common ones), and shards in all.
+MAX_PIVOTS, PIVOT_LENGTHS, MAX_SHARDS = 1_024, 16, 65_536
+#: Shards that a query goes to in the first wave.
+WAVE = 4
 LEAF = 64
 EXACT_FLOAT = float(1 << 53)
 #: The floor of a query that hasn't k candidates yet.
 LOWEST = -(1 << 63)
+#: A block of queries: ids, vectors, hits (k a query) and the shards searched so far, pickled.
+BLOCK = "dim int, home long, number int, state binary"
+SENT = "dim int, shard long, stripe int, home long, number int, queries long, state binary"
+FOUND = "dim int, home long, number int, hits binary"
 HITS = "query_id long, vec_id long, score long"
 
 
+def upper_bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """What no inner product of a query (rows) with a point of a ball (columns) can exceed."""
+    size = np.sqrt((queries * queries).sum(1))[:, None]
+    # rounding must not cut a tie off: the error of a sum of products is bounded by the product of the sizes
+    return queries @ centres.T + size * radii + 1e-6 + 1e-9 * size * (np.sqrt((centres * centres).sum(1)) + radii)
+
+
 class BallTree:
     """Points in leaves; per node a centre, a radius and its children (or -1 and the range of its points)."""
 
@@ -73,8 +96,7 @@ class BallTree:
     def search(self, own_id: int, query: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
         """The k best (score, -id) that reach ``floor``, but not the query's own row."""
         q = query.astype(np.float64)
-        bounds = self.centres @ q + np.sqrt(q @ q) * self.radii
-        bounds += 1e-6 + 1e-9 * np.abs(bounds)  # rounding must not cut a tie off
+        bounds = upper_bounds(q[None, :], self.centres, self.radii)[0]
         safe = self.largest * np.abs(q).sum() < EXACT_FLOAT
         heap, best = [(-bounds[0], 0)], []
         while heap:
@@ -106,52 +128,193 @@ def whole_vectors(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).groupBy("vec_id").agg(F.max("vec").alias("vec")).withColumn("dim", F.size("vec"))
 
 
+def pivots_of(vectors: DataFrame, sizes: list, shard_rows: int) -> dict[int, np.ndarray]:
+    """By length, vectors of the smallest hashes, about one for each shard, each once."""
+    many = {r["dim"]: min(MAX_PIVOTS, -(-r["n"] // shard_rows)) for r in sizes[:PIVOT_LENGTHS]}
+    out = {}
+    for dim, n in many.items():
+        if n > 1:
+            rows = vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("vec").collect()
+            out[dim] = np.unique(np.array([r["vec"] for r in rows], np.float64), axis=0)
+    return out
+
+
+def dealt(vectors: DataFrame, pivots: dict[int, np.ndarray], shard_rows: int) -> DataFrame:
+    """``vectors`` with shard: the nearest pivot's cell, and within a cell a part of about shard_rows by hash."""
+
+    @F.pandas_udf("long")
+    def cell(vecs: pd.Series, dims: pd.Series) -> pd.Series:
+        out = np.zeros(len(vecs), np.int64)
+        for dim in dims.unique():
+            if (p := pivots.get(int(dim))) is None:
+                continue
+            own = np.flatnonzero((dims == dim).to_numpy())
+            for i in range(0, len(own), 1024):
+                some = own[i : i + 1024]
+                x = np.stack(vecs.iloc[some].to_list()).astype(np.float64)
+                out[some] = ((p * p).sum(1) / 2 - x @ p.T).argmin(1)
+        return pd.Series(out)
+
+    rows = cut(vectors.withColumn("cell", cell("vec", "dim"))) if pivots else vectors.withColumn("cell", F.lit(0).cast("long"))
+    parts = rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    return rows.join(parts, ["dim", "cell"]).select("dim", (F.shiftleft("cell", 32) + part).alias("shard"), "vec_id", "vec")
+
+
 def plant(rows: pd.DataFrame) -> pd.DataFrame:
     tree = BallTree(rows["vec_id"].to_numpy(np.int64), np.array(rows["vec"].tolist()).reshape(len(rows), -1))
-    return pd.DataFrame({"dim": rows["dim"].iloc[:1], "shard": rows["shard"].iloc[:1], "tree": [pickle.dumps(tree, protocol=5)]})
+    root = pickle.dumps((tree.centres[0], float(tree.radii[0])), protocol=5)
+    return pd.DataFrame({"dim": rows["dim"].iloc[:1], "shard": rows["shard"].iloc[:1], "tree": [pickle.dumps(tree, protocol=5)], "root": [root]})
 
 
-def searches(k: int):
+def nothing(ddl: str) -> pd.DataFrame:
+    return pd.DataFrame(columns=[c.split()[0] for c in ddl.split(", ")])
+
+
+def first_search(k: int, block_rows: int):
+    """A shard's own queries search it, and become blocks."""
+
     def work(trees: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(trees) and len(queries):
-            tree = pickle.loads(trees["tree"].iloc[0])
-            for own, vec, floor in zip(queries["vec_id"], queries["vec"], queries["floor"], strict=True):
-                out.extend((own, -neg, score) for score, neg in tree.search(own, np.asarray(vec), k, floor))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            tree, shard = pickle.loads(trees["tree"].iloc[0]), int(trees["shard"].iloc[0])
+            queries = queries.sort_values("vec_id")
+            for i in range(0, len(queries), block_rows):
+                some = queries.iloc[i : i + block_rows]
+                ids, vecs = some["vec_id"].to_numpy(np.int64), np.array(some["vec"].tolist()).reshape(len(some), -1)
+                state = {"ids": ids, "vecs": vecs, "hits": [tree.search(own, vec, k, LOWEST) for own, vec in zip(ids, vecs, strict=True)], "seen": [[shard]] * len(ids)}
+                out.append((int(some["dim"].iloc[0]), shard, i // block_rows, pickle.dumps(state, protocol=5)))
+        return pd.DataFrame(out, columns=["dim", "home", "number", "state"]) if out else nothing(BLOCK)
+
+    return work
+
+
+def floors_of(hits: list, k: int) -> np.ndarray:
+    return np.array([h[-1][0] if len(h) == k else LOWEST for h in hits], np.int64)
+
+
+def sends(roots, stripes: dict[int, int], k: int, most: int | None):
+    """Blocks -> for each shard the queries whose k-th score its root's bound reaches, at most ``most`` shards a query."""
+
+    def wanted(dim: int, state: dict, floors: np.ndarray) -> np.ndarray:
+        shards, centres, radii = roots.value[dim]
+        out, step = [], max(1, 2_000_000 // len(shards))
+        for i in range(0, len(floors), step):
+            bounds = upper_bounds(state["vecs"][i : i + step].astype(np.float64), centres, radii)
+            bounds[bounds < floors[i : i + step, None]] = -np.inf
+            for own, seen in zip(bounds, state["seen"][i : i + step], strict=True):
+                own[np.searchsorted(shards, seen)] = -np.inf
+            if most is not None and len(shards) > most:
+                np.put_along_axis(bounds, np.argpartition(-bounds, most - 1, axis=1)[:, most:], -np.inf, axis=1)
+            out.append(bounds > -np.inf)
+        return np.concatenate(out)
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for dim, home, number, blob in zip(part["dim"], part["home"], part["number"], part["state"], strict=True):
+                state, shards = pickle.loads(blob), roots.value[dim][0]
+                floors = floors_of(state["hits"], k)
+                go = wanted(dim, state, floors)
+                stripe = int(np.searchsorted(shards, home)) * stripes[dim] // len(shards)
+                targets = np.flatnonzero(go.any(0))
+                for i in range(0, len(targets), 256):
+                    rows = []
+                    for j in targets[i : i + 256]:
+                        own = np.flatnonzero(go[:, j])
+                        sent = {"at": own, "ids": state["ids"][own], "vecs": state["vecs"][own], "floors": floors[own]}
+                        rows.append((dim, int(shards[j]), stripe, home, number, len(own), pickle.dumps(sent, protocol=5)))
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
+
+    return work
+
+
+def searches(k: int, last: bool):
+    """Blocks' queries search a shard's tree: (shard, places in the block, hits by place); in the last wave only hits count."""
+
+    def work(trees: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(trees) and len(sent):
+            tree, shard = pickle.loads(trees["tree"].iloc[0]), int(trees["shard"].iloc[0])
+            for dim, home, number, blob in zip(sent["dim"], sent["home"], sent["number"], sent["state"], strict=True):
+                s = pickle.loads(blob)
+                hits = {int(at): more for at, own, vec, floor in zip(s["at"], s["ids"], s["vecs"], s["floors"], strict=True) if (more := tree.search(own, vec, k, int(floor)))}
+                if hits or not last:
+                    out.append((dim, home, number, pickle.dumps((shard, [] if last else s["at"].tolist(), hits), protocol=5)))
+        return pd.DataFrame(out, columns=["dim", "home", "number", "hits"]) if out else nothing(FOUND)
 
     return work
 
 
-def meet(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each (dim, shard, stripe) of queries searches its shard's tree."""
+def merges(k: int):
+    """A block with what its queries found elsewhere."""
+
+    def work(blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks):
+            return nothing(BLOCK)
+        state = pickle.loads(blocks["state"].iloc[0])
+        for blob in found["hits"]:
+            shard, places, hits = pickle.loads(blob)
+            for at in places:
+                state["seen"][at] = [*state["seen"][at], shard]
+            for at, more in hits.items():
+                state["hits"][at] = sorted([*state["hits"][at], *more], reverse=True)[:k]
+        return blocks[["dim", "home", "number"]].assign(state=[pickle.dumps(state, protocol=5)])
+
+    return work
+
+
+def meet(trees: DataFrame, sent: DataFrame, k: int, last: bool) -> DataFrame:
+    """Each (dim, shard, stripe) of blocks searches its shard's tree."""
     keys = ["dim", "shard", "stripe"]
-    wanted = queries.select(F.col("dim").alias("d"), F.col("shard").alias("s"), F.col("stripe").alias("t")).distinct()
-    sent = trees.join(wanted, (F.col("dim") == F.col("d")) & (F.col("shard") == F.col("s"))).select(F.col("d").alias("dim"), F.col("s").alias("shard"), F.col("t").alias("stripe"), "tree")
-    return sent.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(searches(k), HITS)
+    wanted = sent.select(F.col("dim").alias("d"), F.col("shard").alias("s"), F.col("stripe").alias("t")).distinct()
+    copies = trees.join(wanted, (F.col("dim") == F.col("d")) & (F.col("shard") == F.col("s"))).select(F.col("d").alias("dim"), F.col("s").alias("shard"), F.col("t").alias("stripe"), "tree")
+    return copies.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(searches(k, last), FOUND)
 
 
-def top_k(rows: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """rows (vec_id, embedding) -> (query_id, rank, vec_id, score) for the rows where ``is_query`` holds."""
-    ship(rows.sparkSession)
+def searched(rows: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(hits, meetings): (query_id, vec_id, score) of the k best of the rows where ``is_query`` holds, and how many
+    queries went to which shard besides their own: (dim, shard, queries)."""
+    spark = rows.sparkSession
+    ship(spark)
     vectors = cut(whole_vectors(rows))
-    sizes = vectors.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    dealt = vectors.join(sizes, "dim").withColumn("shard", F.pmod(F.hash("vec_id"), F.col("shards")))
-    trees = cut(dealt.select("dim", "shard", "vec_id", "vec").groupBy("dim", "shard").applyInPandas(plant, "dim int, shard int, tree binary"))
-    stripe_rows = block_rows * STRIPE_BLOCKS
-    asked = vectors.where(is_query).join(sizes, "dim")
-    stripes = F.greatest(F.ceil(F.col("shards") * shard_rows / QUERY_STEP / stripe_rows), F.lit(1))
-    asked = asked.withColumn("stripe", F.pmod(F.xxhash64("vec_id"), stripes).cast("int"))
-    home = F.pmod(F.col("stripe"), F.col("shards"))
-    first = meet(trees, asked.select("dim", home.alias("shard"), "stripe", "vec_id", "vec", F.lit(LOWEST).alias("floor")), k)
-    first = cut(first)
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    asked = asked.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))
-    others = F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s != home)
-    later = meet(trees, asked.select("dim", F.explode(others).alias("shard"), "stripe", "vec_id", "vec", "floor"), k)
+    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("asked")).orderBy(F.desc("n"), "dim").limit(MAX_SHARDS).collect()
+    shard_rows = max(shard_rows, -(-sum(r["n"] for r in sizes) // MAX_SHARDS))
+    placed = cut(dealt(vectors, pivots_of(vectors, sizes, shard_rows), shard_rows))
+    trees = cut(placed.groupBy("dim", "shard").applyInPandas(plant, "dim int, shard long, tree binary, root binary"))
+    asked = placed.where(is_query)
+    keys = ["dim", "shard"]
+    blocks = cut(trees.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(first_search(k, block_rows), BLOCK))
+    many = [r["dim"] for r in sizes if r["n"] > shard_rows]  # the others have one shard
+    by: dict[int, list] = {}
+    for r in trees.where(F.col("dim").isin(many)).select("dim", "shard", "root").collect() if many else []:
+        by.setdefault(r["dim"], []).append((r["shard"], *pickle.loads(r["root"])))
+    if not by:
+        return blocks.mapInPandas(hits_of, HITS), None
+    by = {dim: sorted(x, key=lambda r: r[0]) for dim, x in by.items()}
+    roots = spark.sparkContext.broadcast({dim: (np.array([r[0] for r in x], np.int64), np.array([r[1] for r in x]), np.array([r[2] for r in x])) for dim, x in by.items()})
+    stripes = {r["dim"]: max(1, r["asked"] // (block_rows * STRIPE_BLOCKS)) for r in sizes}
+    home, meetings = ["dim", "home", "number"], []
+    for most in (WAVE, None):
+        sent = cut(blocks.where(F.col("dim").isin(many)).mapInPandas(sends(roots, stripes, k, most), SENT))
+        found = meet(trees, sent, k, most is None)
+        blocks = cut(blocks.groupBy(*home).cogroup(found.groupBy(*home)).applyInPandas(merges(k), BLOCK))
+        meetings.append(sent.select("dim", "shard", "queries"))
+    return blocks.mapInPandas(hits_of, HITS), meetings[0].unionByName(meetings[1])
+
+
+def hits_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for blob in part["state"]:
+            state = pickle.loads(blob)
+            rows = [(own, -neg, score) for own, hits in zip(state["ids"], state["hits"], strict=True) for score, neg in hits]
+            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+
+def top_k(rows: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """rows (vec_id, embedding) -> (query_id, rank, vec_id, score) for the rows where ``is_query``, a condition on vec_id, holds."""
+    hits, _ = searched(rows, is_query, k, shard_rows, block_rows)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    hits = first.unionByName(later).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return hits.select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
