@@ -31,7 +31,8 @@ from prefscale.session import ship, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-N_BEST = 2
+#: Segmentations of a text; those of the query.
+N_BEST, N_BEST_QUERY = 2, 4
 #: Chunks that a worker remembers at most, and the longest that it remembers.
 REMEMBERED, LONGEST = 250_000, 40
 #: Texts, and characters of texts, that are encoded together at most.
@@ -155,29 +156,26 @@ class PieceCodec:
         """The best segmentations of chunks that follow each other."""
         total = sum([p[0][0] for p in parts])
         first = list(chain.from_iterable([p[0][1] for p in parts]))
-        return [(total, first), *self._runners_up(parts, total)]
-
-    def _runners_up(self, parts: list, total: float) -> list[tuple[float, list[int]]]:
-        """What follows the best: only the n_best - 1 chunks whose second choice costs least can be in it."""
-        if self.n_best < 2:
-            return []
-        cheap = heapq.nsmallest(self.n_best - 1, ((p[0][0] - p[1][0], i) for i, p in enumerate(parts) if len(p) > 1))
-        choices: list[tuple[float, tuple]] = [(0.0, ())]
-        for _, i in cheap:
-            more = [(loss + parts[i][0][0] - score, (*chosen, (i, k))) for loss, chosen in choices for k, (score, _) in enumerate(parts[i])]
-            choices = heapq.nsmallest(self.n_best, more)
-        out = []
-        for loss, chosen in choices:
-            swap = {i: k for i, k in chosen if k}
-            if swap:
-                out.append((total - loss, list(chain.from_iterable(p[swap.get(i, 0)][1] for i, p in enumerate(parts)))))
-        return out[: self.n_best - 1]
+        cheap = heapq.nsmallest(self.n_best - 1, ((p[0][0] - p[1][0], i) for i, p in enumerate(parts) if len(p) > 1)) if self.n_best > 1 else []
+        more = swaps([(i, parts[i]) for _, i in cheap], self.n_best)
+        return [(total, first), *[(total - loss, list(chain.from_iterable(p[swap.get(i, 0)][1] for i, p in enumerate(parts)))) for loss, swap in more]]
 
     def decode(self, ids) -> str:
         table = self.bytes_of
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+def swaps(parts: list[tuple[int, list[tuple[float, list[int]]]]], n_best: int) -> list[tuple[float, dict[int, int]]]:
+    """What follows the best: (loss, {chunk: its k-th segmentation}), cheapest first, at most n_best - 1. Of the chunks of
+    a text only the n_best - 1 whose second segmentation costs least can be in it, so only those are given."""
+    choices: list[tuple[float, tuple]] = [(0.0, ())]
+    for i, found in parts:
+        more = [(loss + found[0][0] - score, (*chosen, (i, k))) for loss, chosen in choices for k, (score, _) in enumerate(found)]
+        choices = heapq.nsmallest(n_best, more)
+    out = [(loss, {i: k for i, k in chosen if k}) for loss, chosen in choices]
+    return [x for x in out if x[1]][: n_best - 1]
+
+
 class Speller:
     """Texts of pieces, by gathering their bytes."""
 
@@ -196,11 +194,14 @@ class Speller:
 
 
 class BatchCoder:
-    """Best segmentation and runner-up's score of many texts at once.
+    """The best segmentations of many texts at once.
 
     The chunks that are new in a batch are laid out as rows of code points. All their substrings are looked up by
-    rolling hash, the forward pass runs over all rows position by position, and so does the search from the end: with
-    exact scores to come it follows one path, and the least cost among the branches it passes is the runner-up's.
+    rolling hash, and the forward pass runs over all rows position by position. As its scores are the exact scores to
+    come, the first thing that A-star finds from the end is the path of no loss, which is walked for all rows together;
+    the least loss among the branches that it passes is that of the chunk's second segmentation. For more than one
+    segmentation, the chunks of a text that cost least to change go to the codec's A-star search with its agenda, whose
+    N best are remembered by chunk, and the text's N best are put together from them.
     """
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -309,8 +310,8 @@ class BatchCoder:
             flat = np.array(list(chain.from_iterable(spelled)), np.int32)
         return flat, counts, forward[rows, size], loss
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, float, float | None]]:
-        """(ids, score, runner-up's score) of each text."""
+    def encode(self, texts: list[str]) -> list[list[tuple[float, np.ndarray]]]:
+        """The best segmentations of each text: (score, ids), best first, at most the codec's n_best."""
         if len(self.known) > REMEMBERED:
             self.forget()
         find, get = self.codec.chunks.findall, self.known.get
@@ -328,16 +329,36 @@ class BatchCoder:
         per_word = self.counts[codes]
         ends = np.cumsum(per_word)
         ids = self.ids[np.repeat(self.starts[codes] - (ends - per_word), per_word) + np.arange(ends[-1])] if len(codes) else self.ids[:0]
-        out, word, token = [], 0, 0
+        out, word = [], 0
         for text, own in zip(texts, parts, strict=True):
             if not own:
-                best, *more = self.codec.nbest(text)
-                out.append((np.array(best[1], np.int32), best[0], more[0][0] if more else None))
+                out.append([(score, np.array(x, np.int32)) for score, x in self.codec.nbest(text)])
                 continue
-            stop, end = word + len(own), int(ends[word + len(own) - 1])
-            score, loss = float(self.best[codes[word:stop]].sum()), float(self.loss[codes[word:stop]].min())
-            out.append((ids[token:end], score, score - loss if np.isfinite(loss) else None))
-            word, token = stop, end
+            stop = word + len(own)
+            bounds = np.r_[ends[word] - per_word[word], ends[word:stop]]
+            score = float(self.best[codes[word:stop]].sum())
+            out.append([(score, ids[bounds[0] : bounds[-1]]), *self.runners_up(own, self.loss[codes[word:stop]], score, ids, bounds)])
+            word = stop
+        return out
+
+    def runners_up(self, chunks: list[str], loss: np.ndarray, score: float, ids: np.ndarray, bounds: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """What follows a text's best segmentation, whose chunks' ids lie between ``bounds``."""
+        more = self.codec.n_best - 1
+        if not more:
+            return []
+        cheap = np.flatnonzero(loss <= (np.partition(loss, more - 1)[more - 1] if more < len(loss) else np.inf))
+        cheap = cheap[np.isfinite(loss[cheap])]
+        cheap = cheap[np.argsort(loss[cheap], kind="stable")][:more].tolist()
+        get, best_of, found = self.codec.memory.get, self.codec.best_of, {}
+        for i in cheap:
+            found[i] = get(chunks[i]) or best_of(chunks[i])
+        out = []
+        for lost, swap in swaps([(i, found[i]) for i in cheap], self.codec.n_best):
+            at, pieces = bounds[0], []
+            for i in sorted(swap):
+                pieces += [ids[at : bounds[i]], np.array(found[i][swap[i]][1], np.int32)]
+                at = bounds[i + 1]
+            out.append((score - lost, np.concatenate([*pieces, ids[at : bounds[-1]]])))
         return out
 
 
@@ -349,7 +370,7 @@ def coder_of(broadcast) -> BatchCoder:
     return codec.coder
 
 
-MADE = "pieces array<int>, n_pieces long, piece_score double, runner_up double"
+MADE = "pieces array<int>, n_pieces long, piece_score double, runner_up double, alternatives array<struct<score:double,pieces:array<int>>>"
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -357,15 +378,17 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
 
 
-def encode_texts(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """``docs`` with pieces (ids), n_pieces, piece_score and runner_up (score of the second best); other columns stay,
+def encode_texts(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> DataFrame:
+    """``docs`` with pieces (ids), n_pieces and piece_score of the best segmentation, runner_up (score of the second) and
+    alternatives (score and pieces of the second to the ``n_best``-th, fewer if there are no more); other columns stay,
     those of the same names are replaced. A task holds the pieces of some texts at a time, not of a whole batch."""
     spark = docs.sparkSession
     ship(spark)
-    codec = spark.sparkContext.broadcast(PieceCodec.load(model))  # as large as the vocabulary
-    made = [part.split()[0] for part in MADE.split(", ")]
+    codec = spark.sparkContext.broadcast(PieceCodec.load(model, n_best))  # as large as the vocabulary
+    fields = T.StructType.fromDDL(MADE).fields
+    made = [f.name for f in fields]
     rows = docs.drop(*made)
-    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(MADE).fields])
+    schema = T.StructType([*rows.schema.fields, *fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(codec)
@@ -380,7 +403,11 @@ def encode_texts(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     if held >= TOGETHER_CHARS:
                         break
                 got = coder.encode(texts)
-                new = [lists([g[0] for g in got]), pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())]
+                more = [x for g in got for x in g[1:]]
+                others = pa.StructArray.from_arrays([pa.array([x[0] for x in more], pa.float64()), lists([x[1] for x in more])], ["score", "pieces"])
+                ends = np.cumsum([0, *(len(g) - 1 for g in got)], dtype=np.int32)
+                new = [lists([g[0][1] for g in got]), pa.array([len(g[0][1]) for g in got], pa.int64()), pa.array([g[0][0] for g in got], pa.float64())]
+                new += [pa.array([g[1][0] if len(g) > 1 else None for g in got], pa.float64()), pa.ListArray.from_arrays(pa.array(ends), others)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, *new], [*batch.schema.names, *made])
                 at += len(texts)
 
@@ -403,6 +430,16 @@ def decode_pieces(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode_pieces(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    digest = F.sha2(F.array_join(F.col("pieces").cast("array<string>"), " "), 256)
-    return rows.select("doc_id", "n_pieces", "piece_score", "runner_up", digest.alias("pieces_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    rows = decode_pieces(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), n_best=N_BEST_QUERY))
+    spelled = lambda ids: F.array_join(ids.cast("array<string>"), " ")
+    others = F.array_join(F.transform("alternatives", lambda x: F.concat(x["score"].cast("string"), F.lit(":"), spelled(x["pieces"]))), "|")
+    return rows.select(
+        "doc_id",
+        "n_pieces",
+        "piece_score",
+        "runner_up",
+        F.sha2(spelled(F.col("pieces")), 256).alias("pieces_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        F.size("alternatives").alias("n_alternatives"),
+        F.sha2(others, 256).alias("alternatives_sha256"),
+    )
