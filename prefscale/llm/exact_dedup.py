@@ -196,16 +196,17 @@ def exact_groups(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
-def one_of_each(rows: DataFrame) -> DataFrame:
-    """Of rows of one text that repeat the owner's doc_id, ``kept`` stays true on one."""
-    same = W.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1))
+def one_of_each(rows: DataFrame, *order: str) -> DataFrame:
+    """Of rows of one text that repeat the owner's doc_id, ``kept`` stays true on one, the first in ``order``."""
+    same = W.partitionBy("text_sha256", "doc_id").orderBy(*(order or [F.lit(1)]))
     return rows.withColumn("kept", F.col("kept") & (F.row_number().over(same) == 1))
 
 
 def exact_dedup(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay: of equal texts, the one with the smallest doc_id."""
+    """The rows of ``docs`` that stay: of equal texts, the one with the smallest doc_id; of rows that repeat it with other
+    white space, the smallest text."""
     rows = exact_groups(packed(docs, "doc_id", "text"), budget).where("kept")
-    return unpacked(one_of_each(rows).where("kept"))
+    return unpacked(one_of_each(rows, "text").where("kept"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

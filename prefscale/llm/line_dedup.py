@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscale.llm.text import ascii_lower, range_bits
+from prefscale.llm.text import ascii_lower, packed, range_bits
 from prefscale.session import cut, ship, table
 
 MIN_CHARS = 40
@@ -157,10 +157,11 @@ class LineIndex:
         )
 
     def insert(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineIndex:
-        """Adds documents that the index doesn't hold yet."""
-        return self.insert_keys(cut(line_keys(docs, min_chars)))
+        """Adds documents. What the index holds of them already counts once, so a batch may be inserted again."""
+        return self.insert_keys(cut(line_keys(docs, min_chars).join(self.postings, ["kh", "doc_id"], "left_anti")))
 
     def insert_keys(self, fresh: DataFrame) -> LineIndex:
+        """Adds rows (kh, doc_id) that the index doesn't hold, each once."""
         batch = fresh.groupBy("kh").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
         batch = batch.select(shard_of(self.shards), "kh", "n_docs", "max_doc")
         asked = cut(self._by_shard(batch, asks, "shard int, kh binary, n_docs long, max_doc long, known boolean"))
@@ -245,13 +246,16 @@ def builds(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def without_lines(docs: DataFrame, doomed: DataFrame) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept_text; other columns stay."""
-    rows = docs.drop("n_lines", "n_dropped", "kept_text", "keys").join(doomed, "doc_id", "left")
-    stays = F.filter(lines_of(F.col("text")), lambda x: ~F.array_contains(F.col("keys"), key_hash(line_key(x))))
+    """``docs`` with n_lines, n_dropped and kept_text; other columns stay, those of the same names are replaced."""
+    made = ("n_lines", "n_dropped", "kept_text")
+    rows = packed(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made]), "doc_id", "text").join(doomed, "doc_id", "left")
+    whole = lines_of(F.col("text"))
+    stays = F.filter(whole, lambda x: ~F.array_contains(F.col("keys"), key_hash(line_key(x))))
     rows = rows.withColumn("_lines", F.when(F.col("keys").isNotNull(), stays))
-    n = F.size(lines_of(F.col("text"))).cast("long")
+    n = F.size(whole).cast("long")
     rows = rows.withColumn("n_lines", n).withColumn("n_dropped", F.when(F.col("keys").isNull(), F.lit(0)).otherwise(n - F.size("_lines")).cast("long"))
-    return rows.withColumn("kept_text", F.when(F.col("keys").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("_lines", "\n"))).drop("_lines", "keys")
+    rows = rows.withColumn("kept_text", F.when(F.col("keys").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("_lines", "\n")))
+    return rows.select("_packed", *made).select("_packed.*", *made)
 
 
 def build_index(docs: DataFrame, batches: int = 2) -> LineIndex:

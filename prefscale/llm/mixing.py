@@ -90,10 +90,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: str = SEED) -
     plan = cut(cuts(thin, weights, n))
     few = plan.count() <= BROADCAST_SOURCES
     plan = plan.withColumnRenamed("source", "_source")
-    kept = docs.drop("size", "source_size", "target", "taken")
-    kept = kept.withColumn("size", word_count(F.col("text"))).withColumn("_at", at)
+    made = ("size", "source_size", "target", "taken")
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
+    kept = packed(kept, "doc_id", "text", "source").withColumn("size", word_count(F.col("text"))).withColumn("_at", at)
     rows = kept.join(F.broadcast(plan) if few else plan, kept["source"].eqNullSafe(plan["_source"]))
-    return rows.withColumn("taken", taken(F.col("size"))).drop("_at", "_source", "epochs", "cut_at", "cut_id", "cut_words", "cut_there")
+    return rows.withColumn("taken", taken(F.col("size"))).select("_packed", *made).select("_packed.*", *made)
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = (1, 2, 3)) -> DataFrame:

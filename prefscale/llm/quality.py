@@ -33,7 +33,7 @@ ROUNDS, PAIR_ROUNDS, PAIRS = 80, 40, 8
 RATE, RIDGE = 0.15, 1.0
 UPPER, LOWER, DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
 GROUPS = {"upper": UPPER, "lower": LOWER, "digit": DIGITS, "bang": b"!?", "bar": b"|", "sign": b"#$%&*@^~+=_<>\\/{}[]", "stop": b".,;:", "quote": b"\"'()-", "high": bytes(range(128, 256))}
-FEATURES = ["log_bytes", "log_words", "word_bytes", "long_words", "distinct", "repeats", "top_word", "lines", "same_lines", *GROUPS]
+FEATURES = ["log_bytes", "log_words", "word_bytes", "long_words", "distinct", "repeats", "middle_word", "lines", "same_lines", *GROUPS]
 
 
 def features(text: str | None) -> list[float]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prefscale.llm import mixing, sharding
 from prefscale.llm.text import HASH_BITS, place, running_before
-from tests.llm.cases import ROWS, documents, empty
+from tests.llm.cases import LONG, ROWS, documents, empty
 
 
 def water_fill(sizes, weights, most=3):
@@ -38,6 +38,17 @@ def test_mix_of_awkward_rows(spark):
         assert abs(taken[s] - targets[s]) <= 2
 
 
+def test_mix_keeps_columns_of_its_own_names(spark):
+    names = ("epochs", "cut_at", "cut_id", "cut_words", "cut_there", "_at", "_source", "_packed")
+    docs = documents(spark).withColumns({c: F.lit("y") for c in names})
+    rows = mixing.mix(docs)
+    assert set(rows.columns) == set(docs.columns) | {"source_size"}
+    got = rows.collect()
+    assert len(got) == len(ROWS) and all(r[c] == "y" for r in got for c in names)
+    assert Counter((r["doc_id"], r["taken"]) for r in got) == Counter((r["doc_id"], r["taken"]) for r in mixing.mix(documents(spark)).collect())
+    assert mixing.mixed_rows(docs).columns == docs.columns
+
+
 def test_targets_against_the_loop(spark):
     for sizes in ({"a": 10, "b": 0, "c": 5}, {"a": 1, "b": 100, "c": 100, None: 3}, {"z": 7}, {f"s{i}": i * i % 17 for i in range(30)}):
         df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -93,6 +104,18 @@ def test_shards_are_even_and_groups_together(spark):
     assert cut < 60  # dealt at random, the hot text and seven groups of 48 would be cut in 56 places and the rest whole
 
 
+def test_sizes_sums_and_groups_by_brute_force(spark):
+    import zlib
+
+    rows = [(i, t, "a") for i, t in enumerate(["", "é漢", "a\nb", None, "a\nb", "\U0001f600 x", None, " a\nb", LONG, LONG])]
+    got = {r["doc_id"]: r for r in shards_of(spark, documents(spark, rows))}
+    for i, t, _ in rows:
+        raw = (t or "").encode()
+        assert (got[i]["size"], got[i]["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+    same = lambda i, j: got[i]["group"] == got[j]["group"]
+    assert all(same(i, j) == (rows[i][1] == rows[j][1]) for i in range(10) for j in range(10))
+
+
 def test_sharding_awkward_rows(spark):
     got = shards_of(spark, documents(spark))
     assert len(got) == len(ROWS)

@@ -36,6 +36,25 @@ def test_top_k_by_brute_force(spark, shard_rows):
     assert got == brute_top(rows)
 
 
+def test_top_k_skips_shards_that_cannot_hold_hits(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 12] + rng.normal(size=8) * 0.1]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    hits, meetings = top_k.searched(df, F.col("vec_id") % 50 == 0, shard_rows=60, block_rows=8)
+    want = brute_top(rows)
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in hits.collect()} == {(q, c, s) for q, _, c, s in want}
+    met, shards = meetings.agg(F.sum("queries")).first()[0], meetings.select("shard").distinct().count()
+    assert 0 < met < 24 * shards / 2  # fewer than half of all (query, shard)
+
+
+def test_top_k_of_a_hot_vector(spark):
+    rows = [(i, [1.0, 0.0] if i % 3 == 0 else [float(i % 7) / 8, float(i % 11) / 16]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in top_k.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=40, block_rows=4).collect()}
+    assert got == brute_top(rows)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k.top_k(df, F.col("vec_id") % 50 == 0).count() == 0
@@ -87,6 +106,32 @@ def test_urls_by_brute_force(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_labels_of_a_host_and_of_a_form_change_verdicts_of_other_pages(spark):
+    urls = [f"http://a.bad.org/x/{i}" for i in range(30)] + [f"http://b.bad.org/x/{i}" for i in range(5)] + ["http://b.bad.org/about"]
+    urls += [f"http://{h}.good.org/{w}/{i}" for h in "cd" for w in ("spam", "news") for i in range(20)] + [f"http://new.good.org/{w}/{i}" for w in ("spam", "news") for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("x") for c in ("raw", "judged", "told", "_packed")})
+    bad = {i: 1 for i, u in enumerate(urls) if "//a.bad" in u} | {i: int("/spam/" in u) for i, u in enumerate(urls) if "//c.good" in u or "//d.good" in u}
+    labels = spark.createDataFrame([*bad.items(), (99_999, 1), (40, None)], "page_id long, bad int")
+    plain = {r["url"]: r for r in url_filter.judge_urls(df, rules=()).collect()}
+    got = {r["url"]: r for r in url_filter.judge_urls(df, rules=(), labels=labels).collect()}
+    assert len(got) == len(urls) and {r["verdict"] for r in plain.values()} == {"allow"} and {r["purity"] for r in plain.values()} == {0.2}
+    assert all(r["raw"] == r["judged"] == r["told"] == r["_packed"] == "x" for r in got.values())
+    blocked = {u for u, r in got.items() if r["verdict"] == "block"}
+    assert {u for u in urls if "//b.bad.org/x/" in u} <= blocked  # by the domain and by the form on another host
+    assert {u for u in urls if "//a.bad" in u} | {u for u in urls if "//c.good.org/spam" in u} <= blocked
+    assert not blocked & {u for u in urls if "/news/" in u}
+    p_all = lambda: (sum(bad.values()) + 0.8) / (len(bad) + 4)
+    p_domain = (40 + 4 * p_all()) / (80 + 4)
+    p_form = (40 + 4 * p_all()) / (40 + 4)
+    assert got["http://new.good.org/spam/5"]["purity"] == pytest.approx((p_domain + p_form) / 2)
+
+
+def test_deep_paths_and_long_segments(spark):
+    df = spark.createDataFrame([(1, "http://h.org/" + "/".join("abcdefghijkl")), (2, "http://h.org/" + "y" * 33), (3, "http://h.org/" + "y" * 32)], "page_id long, url string")
+    got = {r["page_id"]: r["template"] for r in url_filter.judge_urls(df).collect()}
+    assert got[1].endswith("/**") and got[2] == "/{v}" and len(got[3]) in (2, 33)
+
+
 def test_templates_merge_and_reject(spark):
     rows = [("h", f"http://h.org/good/{i}", 0) for i in range(30)] + [("h", f"http://h.org/fine/{i}", 0) for i in range(30)] + [("h", f"http://h.org/bad/{i}", 1) for i in range(30)]
     df = spark.createDataFrame(rows, "host string, url string, bad int")
@@ -183,6 +228,54 @@ def test_scores_of_awkward_rows_and_few_labels(spark):
     assert quality.quality_filter(empty(spark), df).count() == 0
 
 
+def plain_features(text):
+    raw = text.encode()
+    words, lines = raw.split(), raw.split(b"\n")
+    n, size = max(1, len(words)), max(1, len(raw))
+    share = lambda chars: sum(b in chars for b in raw) / size
+    return {
+        "log_bytes": np.log(1 + len(raw)), "log_words": np.log(1 + len(words)), "word_bytes": sum(len(w) for w in words) / n,
+        "long_words": len({w for w in words if len(w) > 20}) / n, "distinct": len(set(words)) / n, "repeats": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "middle_word": sum(w == words[len(words) // 2] for w in words) / n, "lines": len(lines) / n, "same_lines": 1 - len(set(lines)) / len(lines),
+    } | {name: share(chars) for name, chars in quality.GROUPS.items()}
+
+
+@pytest.mark.parametrize("text", ["", "a", "one two two\n\nTwo! " + "x" * 30, "é 漢 é\t| 12\n12", LONG[:5000]])
+def test_features_by_a_plain_count(text):
+    want = plain_features(text)
+    assert dict(zip(quality.FEATURES, quality.features(text), strict=True)) == pytest.approx(want)
+
+
+def test_scores_by_plain_lookups():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((500, len(quality.FEATURES))), 1)
+    model = quality.fit(x, (x[:, 3] + x[:, 5] > 1).astype(float))
+    for row, score in zip(x[:60], model.score(x[:60]), strict=True):
+        spot = [sum(row[j] >= e for e in model.edges[j]) for j in range(len(row))]
+        wide = [sum(row[j] >= e for e in model.pair_edges[j]) for j in range(len(row))]
+        f = model.base + sum(t[k] for t, k in zip(model.tables, spot, strict=True)) + sum(t[wide[i], wide[j]] for (i, j), t in model.pairs.items())
+        assert score == pytest.approx(1 / (1 + np.exp(-f)))
+
+
+def test_cuts_by_trying_all():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        g, h = rng.normal(size=9), rng.random(9) + 0.1
+        worth = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + quality.RIDGE)
+        gains = [worth(0, k) + worth(k, 9) - worth(0, 9) for k in range(1, 9)]
+        gain, at = quality.best_cut(g, h)
+        assert at == 1 + int(np.argmax(gains)) and gain == pytest.approx(max(gains))
+        steps, parts = quality.shallow(g, h), [(0, 9)]
+        while len(parts) < 3:
+            tried = [(worth(a, k) + worth(k, b) - worth(a, b), k, a, b) for a, b in parts for k in range(a + 1, b)]
+            gain, k, a, b = max(tried)
+            if gain <= 0:
+                break
+            parts = [p for p in parts if p != (a, b)] + [(a, k), (k, b)]
+        for a, b in parts:
+            assert steps[a:b] == pytest.approx(quality.RATE * g[a:b].sum() / (h[a:b].sum() + quality.RIDGE))
+
+
 def test_pairs_learn_what_single_features_cannot():
     rng = np.random.default_rng(0)
     x = rng.random((4000, len(quality.FEATURES)))
@@ -236,15 +329,29 @@ def test_nbest_by_enumeration(codec, text, n):
     assert len({tuple(ids) for _, ids in got}) == len(got)
 
 
-def test_batches_agree_with_the_search(codec):
-    coder = BatchCoder(codec)
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_batches_agree_with_the_search(n):
+    codec = PieceCodec.load(n_best=n)
+    coder = BatchCoder(PieceCodec.load(n_best=n))
     rng = random.Random(1)
     odd = ["", "▁", "a▁b c", " ", "  x  ", "\0a\0", "é漢字\U0001f600", "x" * 100, "ab " * 5 + "\n\n\t", "a" * 41 + " " + "b" * 39]
     texts = odd + ["".join(rng.choice("abct heé,.\nX7") for _ in range(rng.randrange(0, 80))) for _ in range(200)]
-    for text, (ids, score, runner_up) in zip(texts, coder.encode(texts), strict=True):
-        best, *more = codec.nbest(text)
-        assert (list(ids), score, runner_up) == (best[1], best[0], more[0][0] if more else None)
-        assert Speller(codec.bytes_of).decode(ids) == text
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert [(score, list(ids)) for score, ids in got] == codec.nbest(text)
+        assert all(Speller(codec.bytes_of).decode(ids) == text for _, ids in got)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_encoded_texts_hold_the_n_best(spark, n):
+    rng = random.Random(n)
+    texts = ["hello wor", "a  b", "é漢", "x", ""] + ["".join(rng.choice("abet h,") for _ in range(rng.randrange(1, 10))) for _ in range(40)]
+    own = PieceCodec.load(n_best=n)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in pieces.encode_texts(rows, n_best=n).collect():
+        got = [(r["piece_score"], r["pieces"])] + [(x["score"], x["pieces"]) for x in r["alternatives"]]
+        assert [s for s, _ in got] == (segmentations(own, r["text"])[:n] if r["text"] else [0.0])
+        assert all(own.decode(ids) == r["text"] for _, ids in got) and len({tuple(ids) for _, ids in got}) == len(got)
+        assert r["runner_up"] == (got[1][0] if len(got) > 1 else None)
 
 
 def test_round_trip_of_awkward_rows(spark):
