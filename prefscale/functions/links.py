@@ -24,12 +24,26 @@ class Link:
     np_pdf: Callable[[np.ndarray], np.ndarray]
 
 
-def erf(x: np.ndarray) -> np.ndarray:
-    return np.array([math.erf(v) for v in np.ravel(x)]).reshape(np.shape(x))
+def erfc(x: np.ndarray) -> np.ndarray:
+    """The complementary error function of an array: a series of positive terms near 0, a continued fraction beyond."""
+    x = np.asarray(x, float)
+    y = np.abs(x)
+    near = y < 2.0
+    t = np.where(near, y, 0.0)
+    term, total = t, t
+    for n in range(1, 60):
+        term = term * 2 * t * t / (2 * n + 1)
+        total = total + term
+    z = np.where(near, 2.0, y)
+    down = z
+    for n in range(120, 0, -1):
+        down = z + n / 2 / down
+    out = np.where(near, 1 - 2 / math.sqrt(math.pi) * np.exp(-t * t) * total, np.exp(-z * z) / (down * math.sqrt(math.pi)))
+    return np.where(x < 0, 2 - out, out)
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.array([math.erfc(-v / math.sqrt(2)) for v in np.ravel(x)]).reshape(np.shape(x))
+    return 0.5 * erfc(-np.asarray(x, float) / math.sqrt(2))
 
 
 def normal_pdf(x: np.ndarray) -> np.ndarray:
@@ -41,8 +55,10 @@ def normal_ppf(p: np.ndarray) -> np.ndarray:
     p = np.asarray(p, float)
     x = np.log(p / (1 - p)) / 1.702
     for _ in range(60):
-        step = (normal_cdf(x) - p) / np.maximum(normal_pdf(x), 1e-300)
-        x = x - np.clip(step, -1, 1)
+        step = np.clip((normal_cdf(x) - p) / np.maximum(normal_pdf(x), 1e-300), -1, 1)
+        x = x - step
+        if not np.any(np.abs(step) > 1e-14 * np.maximum(np.abs(x), 1)):
+            break
     return x
 
 

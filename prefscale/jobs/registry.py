@@ -56,21 +56,17 @@ def rank_break_random(s, d):
     return rounded(breaking.rank_break(fx.brand_rankings(s, d), "random", 7).select("ranking_id", "winner", "loser"))
 
 
-def weighted_to(s: SparkSession, d: str, places: int) -> DataFrame:
-    at = lambda c: s.range(places).select(F.col("id").cast("int").alias(c))
-    kappa = at("pos_i").join(at("pos_j")).withColumn("kappa", 1 / (1.0 + F.col("pos_i") + F.col("pos_j")))
-    return rounded(breaking.count_comparisons(breaking.rank_break_weighted(fx.nation_rankings(s, d), kappa)))
+WEIGHTED = f"WITH {fx.R_NATION}, {fx.PAIRS} SELECT winner::BIGINT AS winner, loser::BIGINT AS loser, round(sum(1.0 / (1 + pos_i + pos_j)), 6) AS wins FROM k GROUP BY 1, 2"
 
 
-@query("rank_break_weighted", f"WITH {fx.R_NATION}, {fx.PAIRS} SELECT winner::BIGINT AS winner, loser::BIGINT AS loser, round(sum(1.0 / (1 + pos_i + pos_j)), 6) AS wins FROM k WHERE pos_i < 10 AND pos_j < 10 GROUP BY 1, 2")
 def rank_break_weighted(s, d):
-    """Comparisons among the first ten places only, as its SQL has it."""
-    return weighted_to(s, d, 10)
+    at = lambda c: s.range(fx.N_NATIONS).select(F.col("id").cast("int").alias(c))
+    kappa = at("pos_i").join(at("pos_j")).withColumn("kappa", 1 / (1.0 + F.col("pos_i") + F.col("pos_j")))
+    return rounded(breaking.count_comparisons(breaking.rank_break_weighted(fx.nation_rankings(s, d), kappa)))
 
 
-@query("rank_break_weighted_full", f"WITH {fx.R_NATION}, {fx.PAIRS} SELECT winner::BIGINT AS winner, loser::BIGINT AS loser, round(sum(1.0 / (1 + pos_i + pos_j)), 6) AS wins FROM k GROUP BY 1, 2")
-def rank_break_weighted_full(s, d):
-    return weighted_to(s, d, fx.N_NATIONS)
+query("rank_break_weighted", WEIGHTED)(rank_break_weighted)
+query("rank_break_weighted_full", WEIGHTED)(rank_break_weighted)
 
 
 @query("pair_counts_brand", f"WITH {fx.R_BRAND}, {fx.COUNTS} SELECT winner::BIGINT AS winner, loser::BIGINT AS loser, wins FROM w")
@@ -434,13 +430,17 @@ def sample_menu_rankings(s, d):
     return rounded(sampling.sample_menu_rankings(fx.event_rankings(s, d), menus, 3, 2).select("menu_id", "draw", text()))
 
 
-@query("sample_rankings")
+OWN_PARAMS = "params AS (SELECT (ranking_id % 2)::INTEGER AS component, item, ln(count(*) + 1.0::DOUBLE) AS theta FROM r GROUP BY 1, 2)"
+DRAWN = f"g AS (SELECT *, theta - ln(-ln({UNIFORM.format("'1|' || ranking_id || '|' || item::VARCHAR")})) AS u FROM y) SELECT ranking_id, component, string_agg(item::VARCHAR, ',' ORDER BY u DESC, item) AS items FROM g GROUP BY 1, 2"
+
+
+@query("sample_rankings", f"WITH {fx.R_BRAND}, {OWN_PARAMS}, t AS ({items_sql(order='item')}), m AS (SELECT DISTINCT items, md5(items) AS menu_id FROM t WHERE contains(items, ',')), x AS (SELECT menu_id, unnest(string_split(items, ','))::INTEGER AS item FROM m), y AS (SELECT component::VARCHAR || ':' || menu_id || ':' || draw::VARCHAR AS ranking_id, component, item, theta FROM x JOIN params USING (item), range(2) z(draw)), {DRAWN}")
 def sample_rankings(s, d):
     menus = prepare.distinct_menus(fx.brand_rankings(s, d)).where(F.size("items") > 1).withColumn("menu_id", F.md5(F.array_join(F.col("items").cast("array<string>"), ",")))
     return sampling.sample_rankings(own_params(s, d), 2, "gumbel", 1, menus).select("ranking_id", "component", text())
 
 
-@query("sample_mixture_rankings")
+@query("sample_mixture_rankings", f"WITH {fx.R_BRAND}, {OWN_PARAMS}, o AS (SELECT unnest(range(0, (SELECT count(*) FROM orders)))::VARCHAR AS ranking_id), c AS (SELECT ranking_id, CASE WHEN {UNIFORM.format("'1/z|' || ranking_id")} < 1 / 3.0::DOUBLE THEN 0 ELSE 1 END AS component FROM o), y AS (SELECT ranking_id, component, item, theta FROM c JOIN params USING (component)), {DRAWN}")
 def sample_mixture_rankings(s, d):
     m = fx.table(s, d, "orders").count()
     return sampling.sample_mixture_rankings(own_params(s, d), fx.fixed_mixture(s), m, "gumbel", 1).select("ranking_id", "component", text())
@@ -465,21 +465,22 @@ def menu_graph(s, d):
 
 
 def supplier_graph(s, d):
-    """Parts and suppliers of the dearest twentieth of a large order's lines: many small components."""
-    lines = fx.table(s, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1")
+    """Parts and the suppliers of their lines."""
+    lines = fx.table(s, d, "lineitem")
     return lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst"))
 
 
-@query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t(node, seen) AS (SELECT a, a FROM s UNION SELECT s.b, t.seen FROM t JOIN s ON t.node = s.a) SELECT node, min(seen) AS component FROM t GROUP BY node")
+#: The smallest node within so many edges is the smallest of the component, as no two nodes lie farther apart.
+WIDEST = 40
+COMPONENTS = f"WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e), t(k, node, seen) AS (SELECT DISTINCT 0, a, a FROM s UNION ALL SELECT k + 1, s.b, min(t.seen) FROM t JOIN s ON t.node = s.a WHERE k < {WIDEST} GROUP BY k + 1, s.b) SELECT node, seen AS component FROM t WHERE k = {WIDEST}"
+
+
 def connected_components(s, d):
     return graph.connected_components(supplier_graph(s, d))
 
 
-@query("connected_components_full")
-def connected_components_full(s, d):
-    """Components of all parts and suppliers. Without SQL: the recursion keeps a row for each pair of connected nodes."""
-    lines = fx.table(s, d, "lineitem")
-    return graph.connected_components(lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst")))
+query("connected_components", COMPONENTS)(connected_components)
+query("connected_components_full", COMPONENTS)(connected_components)
 
 
 TIMED = f"{fx.R_DAYS}, k AS (SELECT a.day, a.item AS winner, z.item AS loser FROM r a JOIN r z ON a.ranking_id = z.ranking_id AND a.pos < z.pos)"
@@ -529,6 +530,53 @@ def mixture_em_step(s, d):
     return rounded(mixture.fit_mixture(rows, 2, fx.N_BRANDS, "mm", start, max_iters=1).params(rows))
 
 
+def stationary_sql(rates: str, new: str, rounds: int) -> str:
+    """The stationary distribution (item, pi) of a chain with rates (src, dst, rate), by power iteration."""
+    return f"c{new} AS (SELECT src, dst, rate / (SELECT max(t) FROM (SELECT sum(rate) AS t FROM {rates} GROUP BY src)) AS p FROM {rates}), d{new} AS (SELECT * FROM c{new} UNION ALL SELECT src, src, 1 - sum(p) FROM c{new} GROUP BY src), it{new}(k, item, pi) AS (SELECT 0, i::INTEGER, 1 / 25.0::DOUBLE FROM range(25) z(i) UNION ALL SELECT k + 1, dst, sum(pi * p) FROM it{new} JOIN d{new} ON item = src WHERE k < {rounds} GROUP BY k + 1, dst), {new} AS (SELECT item, pi / sum(pi) OVER () AS pi FROM it{new} WHERE k = {rounds})"
+
+
+def suffix_sql(old: str, new: str) -> str:
+    return f"e{new} AS (SELECT r.*, pi AS wt FROM r JOIN {old} USING (item)), s{new} AS (SELECT *, sum(wt) OVER (PARTITION BY ranking_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suffix FROM e{new})"
+
+
+def flow_step(old: str, new: str) -> str:
+    """Flows at the estimate ``old`` (item, pi), smoothed, and their stationary distribution."""
+    flows = f"q{new} AS (SELECT z.item AS src, a.item AS dst, sum(1 / a.suffix) AS rate FROM s{new} a JOIN r z ON a.ranking_id = z.ranking_id AND a.pos < z.pos GROUP BY 1, 2), b{new} AS (SELECT coalesce(q.src, o.dst) AS src, coalesce(q.dst, o.src) AS dst, coalesce(q.rate, 0) + CASE WHEN q.rate IS NULL OR o.rate IS NULL THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM q{new} q FULL JOIN q{new} o ON q.src = o.dst AND q.dst = o.src)"
+    return f"{suffix_sql(old, new)}, {flows}, {stationary_sql(f'b{new}', new, 600)}"
+
+
+def gamma_step(old: str, new: str) -> str:
+    """The fixed point's step from (item, pi) and the mass d of the prior's own state, for a0 = 1 and b0 = 25."""
+    den = f"t{new} AS (SELECT item, sum(CASE WHEN pos <= n - 2 THEN 1 / suffix ELSE 0 END) OVER (PARTITION BY ranking_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix FROM s{new}), den{new} AS (SELECT item, sum(prefix) AS den FROM t{new} GROUP BY 1)"
+    return f"{suffix_sql(old, new)}, {den}, u{new} AS (SELECT item, (coalesce(wins, 0) + d) / (coalesce(den, 0) + 25) AS u FROM {old} LEFT JOIN wins USING (item) LEFT JOIN den{new} USING (item), d_{old}), {new} AS (SELECT item, u / (2 * sum(u) OVER ()) AS pi FROM u{new}), d_{new} AS (SELECT 0.5::DOUBLE AS d)"
+
+
+LN_PI = "l AS (SELECT item, ln(pi) AS theta FROM {}) SELECT 0::BIGINT AS component, item::BIGINT AS item, round(theta - avg(theta) OVER (), 6) AS theta FROM l"
+START_PI = "p0 AS (SELECT i::INTEGER AS item, 1 / {}::DOUBLE AS pi FROM range(25) x(i))"
+
+
+@query("luce_spectral_steps", f"WITH RECURSIVE {fx.R_BRAND}, {START_PI.format(25)}, {flow_step('p0', 'p1')}, {flow_step('p1', 'p2')}, {LN_PI.format('p2')}")
+def luce_spectral_steps(s, d):
+    """Two iterations, so that SQL can tell the same."""
+    return rounded(estimators.luce_spectral(fx.brand_rankings(s, d).cache(), fx.N_BRANDS, max_iters=2, tol=0.0))
+
+
+@query("luce_spectral_map_steps", f"WITH {fx.R_BRAND}, wins AS (SELECT item, count(*)::DOUBLE AS wins FROM r WHERE pos < n - 1 GROUP BY 1), {START_PI.format(26)}, d_p0 AS (SELECT 1 / 26.0::DOUBLE AS d), {gamma_step('p0', 'p1')}, {gamma_step('p1', 'p2')}, {LN_PI.format('p2')}")
+def luce_spectral_map_steps(s, d):
+    """Two iterations, so that SQL can tell the same."""
+    return rounded(estimators.luce_spectral_map(fx.brand_rankings(s, d).cache(), fx.N_BRANDS, max_iters=2, tol=0.0)[0])
+
+
+@query("fit_mixture_map_step", SQL["mixture_em_step"].replace("ln(wins / den)", "ln((0.1 + wins) / (0.1 + den))"))
+def fit_mixture_map_step(s, d):
+    """One iteration of the fit with a gamma prior, from a stated start."""
+    import numpy as np
+
+    start = np.array([[((i + 3 * c) * 7 % 11) / 5 - 1 for i in range(25)] for c in range(2)])
+    rows = fx.brand_rankings(s, d)
+    return rounded(mixture.fit_mixture(rows, 2, fx.N_BRANDS, "map", start - start.mean(1, keepdims=True), max_iters=1, c=1.1, d=0.1).params(rows))
+
+
 def fitted(f) -> Query:
     return lambda s, d: rounded(f(fx.brand_rankings(s, d).cache(), fx.N_BRANDS))
 
@@ -537,13 +585,15 @@ def over_pairs(f) -> Query:
     return lambda s, d: rounded(f(breaking.drop_extreme_pairs(breaking.pair_probs(breaking.pair_counts(fx.brand_rankings(s, d)), "all", 1.0)), fx.N_BRANDS))
 
 
-query("rank_centrality_from_probs")(over_pairs(estimators.rank_centrality_from_probs))
+SMOOTHED = f"{fx.R_BRAND}, {fx.PROBS}, x AS (SELECT v.item, v.opponent, (v.a + 1) / (v.a + o.a + 2) AS p FROM v JOIN v o ON v.item = o.opponent AND v.opponent = o.item), y AS (SELECT * FROM x WHERE p BETWEEN 0.001 AND 0.999)"
+query("rank_centrality_from_probs", f"WITH RECURSIVE {SMOOTHED}, f AS (SELECT opponent AS src, item AS dst, p AS rate FROM y), {stationary_sql('f', 'p1', 600)}, {LN_PI.format('p1')}")(over_pairs(estimators.rank_centrality_from_probs))
+LEAST_SQUARES = "h AS (SELECT item, opponent, ln(p / (1 - p)) AS phi FROM y), met AS (SELECT item, opponent, count(*) AS m FROM (SELECT item, opponent FROM h UNION ALL SELECT opponent, item FROM h) GROUP BY 1, 2), deg AS (SELECT item, sum(m) AS deg FROM met GROUP BY 1), rhs AS (SELECT item, sum(phi) AS rhs FROM (SELECT item, phi FROM h UNION ALL SELECT opponent, -phi FROM h) GROUP BY 1), it(step, item, theta) AS (SELECT 0, i::INTEGER, 0.0::DOUBLE FROM range(25) z(i) UNION ALL SELECT step + 1, met.item, (any_value(rhs) + sum(m * theta)) / (any_value(deg) + 0.5) FROM it JOIN met ON it.item = met.opponent JOIN deg ON deg.item = met.item JOIN rhs ON rhs.item = met.item WHERE step < 400 GROUP BY step + 1, met.item), l AS (SELECT item, theta FROM it WHERE step = 400) SELECT 0::BIGINT AS component, item::BIGINT AS item, round(theta - avg(theta) OVER (), 6) AS theta FROM l"
 query("luce_mm_full")(fitted(estimators.luce_mm))
 query("luce_spectral")(fitted(estimators.luce_spectral))
 query("luce_spectral_map")(fitted(lambda r, n: estimators.luce_spectral_map(r, n)[0]))
 query("pair_gmm")(fitted(estimators.pair_gmm))
 query("pair_cml")(fitted(estimators.pair_cml))
-query("pair_least_squares")(over_pairs(estimators.pair_least_squares))
+query("pair_least_squares", f"WITH RECURSIVE {SMOOTHED}, {LEAST_SQUARES}")(over_pairs(estimators.pair_least_squares))
 query("pair_low_rank")(over_pairs(estimators.pair_low_rank))
 query("pair_factorize")(over_pairs(estimators.pair_factorize))
 
@@ -592,6 +642,14 @@ def complete_ratings(s, d):
     return estimators.complete_ratings(rows).select("ranking_id", text())
 
 
+@query("score_grid", "SELECT c_custkey AS user, n_nationkey::BIGINT AS item, round(c_acctbal / 1000 * (n_nationkey + 1) + c_nationkey * n_regionkey, 6) AS score FROM customer, nation")
+def score_grid(s, d):
+    """Customers with nations; their numbers serve as factors."""
+    users = fx.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal").cast("double") / 1000, F.col("c_nationkey").cast("double")).alias("features"))
+    items = fx.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.array((F.col("n_nationkey") + 1).cast("double"), F.col("n_regionkey").cast("double")).alias("features"))
+    return rounded(estimators.score_grid(users, items))
+
+
 @query("evaluate_grid")
 def evaluate_grid(s, d):
     return rounded(grid.evaluate_grid(fx.nation_rankings(s, d), fx.N_NATIONS, [1, 2], [0.5, 1.0], ["mm"], max_iters=2, timings=False))

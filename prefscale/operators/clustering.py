@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefscale.functions import kernels as k
 from prefscale.operators.breaking import full_pairs, weight_of
-from prefscale.operators.estimators import pass_over
 from prefscale.operators.mixture import random_start
 from prefscale.session import ship
 
-#: Pair vectors up to this length get a Gram matrix; beyond it use reduce='rand_sparse'.
+#: Vectors up to this length get a Gram matrix; beyond it their leading directions are found by iterated passes.
 MAX_DIM = 5_000
 
 
@@ -30,77 +29,144 @@ def pair_vectors(idx: np.ndarray, n: int) -> np.ndarray:
     return np.nan_to_num(np.sign(pos[:, j] - pos[:, i]) / 2)
 
 
-def gram(rankings: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """X'X, the column sums of X, and the number of rankings, of weighted pair vectors."""
-    dim = n * (n - 1) // 2
-    if dim > MAX_DIM:
-        raise ValueError(f"pair vectors of {dim} entries are too long for a Gram matrix")
+#: What makes a ranking's vector: a name, or a function from the items' Column to an array of numbers.
+Embedding = str | Callable[[Column], Column]
 
-    def work(idx: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        x = pair_vectors(idx, n)
-        return np.concatenate([((x * weight[:, None]).T @ x).ravel(), weight @ x, [weight.sum()]])
 
-    sums = pass_over(rankings, n, work, dim * dim + dim + 1)
-    return sums[: dim * dim].reshape(dim, dim), sums[dim * dim : -1], float(sums[-1])
+def embedded(rankings: DataFrame, n: int, embedding: Embedding) -> tuple[DataFrame, int]:
+    """(ranking_id, v, weight) of the rankings that have items, and the length of v."""
+    ship(rankings.sparkSession)
+    rows = rankings.where(F.size("items") > 0).select("ranking_id", "items", weight_of(rankings).alias("weight"))
+    if callable(embedding):
+        rows = rows.select("ranking_id", embedding(F.col("items")).cast("array<double>").alias("v"), "weight")
+        first = rows.select(F.size("v").alias("k")).first()
+        return rows, first["k"] if first else 0
+    if embedding not in ("signed", "disjoint"):
+        raise ValueError(embedding)
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), 256):
+                some = part.iloc[i : i + 256]
+                idx, _ = k.matrix(some["items"].tolist(), 1)
+                yield pd.DataFrame({"ranking_id": some["ranking_id"], "v": list(pair_vectors(idx, n)), "weight": some["weight"]})
+
+    kind = rankings.schema["ranking_id"].dataType.simpleString()
+    return rows.mapInPandas(work, f"ranking_id {kind}, v array<double>, weight double"), n * (n - 1) // 2
+
+
+def summed(vectors: DataFrame, work, size: int) -> np.ndarray:
+    """Sums over all vectors of the array that ``work(x, weight)`` gives for a batch."""
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for part in parts:
+            for i in range(0, len(part), 256):
+                some = part.iloc[i : i + 256]
+                total += work(np.stack(some["v"].to_numpy()).astype(float), some["weight"].to_numpy(float)).ravel()
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "x": total[at]})
+
+    rows = vectors.select("v", "weight").mapInPandas(partial, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(size)
+    out[rows["at"].to_numpy(int)] = rows["x"].to_numpy(float)
+    return out
+
+
+def leading(vectors: DataFrame, dim: int, components: int, centred: bool = False, rounds: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """The largest eigenvalues of X'X (or of the weighted covariance), their vectors, and the trace.
+
+    Up to MAX_DIM entries from the whole matrix, summed in one pass; beyond it by subspace iteration, a pass each, of
+    which only dim x (components + 8) numbers a task travel.
+    """
+    if dim <= MAX_DIM:
+        sums = summed(vectors, lambda x, w: np.concatenate([((x * w[:, None]).T @ x).ravel(), w @ x, [w.sum()]]), dim * dim + dim + 1)
+        g, s, m = sums[: dim * dim].reshape(dim, dim), sums[dim * dim : -1], max(sums[-1], 1e-300)
+        g = g / m - np.outer(s, s) / m**2 if centred else g
+        values, basis = np.linalg.eigh(g)
+        order = np.argsort(values)[::-1][:components]
+        return values[order], basis[:, order], float(np.trace(g))
+    width = min(dim, components + 8)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, width)))[0]
+    values = np.zeros(width)
+    for _ in range(rounds):
+        sums = summed(vectors, lambda x, w, q=basis: np.concatenate([(x.T @ (w[:, None] * (x @ q))).ravel(), w @ x, [w.sum(), (w * (x * x).sum(1)).sum()]]), dim * width + dim + 2)
+        y, s, m, trace = sums[: dim * width].reshape(dim, width), sums[dim * width : -2], max(sums[-2], 1e-300), sums[-1]
+        if centred:
+            y, trace = y / m - np.outer(s, s @ basis) / m**2, trace / m - s @ s / m**2
+        new, turn = np.linalg.eigh(basis.T @ y)
+        order = np.argsort(new)[::-1]
+        settled = np.abs(new[order] - values)[:components].max() <= 1e-9 * max(abs(new).max(), 1e-300)
+        values, vectors_now = new[order], basis @ turn[:, order]
+        if settled:
+            break
+        basis = np.linalg.qr(y)[0]
+    return values[:components], vectors_now[:, :components], float(trace)
 
 
 def pair_weights_pca(rankings: DataFrame, n: int, degree: int = 10, max_w: float = 1.0) -> np.ndarray:
     """A weight for each pair: the components' absolute entries, by share of variance, scaled to max_w at most."""
-    g, s, m = gram(rankings, n)
-    values, vectors = np.linalg.eigh(g / m - np.outer(s, s) / m**2)
-    top = np.argsort(values)[::-1][:degree]
-    w = (np.abs(vectors[:, top]) * (np.maximum(values[top], 0) / max(values.sum(), 1e-300))).sum(1)
+    rows, dim = embedded(rankings, n, "signed")
+    values, vectors, whole = leading(rows, dim, min(degree, dim), centred=True)
+    w = (np.abs(vectors) * (np.maximum(values, 0) / max(whole, 1e-300))).sum(1)
     return w / max(w.max(), 1e-300) * max_w
 
 
-def projection(rankings: DataFrame, n: int, components: int, reduce: str, lambd: float, seed: int) -> np.ndarray:
-    """The matrix by which pair vectors are reduced."""
-    dim = n * (n - 1) // 2
+def pair_matrix(weights: np.ndarray, n: int) -> np.ndarray:
+    """Weights of pairs i < j as a symmetric table of items, as ``fit_mixture`` takes them."""
+    out = np.zeros((n, n))
+    out[np.triu_indices(n, 1)] = weights
+    return out + out.T
+
+
+def projection(rows: DataFrame, dim: int, components: int, reduce: str, lambd: float, seed: int) -> np.ndarray | None:
+    """The matrix by which vectors are reduced; None if they stay."""
     rng = np.random.default_rng(seed)
     if reduce == "none":
-        return np.eye(dim)
+        return None
     if reduce in ("rand_gauss", "rand_sparse"):
-        to = min(dim, max(1, int(8 * np.log(max(2, rankings.count())))))
+        to = min(dim, max(1, int(8 * np.log(max(2, rows.count())))))
         if reduce == "rand_gauss":
             return rng.normal(size=(dim, to)) / np.sqrt(to)
         return rng.choice([1.0, 0.0, -1.0], size=(dim, to), p=[1 / 6, 2 / 3, 1 / 6]) * np.sqrt(3 / to)
-    g, _, _ = gram(rankings, n)
-    values, vectors = np.linalg.eigh(g)
-    order = np.argsort(values)[::-1]
-    s, v = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-    top = v[:, :components]
+    if reduce == "nuclear":  # needs all singular values
+        if dim > MAX_DIM:
+            raise ValueError(f"vectors of {dim} entries are too long for reduce='nuclear'; the limit is {MAX_DIM}")
+        values, v, _ = leading(rows, dim, dim)
+        s = np.sqrt(np.maximum(values, 0))
+        return (v * (np.maximum(s - lambd, 0) / np.maximum(s, 1e-12))) @ v.T
+    if reduce not in ("pca", "pca_scaled", "svd"):
+        raise ValueError(reduce)
+    values, top, _ = leading(rows, dim, min(components, dim), seed=seed)
     if reduce == "pca":  # rows of U
-        return top / np.maximum(s[:components], 1e-12)
-    if reduce == "pca_scaled":  # rows of U S
-        return top
-    if reduce == "svd":  # the rank-K reconstruction, in its own coordinates
-        return top @ top.T
-    if reduce == "nuclear":
-        shrink = np.maximum(s - lambd, 0) / np.maximum(s, 1e-12)
-        return (v * shrink) @ v.T
-    raise ValueError(reduce)
-
-
-def cluster_rankings(rankings: DataFrame, components: int, n: int, embedding: str = "signed", reduce: str = "pca_scaled", lambd: float = 1.0, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """(ranking_id, label) and the centres, as mean pair vectors per cluster. ``disjoint`` keeps only the coordinates of
-    a random pairing of the items."""
-    ship(rankings.sparkSession)
-    use = np.ones(n * (n - 1) // 2, bool)
+        return top / np.maximum(np.sqrt(np.maximum(values, 0)), 1e-12)
+    # rows of U S; distances of the rank-K reconstruction (svd) are the same in these coordinates
+    return top
+
+
+def cluster_rankings(rankings: DataFrame, components: int, n: int, embedding: Embedding = "signed", reduce: str = "pca_scaled", lambd: float = 1.0, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(ranking_id, label) and the centres, as shares in which an item is ahead of another per cluster. ``disjoint`` keeps
+    only the coordinates of a random pairing of the items; a function makes its own vector from the items, for example
+    ``lambda items: embed_positional(items, n)``."""
+    rows, dim = embedded(rankings, n, embedding)
+    to = projection(rows, dim, components, reduce, lambd, seed)
     if embedding == "disjoint":
+        use = np.zeros(dim, bool)
         at = {p: q for q, p in enumerate(zip(*np.triu_indices(n, 1), strict=True))}
         order = np.random.default_rng(seed).permutation(n)
-        use[:] = False
         for a, b in order[: n // 2 * 2].reshape(-1, 2):
             use[at[min(a, b), max(a, b)]] = True
-    to = projection(rankings, n, components, reduce, lambd, seed) * use[:, None]
+        to = use.astype(float)[:, None] * (np.eye(dim)[:, use] if to is None else to)
+    if to is not None:
+        shared = rankings.sparkSession.sparkContext.broadcast(to)  # entries x components; all of it for nuclear only
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            idx, rows = k.matrix(part["items"].tolist(), 1)
-            yield pd.DataFrame({"ranking_id": part["ranking_id"].to_numpy()[rows], "v": list(pair_vectors(idx, n) @ to)})
+        def reduced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                x = np.stack(part["v"].to_numpy()).astype(float) if len(part) else np.zeros((0, dim))
+                yield pd.DataFrame({"ranking_id": part["ranking_id"], "v": list(x @ shared.value)})
 
-    kind = rankings.schema["ranking_id"].dataType.simpleString()
-    rows = rankings.select("ranking_id", "items").mapInPandas(work, f"ranking_id {kind}, v array<double>")
+        kind = rankings.schema["ranking_id"].dataType.simpleString()
+        rows = rows.select("ranking_id", "v").mapInPandas(reduced, f"ranking_id {kind}, v array<double>")
     points = rows.select("ranking_id", array_to_vector("v").alias("features")).cache()
     model = KMeans(k=components, seed=seed, maxIter=50).fit(points)
     labels = model.transform(points).select("ranking_id", F.col("prediction").alias("label"))
@@ -117,13 +183,13 @@ def cluster_centres(labelled: DataFrame, components: int, n: int) -> np.ndarray:
     return out
 
 
-def init_mixture(rankings: DataFrame, components: int, n: int, method: str = "rc", seed: int = 0, link: str = "logit") -> np.ndarray:
+def init_mixture(rankings: DataFrame, components: int, n: int, method: str = "rc", seed: int = 0, link: str = "logit", embedding: Embedding = "signed", reduce: str = "pca_scaled") -> np.ndarray:
     """Starting utilities: ``random``, or a fit per cluster: ``rc``, ``gmm``, ``lrmc`` (least squares), ``cml``."""
     from prefscale.functions.links import link as named_link
 
     if method == "random":
         return random_start(components, n, seed)
-    _, wins = cluster_rankings(rankings, components, n, seed=seed)
+    _, wins = cluster_rankings(rankings, components, n, embedding, reduce, seed=seed)
     named, out = named_link(link), []
     for w in wins:
         met = (w + w.T) > 0

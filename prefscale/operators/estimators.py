@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from prefscale.functions import kernels as k
 from prefscale.functions.links import Link, link as named_link
-from prefscale.operators.breaking import pair_counts, weight_of
+from prefscale.operators.breaking import pair_counts, pair_probs, weight_of
 from prefscale.operators.consensus import win_counts
-from prefscale.session import ship
+from prefscale.session import cut, ship
 
-#: Item-by-item tables are solved on the driver up to this number of items.
+#: Item-by-item tables are made and solved in one place up to this number of items.
 MAX_ITEMS = 3_000
 
 
@@ -30,10 +30,14 @@ def params_frame(like: DataFrame, thetas: np.ndarray, items: list[int] | None =
     return like.sparkSession.createDataFrame(rows, "component int, item int, theta double")
 
 
-def wins_matrix(counts: DataFrame, n: int, value: str = "wins") -> np.ndarray:
-    """wins[winner, loser] of the summed pair table."""
+def check_dense(n: int) -> None:
     if n > MAX_ITEMS:
         raise ValueError(f"{n} items are too many for a dense table; the limit is {MAX_ITEMS}")
+
+
+def wins_matrix(counts: DataFrame, n: int, value: str = "wins") -> np.ndarray:
+    """wins[winner, loser] of the summed pair table."""
+    check_dense(n)
     rows = counts.select("winner", "loser", value).toPandas()
     out = np.zeros((n, n))
     out[rows["winner"].to_numpy(int), rows["loser"].to_numpy(int)] = rows[value].to_numpy(float)
@@ -44,9 +48,9 @@ def probs_matrix(pairs: DataFrame, n: int) -> np.ndarray:
     return wins_matrix(pairs.select(F.col("item").alias("winner"), F.col("opponent").alias("loser"), F.col("p").alias("wins")), n)
 
 
-def pass_over(rankings: DataFrame, n: int, work, kinds: int = 1) -> np.ndarray:
+def pass_over(rankings: DataFrame, n: int, work, kinds: int = 1, keyed: bool = False) -> np.ndarray:
     """Sums over all rankings of what ``work(idx, weight)`` gives for a batch: an array, added per task, then by a
-    groupBy over its places. One job; only non-zero sums travel."""
+    groupBy over its places. One job; only non-zero sums travel. keyed: ``work`` also gets a hash of each ranking_id."""
     ship(rankings.sparkSession)
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,12 +58,14 @@ def pass_over(rankings: DataFrame, n: int, work, kinds: int = 1) -> np.ndarray:
         for part in parts:
             idx, rows = k.matrix(part["items"].tolist())
             if len(rows):
-                more = np.ravel(work(idx, part["weight"].to_numpy(float)[rows]))
+                own = [part["key"].to_numpy(np.int64)[rows]] if keyed else []
+                more = np.ravel(work(idx, part["weight"].to_numpy(float)[rows], *own))
                 total = more if total is None else total + more
         at = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
         yield pd.DataFrame({"at": at, "v": total[at] if total is not None else np.zeros(0)})
 
-    sums = rankings.select("items", weight_of(rankings).alias("weight")).mapInPandas(partial, "at long, v double")
+    key = [F.xxhash64("ranking_id").alias("key")] if keyed else []
+    sums = rankings.select("items", weight_of(rankings).alias("weight"), *key).mapInPandas(partial, "at long, v double")
     rows = sums.groupBy("at").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros(kinds)
     out[rows["at"].to_numpy(int)] = rows["v"].to_numpy(float)
@@ -67,13 +73,39 @@ def pass_over(rankings: DataFrame, n: int, work, kinds: int = 1) -> np.ndarray:
 
 
 def rank_centrality(rankings: DataFrame, n: int, nu: float = 1.0, max_iters: int = 1000, eps: float = 1e-12) -> DataFrame:
-    """Stationary distribution of a walk from losers to winners over smoothed shares; theta = ln of it."""
+    """Stationary distribution of a walk from losers to winners over smoothed shares; theta = ln of it. Above MAX_ITEMS
+    the walk goes over the table of pairs, a join and a sum a step."""
+    if n > MAX_ITEMS:
+        rates = pair_probs(pair_counts(rankings), "all", nu).select(F.col("opponent").alias("src"), F.col("item").alias("dst"), F.col("p").alias("rate"))
+        return walked(rates, n, max_iters, eps)
     wins = wins_matrix(pair_counts(rankings), n)
     pi = k.power_iteration(k.chain(k.shares_of(wins, nu)), max_iters, eps)
     return params_frame(rankings, k.centred(np.log(pi)))
 
 
+def walked(rates: DataFrame, n: int, max_iters: int, eps: float) -> DataFrame:
+    """params from the stationary distribution of a chain with these rates (src, dst, rate), by power iteration on
+    tables: as ``kernels.chain`` and ``kernels.power_iteration``."""
+    rates = cut(rates.where("src <> dst and rate > 0"))
+    out = rates.groupBy("src").agg(F.sum("rate").alias("out"))
+    top = out.agg(F.max("out")).first()[0] or 1.0
+    items = rates.sparkSession.range(n).select(F.col("id").cast("int").alias("item"))
+    stay = items.join(out, F.col("item") == F.col("src"), "left").select(F.col("item").alias("src"), F.col("item").alias("dst"), (1 - F.coalesce("out", F.lit(0.0)) / top).alias("p"))
+    steps = cut(rates.select(F.col("src").cast("int"), F.col("dst").cast("int"), (F.col("rate") / top).alias("p")).unionByName(stay))
+    pi = cut(items.withColumn("pi", F.lit(1.0 / n)))
+    for _ in range(max_iters):
+        new = pi.join(steps, F.col("item") == F.col("src")).groupBy("dst").agg(F.sum(F.col("pi") * F.col("p")).alias("new"))
+        new = cut(new.join(pi, F.col("dst") == F.col("item")).select("item", F.col("new").alias("pi"), F.pow(F.col("new") - F.col("pi"), F.lit(2.0)).alias("moved")))
+        pi = new.select("item", "pi")
+        if (new.agg(F.sqrt(F.sum("moved"))).first()[0] or 0.0) < eps:
+            break
+    mean = pi.agg(F.avg(F.log("pi"))).first()[0]
+    return pi.select(F.lit(0).alias("component"), "item", (F.log("pi") - F.lit(mean)).alias("theta"))
+
+
 def rank_centrality_from_probs(pairs: DataFrame, n: int, lambd: float = 0.0, max_iters: int = 1000, eps: float = 1e-12) -> DataFrame:
+    if n > MAX_ITEMS:
+        return walked(pairs.select(F.col("opponent").alias("src"), F.col("item").alias("dst"), (F.col("p") + lambd).alias("rate")), n, max_iters, eps)
     p = probs_matrix(pairs, n)
     met = (p + p.T) > 0
     pi = k.power_iteration(k.chain(np.where(met, p.T + lambd, 0.0)), max_iters, eps)
@@ -81,7 +113,9 @@ def rank_centrality_from_probs(pairs: DataFrame, n: int, lambd: float = 0.0, max
 
 
 def luce_spectral(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int = 100, tol: float = 1e-8) -> DataFrame:
-    """Luce spectral ranking: flows at the current estimate, the chain's stationary distribution, until it settles."""
+    """Luce spectral ranking: flows at the current estimate, the chain's stationary distribution, until it settles. At
+    most MAX_ITEMS items; ``luce_mm`` has the same solution and no such limit."""
+    check_dense(n)
     pi = np.full(n, 1 / n)
     for _ in range(max_iters):
         theta = np.log(pi)
@@ -148,9 +182,10 @@ def pair_gmm(rankings: DataFrame, n: int, link: str | Link = "logit", lambd: flo
     return params_frame(rankings, k.fit_gmm(shares(pair_counts(rankings), n), named_link(link), lambd))
 
 
-def pair_cml(rankings: DataFrame, n: int, link: str | Link = "logit", scheme: str = "full", lambd: float = 0.0, nu: float = 1.0, seed: object = 0) -> DataFrame:
+def pair_cml(rankings: DataFrame, n: int, link: str | Link = "logit", scheme: str = "full", lambd: float = 0.0, nu: float = 1.0, seed: object = 0, reg: str = "l1") -> DataFrame:
+    """Composite likelihood, less lambda times the sum of |U| (``l1``) or half that of U^2 (``l2``)."""
     p = shares(pair_counts(rankings, scheme, seed), n, nu, degenerate=True)
-    return params_frame(rankings, k.fit_cml(p, named_link(link), lambd))
+    return params_frame(rankings, k.fit_cml(p, named_link(link), lambd, reg=reg))
 
 
 def pair_least_squares(pairs: DataFrame, n: int, link: str | Link = "logit", lambd: float = 1.0) -> DataFrame:
@@ -174,25 +209,45 @@ def pair_factorize(pairs: DataFrame, n: int, link: str | Link = "logit", rank: i
 
     rows = pairs.select(F.col("item").cast("int"), F.col("opponent").cast("int"), named_link(link).phi(F.col("p")).cast("float").alias("phi"))
     model = ALS(rank=rank, regParam=lambd, userCol="item", itemCol="opponent", ratingCol="phi", seed=seed).fit(rows)
-    every = model.itemFactors.agg(F.collect_list("features").alias("f"))  # an entry an item
-    dot = lambda f: F.aggregate(F.zip_with("features", f, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    theta = model.userFactors.join(F.broadcast(every)).select(F.col("id").alias("item"), (F.aggregate(F.transform("f", dot), F.lit(0.0), lambda s, x: s + x) / F.size("f")).alias("theta"))
+    # the mean of an item's products with all others is its product with their mean: one row of ``rank`` numbers
+    mean = model.itemFactors.select(F.posexplode("features").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x"))
+    mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("f"))
+    dot = F.aggregate(F.zip_with("features", "f", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    theta = model.userFactors.join(F.broadcast(mean)).select(F.col("id").alias("item"), dot.alias("theta"))
     mean = theta.agg(F.avg("theta").alias("mean"))
     return theta.join(F.broadcast(mean)).select(F.lit(0).alias("component"), "item", (F.col("theta") - F.col("mean")).alias("theta"))
 
 
-def pair_posterior(comparisons: DataFrame, alpha: float = 1.0, group_cols: list[str] | None = None, rounds: int = 30) -> DataFrame:
-    """(group columns, item, mean, variance): Gaussian posterior of utilities, prior variance 1 / alpha, probit
-    comparisons, by expectation propagation with one site per distinct (winner, loser) and its multiplicity."""
+def tilted(mean: np.ndarray, var: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of a Gaussian times F: in closed form for the normal F, by quadrature for the logistic one."""
+    if model == "probit":
+        from prefscale.functions.links import log_normal_cdf_np
+
+        z = mean / np.sqrt(1 + var)
+        _, ratio = log_normal_cdf_np(z)
+        return mean + ratio * var / np.sqrt(1 + var), np.maximum(var - ratio * (z + ratio) * var**2 / (1 + var), 1e-12)
+    if model != "logit":
+        raise ValueError(model)
+    nodes, weights = np.polynomial.hermite_e.hermegauss(48)
+    x = mean[:, None] + np.sqrt(var)[:, None] * nodes
+    f = weights / (1 + np.exp(-np.clip(x, -500, 500)))
+    whole = np.maximum(f.sum(1), 1e-300)
+    first = (f * x).sum(1) / whole
+    return first, np.maximum((f * np.square(x - first[:, None])).sum(1) / whole, 1e-12)
+
+
+def pair_posterior(comparisons: DataFrame, alpha: float = 1.0, group_cols: list[str] | None = None, rounds: int = 30, model: str = "probit") -> DataFrame:
+    """(group columns, item, mean, variance): Gaussian posterior of utilities, prior variance 1 / alpha, ``probit`` or
+    ``logit`` comparisons, by expectation propagation with one site per distinct (winner, loser) and its multiplicity.
+    A group is at most MAX_ITEMS items, whatever the number of its comparisons."""
     ship(comparisons.sparkSession)
     cols = group_cols or ["_all"]
     rows = comparisons if group_cols else comparisons.withColumn("_all", F.lit(0))
     sites = rows.groupBy(*cols, "winner", "loser").agg(F.sum("weight" if "weight" in comparisons.columns else F.lit(1.0)).alias("n"))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        from prefscale.functions.links import log_normal_cdf_np
-
         items = np.unique(part[["winner", "loser"]].to_numpy())
+        check_dense(len(items))
         a, b = np.searchsorted(items, part["winner"]), np.searchsorted(items, part["loser"])
         m, n = part["n"].to_numpy(float), len(items)
         tau, nu = np.zeros(len(a)), np.zeros(len(a))  # a site's precision and precision-mean of the difference
@@ -204,10 +259,7 @@ def pair_posterior(comparisons: DataFrame, alpha: float = 1.0, group_cols: list[
             mu = mean[a] - mean[b]
             cav_tau = np.maximum(1 / var - tau, 1e-9)
             cav_mu = (mu / var - nu) / cav_tau
-            z = cav_mu / np.sqrt(1 + 1 / cav_tau)
-            _, ratio = log_normal_cdf_np(z)
-            new_mu = cav_mu + ratio / (cav_tau * np.sqrt(1 + 1 / cav_tau))
-            new_var = np.maximum(1 / cav_tau - ratio * (z + ratio) / (cav_tau**2 * (1 + 1 / cav_tau)), 1e-12)
+            new_mu, new_var = tilted(cav_mu, 1 / cav_tau, model)
             tau = 0.5 * tau + 0.5 * np.maximum(1 / new_var - cav_tau, 0.0)
             nu = 0.5 * nu + 0.5 * (new_mu / new_var - cav_mu * cav_tau)
         prec = alpha * np.eye(n) + k.spread_pairs(a, b, m * tau, n)
@@ -247,9 +299,16 @@ def complete_ratings(ratings: DataFrame, rank: int = 30, iters: int = 30, num_it
     return model.userFactors.select("id", "features").mapInPandas(complete, "ranking_id int, items array<int>")
 
 
+#: Items of a block of ``score_grid``.
+GRID_ITEMS = 4_096
+
+
 def score_grid(user_factors: DataFrame, item_factors: DataFrame) -> DataFrame:
-    """(user, item, score): every user with every item; item factors go to each task as one array, if they are few."""
-    items = item_factors.agg(F.collect_list(F.struct("id", "features")).alias("all"))
+    """(user, item, score): every user (id, features) with every item (id, features), which is the result's own size.
+    Items are packed in blocks of about GRID_ITEMS, and users meet each block by its number, so no side is sent whole."""
+    blocks = max(1, -(-item_factors.count() // GRID_ITEMS))
+    items = item_factors.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "features")).alias("all"))
     dot = lambda f: F.aggregate(F.zip_with("features", f, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    rows = user_factors.join(F.broadcast(items)).select(F.col("id").alias("user"), "features", F.explode("all").alias("i"))
+    users = user_factors.select(F.col("id").alias("user"), "features", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
+    rows = users.join(items, "block").select("user", "features", F.explode("all").alias("i"))
     return rows.select("user", F.col("i.id").alias("item"), dot(F.col("i.features")).alias("score"))

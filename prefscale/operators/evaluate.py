@@ -13,6 +13,11 @@ from prefscale.functions.links import link as named_link
 from prefscale.operators.breaking import weight_of
 
 
+#: Models of up to so many rows (components x items) are sent to every task; the rows of a larger one go to the rankings
+#: that hold their items.
+MODEL_ROWS = 200_000
+
+
 def param_maps(params: DataFrame) -> DataFrame:
     """(component, thetas): one map item -> theta a component; as large as the model."""
     return params.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("item", "theta"))).alias("thetas"))
@@ -51,9 +56,23 @@ def ranking_log_likelihood(items: Column, thetas: Column) -> Column:
     return F.aggregate(F.reverse(items), start, step, lambda acc: acc["ll"])
 
 
+def is_small(params: DataFrame) -> bool:
+    return params.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS
+
+
+def own_maps(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """(items, component, thetas) for the distinct ``items`` of ``rows``: maps of their own items only."""
+    own = rows.select("items").distinct().select("items", F.explode(F.array_distinct("items")).alias("item")).join(params, "item")
+    return own.groupBy("items", "component").agg(F.map_from_entries(F.collect_list(F.struct("item", "theta"))).alias("thetas"))
+
+
 def pl_log_likelihood(rankings: DataFrame, params: DataFrame) -> DataFrame:
-    """(ranking_id, component, ll, weight). The model goes to every task as one map a component; nothing is shuffled."""
-    rows = rankings.select("ranking_id", "items", weight_of(rankings).alias("weight")).join(F.broadcast(param_maps(params)))
+    """(ranking_id, component, ll, weight). A small model goes to every task as one map a component; nothing is shuffled."""
+    rows = rankings.select("ranking_id", "items", weight_of(rankings).alias("weight"))
+    if is_small(params):
+        rows = rows.join(F.broadcast(param_maps(params)))
+    else:
+        rows = rows.join(params.select("component").distinct()).join(own_maps(rows, params), ["items", "component"], "left")
     return rows.select("ranking_id", "component", ranking_log_likelihood(F.col("items"), F.col("thetas")).alias("ll"), "weight")
 
 
@@ -66,10 +85,21 @@ def model_row(params: DataFrame, mixture: DataFrame) -> DataFrame:
     return rows.agg(F.array_sort(F.collect_list(F.struct("component", log_alpha.alias("log_alpha"), "thetas")), lambda a, b: a["component"] - b["component"]).alias("model"))
 
 
+def with_model(rows: DataFrame, params: DataFrame, mixture: DataFrame) -> DataFrame:
+    """``rows`` with ``model``, an array of (component, ln alpha, thetas); of a large model only the row's own items."""
+    if is_small(params):
+        return rows.join(F.broadcast(model_row(params, mixture)))
+    shares = model_row(params.groupBy("component").agg(F.min("item").alias("item")).withColumn("theta", F.lit(0.0)), mixture)
+    shares = shares.select(F.explode("model").alias("m")).select("m.component", "m.log_alpha")
+    own = own_maps(rows, params).join(shares, "component").groupBy("items")
+    own = own.agg(F.array_sort(F.collect_list(F.struct("component", "log_alpha", "thetas")), lambda a, b: a["component"] - b["component"]).alias("model"))
+    return rows.join(own, "items", "left")
+
+
 def responsibilities(rankings: DataFrame, params: DataFrame, mixture: DataFrame, trim: float | None = None, hard: bool = False, seed: object = 0) -> DataFrame:
     """(ranking_id, component, q, weight): posterior of each component. trim: smaller ones become 0 and the rest are
     scaled up; hard: one component is drawn by hash and gets 1."""
-    rows = rankings.select("ranking_id", "items", weight_of(rankings).alias("weight")).join(F.broadcast(model_row(params, mixture)))
+    rows = with_model(rankings.select("ranking_id", "items", weight_of(rankings).alias("weight")), params, mixture)
     logs = F.transform("model", lambda m: ranking_log_likelihood(F.col("items"), m["thetas"]) + m["log_alpha"])
     rows = rows.withColumn("logs", logs)
     rows = rows.withColumn("q", F.transform("logs", lambda x: F.exp(x - log_sum_exp(F.col("logs")))))
@@ -92,7 +122,7 @@ def mixture_weights(resp: DataFrame) -> DataFrame:
 
 def mixture_log_likelihood(rankings: DataFrame, params: DataFrame, mixture: DataFrame) -> DataFrame:
     """One row: ``ll``, the weighted mean over the rankings of ln of the mixture's likelihood."""
-    rows = rankings.select("items", weight_of(rankings).alias("weight")).join(F.broadcast(model_row(centre(params), mixture)))
+    rows = with_model(rankings.select("items", weight_of(rankings).alias("weight")), centre(params), mixture)
     logs = F.transform("model", lambda m: ranking_log_likelihood(F.col("items"), m["thetas"]) + m["log_alpha"])
     return rows.select(log_sum_exp(logs).alias("x"), "weight").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("ll"))
 
@@ -119,7 +149,7 @@ def expected_pair_vector(params: DataFrame, link: str = "logit") -> DataFrame:
 def pairwise_responsibilities(rankings: DataFrame, params: DataFrame, mixture: DataFrame, link: str = "logit") -> DataFrame:
     """(ranking_id, component, q, weight): the posterior when a ranking counts as independent comparisons."""
     cdf = named_link(link).cdf
-    rows = rankings.select("ranking_id", "items", weight_of(rankings).alias("weight")).join(F.broadcast(model_row(params, mixture)))
+    rows = with_model(rankings.select("ranking_id", "items", weight_of(rankings).alias("weight")), params, mixture)
 
     def score(m: Column) -> Column:
         ahead = lambda x, i: F.aggregate(F.slice("items", i + 2, F.size("items")), F.lit(0.0), lambda s, y: s + F.log(cdf(m["thetas"][x] - m["thetas"][y])))

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefscale.functions import kernels as k
+from prefscale.functions.hashing import key_streams, stream_uniforms
 from prefscale.functions.links import Link, link as named_link
 from prefscale.operators.breaking import pair_moments
-from prefscale.operators.estimators import params_frame, pass_over, wins_matrix
+from prefscale.operators.estimators import check_dense, params_frame, pass_over, wins_matrix
 from prefscale.operators.evaluate import responsibilities
 
 STEPS = ("mm", "spectral", "map", "gmm", "cml", "surrogate")
@@ -40,52 +41,72 @@ def random_start(components: int, n: int, seed: int) -> np.ndarray:
     return draw - draw.mean(1, keepdims=True)
 
 
-def pair_log_likelihood(thetas: np.ndarray, idx: np.ndarray, link: Link) -> np.ndarray:
-    """(rankings, components): each ranking as independent comparisons."""
+def spectral_step(flows: np.ndarray, nu: float) -> np.ndarray:
+    return k.centred(np.log(k.stationary(k.smooth_flows(flows, nu))))
+
+
+def pair_log_likelihood(thetas: np.ndarray, idx: np.ndarray, link: Link, pair_weights: np.ndarray | None = None) -> np.ndarray:
+    """(rankings, components): each ranking as independent comparisons, weighted by their pair if asked for."""
     out = np.zeros((len(idx), len(thetas)))
     for c, theta in enumerate(thetas):
         u = theta[np.maximum(idx, 0)]
         for t in range(idx.shape[1] - 1):
             there = idx[:, t + 1 :] >= 0
-            out[:, c] += np.where(there, np.log(np.maximum(link.np_cdf(u[:, t : t + 1] - u[:, t + 1 :]), 1e-300)), 0.0).sum(1)
+            w = 1.0 if pair_weights is None else pair_weights[np.maximum(idx[:, t : t + 1], 0), np.maximum(idx[:, t + 1 :], 0)]
+            out[:, c] += np.where(there, w * np.log(np.maximum(link.np_cdf(u[:, t : t + 1] - u[:, t + 1 :]), 1e-300)), 0.0).sum(1)
     return out
 
 
-def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm", start: np.ndarray | None = None, max_iters: int = 50, tol: float = 1e-6, seed: int = 0, link: str | Link = "logit", nu: float = 0.01, a0: float = 0.0, c: float = 1.0, d: float = 0.0, alpha0: float = 1.0, step_size: float = 0.5, trim: float | None = None, hard: bool = False) -> MixtureFit:
+def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm", start: np.ndarray | None = None, max_iters: int = 50, tol: float = 1e-6, seed: int = 0, link: str | Link = "logit", nu: float = 0.01, a0: float = 0.0, c: float = 1.0, d: float = 0.0, alpha0: float = 1.0, step_size: float = 0.5, trim: float | None = None, hard: bool | str = False, inner: int = 1, extra_refinement: bool = False, pair_weights: np.ndarray | None = None) -> MixtureFit:
     """EM with the given M step; stops when the squared change of the utilities is below tol. Rankings of one item count
-    for nothing. trim: smaller posteriors become 0; hard: the largest posterior becomes 1 (a classification step)."""
+    for nothing. trim: smaller posteriors become 0; hard: the largest posterior becomes 1, or with ``draw`` that of one
+    component drawn by a hash of (ranking_id, seed, iteration). spectral: ``inner`` Luce iterations, a pass each, with the
+    same posteriors; extra_refinement: a second run from the first one's end with up to 100. surrogate: pair_weights
+    (items x items, symmetric; say ``pair_weights_pca``) multiply the comparisons in both steps. All M steps but mm and
+    map make items x items tables, of at most MAX_ITEMS items."""
     if m_step not in STEPS:
         raise ValueError(m_step)
+    if extra_refinement and m_step == "spectral":
+        options = {"max_iters": max_iters, "tol": tol, "seed": seed, "nu": nu, "trim": trim, "hard": hard}
+        first = fit_mixture(rankings, components, n, m_step, start, **options)
+        more = fit_mixture(rankings, components, n, m_step, first.thetas, inner=100, **options)
+        return MixtureFit(more.thetas, more.alpha, first.log_likelihood + more.log_likelihood)
+    if m_step not in ("mm", "map"):
+        check_dense(n)
+    pair_w = None if pair_weights is None else np.asarray(pair_weights, float)
     thetas = random_start(components, n, seed) if start is None else np.array(start, float)
     alpha = np.full(components, 1 / components)
     fit, named = MixtureFit(thetas, alpha), named_link(link)
     per = {"mm": 2 * n, "map": 2 * n}.get(m_step, n * n)
     size = components * per
 
-    def job(thetas: np.ndarray, alpha: np.ndarray):
-        def work(idx: np.ndarray, weight: np.ndarray) -> np.ndarray:
-            like = pair_log_likelihood(thetas, idx, named) if m_step == "surrogate" else k.log_likelihood(thetas, idx)
+    def job(thetas: np.ndarray, alpha: np.ndarray, turn: int, at: np.ndarray):
+        """Sums under the posteriors of (thetas, alpha), with flows at the utilities ``at``."""
+
+        def work(idx: np.ndarray, weight: np.ndarray, key: np.ndarray) -> np.ndarray:
+            like = pair_log_likelihood(thetas, idx, named, pair_w) if m_step == "surrogate" else k.log_likelihood(thetas, idx)
             q, total = k.posterior(like + np.log(np.maximum(alpha, 1e-300)))
             if trim is not None:
                 q = np.where(q < trim, 0.0, q)
                 q /= np.maximum(q.sum(1, keepdims=True), 1e-300)
             if hard:
-                q = (np.arange(q.shape[1]) == q.argmax(1)[:, None]).astype(float)
+                own = (stream_uniforms(key_streams(key, seed, turn), 1) > np.cumsum(q, 1)[:, :-1]).sum(1) if hard == "draw" else q.argmax(1)
+                q = (np.arange(q.shape[1]) == own[:, None]).astype(float)
             out = []
             for j, theta in enumerate(thetas):
                 w = q[:, j] * weight
                 if m_step in ("mm", "map"):
                     out += [k.win_sums(idx, w, n), k.denominators(theta, idx, w)]
                 elif m_step == "spectral":
-                    out.append(k.flows(theta, idx, w).ravel())
+                    out.append(k.flows(at[j], idx, w).ravel())
                 else:
                     out.append(k.pair_sums(idx, w, n).ravel())
             return np.concatenate([*out, (q * weight[:, None]).sum(0), [(total * weight).sum(), weight.sum()]])
 
-        return pass_over(rankings, n, work, size + components + 2)
+        return pass_over(rankings, n, work, size + components + 2, keyed=True)
 
-    for _ in range(max_iters):
-        sums = job(fit.thetas, fit.alpha)
+    for turn in range(max_iters):
+        sums = job(fit.thetas, fit.alpha, turn, fit.thetas)
         stats, mass, total, m = sums[:size].reshape(components, per), sums[size:-2], sums[-2], sums[-1]
         if m == 0:
             break
@@ -100,8 +121,10 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
                 continue
             table = stats[j].reshape(n, n)
             if m_step == "spectral":
-                new.append(k.centred(np.log(k.stationary(k.smooth_flows(table, nu)))))
+                new.append(spectral_step(table, nu))
                 continue
+            if pair_w is not None:
+                table = table * pair_w
             met = (table + table.T) > 0
             table = table + nu * met
             p = np.where(met, table / np.where(met, table + table.T, 1.0), 0.0)
@@ -110,6 +133,11 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
             else:
                 best = k.fit_cml(table / max(table.sum(), 1e-300), named, 1e-6, old)
                 new.append((1 - step_size) * old + step_size * best if m_step == "surrogate" else best)
+        for _ in range(inner - 1 if m_step == "spectral" else 0):
+            flows = job(fit.thetas, fit.alpha, turn, np.array(new))[:size].reshape(components, n, n)
+            last, new = new, [spectral_step(table, nu) for table in flows]
+            if np.square(np.array(new) - np.array(last)).sum() < tol:
+                break
         change = float(np.square(np.array(new) - fit.thetas).sum())
         fit.thetas = np.array(new)
         if m_step == "map":
@@ -122,10 +150,34 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
     return fit
 
 
+def own_draws(q: np.ndarray, weight: np.ndarray, streams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, component, how many of the row's rankings have it, their summed unit exponentials per place).
+
+    A ranking of weight 1 draws one component. One of weight w stands for w rankings, each of which draws its own: their
+    numbers are multinomial, their summed exponentials gammas; a broken rest of w is one more, of that weight.
+    """
+    upto = np.cumsum(q, 1)[:, :-1]
+    u = stream_uniforms(streams, width + 1)
+    single = np.flatnonzero(weight == 1)
+    rows, kinds = [single], [(u[single, :1] > upto[single]).sum(1)]
+    counts, draws = [np.ones(len(single))], [-np.log(u[single, 1:])]
+    for i in np.flatnonzero(weight != 1):
+        own = np.random.Generator(np.random.Philox(key=int(streams[i])))
+        many = own.multinomial(int(weight[i]), q[i] / q[i].sum()).astype(float)
+        many[int((u[i, 0] > upto[i]).sum())] += weight[i] - int(weight[i])
+        here = np.flatnonzero(many)
+        rows.append(np.full(len(here), i))
+        kinds.append(here)
+        counts.append(many[here])
+        draws.append(own.gamma(many[here][:, None], size=(len(here), width)))
+    return np.concatenate(rows), np.concatenate(kinds), np.concatenate(counts), np.concatenate(draws)
+
+
 def sample_posterior(rankings: DataFrame, components: int, n: int, n_samples: int = 100, burn: int = 20, seed: int = 0, c: float = 1.0, d: float = 1.0, alpha0: float = 1.0, start: np.ndarray | None = None) -> MixtureFit:
     """Gibbs sampling; each sweep is one pass that draws every ranking's component and choice times and adds up what the
-    conditional gammas and the Dirichlet need. Draws come from a generator seeded by the sweep and the batch's content,
-    so they don't depend on how rows are dealt to tasks beyond the batches. Returns means over the kept sweeps."""
+    conditional gammas and the Dirichlet need. A ranking's draws come from a hash of (ranking_id, seed, sweep), so they
+    don't depend on how rows are dealt to tasks or batches; rows that repeat a ranking_id draw alike. Returns means over
+    the kept sweeps."""
     rng = np.random.default_rng(seed)
     p = np.exp(random_start(components, n, seed) if start is None else np.array(start, float))
     w = np.full(components, 1 / components)
@@ -133,20 +185,19 @@ def sample_posterior(rankings: DataFrame, components: int, n: int, n_samples: in
     for sweep in range(burn + n_samples):
         thetas, logs = np.log(p), np.log(w)
 
-        def work(idx: np.ndarray, weight: np.ndarray, thetas=thetas, logs=logs, sweep=sweep) -> np.ndarray:
-            own = np.random.default_rng([seed, sweep, int(idx.sum()) & 0x7FFFFFFF, len(idx)])
+        def work(idx: np.ndarray, weight: np.ndarray, key: np.ndarray, thetas=thetas, logs=logs, sweep=sweep) -> np.ndarray:
             q, _ = k.posterior(k.log_likelihood(thetas, idx) + logs)
-            z = (own.random(len(idx))[:, None] > np.cumsum(q, 1)[:, :-1]).sum(1) if q.shape[1] > 1 else np.zeros(len(idx), int)
+            rows, z, many, unit = own_draws(q, weight, key_streams(key, seed, sweep), idx.shape[1])
             out = []
             for j, theta in enumerate(thetas):
-                mine, got = idx[z == j], weight[z == j]
+                own = z == j
+                mine, got = idx[rows[own]], many[own]
                 s, on = k.suffix_sums(theta, mine), k.choosing(mine)
-                y = np.where(on, own.exponential(size=mine.shape) / np.where(on, s, 1.0), 0.0)
-                run, there = np.cumsum(y, 1) * got[:, None], mine >= 0
+                run, there = np.cumsum(np.where(on, unit[own] / np.where(on, s, 1.0), 0.0), 1), mine >= 0
                 out += [k.win_sums(mine, got, n), np.bincount(mine[there], run[there], n)]
-            return np.concatenate([*out, np.bincount(z, weight, len(thetas))])
+            return np.concatenate([*out, np.bincount(z, many, len(thetas))])
 
-        sums = pass_over(rankings, n, work, components * per + components)
+        sums = pass_over(rankings, n, work, components * per + components, keyed=True)
         stats, mass = sums[: components * per].reshape(components, 2, n), sums[components * per :]
         p = rng.gamma(c + stats[:, 0], 1 / (d + stats[:, 1])) + 1e-300
         w = rng.dirichlet(alpha0 + mass)

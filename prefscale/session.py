@@ -33,12 +33,14 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there: its lineage ends here.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a temporary one is made.
+    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process (tests,
+    a laptop) a temporary one is made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prefscale-checkpoint-"))
     return df.checkpoint(eager=True)
