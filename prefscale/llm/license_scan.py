@@ -5,7 +5,8 @@ occurs in some template (matching statistics). Runs that cannot be longer and ha
 anchored at their places in the templates and chained, in order in the file and in the template and without long gaps;
 a template's span is reported if its best chain covers enough of it. A licence has several templates, each covered for
 itself: the head, further parts and the warranty. Its short notices, and templates of fewer than ``min_run`` words, hold
-no long run and are found whole or not at all. Phrases are found beside, word by word.
+no long run and are found whole or not at all; they and the base phrases have an automaton of their own, through which
+the words stream too: where the run that ends at a word is as long as one of them that ends the same way, it stands there.
 
 Defined results: a null or empty text has no words, no labels and the score 0; every row of the input gives one row; the
 text is scanned whole, in one pass, whatever its length. Labels name the wordings that a text has, not which of them
@@ -123,27 +124,59 @@ class SuffixAutomaton:
             self.link[new] = self._split(at, word)
         return new
 
+    def state_of(self, words: list[int]) -> int:
+        state = 0
+        for word in words:
+            state = self.next[state][word]
+        return state
+
+    def step(self, state: int, length: int, word: int) -> tuple[int, int]:
+        """The state and the length of the longest run that ends at the next word."""
+        while state and word not in self.next[state]:
+            state = self.link[state]
+            length = self.long[state]
+        there = self.next[state].get(word)
+        return (0, 0) if there is None else (there, length + 1)
+
     def runs(self, words: list[int], offset: int, least: int) -> Iterator[tuple[int, int, int]]:
         """(first word, words, state) of each longest run of at least ``least`` words that doesn't lie in a longer one."""
         state = length = 0
         for at, word in enumerate(words):
-            moves = self.next[state]
-            if word in moves:
-                state, length = moves[word], length + 1
+            if word in self.next[state]:
+                state, length = self.next[state][word], length + 1
                 continue
             if length >= least:
                 yield offset + at - length, length, state
-            while state and word not in self.next[state]:
-                state = self.link[state]
-                length = self.long[state]
-            if word in self.next[state]:
-                state, length = self.next[state][word], length + 1
-            else:
-                length = 0
+            state, length = self.step(state, length, word)
         if length >= least:
             yield offset + len(words) - length, length, state
 
 
+class ShortWordings:
+    """Phrases and notices in an automaton: each state knows which of them its runs end with."""
+
+    def __init__(self, wordings: list[list[int]]):
+        self.sizes = [len(w) for w in wordings]
+        self.least = min(self.sizes, default=1)
+        self.automaton = SuffixAutomaton(wordings)
+        links, own = self.automaton.link, {}
+        for number, words in enumerate(wordings):
+            own.setdefault(self.automaton.state_of(words), []).append(number)
+        self.ending: list[list[int]] = [[] for _ in links]
+        for state in sorted(range(1, len(links)), key=self.automaton.long.__getitem__):
+            self.ending[state] = own.get(state, []) + self.ending[links[state]]
+
+    def places(self, words: list[int], offset: int) -> Iterator[tuple[int, int]]:
+        """(number of the wording, first word) of each place where one stands."""
+        step, ending, sizes = self.automaton.step, self.ending, self.sizes
+        state = length = 0
+        for at, word in enumerate(words):
+            state, length = step(state, length, word)
+            for number in ending[state]:
+                if sizes[number] <= length:
+                    yield number, offset + at + 1 - sizes[number]
+
+
 class Scanner:
     """Phrases and templates made ready for scanning."""
 
@@ -158,16 +191,9 @@ class Scanner:
         self.automaton = SuffixAutomaton(texts)
         whole = [x for x in every if 0 < len(x[1]) < min_run]
         whole += [(k, n) for k in sorted(notices or {}) for t in notices[k] if (n := self._numbers(t))]
-        sizes = {number: len(word) for word, number in self.vocab.items()}
-        #: By a notice's longest word: (label, notice, the word's place in it).
-        self.notices: dict[int, list[tuple[str, list[int], int]]] = {}
-        for label, words in whole:
-            at = max(range(len(words)), key=lambda i: sizes[words[i]])
-            self.notices.setdefault(words[at], []).append((label, words, at))
-        self.phrases = [(np.array(self._numbers(p)), label) for p, label in phrases.items()]
+        base = [(label, n) for p, label in phrases.items() if (n := self._numbers(p))]
+        self.short, self.labels, self.phrases = ShortWordings([n for _, n in base + whole]), [label for label, _ in base + whole], len(base)
         self.min_run, self.max_gap, self.coverage = min_run, max_gap, coverage
-        self.pivots = np.zeros(len(self.vocab) + 1, bool)
-        self.pivots[list(self.notices)] = True
 
     def _numbers(self, text: str) -> list[int]:
         return [self.vocab.setdefault(w, len(self.vocab) + 1) for w in WORDS.findall(text.encode().lower())]
@@ -176,43 +202,35 @@ class Scanner:
         words = WORDS.findall(text.encode().lower()) if text else []
         get = self.vocab.get
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-        places, labels = [], set()
-        for phrase, label in self.phrases:
-            k = len(phrase)
-            if len(ids) >= k:
-                hits = np.ones(len(ids) - k + 1, bool)
-                for i in range(k):
-                    hits &= ids[i : len(ids) - k + 1 + i] == phrase[i]
-                if hits.any():
-                    labels.add(label)
-                    places.append(np.flatnonzero(hits))
-        spans = self.whole(ids) + self.spans(ids)
-        found = np.concatenate(places) if places else np.zeros(0, np.int64)
+        known = np.r_[False, ids > 0, False]
+        edges = np.flatnonzero(known[1:] != known[:-1]).reshape(-1, 2)  # runs of words that are in some wording
+        segments = [(int(a), ids[a:b].tolist()) for a, b in edges[(edges[:, 1] - edges[:, 0]) >= min(self.short.least, self.min_run)]]
+        found = [x for at, part in segments for x in self.short.places(part, at)]
+        base = [(number, at) for number, at in found if number < self.phrases]
+        labels = {self.labels[number] for number, _ in base}
+        spans = self.whole(found) + self.spans(segments)
         score = 1.0 if labels else max((s[3] for s in spans), default=0.0)
         every = labels | {s[0] for s in spans if s[3] >= self.coverage}
-        first, last = (int(found.min()), int(found.max())) if len(found) else (None, None)
-        return len(words), len(found), first, last, ",".join(sorted(labels)), ",".join(sorted(every)), float(score), [s for s in spans if s[3] >= self.coverage]
+        first, last = (min(at for _, at in base), max(at for _, at in base)) if base else (None, None)
+        return len(words), len(base), first, last, ",".join(sorted(labels)), ",".join(sorted(every)), float(score), [s for s in spans if s[3] >= self.coverage]
 
-    def whole(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
+    def whole(self, found: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
         """Each label's first notice: (label, first word, last word, 1.0)."""
         first: dict[str, tuple[int, int]] = {}
-        for place in np.flatnonzero(self.pivots[ids]).tolist():
-            for label, words, at in self.notices[ids[place]]:
-                start = place - at
-                if start >= 0 and ids[start : start + len(words)].tolist() == words:
-                    span = (start, start + len(words) - 1)
-                    first[label] = min(first.get(label, span), span)
+        for number, at in found:
+            if number >= self.phrases:
+                span = (at, at + self.short.sizes[number] - 1)
+                first[self.labels[number]] = min(first.get(self.labels[number], span), span)
         return [(label, a, b, 1.0) for label, (a, b) in sorted(first.items())]
 
-    def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
+    def spans(self, segments: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
         """Per template, the best chain of long matches: (label, first word, last word, share of the template)."""
-        known = np.r_[False, ids > 0, False]
-        edges = np.flatnonzero(known[1:] != known[:-1]).reshape(-1, 2)
         anchors: dict[int, list] = {}
-        for a, b in edges[(edges[:, 1] - edges[:, 0]) >= self.min_run]:
-            for start, length, state in self.automaton.runs(ids[a:b].tolist(), int(a), self.min_run):
-                for number, end in self.automaton.ends[state]:
-                    anchors.setdefault(number, []).append((start, end - length + 1, length))
+        for at, part in segments:
+            if len(part) >= self.min_run:
+                for start, length, state in self.automaton.runs(part, at, self.min_run):
+                    for number, end in self.automaton.ends[state]:
+                        anchors.setdefault(number, []).append((start, end - length + 1, length))
         out = []
         for number, matches in sorted(anchors.items()):
             start, end, covered = self.chain(sorted(matches))
@@ -252,5 +270,22 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str | Sequence[str]]
     return rows.select("doc_id", "found.*")
 
 
+def op7_license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the same scan: words, and places and labels of the base phrases."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+PLACES = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS spot, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) - {len(p.split()) - 2})) AS i FROM d) WHERE w[i : i + {len(p.split()) - 1}] = [{', '.join(repr(x) for x in p.split())}]" for p, label in PHRASES.items())
+ORACLE_BASE = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+h AS ({PLACES}),
+g AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

@@ -13,6 +13,7 @@ QUERIES = {
     "op5_pieces": pieces.op5_pieces,
     "op6_quality": quality.op6_quality,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op7_license_scan_base": license_scan.op7_license_scan_base,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
@@ -22,6 +23,7 @@ SQL = {
     "op2_url_filter": url_filter.ORACLE,
     "op3_ngram_join": ngram_join.ORACLE,
     "op4_top_k": top_k.ORACLE,
+    "op7_license_scan_base": license_scan.ORACLE_BASE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -167,6 +168,50 @@ def test_automaton_gives_longest_runs():
             assert own[t][end - n + 1 : end + 1] == words[a : a + n]
 
 
+def plain_scan(text, templates, phrases, notices, min_run, max_gap, coverage):
+    """The scan by comparing everything with everything."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    stands = lambda p: [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+    base = sorted((i, label) for p, label in phrases.items() for i in stands(p.split()))
+    spans = [(label, min((i, i + len(n.split()) - 1) for n in ns for i in stands(n.split())), 1.0) for label, ns in sorted(notices.items()) if any(stands(n.split()) for n in ns)]
+    every = [(label, t.split()) for label, ts in sorted(templates.items()) for t in ts]
+    inside = lambda run: any(t[k : k + len(run)] == run for _, t in every for k in range(len(t)))
+    longest = [max(n for n in range(e + 2) if inside(words[e + 1 - n : e + 1])) for e in range(len(words))]
+    runs = [(e + 1 - n, n) for e, n in enumerate(longest) if n >= min_run and (e + 1 == len(words) or longest[e + 1] <= n)]
+    for label, t in every:
+        anchors = [(a, k, n) for a, n in runs for k in range(len(t) - n + 1) if t[k : k + n] == words[a : a + n]]
+        best = None
+        for size in range(1, len(anchors) + 1):  # every chain there is
+            for c in itertools.combinations(sorted(anchors), size):
+                if all(0 <= q[0] - p[0] - p[2] <= max_gap and q[1] >= p[1] + p[2] for p, q in zip(c, c[1:])):
+                    one = (sum(x[2] for x in c), -c[0][0], c[-1][0] + c[-1][2] - 1)
+                    best = max(best or one, one, key=lambda x: x[:2])
+        if best:
+            spans.append((label, (-best[1], best[2]), best[0] / len(t)))
+    labels = {label for _, label in base}
+    score = 1.0 if labels else max((c for _, _, c in spans), default=0.0)
+    return len(words), len(base), ",".join(sorted(labels)), ",".join(sorted(labels | {lab for lab, _, c in spans if c >= coverage})), score, sorted((lab, round(c, 9)) for lab, _, c in spans if c >= coverage)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_scans_by_brute_force(seed):
+    rng = random.Random(seed)
+    vocab = "abcdefgh"[: rng.randrange(4, 9)]
+    words = lambda k: " ".join(rng.choice(vocab) for _ in range(k))
+    templates = {lab: tuple(words(rng.randrange(6, 14)) for _ in range(rng.randrange(1, 3))) for lab in "xyz"}
+    phrases, notices = {words(3): "p", words(2): "q"}, {"n": (words(3), words(4)), "x": (words(5),)}
+    scanner = Scanner(templates, phrases, 3, 4, 0.5, notices)
+    for _ in range(12):
+        parts = [words(rng.randrange(0, 5))]
+        for lab in rng.sample("xyz", 2):
+            t = rng.choice(templates[lab]).split()
+            parts += [" ".join(t[:4]), "other " * rng.randrange(0, 7), " ".join(t[rng.randrange(3, 6) :])]
+        text = " ".join(parts)
+        want = plain_scan(text, templates, phrases, notices, 3, 4, 0.5)
+        n_words, n_base, _, _, base_labels, labels, score, spans = scanner.scan(text)
+        assert (n_words, n_base, base_labels, labels, pytest.approx(score), sorted((lab, round(c, 9)) for lab, _, _, c in spans)) == want
+
+
 def test_license_phrases_by_brute_force(spark):
     texts = ["The MIT-License: the mit license", "x cc by nc cc by nc", "apache license, version 2.0 é", TEMPLATES["gpl"].upper(), "cc by, nc the mit license " * 3, None, "", LONG, " ".join(TEMPLATES["bsd"].split()[:30] + ["unrelated"] * 3 + TEMPLATES["bsd"].split()[30:])]
     rows = [(i, t, "a") for i, t in enumerate(texts)]
