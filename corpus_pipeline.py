@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each text."""
-    return pieces.encode_texts(docs).select("doc_id", "lang", "source", "pieces", "n_pieces", "piece_score", "runner_up")
+    """The pieces of each text, and those of the next best segmentation."""
+    return pieces.encode_texts(docs).select("doc_id", "lang", "source", "pieces", "n_pieces", "piece_score", "runner_up", "alternatives")
 
 
 STAGES = [
