@@ -28,6 +28,8 @@ from prefscale.session import cut, ship, table
 
 #: Bytes of texts that a trie holds before it spills a subtree.
 TRIE_BYTES = 96 << 20
+#: Owners of up to so many texts, of some 50 bytes each, are sent to every task.
+BROADCAST_TEXTS = 100_000
 #: What a node costs beside its label.
 NODE_BYTES = 200
 #: Stands for a missing doc_id, as it is larger than all others.
@@ -186,10 +188,12 @@ def text_owners(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
 
 def exact_groups(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 (of the normalised text); every row stays, other columns too."""
-    found = cut(text_owners(docs, budget)).withColumnRenamed("text_key", "_key")
+    found = cut(text_owners(docs, budget))
+    few = found.count() <= BROADCAST_TEXTS  # then the rows needn't be shuffled to meet them
+    found = found.withColumnRenamed("text_key", "_key")
     made = ("keep_id", "group_size", "kept", "text_sha256")
     rows = docs.drop(*made).withColumn("text_sha256", F.sha2(F.encode(normal_text(F.col("text")), "UTF-8"), 256))
-    rows = rows.join(found, F.unhex(rows["text_sha256"]) == found["_key"], "left").drop("_key")
+    rows = rows.join(F.broadcast(found) if few else found, F.unhex(rows["text_sha256"]) == found["_key"], "left").drop("_key")
     alone = F.col("group_size").isNull()
     rows = rows.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")))
     rows = rows.withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
@@ -206,6 +210,8 @@ def exact_dedup(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts, the one with the smallest doc_id; of rows that repeat it with other
     white space, the smallest text."""
     rows = exact_groups(packed(docs, "doc_id", "text"), budget).where("kept")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # then an owner is one row
+        return unpacked(rows)
     return unpacked(one_of_each(rows, "text").where("kept"))
 
 

@@ -413,13 +413,23 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of ``docs`` from each component, the one whose doc_id names it; rows without a doc_id stay."""
-    parts = link_components(docs.select("doc_id", "text"), k, percent)
-    gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    one = W.partitionBy("doc_id").orderBy("text")
-    rows = packed(docs.where("doc_id is not null"), "doc_id", "text").join(gone, "doc_id", "left_anti")
-    rows = unpacked(rows.withColumn("n", F.row_number().over(one)).where("n = 1"))
-    return rows.unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` from each component, the one whose doc_id names it; rows without a doc_id stay. Rows that repeat
+    a doc_id are compared each for itself: those with the same text are one, those with other texts have their own
+    components, of which the smallest (doc_id, text) stays."""
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        parts = cut(link_components(docs.select("doc_id", "text"), k, percent))
+        gone = parts.where("doc_id <> component_id").select("doc_id")
+        few = gone.count() <= BROADCAST_IDS  # then the rows needn't be shuffled to lose them
+        return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = W.partitionBy("doc_id", "text").orderBy(F.lit(1))
+    rows = packed(known, "doc_id", "text").withColumn("n", F.row_number().over(once)).where("n = 1")
+    # numbers that rise with (doc_id, text): ranges in the order of partitions, sorted within
+    rows = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = cut(rows.select("text", "_packed", F.monotonically_increasing_id().alias("row")))
+    parts = link_components(rows.select(F.col("row").alias("doc_id"), "text"), k, percent)
+    stay = parts.where("doc_id = component_id").select(F.col("doc_id").alias("row"))
+    return unpacked(rows.join(stay, "row", "left_semi")).unionByName(docs.where("doc_id is null"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,3 +199,25 @@ def test_near_awkward_rows(spark):
     assert kept.columns == documents(spark).columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 8, 9]
     assert ngram_join.near_dedup(empty(spark)).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_compared_each_for_itself(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "y"), (7, b, "x"), (None, a, "x"), (8, "", "x"), (8, "", "x")]
+    for n in (1, 4):
+        kept = ngram_join.near_dedup(documents(spark, rows).repartition(n)).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, a), (3, a), (5, b), (8, "")]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_large_tables_of_ids_are_not_sent(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", few)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_TEXTS", few)
+    rows = near_rows(random.Random(4))[:120]
+    docs = documents(spark, [(i, t, "a") for i, t in rows])
+    want = brute_components(rows, 4, 85)
+    assert {r["doc_id"] for r in ngram_join.near_dedup(docs).collect()} == {c for _, c in want.values()}
+    first = {}
+    for i, t in rows:
+        first[t] = min(first.get(t, i), i)
+    assert {r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect()} == set(first.values())
