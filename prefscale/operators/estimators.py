@@ -17,7 +17,7 @@ from prefscale.functions import kernels as k
 from prefscale.functions.links import Link, link as named_link
 from prefscale.operators.breaking import pair_counts, pair_probs, weight_of
 from prefscale.operators.consensus import win_counts
-from prefscale.session import cut, ship
+from prefscale.session import cut, kept, ship
 
 #: Item-by-item tables are made and solved in one place up to this number of items.
 MAX_ITEMS = 3_000
@@ -117,14 +117,15 @@ def luce_spectral(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int
     most MAX_ITEMS items; ``luce_mm`` has the same solution and no such limit."""
     check_dense(n)
     pi = np.full(n, 1 / n)
-    for _ in range(max_iters):
-        theta = np.log(pi)
-        rates = pass_over(rankings, n, lambda idx, w, theta=theta: k.flows(theta, idx, w), n * n).reshape(n, n)
-        new = k.stationary(k.smooth_flows(rates, nu))
-        done = np.linalg.norm(new - pi) < tol
-        pi = new
-        if done:
-            break
+    with kept(rankings) as rows:
+        for _ in range(max_iters):
+            theta = np.log(pi)
+            rates = pass_over(rows, n, lambda idx, w, theta=theta: k.flows(theta, idx, w), n * n).reshape(n, n)
+            new = k.stationary(k.smooth_flows(rates, nu))
+            done = np.linalg.norm(new - pi) < tol
+            pi = new
+            if done:
+                break
     return params_frame(rankings, k.centred(np.log(pi)))
 
 
@@ -132,19 +133,20 @@ def luce_spectral_map(rankings: DataFrame, n: int, a0: float = 1.0, b0: float |
     """The same with a gamma prior, by its fixed point pi = (wins + a0 d) / (denominators + b0), where d is the mass of
     the prior's own state. Returns params and d."""
     b0 = float(n) if b0 is None else b0
-    wins = wins_of(rankings, n)
     pi, d = np.full(n, 1 / (n + 1)), 1 / (n + 1)
-    for _ in range(max_iters):
-        theta = np.log(pi)
-        den = pass_over(rankings, n, lambda idx, w, theta=theta: k.denominators(theta, idx, w), n)
-        new = (wins + a0 * d) / (den + b0)
-        new_d = b0 * new.sum() / (a0 * n)
-        total = new.sum() + new_d
-        new, new_d = new / total, new_d / total
-        done = np.linalg.norm(new - pi) < tol
-        pi, d = new, new_d
-        if done:
-            break
+    with kept(rankings) as rows:
+        wins = wins_of(rows, n)
+        for _ in range(max_iters):
+            theta = np.log(pi)
+            den = pass_over(rows, n, lambda idx, w, theta=theta: k.denominators(theta, idx, w), n)
+            new = (wins + a0 * d) / (den + b0)
+            new_d = b0 * new.sum() / (a0 * n)
+            total = new.sum() + new_d
+            new, new_d = new / total, new_d / total
+            done = np.linalg.norm(new - pi) < tol
+            pi, d = new, new_d
+            if done:
+                break
     return params_frame(rankings, k.centred(np.log(pi))), float(d)
 
 
@@ -157,15 +159,16 @@ def wins_of(rankings: DataFrame, n: int) -> np.ndarray:
 
 def luce_mm(rankings: DataFrame, n: int, alpha: float = 0.0, max_iters: int = 200, tol: float = 1e-9) -> DataFrame:
     """Minorise-maximise: theta = ln((wins + alpha) / (denominators + alpha)), until the change is small."""
-    wins = wins_of(rankings, n)
     theta = np.zeros(n)
-    for _ in range(max_iters):
-        den = pass_over(rankings, n, lambda idx, w, theta=theta: k.denominators(theta, idx, w), n)
-        new = k.centred(np.log(np.maximum(wins + alpha, 1e-12) / np.maximum(den + alpha, 1e-12)))
-        done = np.abs(new - theta).sum() <= tol * n
-        theta = new
-        if done:
-            break
+    with kept(rankings) as rows:
+        wins = wins_of(rows, n)
+        for _ in range(max_iters):
+            den = pass_over(rows, n, lambda idx, w, theta=theta: k.denominators(theta, idx, w), n)
+            new = k.centred(np.log(np.maximum(wins + alpha, 1e-12) / np.maximum(den + alpha, 1e-12)))
+            done = np.abs(new - theta).sum() <= tol * n
+            theta = new
+            if done:
+                break
     return params_frame(rankings, theta)
 
 

@@ -19,6 +19,7 @@ from prefscale.functions.links import Link, link as named_link
 from prefscale.operators.breaking import pair_moments
 from prefscale.operators.estimators import check_dense, params_frame, pass_over, wins_matrix
 from prefscale.operators.evaluate import responsibilities
+from prefscale.session import kept
 
 STEPS = ("mm", "spectral", "map", "gmm", "cml", "surrogate")
 
@@ -66,10 +67,15 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
     map make items x items tables, of at most MAX_ITEMS items."""
     if m_step not in STEPS:
         raise ValueError(m_step)
+    if not rankings.is_cached:
+        given = {x: v for x, v in locals().items() if x != "rankings"}
+        with kept(rankings) as rows:
+            return fit_mixture(rows, **given)
     if extra_refinement and m_step == "spectral":
         options = {"max_iters": max_iters, "tol": tol, "seed": seed, "nu": nu, "trim": trim, "hard": hard}
-        first = fit_mixture(rankings, components, n, m_step, start, **options)
-        more = fit_mixture(rankings, components, n, m_step, first.thetas, inner=100, **options)
+        with kept(rankings) as rows:
+            first = fit_mixture(rows, components, n, m_step, start, **options)
+            more = fit_mixture(rows, components, n, m_step, first.thetas, inner=100, **options)
         return MixtureFit(more.thetas, more.alpha, first.log_likelihood + more.log_likelihood)
     if m_step not in ("mm", "map"):
         check_dense(n)
@@ -178,10 +184,13 @@ def sample_posterior(rankings: DataFrame, components: int, n: int, n_samples: in
     conditional gammas and the Dirichlet need. A ranking's draws come from a hash of (ranking_id, seed, sweep), so they
     don't depend on how rows are dealt to tasks or batches; rows that repeat a ranking_id draw alike. Returns means over
     the kept sweeps."""
+    if not rankings.is_cached:
+        with kept(rankings) as rows:
+            return sample_posterior(rows, components, n, n_samples, burn, seed, c, d, alpha0, start)
     rng = np.random.default_rng(seed)
     p = np.exp(random_start(components, n, seed) if start is None else np.array(start, float))
     w = np.full(components, 1 / components)
-    kept, shares, per = np.zeros((components, n)), np.zeros(components), 2 * n
+    summed, shares, per = np.zeros((components, n)), np.zeros(components), 2 * n
     for sweep in range(burn + n_samples):
         thetas, logs = np.log(p), np.log(w)
 
@@ -203,9 +212,9 @@ def sample_posterior(rankings: DataFrame, components: int, n: int, n_samples: in
         w = rng.dirichlet(alpha0 + mass)
         if sweep >= burn:
             logp = np.log(p)
-            kept += logp - logp.mean(1, keepdims=True)
+            summed += logp - logp.mean(1, keepdims=True)
             shares += w
-    return MixtureFit(kept / n_samples, shares / n_samples)
+    return MixtureFit(summed / n_samples, shares / n_samples)
 
 
 def mixture_moments(rankings: DataFrame, components: int, n: int, lambd: float = 1e-3, link: str | Link = "logit", seed: int = 0, iters: int = 500) -> MixtureFit:
