@@ -33,8 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segmentations of a text; those of the query.
 N_BEST, N_BEST_QUERY = 2, 4
-#: Chunks that a worker remembers at most, and the longest that it remembers.
-REMEMBERED, LONGEST = 250_000, 40
+#: Chunks that a worker remembers at most, with their best segmentation and with their N best, and the longest of them.
+REMEMBERED, SEARCHED, LONGEST = 250_000, 50_000, 40
 #: Texts, and characters of texts, that are encoded together at most.
 TOGETHER, TOGETHER_CHARS = 1_000, 1_000_000
 #: How far below the lowest score of any piece a character without one is scored.
@@ -92,7 +92,7 @@ class PieceCodec:
 
     def remember(self, chunk: str, found: list) -> list:
         if len(chunk) <= LONGEST:
-            if len(self.memory) >= REMEMBERED:
+            if len(self.memory) >= SEARCHED:
                 self.memory.clear()
             self.memory[chunk] = found
         return found
@@ -378,20 +378,22 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
 
 
-def encode_texts(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> DataFrame:
+def encode_texts(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, decode: bool = False) -> DataFrame:
     """``docs`` with pieces (ids), n_pieces and piece_score of the best segmentation, runner_up (score of the second) and
-    alternatives (score and pieces of the second to the ``n_best``-th, fewer if there are no more); other columns stay,
-    those of the same names are replaced. A task holds the pieces of some texts at a time, not of a whole batch."""
+    alternatives (score and pieces of the second to the ``n_best``-th, fewer if there are no more), and, if asked for,
+    decoded (what the pieces stand for, so that a round trip takes one Python worker); other columns stay, those of the
+    same names are replaced. A task holds the pieces of some texts at a time, not of a whole batch."""
     spark = docs.sparkSession
     ship(spark)
     codec = spark.sparkContext.broadcast(PieceCodec.load(model, n_best))  # as large as the vocabulary
-    fields = T.StructType.fromDDL(MADE).fields
+    fields = T.StructType.fromDDL(f"{MADE}, decoded string" if decode else MADE).fields
     made = [f.name for f in fields]
     rows = docs.drop(*made)
     schema = T.StructType([*rows.schema.fields, *fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(codec)
+        speller = Speller(codec.value.bytes_of) if decode else None
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -408,6 +410,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> D
                 ends = np.cumsum([0, *(len(g) - 1 for g in got)], dtype=np.int32)
                 new = [lists([g[0][1] for g in got]), pa.array([len(g[0][1]) for g in got], pa.int64()), pa.array([g[0][0] for g in got], pa.float64())]
                 new += [pa.array([g[1][0] if len(g) > 1 else None for g in got], pa.float64()), pa.ListArray.from_arrays(pa.array(ends), others)]
+                new += [pa.array([speller.decode(g[0][1]) for g in got], pa.string())] if speller else []
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, *new], [*batch.schema.names, *made])
                 at += len(texts)
 
@@ -430,7 +433,7 @@ def decode_pieces(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode_pieces(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), n_best=N_BEST_QUERY))
+    rows = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), n_best=N_BEST_QUERY, decode=True)
     spelled = lambda ids: F.array_join(ids.cast("array<string>"), " ")
     others = F.array_join(F.transform("alternatives", lambda x: F.concat(x["score"].cast("string"), F.lit(":"), spelled(x["pieces"]))), "|")
     return rows.select(

@@ -403,4 +403,6 @@ def test_round_trip_of_awkward_rows(spark):
     rows = pieces.decode_pieces(pieces.encode_texts(documents(spark)))
     got = rows.collect()
     assert len(got) == len(ROWS) and all(r["decoded"] == (r["text"] or "") for r in got)
+    both = pieces.encode_texts(documents(spark), decode=True).collect()
+    assert sorted((r["doc_id"] or 0, r["decoded"]) for r in both) == sorted((r["doc_id"] or 0, r["decoded"]) for r in got)
     assert pieces.encode_texts(empty(spark)).count() == 0
