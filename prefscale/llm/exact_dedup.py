@@ -5,8 +5,10 @@ trie, so that a group of copies leaves it as one row however large it is. These
 content hash, and a second set of tries, one per partition, finds each text's owner: the smallest identifier at its
 terminal node. Owners of more than one row are joined back to the thin rows (identifier, hash).
 
-A trie that outgrows its budget gives up its heaviest subtree: the subtree's texts, and all later ones that fall under
-it, go to a scratch file of the task and are worked off on their own at the end, one level deeper.
+A trie that outgrows its budget spills its heaviest subtree: the subtree's texts, each once with what is known of it so
+far, go on to the shuffle, where they meet the later ones. The second tries get their texts sorted by length and hash,
+so they give out what they hold whenever they outgrow their budget at the end of a key. So spilled texts lie in Spark's
+own shuffle and sort files, and no task keeps files of its own.
 
 Defined results: a null text counts as empty; a group whose doc_ids are all null has a null owner, and so on its rows
 keep_id is null; rows that repeat both doc_id and text are copies, of which one is kept.
@@ -14,8 +16,6 @@ keep_id is null; rows that repeat both doc_id and text are copies, of which one
 
 from __future__ import annotations
 
-import pickle
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,28 +62,31 @@ def common(a: bytes, b: bytes, start: int) -> int:
 
 
 class Trie:
-    """A Patricia trie of byte strings with spill by subtree. ``depth``: bytes that all its strings share."""
+    """A Patricia trie of byte strings with spill by subtree."""
 
-    def __init__(self, budget: int = TRIE_BYTES, depth: int = 0):
-        self.budget, self.depth, self.held = budget, depth, 0
+    def __init__(self, budget: int = TRIE_BYTES):
+        self.budget, self.held = budget, 0
         self.root = Node(b"")
         self.weight: dict[int, int] = {}  # bytes held below each child of the root
-        self.spilled: dict[int, object] = {}  # scratch files by the child's first byte
 
     def add(self, body: bytes, key: bytes, owner: int, count: int) -> None:
-        first = body[self.depth] if len(body) > self.depth else -1
-        if first in self.spilled:
-            pickle.dump((body[self.depth :], key, owner, count), self.spilled[first], protocol=5)
-            return
         more = self._insert(body, key, owner, count)
         self.held += more
+        first = body[0] if body else -1
         self.weight[first] = self.weight.get(first, 0) + more
-        if self.held > self.budget:
-            self._spill()
+
+    def full(self) -> bool:
+        return self.held > self.budget
+
+    def spill(self) -> Iterator[tuple[bytes, bytes, int, int]]:
+        """Takes the heaviest subtree below the root out and gives its entries; nothing, if only the empty string is held."""
+        heavy = max((b for b in self.weight if b >= 0), key=self.weight.get, default=None)
+        if heavy is not None:
+            self.held -= self.weight.pop(heavy)
+            yield from self._walk(self.root.children.pop(heavy), b"")
 
     def _insert(self, body: bytes, key: bytes, owner: int, count: int) -> int:
-        node, at = self.root, self.depth
-        more = 0
+        node, at, more = self.root, 0, 0
         while at < len(body):
             if node.children is None:
                 node.children = {}
@@ -115,48 +118,15 @@ class Trie:
                 yield here, node.key, node.owner, node.count
             stack.extend((c, here) for c in (node.children or {}).values())
 
-    def _spill(self) -> None:
-        heavy = max((b for b in self.weight if b >= 0), key=self.weight.get, default=None)
-        if heavy is None or heavy not in (self.root.children or {}):
-            return
-        out = self.spilled[heavy] = tempfile.TemporaryFile()
-        for entry in self._walk(self.root.children.pop(heavy), b""):
-            pickle.dump(entry, out, protocol=5)
-        self.held -= self.weight.pop(heavy)
-
     def entries(self) -> Iterator[tuple[bytes, bytes, int, int]]:
-        """(body from ``depth`` on, key, owner, count) of every distinct string; spilled subtrees come last."""
-        yield from self._walk(self.root, b"")
-        self.root = Node(b"")
-        for first in list(self.spilled):
-            file = self.spilled.pop(first)
-            head = None  # what all strings of the subtree begin with
-            for body, *_ in loaded(file):
-                head = body if head is None else head[: common(head, body, 0)]
-            below = Trie(self.budget, len(head))
-            for entry in loaded(file):
-                below.add(*entry)
-            file.close()
-            for body, key, owner, count in below.entries():
-                yield head + body, key, owner, count
-
-
-def loaded(file) -> Iterator[tuple[bytes, bytes, int, int]]:
-    file.seek(0)
-    while True:
-        try:
-            yield pickle.load(file)
-        except EOFError:
-            return
-
-
-def owners(parts: Iterator[pd.DataFrame], budget: int, whole: bool) -> Iterator[pd.DataFrame]:
-    """One row per distinct text of a partition. whole: with the text, for the next round; else only those held twice."""
-    trie, rows, size = Trie(budget), [], 0
-    for part in parts:
-        for body, key, owner, count in zip(part["body"], part["text_key"], part["keep_id"], part["group_size"], strict=True):
-            trie.add(body, key, int(owner), int(count))
-    for body, key, owner, count in trie.entries():
+        """(body, key, owner, count) of every distinct string held."""
+        return self._walk(self.root, b"")
+
+
+def in_frames(entries: Iterator[tuple[bytes, bytes, int, int]], whole: bool) -> Iterator[pd.DataFrame]:
+    """Frames of limited size. whole: with the text, for the next round; else only those held more than once."""
+    rows, size = [], 0
+    for body, key, owner, count in entries:
         if whole or count > 1:
             rows.append((key, len(body), body if whole else None, owner, count))
             size += len(body) if whole else 50
@@ -166,6 +136,42 @@ def owners(parts: Iterator[pd.DataFrame], budget: int, whole: bool) -> Iterator[
     yield frame(rows)
 
 
+def held_rows(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[bytes, bytes, int, int]]:
+    for part in parts:
+        for body, key, owner, count in zip(part["body"], part["text_key"], part["keep_id"], part["group_size"], strict=True):
+            yield body, key, int(owner), int(count)
+
+
+def local_owners(parts: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFrame]:
+    """The distinct texts of a partition; one that was spilled before comes once more with what was found since."""
+
+    def entries() -> Iterator[tuple[bytes, bytes, int, int]]:
+        trie = Trie(budget)
+        for row in held_rows(parts):
+            trie.add(*row)
+            if trie.full():
+                yield from trie.spill()
+        yield from trie.entries()
+
+    return in_frames(entries(), True)
+
+
+def final_owners(parts: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFrame]:
+    """The texts that more than one row has, from rows sorted by length and hash."""
+
+    def entries() -> Iterator[tuple[bytes, bytes, int, int]]:
+        trie, last = Trie(budget), None
+        for row in held_rows(parts):
+            if row[1] != last and trie.full():
+                yield from trie.entries()
+                trie = Trie(budget)
+            trie.add(*row)
+            last = row[1]
+        yield from trie.entries()
+
+    return in_frames(entries(), False)
+
+
 def frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["text_key", "n_bytes", "body", "keep_id", "group_size"])
     return out.astype({"keep_id": "int64", "group_size": "int64", "n_bytes": "int64"})
@@ -181,9 +187,9 @@ def text_owners(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     body = F.encode(normal_text(F.col("text")), "UTF-8")
     rows = docs.select(body.alias("body"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("keep_id"))
     rows = rows.select(F.unhex(F.sha2("body", 256)).alias("text_key"), F.length("body").cast("long").alias("n_bytes"), "body", "keep_id", F.lit(1).cast("long").alias("group_size"))
-    local = rows.mapInPandas(lambda parts: owners(parts, budget, True), ENTRY)
-    dealt = local.repartition("n_bytes", "text_key")
-    return dealt.mapInPandas(lambda parts: owners(parts, budget, False), ENTRY).select("text_key", F.nullif("keep_id", F.lit(NO_ID)).alias("keep_id"), "group_size")
+    local = rows.mapInPandas(lambda parts: local_owners(parts, budget), ENTRY)
+    dealt = local.repartition("n_bytes", "text_key").sortWithinPartitions("n_bytes", "text_key")
+    return dealt.mapInPandas(lambda parts: final_owners(parts, budget), ENTRY).select("text_key", F.nullif("keep_id", F.lit(NO_ID)).alias("keep_id"), "group_size")
 
 
 def exact_groups(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:

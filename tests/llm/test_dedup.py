@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,13 +19,35 @@ def test_trie_spills_and_finds_owners(seed):
     r = random.Random(seed)
     base = bytes(r.randrange(97, 100) for _ in range(60))
     items = [base[: r.randrange(0, 60)] + bytes(r.randrange(97, 99) for _ in range(r.randrange(0, 4))) for _ in range(200)]
-    trie = Trie(r.choice([300, 2000, 10**9]))
+    budget, spilled = r.choice([300, 2000, 10**9]), []
+    trie = Trie(budget)
     for i, body in enumerate(items):
         trie.add(body, b"k", i, 1)
-    got = {body: (owner, count) for body, _, owner, count in trie.entries()}
+        if trie.full():
+            spilled += trie.spill()
+            assert not trie.full()
+    parts = [*spilled, *trie.entries()]
+    assert len(spilled) == 0 if budget == 10**9 else len(spilled) > 0
+    got = {}
+    for body, _, owner, count in parts:
+        old = got.get(body, (owner, 0))
+        got[body] = (min(old[0], owner), old[1] + count)
     assert got == {b: (items.index(b), c) for b, c in Counter(items).items()}
 
 
+@pytest.mark.parametrize("budget", [1, 500, 10**9])
+def test_both_rounds_of_tries_find_owners_at_any_budget(budget):
+    r = random.Random(budget)
+    rows = [("".join(r.choice("ab") for _ in range(r.randrange(0, 5))).encode(), i) for i in range(300)]
+    frame = lambda x: pd.DataFrame([(hashlib.sha256(t).digest(), len(t), t, i, n) for t, i, n in x], columns=["text_key", "n_bytes", "body", "keep_id", "group_size"])
+    local = pd.concat(exact_dedup.local_owners(iter([frame([(t, i, 1) for t, i in rows[k : k + 50]]) for k in range(0, 300, 50)]), budget))
+    parts = local.sort_values(["n_bytes", "text_key"])
+    final = pd.concat(exact_dedup.final_owners(iter([parts.iloc[:7], parts.iloc[7:]]), budget))
+    want = {t: (min(i for u, i in rows if u == t), n) for t, n in Counter(t for t, _ in rows).items() if n > 1}
+    assert {bytes(k): (o, n) for k, o, n in zip(final["text_key"], final["keep_id"], final["group_size"])} == {hashlib.sha256(t).digest(): x for t, x in want.items()}
+    assert len(final) == len(want)
+
+
 def test_exact_groups_of_awkward_rows(spark):
     got = exact_dedup.one_of_each(exact_dedup.exact_groups(documents(spark), budget=1000)).collect()
     normal = [re.sub(r"[ \t-\r]+", " ", t or "") for _, t, _ in ROWS]
