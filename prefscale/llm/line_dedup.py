@@ -13,7 +13,6 @@ without a doc_id hold no counted lines and lose none. A null or empty text is on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prefscale.llm.text import HASH_BITS, place, range_bits, running_before
+from prefscale.llm.text import place, range_bits, running_before
 from prefscale.session import cut, table
 
 SHARDS = 8
