@@ -652,4 +652,4 @@ def score_grid(s, d):
 
 @query("evaluate_grid")
 def evaluate_grid(s, d):
-    return rounded(grid.evaluate_grid(fx.nation_rankings(s, d), fx.N_NATIONS, [1, 2], [0.5, 1.0], ["mm"], max_iters=2, timings=False))
+    return rounded(grid.evaluate_grid(fx.nation_rankings(s, d), fx.N_NATIONS, [2, 3], [0.5, 1.0], ["mm", "spectral"], timings=False))

@@ -37,6 +37,18 @@ class MixtureFit:
         return like.sparkSession.createDataFrame([(c, float(a)) for c, a in enumerate(self.alpha)], "component int, alpha double")
 
 
+def start_array(start: np.ndarray | DataFrame | None, components: int, n: int, seed: int) -> np.ndarray:
+    """Starting utilities: given as an array or as params (component, item, theta; items left out start at 0), or random."""
+    if start is None:
+        return random_start(components, n, seed)
+    if not isinstance(start, DataFrame):
+        return np.array(start, float)
+    out = np.zeros((components, n))
+    for r in start.where((F.col("component") < components) & (F.col("item") < n)).collect():  # as large as the model
+        out[r["component"], r["item"]] = r["theta"]
+    return out
+
+
 def random_start(components: int, n: int, seed: int) -> np.ndarray:
     draw = np.random.default_rng(seed).normal(size=(components, n))
     return draw - draw.mean(1, keepdims=True)
@@ -58,7 +70,7 @@ def pair_log_likelihood(thetas: np.ndarray, idx: np.ndarray, link: Link, pair_we
     return out
 
 
-def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm", start: np.ndarray | None = None, max_iters: int = 50, tol: float = 1e-6, seed: int = 0, link: str | Link = "logit", nu: float = 0.01, a0: float = 0.0, c: float = 1.0, d: float = 0.0, alpha0: float = 1.0, step_size: float = 0.5, trim: float | None = None, hard: bool | str = False, inner: int = 1, extra_refinement: bool = False, pair_weights: np.ndarray | None = None) -> MixtureFit:
+def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm", start: np.ndarray | DataFrame | None = None, max_iters: int = 50, tol: float = 1e-6, seed: int = 0, link: str | Link = "logit", nu: float = 0.01, a0: float = 0.0, c: float = 1.0, d: float = 0.0, alpha0: float = 1.0, step_size: float = 0.5, trim: float | None = None, hard: bool | str = False, inner: int = 1, extra_refinement: bool = False, pair_weights: np.ndarray | None = None) -> MixtureFit:
     """EM with the given M step; stops when the squared change of the utilities is below tol. Rankings of one item count
     for nothing. trim: smaller posteriors become 0; hard: the largest posterior becomes 1, or with ``draw`` that of one
     component drawn by a hash of (ranking_id, seed, iteration). spectral: ``inner`` Luce iterations, a pass each, with the
@@ -80,7 +92,7 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
     if m_step not in ("mm", "map"):
         check_dense(n)
     pair_w = None if pair_weights is None else np.asarray(pair_weights, float)
-    thetas = random_start(components, n, seed) if start is None else np.array(start, float)
+    thetas = start_array(start, components, n, seed)
     alpha = np.full(components, 1 / components)
     fit, named = MixtureFit(thetas, alpha), named_link(link)
     per = {"mm": 2 * n, "map": 2 * n}.get(m_step, n * n)
@@ -179,7 +191,7 @@ def own_draws(q: np.ndarray, weight: np.ndarray, streams: np.ndarray, width: int
     return np.concatenate(rows), np.concatenate(kinds), np.concatenate(counts), np.concatenate(draws)
 
 
-def sample_posterior(rankings: DataFrame, components: int, n: int, n_samples: int = 100, burn: int = 20, seed: int = 0, c: float = 1.0, d: float = 1.0, alpha0: float = 1.0, start: np.ndarray | None = None) -> MixtureFit:
+def sample_posterior(rankings: DataFrame, components: int, n: int, n_samples: int = 100, burn: int = 20, seed: int = 0, c: float = 1.0, d: float = 1.0, alpha0: float = 1.0, start: np.ndarray | DataFrame | None = None) -> MixtureFit:
     """Gibbs sampling; each sweep is one pass that draws every ranking's component and choice times and adds up what the
     conditional gammas and the Dirichlet need. A ranking's draws come from a hash of (ranking_id, seed, sweep), so they
     don't depend on how rows are dealt to tasks or batches; rows that repeat a ranking_id draw alike. Returns means over
@@ -188,7 +200,7 @@ def sample_posterior(rankings: DataFrame, components: int, n: int, n_samples: in
         with kept(rankings) as rows:
             return sample_posterior(rows, components, n, n_samples, burn, seed, c, d, alpha0, start)
     rng = np.random.default_rng(seed)
-    p = np.exp(random_start(components, n, seed) if start is None else np.array(start, float))
+    p = np.exp(start_array(start, components, n, seed))
     w = np.full(components, 1 / components)
     summed, shares, per = np.zeros((components, n)), np.zeros(components), 2 * n
     for sweep in range(burn + n_samples):

@@ -168,6 +168,14 @@ def test_refinement_hard_draws_and_pair_weights(two):
     assert mixture.fit_mixture(two, 2, 6, "surrogate", start, max_iters=2, pair_weights=w).thetas.shape == (2, 6)
 
 
+def test_a_start_may_be_a_table_of_params(two):
+    start = MODEL * 0.3
+    table = estimators.params_frame(two, start)
+    a, b = (mixture.fit_mixture(two, 2, 6, "mm", x, max_iters=2).thetas for x in (start, table))
+    assert a == pytest.approx(b)
+    assert mixture.start_array(table.where("item < 5"), 2, 6, 0)[:, 5].tolist() == [0.0, 0.0]
+
+
 def test_posterior_with_weights_of_one_ranking_each_order():
     items = [list(p) for p in itertools.permutations(range(3))]
     idx, rows = k.matrix(items)
