@@ -434,15 +434,13 @@ def decode_pieces(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), n_best=N_BEST_QUERY, decode=True)
-    spelled = lambda ids: F.array_join(ids.cast("array<string>"), " ")
-    others = F.array_join(F.transform("alternatives", lambda x: F.concat(x["score"].cast("string"), F.lit(":"), spelled(x["pieces"]))), "|")
     return rows.select(
         "doc_id",
         "n_pieces",
         "piece_score",
         "runner_up",
-        F.sha2(spelled(F.col("pieces")), 256).alias("pieces_sha256"),
+        F.sha2(F.array_join(F.col("pieces").cast("array<string>"), " "), 256).alias("pieces_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
         F.size("alternatives").alias("n_alternatives"),
-        F.sha2(others, 256).alias("alternatives_sha256"),
+        F.xxhash64("alternatives").alias("alternatives_hash"),  # scores and ids, without spelling them out
     )
