@@ -44,7 +44,7 @@ SKETCH_BITS = 512
 #: Blocks beside the d + 1 that the pigeonhole needs, so that blocks of few shingles can be left out.
 SPARE = 1.1
 #: Rows of blocks that a map task groups at a time, and documents of a block that are compared as one chunk.
-FLUSH_ROWS, CHUNK = 2_000_000, 512
+FLUSH_ROWS, CHUNK = 500_000, 512
 #: Rows of blocks with the same largest component that go to one task, so that a pair is given out by few tasks.
 PIECE_ROWS = 5_000
 #: Up to so many ids are sent to every task.

@@ -34,9 +34,9 @@ SPACE = "▁"
 #: Segmentations of a text; those of the query.
 N_BEST, N_BEST_QUERY = 2, 4
 #: Chunks that a worker remembers at most, with their best segmentation and with their N best, and the longest of them.
-REMEMBERED, SEARCHED, LONGEST = 250_000, 50_000, 40
+REMEMBERED, SEARCHED, LONGEST = 100_000, 25_000, 40
 #: Texts, and characters of texts, that are encoded together at most.
-TOGETHER, TOGETHER_CHARS = 1_000, 1_000_000
+TOGETHER, TOGETHER_CHARS = 1_000, 300_000
 #: How far below the lowest score of any piece a character without one is scored.
 UNKNOWN = 10.0
 
