@@ -50,7 +50,7 @@ PIECE_ROWS = 5_000
 #: Up to so many ids are sent to every task.
 BROADCAST_IDS = 200_000
 #: Pairs that a task looks at together, and pairs that it gathers, each once, before it gives them out.
-TOGETHER, GATHERED = 500_000, 1_000_000
+TOGETHER, GATHERED = 50_000, 200_000
 #: Jumps over a forest of pointers; each doubles the way.
 MAX_JUMPS = 64
 
@@ -287,7 +287,7 @@ def across(percent: int, best: bool) -> Callable:
     piece = ["key", "i", "j"]
     reduced = nearest if best else lambda pairs: np.unique(pairs, axis=1)
 
-    def pairs_of(rows: pd.DataFrame) -> np.ndarray:
+    def pairs_of(rows: pd.DataFrame) -> Iterator[np.ndarray]:
         sketch = sketch_rows(rows["sketch"])
         doc, part, n, right = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "right"))
         at = rows[piece].to_numpy()
@@ -296,7 +296,7 @@ def across(percent: int, best: bool) -> Callable:
         begin = np.searchsorted(number, np.arange(number[-1] + 1), side="right") - rights
         left = np.flatnonzero(~right)
         ends = np.cumsum(rights[number[left]])
-        found, done = [np.zeros((4, 0), np.int64)], 0
+        done = 0
         while done < len(left):
             stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + TOGETHER, side="right")))
             own = left[done:stop]
@@ -309,15 +309,26 @@ def across(percent: int, best: bool) -> Callable:
             fits = apart <= (100 - percent) * (n[i] + n[j]) // (100 + percent)
             i, j, apart = i[fits], j[fits], apart[fits]
             a, b = doc[i], doc[j]
-            found.append(reduced(np.stack([apart, np.minimum(a, b), np.maximum(a, b), a if best else 0 * a])))
+            yield np.stack([apart, np.minimum(a, b), np.maximum(a, b), a if best else 0 * a])
             done = stop
-        return np.concatenate(found, 1)
 
     def frame(found: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame(found.T, columns=["apart", "a", "b", "outside"])
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, found = None, np.zeros((4, 0), np.int64)  # documents share many keys, but each pair is given out once
+        rest, held, size = None, [], 0  # documents share many keys, but each pair is held once, and given out seldom twice
+
+        def more(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal held, size
+            for pairs in pairs_of(rows):
+                held, size = [*held, pairs], size + pairs.shape[1]
+                if size > GATHERED or len(held) > 1_000:
+                    held = [reduced(np.concatenate(held, 1))]
+                    size = held[0].shape[1]
+                    if size > GATHERED // 2:
+                        yield frame(held[0])
+                        held, size = [], 0
+
         for part in parts:
             part = part if rest is None else pd.concat([rest, part], ignore_index=True)
             if not len(part):
@@ -325,13 +336,10 @@ def across(percent: int, best: bool) -> Callable:
             last = (part[piece] == part[piece].iloc[-1]).all(axis=1).to_numpy()
             rest = part[last]  # the last piece may go on
             if not last.all():
-                found = reduced(np.concatenate([found, pairs_of(part[~last])], 1))
-            if found.shape[1] > GATHERED:
-                yield frame(found)
-                found = found[:, :0]
+                yield from more(part[~last])
         if rest is not None:
-            found = reduced(np.concatenate([found, pairs_of(rest)], 1))
-        yield frame(found)
+            yield from more(rest)
+        yield frame(reduced(np.concatenate([np.zeros((4, 0), np.int64), *held], 1)))
 
     return work
 
