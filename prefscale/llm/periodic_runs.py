@@ -168,13 +168,12 @@ def runs_of(word: list[int], min_words: int = MIN_WORDS, power: int = MIN_POWER)
 
 def text_runs(words: list[bytes], min_words: int = MIN_WORDS, power: int = MIN_POWER) -> list[Run]:
     """All runs (start, length, period) of a text's words, by start, then period."""
-    ids = numbered(words)
-    cover = repeated_cover(ids, -(-min_words * (power - 1) // power))
+    cover = repeated_cover(words, -(-min_words * (power - 1) // power))
     edges = np.flatnonzero(np.diff(np.r_[False, cover, False].astype(np.int8)))
     out = []
     for a, b in edges.reshape(-1, 2).tolist():
         if b - a >= min_words:
-            out += [(s + a, length, p) for s, length, p in runs_of(ids[a:b].tolist(), min_words, power)]
+            out += [(s + a, length, p) for s, length, p in runs_of(numbered(words[a:b]).tolist(), min_words, power)]
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefscale.llm import exact_dedup, fill_in_middle, license_scan, line_dedup, mixing, ngram_join, periodic_runs, pieces, quality, sharding, top_k, url_filter
+from prefscale.llm import exact_dedup, fill_in_middle, license_scan, line_dedup, mixing, ngram_join, periodic_runs, pieces, quality, quality_rules, sharding, top_k, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
@@ -28,6 +29,7 @@ SQL = {
     "op7_license_scan_base": license_scan.ORACLE_BASE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_quality_rules": quality_rules.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
     "op13_periodic_runs": periodic_runs.ORACLE,
 }
