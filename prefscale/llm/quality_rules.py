@@ -40,7 +40,7 @@ SYMBOL_BITS, ORDER = 6, 4
 LEAST_WORDS, WINDOW, MOST_REPEATED_PERCENT = 10, 5, 20
 MARKS = "#*$%&|<>"
 #: Bins of the histogram of bits per symbol, and how far a band goes beyond the quartiles.
-BINS_PER_BIT, WIDEN, LEAST_BITS, STEADY = 1000, 5.0, 0.2, 1000
+BINS_PER_BIT, WIDEN, LEAST_BITS, STEADY = 1000, 4.0, 0.15, 600
 #: Discounts of n-grams seen once, twice and more often where the counts of counts don't tell.
 PLAIN_DISCOUNTS = (0.5, 1.0, 1.5)
 #: Symbols that a task gathers before it adds up its n-grams.
