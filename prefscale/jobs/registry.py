@@ -66,7 +66,6 @@ def rank_break_weighted(s, d):
 
 
 query("rank_break_weighted", WEIGHTED)(rank_break_weighted)
-query("rank_break_weighted_full", WEIGHTED)(rank_break_weighted)
 
 
 @query("pair_counts_brand", f"WITH {fx.R_BRAND}, {fx.COUNTS} SELECT winner::BIGINT AS winner, loser::BIGINT AS loser, wins FROM w")
@@ -263,6 +262,12 @@ def learning_curve(s, d):
     return prepare.learning_curve_prefixes(fx.brand_rankings(s, d), [0.1, 0.3, 1.0]).groupBy("ratio").agg(F.count("*").alias("n"))
 
 
+@query("learning_curve_prefixes_exact", f"WITH {fx.R_BRAND}, i AS (SELECT DISTINCT ranking_id FROM r), n AS (SELECT ranking_id, row_number() OVER (ORDER BY md5('119|' || ranking_id::VARCHAR), ranking_id) - 1 AS rank, count(*) OVER () AS m FROM i), c AS (SELECT *, floor(m * 0.8) - floor(floor(m * 0.8) * 0.2) AS tr FROM n) SELECT ratio::DOUBLE AS ratio, ranking_id FROM c, (VALUES (0.1), (0.3), (1.0)) v(ratio) WHERE rank < tr AND rank < floor(tr * ratio)")
+def learning_curve_exact(s, d):
+    train = prepare.split_rankings(fx.brand_rankings(s, d)).where("part = 'train'")
+    return prepare.learning_curve_prefixes(train, [0.1, 0.3, 1.0], mode="exact").select("ratio", "ranking_id")
+
+
 BALLOTS = f"{fx.R_EVENTS}, o AS (SELECT ranking_id, list(item ORDER BY pos) AS items FROM r GROUP BY 1), g AS (SELECT items, count(*) AS votes FROM o WHERE len(items) > 2 GROUP BY 1)"
 
 
@@ -480,7 +485,6 @@ def connected_components(s, d):
 
 
 query("connected_components", COMPONENTS)(connected_components)
-query("connected_components_full", COMPONENTS)(connected_components)
 
 
 TIMED = f"{fx.R_DAYS}, k AS (SELECT a.day, a.item AS winner, z.item AS loser FROM r a JOIN r z ON a.ranking_id = z.ranking_id AND a.pos < z.pos)"
@@ -515,9 +519,22 @@ def mm_step(old: str, new: str) -> str:
     return f"e{new} AS (SELECT r.*, exp(theta) AS wt FROM r JOIN {old} USING (item)), s{new} AS (SELECT *, sum(wt) OVER (PARTITION BY ranking_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suffix FROM e{new}), t{new} AS (SELECT item, sum(CASE WHEN pos <= n - 2 THEN 1 / suffix ELSE 0 END) OVER (PARTITION BY ranking_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix FROM s{new}), d{new} AS (SELECT item, sum(prefix) AS den FROM t{new} GROUP BY 1), l{new} AS (SELECT item, ln(wins / den) AS theta FROM wins JOIN d{new} USING (item)), {new} AS (SELECT item, theta - avg(theta) OVER () AS theta FROM l{new})"
 
 
-@query("luce_mm", f"WITH {fx.R_BRAND}, wins AS (SELECT item, count(*)::DOUBLE AS wins FROM r WHERE pos < n - 1 GROUP BY 1), m0 AS (SELECT i::INTEGER AS item, 0.0::DOUBLE AS theta FROM range(25) x(i)), {mm_step('m0', 'm1')}, {mm_step('m1', 'm2')}, {mm_step('m2', 'm3')} SELECT 0::BIGINT AS component, item::BIGINT AS item, round(theta, 6) AS theta FROM m3")
+@query("luce_mm_steps", f"WITH {fx.R_BRAND}, wins AS (SELECT item, count(*)::DOUBLE AS wins FROM r WHERE pos < n - 1 GROUP BY 1), m0 AS (SELECT i::INTEGER AS item, 0.0::DOUBLE AS theta FROM range(25) x(i)), {mm_step('m0', 'm1')}, {mm_step('m1', 'm2')}, {mm_step('m2', 'm3')} SELECT 0::BIGINT AS component, item::BIGINT AS item, round(theta, 6) AS theta FROM m3")
+def luce_mm_steps(s, d):
+    """Three iterations, so that SQL can tell each of them."""
+    return rounded(estimators.luce_mm(fx.brand_rankings(s, d), fx.N_BRANDS, max_iters=3, tol=0.0))
+
+
+#: More iterations than the fit takes to settle to the digits that are compared.
+MM_TURNS = 200
+MM_SQL = f"WITH RECURSIVE {fx.R_BRAND}, wins AS (SELECT item, count(*)::DOUBLE AS wins FROM r WHERE pos < n - 1 GROUP BY 1), m(k, item, theta) AS (SELECT 0, i::INTEGER, 0.0::DOUBLE FROM range(25) x(i) UNION ALL SELECT k, item, t - avg(t) OVER () FROM (SELECT k + 1 AS k, item, ln(any_value(wins) / sum(prefix)) AS t FROM (SELECT k, item, wins, sum(CASE WHEN pos <= n - 2 THEN 1 / suffix ELSE 0 END) OVER (PARTITION BY ranking_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix FROM (SELECT m.k, r.*, wins, sum(exp(theta)) OVER (PARTITION BY ranking_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suffix FROM r JOIN m USING (item) JOIN wins USING (item) WHERE m.k < {MM_TURNS})) GROUP BY k, item)) SELECT 0::BIGINT AS component, item::BIGINT AS item, round(theta, 6) AS theta FROM m WHERE k = {MM_TURNS}"
+
+
+@query("luce_mm", MM_SQL)
 def luce_mm(s, d):
-    return rounded(estimators.luce_mm(fx.brand_rankings(s, d).cache(), fx.N_BRANDS, max_iters=3, tol=0.0))
+    """The whole fit, until it settles."""
+    return rounded(estimators.luce_mm(fx.brand_rankings(s, d), fx.N_BRANDS))
+
 
 
 @query("mixture_em_step", f"WITH {fx.R_BRAND.replace('FROM b)', 'FROM b), r2 AS (SELECT * FROM r WHERE n > 1)')}, {fx.PARAMS.replace('params AS', 'raw AS', 1)}, {CENTRED}, mixture AS (SELECT c::INTEGER AS component, 0.5::DOUBLE AS alpha FROM range(2) x(c)), {fx.RESP.replace('r.*', 'r2.*').replace('FROM r JOIN', 'FROM r2 JOIN')}, t AS (SELECT *, sum(CASE WHEN pos <= n - 2 THEN 1 / suffix ELSE 0 END) OVER (PARTITION BY ranking_id, component ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix FROM s), a AS (SELECT component, item, sum(q * prefix) AS den, sum(CASE WHEN pos < n - 1 THEN q ELSE 0 END) AS wins FROM t JOIN q USING (ranking_id, component) GROUP BY 1, 2), l AS (SELECT component, item, ln(wins / den) AS theta FROM a) SELECT component::BIGINT AS component, item::BIGINT AS item, round(theta - avg(theta) OVER (PARTITION BY component), 6) AS theta FROM l")
@@ -558,13 +575,13 @@ START_PI = "p0 AS (SELECT i::INTEGER AS item, 1 / {}::DOUBLE AS pi FROM range(25
 @query("luce_spectral_steps", f"WITH RECURSIVE {fx.R_BRAND}, {START_PI.format(25)}, {flow_step('p0', 'p1')}, {flow_step('p1', 'p2')}, {LN_PI.format('p2')}")
 def luce_spectral_steps(s, d):
     """Two iterations, so that SQL can tell the same."""
-    return rounded(estimators.luce_spectral(fx.brand_rankings(s, d).cache(), fx.N_BRANDS, max_iters=2, tol=0.0))
+    return rounded(estimators.luce_spectral(fx.brand_rankings(s, d), fx.N_BRANDS, max_iters=2, tol=0.0))
 
 
 @query("luce_spectral_map_steps", f"WITH {fx.R_BRAND}, wins AS (SELECT item, count(*)::DOUBLE AS wins FROM r WHERE pos < n - 1 GROUP BY 1), {START_PI.format(26)}, d_p0 AS (SELECT 1 / 26.0::DOUBLE AS d), {gamma_step('p0', 'p1')}, {gamma_step('p1', 'p2')}, {LN_PI.format('p2')}")
 def luce_spectral_map_steps(s, d):
     """Two iterations, so that SQL can tell the same."""
-    return rounded(estimators.luce_spectral_map(fx.brand_rankings(s, d).cache(), fx.N_BRANDS, max_iters=2, tol=0.0)[0])
+    return rounded(estimators.luce_spectral_map(fx.brand_rankings(s, d), fx.N_BRANDS, max_iters=2, tol=0.0)[0])
 
 
 @query("fit_mixture_map_step", SQL["mixture_em_step"].replace("ln(wins / den)", "ln((0.1 + wins) / (0.1 + den))"))
@@ -578,7 +595,7 @@ def fit_mixture_map_step(s, d):
 
 
 def fitted(f) -> Query:
-    return lambda s, d: rounded(f(fx.brand_rankings(s, d).cache(), fx.N_BRANDS))
+    return lambda s, d: rounded(f(fx.brand_rankings(s, d), fx.N_BRANDS))
 
 
 def over_pairs(f) -> Query:
@@ -588,7 +605,6 @@ def over_pairs(f) -> Query:
 SMOOTHED = f"{fx.R_BRAND}, {fx.PROBS}, x AS (SELECT v.item, v.opponent, (v.a + 1) / (v.a + o.a + 2) AS p FROM v JOIN v o ON v.item = o.opponent AND v.opponent = o.item), y AS (SELECT * FROM x WHERE p BETWEEN 0.001 AND 0.999)"
 query("rank_centrality_from_probs", f"WITH RECURSIVE {SMOOTHED}, f AS (SELECT opponent AS src, item AS dst, p AS rate FROM y), {stationary_sql('f', 'p1', 600)}, {LN_PI.format('p1')}")(over_pairs(estimators.rank_centrality_from_probs))
 LEAST_SQUARES = "h AS (SELECT item, opponent, ln(p / (1 - p)) AS phi FROM y), met AS (SELECT item, opponent, count(*) AS m FROM (SELECT item, opponent FROM h UNION ALL SELECT opponent, item FROM h) GROUP BY 1, 2), deg AS (SELECT item, sum(m) AS deg FROM met GROUP BY 1), rhs AS (SELECT item, sum(phi) AS rhs FROM (SELECT item, phi FROM h UNION ALL SELECT opponent, -phi FROM h) GROUP BY 1), it(step, item, theta) AS (SELECT 0, i::INTEGER, 0.0::DOUBLE FROM range(25) z(i) UNION ALL SELECT step + 1, met.item, (any_value(rhs) + sum(m * theta)) / (any_value(deg) + 0.5) FROM it JOIN met ON it.item = met.opponent JOIN deg ON deg.item = met.item JOIN rhs ON rhs.item = met.item WHERE step < 400 GROUP BY step + 1, met.item), l AS (SELECT item, theta FROM it WHERE step = 400) SELECT 0::BIGINT AS component, item::BIGINT AS item, round(theta - avg(theta) OVER (), 6) AS theta FROM l"
-query("luce_mm_full")(fitted(estimators.luce_mm))
 query("luce_spectral")(fitted(estimators.luce_spectral))
 query("luce_spectral_map")(fitted(lambda r, n: estimators.luce_spectral_map(r, n)[0]))
 query("pair_gmm")(fitted(estimators.pair_gmm))
@@ -607,7 +623,7 @@ def pair_posterior(s, d):
 
 def mixture_fit(m_step: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        rows = fx.nation_rankings(s, d).cache()
+        rows = fx.nation_rankings(s, d)
         return rounded(mixture.fit_mixture(rows, 2, fx.N_NATIONS, m_step, seed=1, c=1.1, d=0.1, alpha0=1.0).params(rows))
 
     return run
@@ -619,7 +635,7 @@ for step in mixture.STEPS:
 
 @query("sample_posterior")
 def sample_posterior(s, d):
-    rows = fx.nation_rankings(s, d).cache()
+    rows = fx.nation_rankings(s, d)
     return rounded(mixture.sample_posterior(rows, 2, fx.N_NATIONS).params(rows))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prefscale.functions import kernels as k
 from prefscale.operators.breaking import full_pairs, weight_of
 from prefscale.operators.mixture import random_start
-from prefscale.session import ship
+from prefscale.session import kept, ship
 
 #: Vectors up to this length get a Gram matrix; beyond it their leading directions are found by iterated passes.
 MAX_DIM = 5_000
@@ -73,11 +73,11 @@ def summed(vectors: DataFrame, work, size: int) -> np.ndarray:
     return out
 
 
-def leading(vectors: DataFrame, dim: int, components: int, centred: bool = False, rounds: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+def leading(vectors: DataFrame, dim: int, components: int, centred: bool = False, rounds: int = 1_000, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
     """The largest eigenvalues of X'X (or of the weighted covariance), their vectors, and the trace.
 
     Up to MAX_DIM entries from the whole matrix, summed in one pass; beyond it by subspace iteration, a pass each, of
-    which only dim x (components + 8) numbers a task travel.
+    which only dim x (components + 8) numbers a task travel, until the values settle; if ``rounds`` don't do, it raises.
     """
     if dim <= MAX_DIM:
         sums = summed(vectors, lambda x, w: np.concatenate([((x * w[:, None]).T @ x).ravel(), w @ x, [w.sum()]]), dim * dim + dim + 1)
@@ -101,6 +101,8 @@ def leading(vectors: DataFrame, dim: int, components: int, centred: bool = False
         if settled:
             break
         basis = np.linalg.qr(y)[0]
+    else:
+        raise RuntimeError(f"the leading directions did not settle in {rounds} passes")
     return values[:components], vectors_now[:, :components], float(trace)
 
 
@@ -167,8 +169,9 @@ def cluster_rankings(rankings: DataFrame, components: int, n: int, embedding: Em
 
         kind = rankings.schema["ranking_id"].dataType.simpleString()
         rows = rows.select("ranking_id", "v").mapInPandas(reduced, f"ranking_id {kind}, v array<double>")
-    points = rows.select("ranking_id", array_to_vector("v").alias("features")).cache()
-    model = KMeans(k=components, seed=seed, maxIter=50).fit(points)
+    points = rows.select("ranking_id", array_to_vector("v").alias("features"))
+    with kept(points) as held:
+        model = KMeans(k=components, seed=seed, maxIter=1_000).fit(held)  # until the centres stay
     labels = model.transform(points).select("ranking_id", F.col("prediction").alias("label"))
     return labels, cluster_centres(rankings.join(labels, "ranking_id"), components, n)
 

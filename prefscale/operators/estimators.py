@@ -6,17 +6,19 @@ return params (component 0, item, theta), centred.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefscale.functions import kernels as k
 from prefscale.functions.links import Link, link as named_link
 from prefscale.operators.breaking import pair_counts, pair_probs, weight_of
-from prefscale.operators.consensus import win_counts
 from prefscale.session import cut, kept, ship
 
 #: Item-by-item tables are made and solved in one place up to this number of items.
@@ -48,27 +50,76 @@ def probs_matrix(pairs: DataFrame, n: int) -> np.ndarray:
     return wins_matrix(pairs.select(F.col("item").alias("winner"), F.col("opponent").alias("loser"), F.col("p").alias("wins")), n)
 
 
-def pass_over(rankings: DataFrame, n: int, work, kinds: int = 1, keyed: bool = False) -> np.ndarray:
-    """Sums over all rankings of what ``work(idx, weight)`` gives for a batch: an array, added per task, then by a
-    groupBy over its places. One job; only non-zero sums travel. keyed: ``work`` also gets a hash of each ranking_id."""
+def say_if_cut(settled: bool, turns: int) -> None:
+    """A warning where a fit ended by its number of turns and not by its rule."""
+    if not settled:
+        warnings.warn(f"the fit has not settled in {turns} iterations", stacklevel=3)
+
+
+#: Rankings of a packed block, and its columns: a matrix of items padded with -1, weights and hashes of ranking_id.
+BLOCK_ROWS = 4_096
+BLOCKS = "n_rows int, width int, item_matrix binary, weights binary, keys binary"
+
+
+def packed_blocks(rankings: DataFrame) -> DataFrame:
+    """Rankings of at least two items as rows of BLOCKS: each holds up to BLOCK_ROWS of like length, so that passes over
+    them need no work per ranking."""
     ship(rankings.sparkSession)
 
-    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("items")
+            sizes = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
+            starts, values = lists.offsets.to_numpy()[:-1], lists.values.to_numpy(zero_copy_only=False).astype(np.int32)
+            weights, keys = batch.column("weight").to_numpy(zero_copy_only=False).astype(float), batch.column("key").to_numpy(zero_copy_only=False)
+            kinds = np.frexp(sizes)[1]  # lengths up to the same power of two share a block
+            for kind in np.unique(kinds[sizes > 1]):
+                own = np.flatnonzero((kinds == kind) & (sizes > 1))
+                for at in range(0, len(own), BLOCK_ROWS):
+                    rows = own[at : at + BLOCK_ROWS]
+                    places = np.arange(sizes[rows].max())
+                    there = places < sizes[rows][:, None]
+                    idx = np.where(there, values[np.where(there, starts[rows][:, None] + places, 0)], -1).astype("<i4")
+                    cells = [len(rows), len(places), idx.tobytes(), weights[rows].astype("<f8").tobytes(), keys[rows].astype("<i8").tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip(cells, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], BLOCK_NAMES)
+
+    rows = rankings.select(F.col("items").cast("array<int>"), weight_of(rankings).alias("weight"), F.xxhash64("ranking_id").alias("key"))
+    return rows.mapInArrow(work, BLOCKS)
+
+
+BLOCK_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
+
+
+@contextmanager
+def held_blocks(rankings: DataFrame) -> Iterator[DataFrame]:
+    """``rankings`` packed and held while passes go over them; what is packed already stays as it is."""
+    if rankings.columns == BLOCK_NAMES:
+        yield rankings
+        return
+    with kept(packed_blocks(rankings)) as rows:
+        yield rows
+
+
+def pass_over(rankings: DataFrame, n: int, work, kinds: int = 1, keyed: bool = False) -> np.ndarray:
+    """Sums over all rankings of what ``work(idx, weight)`` gives for a block: an array, added per task, then by a
+    groupBy over its places. One job; only non-zero sums travel. keyed: ``work`` also gets a hash of each ranking_id.
+    Passes that are repeated should be given ``held_blocks``."""
+    blocks = rankings if rankings.columns == BLOCK_NAMES else packed_blocks(rankings)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for part in parts:
-            idx, rows = k.matrix(part["items"].tolist())
-            if len(rows):
-                own = [part["key"].to_numpy(np.int64)[rows]] if keyed else []
-                more = np.ravel(work(idx, part["weight"].to_numpy(float)[rows], *own))
+        for batch in batches:
+            for rows, width, items, weights, keys in zip(*[batch.column(c) for c in BLOCK_NAMES], strict=True):
+                idx = np.frombuffer(items.as_buffer(), "<i4").reshape(rows.as_py(), width.as_py()).astype(np.int64)
+                own = [np.frombuffer(keys.as_buffer(), "<i8")] if keyed else []
+                more = np.ravel(work(idx, np.frombuffer(weights.as_buffer(), "<f8"), *own)).astype(float)
                 total = more if total is None else total + more
         at = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
-        yield pd.DataFrame({"at": at, "v": total[at] if total is not None else np.zeros(0)})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at] if total is not None else np.zeros(0))], ["at", "v"])
 
-    key = [F.xxhash64("ranking_id").alias("key")] if keyed else []
-    sums = rankings.select("items", weight_of(rankings).alias("weight"), *key).mapInPandas(partial, "at long, v double")
-    rows = sums.groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    rows = blocks.mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
     out = np.zeros(kinds)
-    out[rows["at"].to_numpy(int)] = rows["v"].to_numpy(float)
+    out[rows["at"].to_numpy()] = rows["v"].to_numpy()
     return out
 
 
@@ -112,12 +163,12 @@ def rank_centrality_from_probs(pairs: DataFrame, n: int, lambd: float = 0.0, max
     return params_frame(pairs, k.centred(np.log(pi)))
 
 
-def luce_spectral(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int = 100, tol: float = 1e-8) -> DataFrame:
+def luce_spectral(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int = 5_000, tol: float = 1e-8) -> DataFrame:
     """Luce spectral ranking: flows at the current estimate, the chain's stationary distribution, until it settles. At
     most MAX_ITEMS items; ``luce_mm`` has the same solution and no such limit."""
     check_dense(n)
     pi = np.full(n, 1 / n)
-    with kept(rankings) as rows:
+    with held_blocks(rankings) as rows:
         for _ in range(max_iters):
             theta = np.log(pi)
             rates = pass_over(rows, n, lambda idx, w, theta=theta: k.flows(theta, idx, w), n * n).reshape(n, n)
@@ -126,16 +177,17 @@ def luce_spectral(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int
             pi = new
             if done:
                 break
+    say_if_cut(done, max_iters)
     return params_frame(rankings, k.centred(np.log(pi)))
 
 
-def luce_spectral_map(rankings: DataFrame, n: int, a0: float = 1.0, b0: float | None = None, max_iters: int = 200, tol: float = 1e-9) -> tuple[DataFrame, float]:
+def luce_spectral_map(rankings: DataFrame, n: int, a0: float = 1.0, b0: float | None = None, max_iters: int = 5_000, tol: float = 1e-9) -> tuple[DataFrame, float]:
     """The same with a gamma prior, by its fixed point pi = (wins + a0 d) / (denominators + b0), where d is the mass of
     the prior's own state. Returns params and d."""
     b0 = float(n) if b0 is None else b0
     pi, d = np.full(n, 1 / (n + 1)), 1 / (n + 1)
-    with kept(rankings) as rows:
-        wins = wins_of(rows, n)
+    with held_blocks(rankings) as rows:
+        wins = pass_over(rows, n, lambda idx, w: k.win_sums(idx, w, n), n)
         for _ in range(max_iters):
             theta = np.log(pi)
             den = pass_over(rows, n, lambda idx, w, theta=theta: k.denominators(theta, idx, w), n)
@@ -147,21 +199,15 @@ def luce_spectral_map(rankings: DataFrame, n: int, a0: float = 1.0, b0: float |
             pi, d = new, new_d
             if done:
                 break
+    say_if_cut(done, max_iters)
     return params_frame(rankings, k.centred(np.log(pi))), float(d)
 
 
-def wins_of(rankings: DataFrame, n: int) -> np.ndarray:
-    out = np.zeros(n)
-    for r in win_counts(rankings).collect():  # a row an item
-        out[r["item"]] = r["wins"]
-    return out
-
-
-def luce_mm(rankings: DataFrame, n: int, alpha: float = 0.0, max_iters: int = 200, tol: float = 1e-9) -> DataFrame:
+def luce_mm(rankings: DataFrame, n: int, alpha: float = 0.0, max_iters: int = 5_000, tol: float = 1e-9) -> DataFrame:
     """Minorise-maximise: theta = ln((wins + alpha) / (denominators + alpha)), until the change is small."""
     theta = np.zeros(n)
-    with kept(rankings) as rows:
-        wins = wins_of(rows, n)
+    with held_blocks(rankings) as rows:
+        wins = pass_over(rows, n, lambda idx, w: k.win_sums(idx, w, n), n)
         for _ in range(max_iters):
             den = pass_over(rows, n, lambda idx, w, theta=theta: k.denominators(theta, idx, w), n)
             new = k.centred(np.log(np.maximum(wins + alpha, 1e-12) / np.maximum(den + alpha, 1e-12)))
@@ -169,6 +215,7 @@ def luce_mm(rankings: DataFrame, n: int, alpha: float = 0.0, max_iters: int = 20
             theta = new
             if done:
                 break
+    say_if_cut(done, max_iters)
     return params_frame(rankings, theta)
 
 
@@ -239,9 +286,10 @@ def tilted(mean: np.ndarray, var: np.ndarray, model: str) -> tuple[np.ndarray, n
     return first, np.maximum((f * np.square(x - first[:, None])).sum(1) / whole, 1e-12)
 
 
-def pair_posterior(comparisons: DataFrame, alpha: float = 1.0, group_cols: list[str] | None = None, rounds: int = 30, model: str = "probit") -> DataFrame:
-    """(group columns, item, mean, variance): Gaussian posterior of utilities, prior variance 1 / alpha, ``probit`` or
-    ``logit`` comparisons, by expectation propagation with one site per distinct (winner, loser) and its multiplicity.
+def pair_posterior(comparisons: DataFrame, alpha: float = 1.0, group_cols: list[str] | None = None, rounds: int = 2_000, model: str = "probit", tol: float = 1e-9) -> DataFrame:
+    """(group columns, item, mean, variance, rounds, converged): Gaussian posterior of utilities, prior variance 1 / alpha,
+    ``probit`` or ``logit`` comparisons, by expectation propagation with one site per distinct (winner, loser) and its
+    multiplicity, damped by half, until no site moves by more than tol; converged is false if ``rounds`` didn't do.
     A group is at most MAX_ITEMS items, whatever the number of its comparisons."""
     ship(comparisons.sparkSession)
     cols = group_cols or ["_all"]
@@ -254,7 +302,8 @@ def pair_posterior(comparisons: DataFrame, alpha: float = 1.0, group_cols: list[
         a, b = np.searchsorted(items, part["winner"]), np.searchsorted(items, part["loser"])
         m, n = part["n"].to_numpy(float), len(items)
         tau, nu = np.zeros(len(a)), np.zeros(len(a))  # a site's precision and precision-mean of the difference
-        for _ in range(rounds):
+        done, turn = len(a) == 0, 0
+        while not done and turn < rounds:
             prec = alpha * np.eye(n) + k.spread_pairs(a, b, m * tau, n)
             cov = np.linalg.inv(prec)
             mean = cov @ k.gradient_of(a, b, m * nu, n)
@@ -263,17 +312,18 @@ def pair_posterior(comparisons: DataFrame, alpha: float = 1.0, group_cols: list[
             cav_tau = np.maximum(1 / var - tau, 1e-9)
             cav_mu = (mu / var - nu) / cav_tau
             new_mu, new_var = tilted(cav_mu, 1 / cav_tau, model)
-            tau = 0.5 * tau + 0.5 * np.maximum(1 / new_var - cav_tau, 0.0)
-            nu = 0.5 * nu + 0.5 * (new_mu / new_var - cav_mu * cav_tau)
+            move = [np.maximum(1 / new_var - cav_tau, 0.0) - tau, new_mu / new_var - cav_mu * cav_tau - nu]
+            tau, nu, turn = tau + 0.5 * move[0], nu + 0.5 * move[1], turn + 1
+            done = max(np.abs(x).max() for x in move) <= tol
         prec = alpha * np.eye(n) + k.spread_pairs(a, b, m * tau, n)
         cov = np.linalg.inv(prec)
-        out = pd.DataFrame({"item": items, "mean": cov @ k.gradient_of(a, b, m * nu, n), "variance": np.diag(cov)})
+        out = pd.DataFrame({"item": items, "mean": cov @ k.gradient_of(a, b, m * nu, n), "variance": np.diag(cov), "rounds": turn, "converged": done})
         for c in cols:
             out.insert(0, c, part[c].iloc[0])
-        return out[[*cols, "item", "mean", "variance"]]
+        return out[[*cols, "item", "mean", "variance", "rounds", "converged"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in cols], "item long, mean double, variance double"])
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in cols], "item long, mean double, variance double, rounds long, converged boolean"])
     out = sites.groupBy(*cols).applyInPandas(one, schema)
     return out if group_cols else out.drop("_all")
 

@@ -17,9 +17,8 @@ from prefscale.functions import kernels as k
 from prefscale.functions.hashing import key_streams, stream_uniforms
 from prefscale.functions.links import Link, link as named_link
 from prefscale.operators.breaking import pair_moments
-from prefscale.operators.estimators import check_dense, params_frame, pass_over, wins_matrix
+from prefscale.operators.estimators import BLOCK_NAMES, check_dense, held_blocks, params_frame, pass_over, say_if_cut, wins_matrix
 from prefscale.operators.evaluate import responsibilities
-from prefscale.session import kept
 
 STEPS = ("mm", "spectral", "map", "gmm", "cml", "surrogate")
 
@@ -29,6 +28,12 @@ class MixtureFit:
     thetas: np.ndarray
     alpha: np.ndarray
     log_likelihood: list[float] = field(default_factory=list)
+    #: Whether the stop rule held, or max_iters came first.
+    converged: bool = False
+
+    @property
+    def iterations(self) -> int:
+        return len(self.log_likelihood)
 
     def params(self, like: DataFrame) -> DataFrame:
         return params_frame(like, self.thetas)
@@ -70,25 +75,26 @@ def pair_log_likelihood(thetas: np.ndarray, idx: np.ndarray, link: Link, pair_we
     return out
 
 
-def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm", start: np.ndarray | DataFrame | None = None, max_iters: int = 50, tol: float = 1e-6, seed: int = 0, link: str | Link = "logit", nu: float = 0.01, a0: float = 0.0, c: float = 1.0, d: float = 0.0, alpha0: float = 1.0, step_size: float = 0.5, trim: float | None = None, hard: bool | str = False, inner: int = 1, extra_refinement: bool = False, pair_weights: np.ndarray | None = None) -> MixtureFit:
-    """EM with the given M step; stops when the squared change of the utilities is below tol. Rankings of one item count
-    for nothing. trim: smaller posteriors become 0; hard: the largest posterior becomes 1, or with ``draw`` that of one
+def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm", start: np.ndarray | DataFrame | None = None, max_iters: int = 5_000, tol: float = 1e-6, seed: int = 0, link: str | Link = "logit", nu: float = 0.01, a0: float = 0.0, c: float = 1.0, d: float = 0.0, alpha0: float = 1.0, step_size: float = 0.5, trim: float | None = None, hard: bool | str = False, inner: int = 1, extra_refinement: bool = False, pair_weights: np.ndarray | None = None) -> MixtureFit:
+    """EM with the given M step; stops when the squared change of the utilities is below tol, which ``converged`` tells; if
+    max_iters comes first it is false, and a warning is given. ``mm``, ``map`` and ``spectral`` ascend the likelihood (the
+    posterior); ``gmm``, ``cml`` and ``surrogate`` fit pair tables instead, each by its own objective, and the likelihood may
+    fall on the way. Rankings of one item count for nothing. trim: smaller posteriors become 0; hard: the largest posterior becomes 1, or with ``draw`` that of one
     component drawn by a hash of (ranking_id, seed, iteration). spectral: ``inner`` Luce iterations, a pass each, with the
     same posteriors; extra_refinement: a second run from the first one's end with up to 100. surrogate: pair_weights
     (items x items, symmetric; say ``pair_weights_pca``) multiply the comparisons in both steps. All M steps but mm and
     map make items x items tables, of at most MAX_ITEMS items."""
     if m_step not in STEPS:
         raise ValueError(m_step)
-    if not rankings.is_cached:
+    if rankings.columns != BLOCK_NAMES:
         given = {x: v for x, v in locals().items() if x != "rankings"}
-        with kept(rankings) as rows:
+        with held_blocks(rankings) as rows:
             return fit_mixture(rows, **given)
     if extra_refinement and m_step == "spectral":
         options = {"max_iters": max_iters, "tol": tol, "seed": seed, "nu": nu, "trim": trim, "hard": hard}
-        with kept(rankings) as rows:
-            first = fit_mixture(rows, components, n, m_step, start, **options)
-            more = fit_mixture(rows, components, n, m_step, first.thetas, inner=100, **options)
-        return MixtureFit(more.thetas, more.alpha, first.log_likelihood + more.log_likelihood)
+        first = fit_mixture(rankings, components, n, m_step, start, **options)
+        more = fit_mixture(rankings, components, n, m_step, first.thetas, inner=100, **options)
+        return MixtureFit(more.thetas, more.alpha, first.log_likelihood + more.log_likelihood, more.converged)
     if m_step not in ("mm", "map"):
         check_dense(n)
     pair_w = None if pair_weights is None else np.asarray(pair_weights, float)
@@ -127,6 +133,7 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
         sums = job(fit.thetas, fit.alpha, turn, fit.thetas)
         stats, mass, total, m = sums[:size].reshape(components, per), sums[size:-2], sums[-2], sums[-1]
         if m == 0:
+            fit.converged = True
             break
         fit.log_likelihood.append(float(total / m))
         new = []
@@ -164,7 +171,9 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
             fit.alpha = mass / m
         fit.alpha = fit.alpha / fit.alpha.sum()
         if change < tol:
+            fit.converged = True
             break
+    say_if_cut(fit.converged, max_iters)
     return fit
 
 
@@ -196,8 +205,8 @@ def sample_posterior(rankings: DataFrame, components: int, n: int, n_samples: in
     conditional gammas and the Dirichlet need. A ranking's draws come from a hash of (ranking_id, seed, sweep), so they
     don't depend on how rows are dealt to tasks or batches; rows that repeat a ranking_id draw alike. Returns means over
     the kept sweeps."""
-    if not rankings.is_cached:
-        with kept(rankings) as rows:
+    if rankings.columns != BLOCK_NAMES:
+        with held_blocks(rankings) as rows:
             return sample_posterior(rows, components, n, n_samples, burn, seed, c, d, alpha0, start)
     rng = np.random.default_rng(seed)
     p = np.exp(start_array(start, components, n, seed))

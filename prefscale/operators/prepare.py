@@ -138,11 +138,18 @@ def split_rankings(rankings: DataFrame, train: float = 0.8, val: float = 0.2, se
     return hash_ranked(rankings, seed).withColumn("part", part)
 
 
-def learning_curve_prefixes(rankings: DataFrame, ratios: Sequence[float], seed: object = 119) -> DataFrame:
-    """Rankings with ``ratio``, once in every prefix that they belong to; prefixes are nested."""
-    u = hash_uniform(seed, F.col("ranking_id"))
-    every = F.filter(F.array(*[F.lit(float(r)) for r in ratios]), lambda r: u < r)
-    return rankings.withColumn("ratio", F.explode(every))
+def learning_curve_prefixes(rankings: DataFrame, ratios: Sequence[float], seed: object = 119, mode: str = "hash") -> DataFrame:
+    """Rankings with ``ratio``, once in every prefix that they belong to; prefixes are nested. exact: a prefix has exactly
+    int(count x ratio) of them, by ``rank`` (from 0 without gaps, as the train part of ``split_rankings`` has it) or, where
+    there is none, by the order of a hash; hash: by thresholds on a hash, without a sort or a shuffle."""
+    if mode == "hash":
+        at, upto = hash_uniform(seed, F.col("ranking_id")), F.lit
+    else:
+        m = rankings.count()
+        rankings = rankings if "rank" in rankings.columns else hash_ranked(rankings, seed)
+        at, upto = F.col("rank"), lambda r: F.lit(int(m * r))
+    every = F.filter(F.array(*[F.struct(F.lit(float(r)).alias("ratio"), upto(float(r)).alias("upto")) for r in ratios]), lambda r: at < r["upto"])
+    return rankings.withColumn("ratio", F.explode(F.transform(every, lambda r: r["ratio"])))
 
 
 def parse_ballots(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:

@@ -137,3 +137,40 @@ def test_random_noise_is_reproducible(spark):
     a = sampling.sample_rankings(params, 50, "normal", 7).repartition(5)
     b = sampling.sample_rankings(params, 50, "normal", 7).coalesce(1)
     assert a.exceptAll(b).count() == 0
+
+
+@pytest.mark.parametrize("step", ["mm", "map", "spectral"])
+def test_fits_end_by_their_rule(two_groups, step):
+    both, df = two_groups
+    fit = mixture.fit_mixture(df, 2, 6, step, both * 0.3, c=1.1, d=0.1)
+    assert fit.converged and fit.iterations > 5
+    further = mixture.fit_mixture(df, 2, 6, step, both * 0.3, c=1.1, d=0.1, max_iters=4 * fit.iterations, tol=0.0)
+    assert not further.converged and further.iterations == 4 * fit.iterations
+    assert fit.alpha == pytest.approx(further.alpha, abs=2e-3)
+    assert np.abs(fit.thetas - further.thetas).max() < 0.02
+
+
+def test_a_cut_fit_says_so(two_groups):
+    _, df = two_groups
+    with pytest.warns(UserWarning, match="not settled in 2"):
+        assert not mixture.fit_mixture(df, 2, 6, "mm", max_iters=2).converged
+    with pytest.warns(UserWarning, match="not settled in 1"):
+        estimators.luce_mm(df, 6, max_iters=1)
+
+
+def test_packed_blocks_hold_every_ranking(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.permutation(40)[: rng.integers(0, 41)].tolist() if i % 17 else None, float(i % 3 + 1)) for i in range(5_000)]
+    df = spark.createDataFrame(rows, "ranking_id long, items array<int>, weight double").repartition(3)
+    want = np.zeros(40)
+    for _, items, w in rows:
+        for x in (items or [])[:-1]:
+            want[x] += w
+    from prefscale.functions import kernels as k
+
+    with estimators.held_blocks(df) as blocks:
+        got = estimators.pass_over(blocks, 40, lambda idx, w: k.win_sums(idx, w, 40), 40)
+        assert got == pytest.approx(want)
+        assert blocks.count() < 60
+    assert estimators.pass_over(df, 40, lambda idx, w, key: [len(set(key.tolist()))], 1, keyed=True)[0] == sum(len(r[1] or []) > 1 for r in rows)
+    assert estimators.pass_over(df.limit(0), 40, lambda idx, w: k.win_sums(idx, w, 40), 40).sum() == 0
