@@ -12,7 +12,7 @@ from prefscale.functions import embeddings as emb
 from prefscale.functions.links import gennorm, gumbel_ev, laplace, logit, probit
 from prefscale.jobs import fixtures as fx
 from prefscale.jobs import grid
-from prefscale.operators import breaking, clustering, consensus, estimators, evaluate, graph, mixture, prepare, sampling
+from prefscale.operators import breaking, clustering, consensus, dynamic, estimators, evaluate, graph, mixture, prepare, sampling
 from prefscale.streaming import timed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,6 +504,68 @@ def kernel_pair_counts(s, d):
     return rounded(timed.kernel_pair_counts(counts, 30, 0.05))
 
 
+KERNEL = f"{TIMED}, c AS (SELECT date_diff('day', TIMESTAMP '2024-01-01', day::TIMESTAMP) AS t, winner, loser, count(*)::DOUBLE AS wins FROM k GROUP BY 1, 2, 3), z AS (SELECT z.t, winner, loser, sum(wins * exp(-pow((z.t - c.t) / 1.5, 2) / 2) / sqrt(2 * pi())) AS wins FROM c JOIN (SELECT i AS t FROM range(30) x(i)) z ON abs(z.t - c.t) <= 4 GROUP BY 1, 2, 3), both_ways AS (SELECT t, winner AS i, loser AS j, wins AS a, 0.0::DOUBLE AS b FROM z UNION ALL SELECT t, loser, winner, 0.0, wins FROM z), p AS (SELECT t, i, j, sum(a) + 1 AS a, sum(a) + sum(b) + 2 AS n FROM both_ways GROUP BY 1, 2, 3)"
+#: More turns than any step's fit takes to settle to the digits that are compared.
+TURNS = 800
+LN_T = "SELECT t, item::BIGINT AS item, round(theta - avg(theta) OVER (PARTITION BY t), 6) AS theta FROM (SELECT t, item, ln(pi) AS theta FROM it WHERE k = {})"
+
+
+def smoothed_counts(s, d):
+    counts = timed.pair_counts_by_time(fx.daily_event_rankings(s, d).withColumnRenamed("day", "ts"))
+    counts = counts.select(F.date_diff("start", F.lit("2024-01-01")).alias("t"), "winner", "loser", "wins")
+    return timed.kernel_pair_counts(counts, 30, 0.05)
+
+
+@query("fit_over_time", f"WITH RECURSIVE {KERNEL}, o AS (SELECT t, j AS src, sum(a / n) AS out FROM p GROUP BY 1, 2), top AS (SELECT t, max(out) AS top FROM o GROUP BY 1), f AS (SELECT p.t, j AS src, i AS dst, a / n / top AS p FROM p JOIN top USING (t) UNION ALL SELECT o.t, src, src, 1 - out / top FROM o JOIN top USING (t)), it(k, t, item, pi) AS (SELECT 0, t, i, 0.2::DOUBLE FROM (SELECT DISTINCT t FROM p), range(5) x(i) UNION ALL SELECT k + 1, it.t, dst, sum(pi * f.p) FROM it JOIN f ON f.t = it.t AND f.src = it.item WHERE k < {TURNS} GROUP BY 1, 2, 3) {LN_T.format(TURNS)}")
+def fit_over_time(s, d):
+    """A day's order of event kinds, from counts smoothed over the days about it."""
+    return rounded(dynamic.fit_over_time(smoothed_counts(s, d), fx.N_EVENTS).select("t", "item", "theta"))
+
+
+@query("fit_over_time_likelihood", f"WITH RECURSIVE {KERNEL}, won AS (SELECT t, i AS item, sum(a) AS won FROM p GROUP BY 1, 2), it(k, t, item, pi) AS (SELECT 0, t, i, 0.2::DOUBLE FROM (SELECT DISTINCT t FROM p), range(5) x(i) UNION ALL SELECT k, t, item, pi / sum(pi) OVER (PARTITION BY t) FROM (SELECT it.k + 1 AS k, it.t, it.item, any_value(won) / sum(n / (it.pi + o.pi)) AS pi FROM it JOIN p ON p.t = it.t AND p.i = it.item JOIN it o ON o.t = it.t AND o.item = p.j JOIN won ON won.t = it.t AND won.item = it.item WHERE it.k < {TURNS} GROUP BY 1, 2, 3)) {LN_T.format(TURNS)}")
+def fit_over_time_likelihood(s, d):
+    return rounded(dynamic.fit_over_time(smoothed_counts(s, d), fx.N_EVENTS, "bradley_terry").select("t", "item", "theta"))
+
+
+# --- orders with circles
+
+
+def level_sql(edges: str) -> str:
+    """Items, components, levels and ranks from ``v`` (item) and the edges of ``e`` (a, b)."""
+    return f"{edges}, reach(a, b) AS (SELECT item, item FROM v UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), comp AS (SELECT x.a AS item, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1), ce AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN comp x ON x.item = e.a JOIN comp y ON y.item = e.b WHERE x.component <> y.component), way(c, k) AS (SELECT component, 0 FROM comp UNION SELECT ce.b, k + 1 FROM way JOIN ce ON way.c = ce.a), lv AS (SELECT c AS component, max(k) AS level FROM way GROUP BY 1), won AS (SELECT e.a AS item, count(*) AS won FROM e JOIN comp x ON x.item = e.a JOIN comp y ON y.item = e.b WHERE x.component = y.component GROUP BY 1) SELECT item::BIGINT AS item, component::BIGINT AS component, level::BIGINT AS level, row_number() OVER (ORDER BY level, component, coalesce(won, 0) DESC, item) AS rank FROM comp JOIN lv USING (component) LEFT JOIN won USING (item)"
+
+
+X_EDGES = "x AS (SELECT v.item, v.opponent, v.a, v.a + o.a AS total, v.a / (v.a + o.a) AS p FROM v v JOIN v o ON v.item = o.opponent AND v.opponent = o.item)"
+
+
+@query("preference_levels_brand", f"WITH RECURSIVE {fx.R_BRAND}, {fx.PROBS.replace('v AS (', 'v0 AS (')}, {X_EDGES.replace('FROM v v JOIN v o', 'FROM v0 v JOIN v0 o')}, v AS (SELECT DISTINCT item FROM x), e AS (SELECT item AS a, opponent AS b FROM x WHERE p > 0.5 + 0.03), {level_sql('u0 AS (SELECT 1)')}")
+def preference_levels_brand(s, d):
+    return rounded(graph.preference_levels(breaking.pair_probs(breaking.pair_counts(fx.brand_rankings(s, d))), 0.03))
+
+
+def part_pairs(s, d):
+    """Per customer the parts they bought, by quantity; comparisons of parts."""
+    lines = fx.table(s, d, "lineitem").join(fx.table(s, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = prepare.rankings_from_scores(lines.groupBy("o_custkey", F.col("l_partkey").alias("item")).agg(F.sum("l_quantity").alias("score")), "o_custkey")
+    return breaking.pair_probs(breaking.pair_counts(rows))
+
+
+R_PART = fx.R_NATION.replace("s_nationkey AS item", "l_partkey AS item").replace(" JOIN supplier ON l_suppkey = s_suppkey", "")
+
+
+@query("preference_levels_part", f"WITH RECURSIVE {R_PART}, {fx.PROBS.replace('v AS (', 'v0 AS (')}, {X_EDGES.replace('FROM v v JOIN v o', 'FROM v0 v JOIN v0 o')}, v AS (SELECT DISTINCT item FROM x), e AS (SELECT item AS a, opponent AS b FROM x WHERE p > 0.5 + 0.2 AND total >= 4), {level_sql('u0 AS (SELECT 1)')}")
+def preference_levels_part(s, d):
+    """Parts with clear majorities of at least four comparisons: one large circle, small ones, and chains beside them."""
+    return rounded(graph.preference_levels(part_pairs(s, d), 0.2, 4))
+
+
+@query("connected_components_parts", f"WITH RECURSIVE {R_PART}, {fx.PROBS.replace('v AS (', 'v0 AS (')}, {X_EDGES.replace('FROM v v JOIN v o', 'FROM v0 v JOIN v0 o')}, e AS (SELECT item AS a, opponent AS b FROM x WHERE total >= 5), t(node, seen) AS (SELECT a, least(a, b) FROM e UNION SELECT e.b, t.seen FROM t JOIN e ON t.node = e.a) SELECT node, min(seen) AS component FROM t GROUP BY 1")
+def connected_components_parts(s, d):
+    """Parts that many customers bought both of: hundreds of components of unlike size."""
+    edges = part_pairs(s, d).where("total >= 5 and item < opponent")
+    return graph.connected_components(edges.select(F.col("item").alias("src"), F.col("opponent").alias("dst")))
+
+
 # --- fits
 
 

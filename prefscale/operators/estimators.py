@@ -7,7 +7,7 @@ return params (component 0, item, theta), centred.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
@@ -15,12 +15,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from prefscale.functions import kernels as k
 from prefscale.functions.links import Link, link as named_link
 from prefscale.operators.breaking import pair_counts, pair_probs, weight_of
-from prefscale.session import cut, kept, ship
+from prefscale.session import kept, ship, written
 
+PARAMS = ("component", "item", "theta")
 #: Item-by-item tables are made and solved in one place up to this number of items.
 MAX_ITEMS = 3_000
 
@@ -128,35 +130,52 @@ def rank_centrality(rankings: DataFrame, n: int, nu: float = 1.0, max_iters: int
     the walk goes over the table of pairs, a join and a sum a step."""
     if n > MAX_ITEMS:
         rates = pair_probs(pair_counts(rankings), "all", nu).select(F.col("opponent").alias("src"), F.col("item").alias("dst"), F.col("p").alias("rate"))
-        return walked(rates, n, max_iters, eps)
+        return walked(rates, n, max_iters, eps).select(*PARAMS)
     wins = wins_matrix(pair_counts(rankings), n)
     pi = k.power_iteration(k.chain(k.shares_of(wins, nu)), max_iters, eps)
     return params_frame(rankings, k.centred(np.log(pi)))
 
 
-def walked(rates: DataFrame, n: int, max_iters: int, eps: float) -> DataFrame:
-    """params from the stationary distribution of a chain with these rates (src, dst, rate), by power iteration on
-    tables: as ``kernels.chain`` and ``kernels.power_iteration``."""
-    rates = cut(rates.where("src <> dst and rate > 0"))
-    out = rates.groupBy("src").agg(F.sum("rate").alias("out"))
-    top = out.agg(F.max("out")).first()[0] or 1.0
+#: Steps of a walk between two cuts of its lineage, at which it is also seen whether it has settled.
+STEPS_A_CUT = 10
+
+
+def walked(rates: DataFrame, n: int, max_iters: int, eps: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, component, item, theta, iterations, converged) from the stationary distribution of a chain with these rates
+    (keys, src, dst, rate), one per key, by power iteration on tables: as ``kernels.chain`` and
+    ``kernels.power_iteration``. The table of steps stays partitioned by where they start, so only the n shares (a key)
+    are shuffled."""
+    keys = list(keys)
+    rates = written(rates.where("src <> dst and rate > 0"))
+    out = rates.groupBy(*keys, "src").agg(F.sum("rate").alias("out"))
+    top = out.groupBy(*keys).agg(F.max("out").alias("top"))
     items = rates.sparkSession.range(n).select(F.col("id").cast("int").alias("item"))
-    stay = items.join(out, F.col("item") == F.col("src"), "left").select(F.col("item").alias("src"), F.col("item").alias("dst"), (1 - F.coalesce("out", F.lit(0.0)) / top).alias("p"))
-    steps = cut(rates.select(F.col("src").cast("int"), F.col("dst").cast("int"), (F.col("rate") / top).alias("p")).unionByName(stay))
-    pi = cut(items.withColumn("pi", F.lit(1.0 / n)))
-    for _ in range(max_iters):
-        new = pi.join(steps, F.col("item") == F.col("src")).groupBy("dst").agg(F.sum(F.col("pi") * F.col("p")).alias("new"))
-        new = cut(new.join(pi, F.col("dst") == F.col("item")).select("item", F.col("new").alias("pi"), F.pow(F.col("new") - F.col("pi"), F.lit(2.0)).alias("moved")))
-        pi = new.select("item", "pi")
-        if (new.agg(F.sqrt(F.sum("moved"))).first()[0] or 0.0) < eps:
-            break
-    mean = pi.agg(F.avg(F.log("pi"))).first()[0]
-    return pi.select(F.lit(0).alias("component"), "item", (F.log("pi") - F.lit(mean)).alias("theta"))
+    every = rates.select(*keys).distinct().crossJoin(items) if keys else items
+    parts = [*keys, "src"]
+    stay = every.withColumnRenamed("item", "src").join(out, parts, "left")
+    stay = stay.join(top, keys) if keys else stay.crossJoin(F.broadcast(top))  # one row a key
+    stay = stay.select(*parts, F.col("src").alias("dst"), (1 - F.coalesce("out", F.lit(0.0)) / F.col("top")).alias("p"))
+    moves = rates.join(top, keys) if keys else rates.crossJoin(F.broadcast(top))
+    moves = moves.select(*keys, F.col("src").cast("int"), F.col("dst").cast("int"), (F.col("rate") / F.col("top")).alias("p"))
+    pi, done, turn = written(every.withColumn("pi", F.lit(1.0 / n))), False, 0
+    with kept(written(moves.unionByName(stay)).repartition(*parts)) as steps:
+        while not done and turn < max_iters:
+            last = pi
+            for _ in range(min(STEPS_A_CUT, max_iters - turn)):
+                last, turn = pi, turn + 1
+                pi = last.withColumnRenamed("item", "src").join(steps, parts).groupBy(*keys, F.col("dst").alias("item")).agg(F.sum(F.col("pi") * F.col("p")).alias("pi"))
+            both = written(pi.join(last.withColumnRenamed("pi", "old"), [*keys, "item"]))
+            pi = both.select(*keys, "item", "pi")
+            far = both.groupBy(*keys).agg(F.sqrt(F.sum(F.pow(F.col("pi") - F.col("old"), F.lit(2.0)))).alias("far"))
+            done = (far.agg(F.max("far")).first()[0] or 0.0) < eps
+    say_if_cut(done, max_iters)
+    mean = F.avg(F.log("pi")).over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))  # a row an item
+    return pi.select(*keys, F.lit(0).alias("component"), "item", (F.log("pi") - mean).alias("theta"), F.lit(turn).cast("long").alias("iterations"), F.lit(done).alias("converged"))
 
 
 def rank_centrality_from_probs(pairs: DataFrame, n: int, lambd: float = 0.0, max_iters: int = 1000, eps: float = 1e-12) -> DataFrame:
     if n > MAX_ITEMS:
-        return walked(pairs.select(F.col("opponent").alias("src"), F.col("item").alias("dst"), (F.col("p") + lambd).alias("rate")), n, max_iters, eps)
+        return walked(pairs.select(F.col("opponent").alias("src"), F.col("item").alias("dst"), (F.col("p") + lambd).alias("rate")), n, max_iters, eps).select(*PARAMS)
     p = probs_matrix(pairs, n)
     met = (p + p.T) > 0
     pi = k.power_iteration(k.chain(np.where(met, p.T + lambd, 0.0)), max_iters, eps)

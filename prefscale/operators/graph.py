@@ -1,11 +1,12 @@
-"""Graphs over items: comparison and menu graphs, connected components."""
+"""Graphs over items: comparison, menu and majority graphs, connected and strongly connected components, levels."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from prefscale.session import cut
+from prefscale.session import cut, written
 
 
 def comparison_graph(pairs: DataFrame) -> DataFrame:
@@ -70,3 +71,116 @@ def is_connected(edges: DataFrame, n_items: int) -> bool:
         return True
     row = connected_components(edges).agg(F.count_distinct("component").alias("c"), F.count("*").alias("n")).first()
     return row["c"] == 1 and row["n"] == n_items
+
+
+def majority_graph(pairs: DataFrame, margin: float = 0.0, min_total: float = 0.0) -> DataFrame:
+    """(src, dst) from the item that most prefer to the other: where p is above one half by more than ``margin``, of pairs
+    compared at least ``min_total`` times. A tie is no edge. pairs: (item, opponent, total, p)."""
+    better = pairs.where((F.col("p") > 0.5 + margin) & (F.col("total") >= min_total))
+    return better.select(F.col("item").alias("src"), F.col("opponent").alias("dst"))
+
+
+#: Steps along edges between two cuts of the lineage.
+STEPS_A_CUT = 3
+
+
+def colours(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, colour): the smallest node from which each can be reached. A round takes steps along the edges and then the
+    colour's own colour, as what reaches it reaches the node too; so a long way is not walked edge by edge."""
+    out = nodes.withColumn("colour", F.col("node"))
+    for _ in range(max_rounds):
+        new = out
+        for _ in range(STEPS_A_CUT):
+            moved = edges.join(new, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour")
+            new = new.unionByName(moved).groupBy("node").agg(F.min("colour").alias("colour"))
+        far = new.select(F.col("node").alias("via"), F.col("colour").alias("far"))
+        new = new.join(far, F.col("colour") == F.col("via")).select("node", F.col("far").alias("colour"))
+        both = written(new.join(out.withColumnRenamed("colour", "old"), "node"))
+        out = both.select("node", "colour")
+        if both.where("old <> colour").isEmpty():
+            return out
+    raise RuntimeError(f"colours did not settle in {max_rounds} rounds")
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+    """(node, component) for the nodes of ``edges`` (src, dst): which reach one another along the edges; a component is named
+    by its smallest node.
+
+    Each round first takes off the nodes without an edge in or out, which are components of their own. Then every node gets
+    the smallest node that reaches it as its colour; a node of its own colour is the smallest of its component, and the
+    component is what leads back to it within the colour, found for all colours at once. What is left goes on, colour by
+    colour, as no component has two. Minima are combined before each shuffle, so hot nodes don't matter. Rows with a null
+    end are left out; an edge from a node to itself only tells that the node is there.
+    """
+    known = edges.where("src is not null and dst is not null").select("src", "dst")
+    nodes = written(known.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    rest = written(known.where("src <> dst").distinct())
+    found = []
+    for _ in range(max_rounds):
+        if rest.isEmpty():
+            break
+        ins, outs = rest.select(F.col("dst").alias("node")).distinct(), rest.select(F.col("src").alias("node")).distinct()
+        inner = ins.join(outs, "node")
+        trimmed = rest.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+        trimmed = written(trimmed)
+        if trimmed.isEmpty():
+            break
+        named = colours(trimmed.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), trimmed, max_rounds)
+        ends = trimmed.join(named.toDF("src", "colour"), "src").join(named.toDF("dst", "other"), "dst")
+        ends = written(ends.where("colour = other").select("src", "dst", "colour"))
+        back = written(named.where("node = colour").select("node", "colour"))
+        whole, n = back, back.count()
+        while n:  # whatever leads to what was found last
+            new = ends.join(back.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "colour").distinct()
+            back = written(new.join(whole, "node", "left_anti"))
+            n = back.count()
+            if n:
+                whole = written(whole.unionByName(back))
+        found.append(whole.toDF("node", "component"))
+        gone = whole.select("node")
+        rest = ends.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst")
+        rest = written(rest)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    out = None
+    for part in found:
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(out, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def component_levels(edges: DataFrame, components: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(component, level): the most edges of a way between components (node, component) that ends there; 0 where none comes
+    in. Levels only rise, by steps along the edges, until they stay."""
+    name = lambda c, as_: components.select(F.col("node").alias(c), F.col("component").alias(as_))
+    over = edges.select("src", "dst").join(name("src", "a"), "src").join(name("dst", "b"), "dst")
+    over = written(over.where("a <> b").select("a", "b").distinct())
+    out = written(components.select("component").distinct().withColumn("level", F.lit(0)))
+    for _ in range(max_rounds):
+        new = out
+        for _ in range(STEPS_A_CUT):
+            up = over.join(new, F.col("a") == F.col("component")).select(F.col("b").alias("component"), (F.col("level") + 1).alias("level"))
+            new = new.unionByName(up).groupBy("component").agg(F.max("level").alias("level"))
+        both = written(new.join(out.withColumnRenamed("level", "old"), "component"))
+        out = both.select("component", "level")
+        if both.where("old <> level").isEmpty():
+            return out
+    raise RuntimeError(f"levels did not settle in {max_rounds} rounds")
+
+
+def preference_levels(pairs: DataFrame, margin: float = 0.0, min_total: float = 0.0) -> DataFrame:
+    """(item, component, level, rank) of the items in ``pairs`` (item, opponent, total, p): a topological order of the
+    majority graph, cycles and all. Items that are preferred over one another in a circle share a component; components are
+    ordered by their level, then their smallest item; within one, items by majority wins over the others of it, then by
+    item. Where the graph is complete and has no circle, this is the order of ``preference_order``."""
+    edges = written(majority_graph(pairs, margin, min_total))
+    items = pairs.select(F.col("item").alias("node")).where("node is not null").distinct()
+    loops = items.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    components = written(strong_components(edges.unionByName(loops)))
+    levels = component_levels(edges, components)
+    name = lambda c, as_: components.select(F.col("node").alias(c), F.col("component").alias(as_))
+    inside = edges.join(name("src", "a"), "src").join(name("dst", "b"), "dst").where("a = b").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("won"))
+    rows = components.join(levels, "component").join(inside, "node", "left")
+    order = W.partitionBy(F.lit(0)).orderBy("level", "component", F.desc(F.coalesce("won", F.lit(0))), "node")  # a row an item
+    return rows.select(F.col("node").alias("item"), "component", "level", F.row_number().over(order).alias("rank"))

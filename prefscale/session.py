@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,22 +34,32 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: its lineage ends here.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process (tests,
-    a laptop) a temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: the cluster's ``spark.checkpoint.dir``; only where that is unset and
+    Spark runs in one process (tests, a laptop) a temporary one is made."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and sc.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prefscale-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there: its lineage ends here."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table in that folder, for loops of joins: Spark knows a table's size by its files, while behind a
+    checkpoint it goes on multiplying the sizes it guessed, into numbers of thousands of digits."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` held in memory and on disk while passes go over it; what the caller has cached stays as it is."""
