@@ -674,6 +674,7 @@ query("pair_cml")(fitted(estimators.pair_cml))
 query("pair_least_squares", f"WITH RECURSIVE {SMOOTHED}, {LEAST_SQUARES}")(over_pairs(estimators.pair_least_squares))
 query("pair_low_rank")(over_pairs(estimators.pair_low_rank))
 query("pair_factorize")(over_pairs(estimators.pair_factorize))
+query("pair_factorize_huber")(over_pairs(lambda p, n: estimators.pair_low_rank_model(p, tol=1e-3)))
 
 
 @query("pair_posterior")
@@ -712,12 +713,20 @@ def cluster_rankings(s, d):
     return clustering.cluster_rankings(fx.event_rankings(s, d), 2, fx.N_EVENTS)[0]
 
 
-@query("complete_ratings")
-def complete_ratings(s, d):
+def indexed_ratings(s, d):
     ratings = fx.ratings(s, d)
     users, items = (ratings.select(c).distinct().count() for c in ("user_id", "item_id"))
-    rows = prepare.index_ratings(ratings, users, items).select(F.col("user").cast("int"), F.col("item").cast("int"), F.col("rating").cast("float"))
-    return estimators.complete_ratings(rows).select("ranking_id", text())
+    return prepare.index_ratings(ratings, users, items).select(F.col("user").cast("int"), F.col("item").cast("int"), F.col("rating").cast("float"))
+
+
+@query("complete_ratings")
+def complete_ratings(s, d):
+    return estimators.complete_ratings(indexed_ratings(s, d)).select("ranking_id", text())
+
+
+@query("complete_ratings_zeros")
+def complete_ratings_zeros(s, d):
+    return estimators.complete_ratings_zeros(indexed_ratings(s, d), rank=8, tol=1e-3).select("ranking_id", text())
 
 
 @query("score_grid", "SELECT c_custkey AS user, n_nationkey::BIGINT AS item, round(c_acctbal / 1000 * (n_nationkey + 1) + c_nationkey * n_regionkey, 6) AS score FROM customer, nation")

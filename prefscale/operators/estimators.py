@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from prefscale.functions import kernels as k
 from prefscale.functions.links import Link, link as named_link
 from prefscale.operators.breaking import pair_counts, pair_probs, weight_of
+from prefscale.operators.lowrank import low_rank_model, nonnegative_factors, rankings_from_factors
 from prefscale.session import kept, ship, written
 
 PARAMS = ("component", "item", "theta")
@@ -287,6 +288,18 @@ def pair_factorize(pairs: DataFrame, n: int, link: str | Link = "logit", rank: i
     return theta.join(F.broadcast(mean)).select(F.lit(0).alias("component"), "item", (F.col("theta") - F.col("mean")).alias("theta"))
 
 
+def pair_low_rank_model(pairs: DataFrame, link: str | Link = "logit", rank: int = 2, loss: str = "huber", penalty: str = "l1", lambd: float = 0.01, seed: object = 0, tol: float = 1e-6) -> DataFrame:
+    """phi of the shares completed by ``low_rank_model``, with any of its losses and penalties; theta is an item's mean over
+    all opponents."""
+    entries = pairs.select(F.col("item").alias("row"), F.col("opponent").alias("col"), named_link(link).phi(F.col("p")).alias("value"))
+    found = low_rank_model(entries, rank, loss, penalty, penalty, lambd, tol=tol, seed=seed)
+    mean = F.array(*[F.avg(F.get("features", F.lit(k))) for k in range(rank)])  # an item's mean product is its product with the mean
+    rows = found.rows.crossJoin(F.broadcast(found.cols.agg(mean.alias("mean"))))  # one row
+    dot = F.aggregate(F.zip_with("features", "mean", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    theta = rows.select(F.col("id").cast("int").alias("item"), dot.alias("theta"))
+    return theta.crossJoin(F.broadcast(theta.agg(F.avg("theta").alias("mean")))).select(F.lit(0).alias("component"), "item", (F.col("theta") - F.col("mean")).alias("theta"))
+
+
 def tilted(mean: np.ndarray, var: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray]:
     """Mean and variance of a Gaussian times F: in closed form for the normal F, by quadrature for the logistic one."""
     if model == "probit":
@@ -349,26 +362,18 @@ def pair_posterior(comparisons: DataFrame, alpha: float = 1.0, group_cols: list[
 
 def complete_ratings(ratings: DataFrame, rank: int = 30, iters: int = 30, num_items: int | None = None, seed: int = 0) -> DataFrame:
     """(ranking_id, items): full rankings for every user by a non-negative factorisation. Missing ratings are missing,
-    not zeros. ratings: (user, item, rating)."""
+    not zeros; ``complete_ratings_zeros`` takes them as zeros. ratings: (user, item, rating)."""
     from pyspark.ml.recommendation import ALS
 
     model = ALS(rank=rank, maxIter=iters, nonnegative=True, userCol="user", itemCol="item", ratingCol="rating", seed=seed).fit(ratings)
-    rows = model.itemFactors.orderBy("id").collect()
-    ids, factors = np.array([r["id"] for r in rows], np.int32), np.array([r["features"] for r in rows], np.float32).reshape(len(rows), rank)
-    every = len(ids) if num_items is None else num_items
-    shared = ratings.sparkSession.sparkContext.broadcast((ids, factors))
-
-    def complete(batches):
-        import pandas as pd
-
-        ids, factors = shared.value
-        for users in batches:
-            for start in range(0, len(users), 64):  # so many rows of scores at once
-                part = users.iloc[start : start + 64]
-                order = np.argsort(-(np.stack(part["features"].to_numpy()).astype(np.float32) @ factors.T), axis=1, kind="stable")[:, :every]
-                yield pd.DataFrame({"ranking_id": part["id"].to_numpy(), "items": list(ids[order])})
-
-    return model.userFactors.select("id", "features").mapInPandas(complete, "ranking_id int, items array<int>")
+    return rankings_from_factors(model.userFactors, model.itemFactors, num_items)
+
+
+def complete_ratings_zeros(ratings: DataFrame, rank: int = 30, num_items: int | None = None, seed: object = 0, tol: float = 1e-5) -> DataFrame:
+    """The same with zeros where there is no rating, by ``nonnegative_factors``."""
+    entries = ratings.select(F.col("user").alias("row"), F.col("item").alias("col"), F.col("rating").alias("value"))
+    found = nonnegative_factors(entries, rank, tol=tol, seed=seed)
+    return rankings_from_factors(found.rows, found.cols, num_items)
 
 
 #: Items of a block of ``score_grid``.

@@ -134,9 +134,12 @@ def pair_differences(params: DataFrame) -> DataFrame:
 
 
 def pairwise_log_likelihood(pairs: DataFrame, params: DataFrame, link: str = "logit") -> DataFrame:
-    """(component, ll): sum over pairs of p ln F(theta of item - theta of opponent)."""
-    rows = pairs.join(pair_differences(params), ["item", "opponent"])
-    return rows.groupBy("component").agg(F.sum(F.col("p") * F.log(named_link(link).cdf(F.col("diff")))).alias("ll"))
+    """(component, ll): sum over pairs of p ln F(theta of item - theta of opponent). Only the pairs given are joined with the
+    model, once for each of their items."""
+    own = params.select("component", "item", "theta")
+    other = params.select("component", F.col("item").alias("opponent"), F.col("theta").alias("other"))
+    rows = pairs.where("item <> opponent").select("item", "opponent", "p").join(own, "item").join(other, ["component", "opponent"])
+    return rows.groupBy("component").agg(F.sum(F.col("p") * F.log(named_link(link).cdf(F.col("theta") - F.col("other")))).alias("ll"))
 
 
 def expected_pair_vector(params: DataFrame, link: str = "logit") -> DataFrame:
