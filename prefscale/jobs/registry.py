@@ -713,6 +713,12 @@ def cluster_rankings(s, d):
     return clustering.cluster_rankings(fx.event_rankings(s, d), 2, fx.N_EVENTS)[0]
 
 
+@query("cluster_rankings_sketch")
+def cluster_rankings_sketch(s, d):
+    """Customers by the orders of the nations they buy from, by sketches of all pairs."""
+    return clustering.cluster_rankings(fx.nation_rankings(s, d), 3, fx.N_NATIONS, "sketch", width=256, centres=False)[0]
+
+
 def indexed_ratings(s, d):
     ratings = fx.ratings(s, d)
     users, items = (ratings.select(c).distinct().count() for c in ("user_id", "item_id"))

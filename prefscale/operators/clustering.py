@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefscale.functions import kernels as k
+from prefscale.functions.hashing import mixed
 from prefscale.operators.breaking import full_pairs, weight_of
+from prefscale.operators.estimators import check_dense
 from prefscale.operators.mixture import random_start
 from prefscale.session import kept, ship
 
@@ -29,19 +31,45 @@ def pair_vectors(idx: np.ndarray, n: int) -> np.ndarray:
     return np.nan_to_num(np.sign(pos[:, j] - pos[:, i]) / 2)
 
 
+#: Numbers of a sketch, and entries (rankings x items) that are sketched at a time.
+SKETCH_WIDTH, SKETCH_CELLS = 1_024, 1 << 16
+
+
+def pair_sketch(idx: np.ndarray, width: int = SKETCH_WIDTH) -> np.ndarray:
+    """``pair_vectors`` folded to ``width`` numbers by a count sketch, without ever being written out: a hash of the pair says
+    where its entry is added and with which sign. Inner products stay right on the mean, with a variance of about the
+    product of the squared lengths over the width. Items may have any ids."""
+    out = np.zeros((len(idx), width))
+    many = max(1, SKETCH_CELLS // max(1, idx.shape[1]))
+    for at in range(0, len(idx), many):
+        some = idx[at : at + many].astype(np.uint64)
+        there = idx[at : at + many] >= 0
+        row = np.arange(len(some))[:, None] * width
+        total = np.zeros(len(some) * width)
+        for t in range(some.shape[1] - 1):
+            ahead, behind, use = some[:, t : t + 1], some[:, t + 1 :], there[:, t + 1 :]
+            key = mixed(mixed(np.minimum(ahead, behind)) ^ (np.maximum(ahead, behind) * np.uint64(0x9E3779B97F4A7C15)))
+            place = row + (key % np.uint64(width)).astype(np.int64)
+            sign = np.where(ahead < behind, 0.5, -0.5) * np.where(key >> np.uint64(63), 1.0, -1.0)
+            total += np.bincount(place[use], sign[use], len(total))
+        out[at : at + many] = total.reshape(len(some), width)
+    return out
+
+
 #: What makes a ranking's vector: a name, or a function from the items' Column to an array of numbers.
 Embedding = str | Callable[[Column], Column]
 
 
-def embedded(rankings: DataFrame, n: int, embedding: Embedding) -> tuple[DataFrame, int]:
-    """(ranking_id, v, weight) of the rankings that have items, and the length of v."""
+def embedded(rankings: DataFrame, n: int, embedding: Embedding, width: int = SKETCH_WIDTH) -> tuple[DataFrame, int]:
+    """(ranking_id, v, weight) of the rankings that have items, and the length of v. ``sketch``: of ``width`` numbers,
+    however many items there are; the others have one for each pair of items."""
     ship(rankings.sparkSession)
     rows = rankings.where(F.size("items") > 0).select("ranking_id", "items", weight_of(rankings).alias("weight"))
     if callable(embedding):
         rows = rows.select("ranking_id", embedding(F.col("items")).cast("array<double>").alias("v"), "weight")
         first = rows.select(F.size("v").alias("k")).first()
         return rows, first["k"] if first else 0
-    if embedding not in ("signed", "disjoint"):
+    if embedding not in ("signed", "disjoint", "sketch"):
         raise ValueError(embedding)
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,10 +77,10 @@ def embedded(rankings: DataFrame, n: int, embedding: Embedding) -> tuple[DataFra
             for i in range(0, len(part), 256):
                 some = part.iloc[i : i + 256]
                 idx, _ = k.matrix(some["items"].tolist(), 1)
-                yield pd.DataFrame({"ranking_id": some["ranking_id"], "v": list(pair_vectors(idx, n)), "weight": some["weight"]})
+                yield pd.DataFrame({"ranking_id": some["ranking_id"], "v": list(pair_sketch(idx, width) if embedding == "sketch" else pair_vectors(idx, n)), "weight": some["weight"]})
 
     kind = rankings.schema["ranking_id"].dataType.simpleString()
-    return rows.mapInPandas(work, f"ranking_id {kind}, v array<double>, weight double"), n * (n - 1) // 2
+    return rows.mapInPandas(work, f"ranking_id {kind}, v array<double>, weight double"), width if embedding == "sketch" else n * (n - 1) // 2
 
 
 def summed(vectors: DataFrame, work, size: int) -> np.ndarray:
@@ -146,11 +174,14 @@ def projection(rows: DataFrame, dim: int, components: int, reduce: str, lambd: f
     return top
 
 
-def cluster_rankings(rankings: DataFrame, components: int, n: int, embedding: Embedding = "signed", reduce: str = "pca_scaled", lambd: float = 1.0, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+def cluster_rankings(rankings: DataFrame, components: int, n: int, embedding: Embedding = "signed", reduce: str = "pca_scaled", lambd: float = 1.0, seed: int = 0, width: int = SKETCH_WIDTH, centres: bool = True) -> tuple[DataFrame, np.ndarray | None]:
     """(ranking_id, label) and the centres, as shares in which an item is ahead of another per cluster. ``disjoint`` keeps
     only the coordinates of a random pairing of the items; a function makes its own vector from the items, for example
-    ``lambda items: embed_positional(items, n)``."""
-    rows, dim = embedded(rankings, n, embedding)
+    ``lambda items: embed_positional(items, n)``. ``sketch`` is for many items: vectors of ``width`` numbers, whatever n is.
+    The centres are items x items tables, of at most MAX_ITEMS items; centres=False leaves them out (None)."""
+    if centres:
+        check_dense(n)
+    rows, dim = embedded(rankings, n, embedding, width)
     to = projection(rows, dim, components, reduce, lambd, seed)
     if embedding == "disjoint":
         use = np.zeros(dim, bool)
@@ -173,6 +204,8 @@ def cluster_rankings(rankings: DataFrame, components: int, n: int, embedding: Em
     with kept(points) as held:
         model = KMeans(k=components, seed=seed, maxIter=1_000).fit(held)  # until the centres stay
     labels = model.transform(points).select("ranking_id", F.col("prediction").alias("label"))
+    if not centres:
+        return labels, None
     return labels, cluster_centres(rankings.join(labels, "ranking_id"), components, n)
 
 

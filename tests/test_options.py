@@ -180,3 +180,35 @@ def test_posterior_with_weights_of_one_ranking_each_order():
     items = [list(p) for p in itertools.permutations(range(3))]
     idx, rows = k.matrix(items)
     assert len(rows) == 6 and k.log_likelihood(np.zeros((1, 3)), idx) == pytest.approx(np.log(1 / 6))
+
+
+def test_sketches_keep_inner_products():
+    rng = np.random.default_rng(6)
+    idx = np.full((40, 30), -1)
+    for r in range(40):
+        items = rng.permutation(30)[: rng.integers(2, 31)]
+        idx[r, : len(items)] = items
+    exact = clustering.pair_vectors(idx, 30)
+    sketch = clustering.pair_sketch(idx, 4096)
+    norms = np.sqrt((exact * exact).sum(1))
+    apart = np.abs(sketch @ sketch.T - exact @ exact.T) / np.maximum(norms[:, None] * norms, 1e-9)
+    assert apart.mean() < 0.02 and apart.max() < 0.12  # about 1 / sqrt(4096)
+    assert clustering.pair_sketch(idx[:, :1], 8).tolist() == np.zeros((40, 8)).tolist()
+
+
+def test_groups_of_two_thousand_items_are_found(spark):
+    rng = np.random.default_rng(8)
+    tastes = rng.normal(size=(2, 2000)) * 3
+    rows = []
+    for r in range(60):
+        menu = rng.permutation(2000)[:120]
+        rows.append((r, menu[np.argsort(-(tastes[r % 2][menu] + rng.gumbel(size=120)))].tolist(), r % 2))
+    df = spark.createDataFrame(rows, "ranking_id long, items array<int>, true int")
+    labels, none = clustering.cluster_rankings(df, 2, 5_000_000, "sketch", width=512, centres=False, reduce="none")
+    assert none is None and labels.count() == 60
+    with pytest.raises(ValueError, match="too many"):
+        clustering.cluster_rankings(df, 2, 5_000_000, "sketch")
+    whole = spark.createDataFrame([(r, np.argsort(-(tastes[r % 2] + rng.gumbel(size=2000))).tolist(), r % 2) for r in range(24)], "ranking_id long, items array<int>, true int")
+    labels, _ = clustering.cluster_rankings(whole, 2, 2000, "sketch", width=512, centres=False)
+    pred = labels.withColumnRenamed("label", "pred").join(whole, "ranking_id")
+    assert evaluate.clustering_accuracy(pred).first()["accuracy"] == 1
