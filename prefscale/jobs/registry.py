@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from prefscale.functions import embeddings as emb
 from prefscale.functions.links import gennorm, gumbel_ev, laplace, logit, probit
+from prefscale.functions.sql import register_sql
 from prefscale.jobs import fixtures as fx
 from prefscale.jobs import grid
 from prefscale.operators import breaking, clustering, consensus, dynamic, estimators, evaluate, graph, mixture, prepare, sampling
@@ -746,3 +747,37 @@ def score_grid(s, d):
 @query("evaluate_grid")
 def evaluate_grid(s, d):
     return rounded(grid.evaluate_grid(fx.nation_rankings(s, d), fx.N_NATIONS, [2, 3], [0.5, 1.0], ["mm", "spectral"], timings=False))
+
+
+# --- the same functions called from Spark SQL
+
+
+def spark_sql(s: SparkSession, rankings: DataFrame, text_of: str, **views: DataFrame) -> DataFrame:
+    register_sql(s)
+    return s.sql(text_of, rankings=rankings, **views)  # tables as parameters, so no view is left behind
+
+
+@query("sql_rank_break", SQL["pair_counts_brand"])
+def sql_rank_break(s, d):
+    return spark_sql(s, fx.brand_rankings(s, d), "SELECT CAST(winner AS BIGINT) AS winner, CAST(loser AS BIGINT) AS loser, CAST(count(*) AS DOUBLE) AS wins FROM {rankings} r, LATERAL rank_break(r.items) GROUP BY 1, 2")
+
+
+@query("sql_pl_log_likelihood", SQL["pl_log_likelihood"])
+def sql_pl_log_likelihood(s, d):
+    maps = fx.fixed_params(s).groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("item", "theta"))).alias("thetas"))
+    return spark_sql(s, fx.brand_rankings(s, d), "SELECT ranking_id, CAST(component AS BIGINT) AS component, round(pl_log_likelihood(items, thetas), 6) AS ll FROM {rankings} CROSS JOIN (SELECT /*+ BROADCAST(maps) */ * FROM {maps} AS maps)", maps=maps)
+
+
+@query("sql_pair_entries", SQL["embed_pairwise_signed"])
+def sql_pair_entries(s, d):
+    return spark_sql(s, fx.brand_rankings(s, d), "SELECT ranking_id, idx, value FROM {rankings} r, LATERAL pair_entries(r.items, 25)")
+
+
+def joined_vectors(function: str) -> Query:
+    return lambda s, d: spark_sql(s, fx.nation_rankings(s, d), f"SELECT ranking_id, array_join(CAST({function} AS ARRAY<STRING>), ',') AS items FROM {{rankings}}")
+
+
+query("sql_embed_lehmer", SQL["embed_lehmer"])(joined_vectors("embed_lehmer(items)"))
+query("sql_embed_positional", SQL["embed_positional"])(joined_vectors("embed_positional(items, 25)"))
+query("sql_embed_topk", SQL["embed_topk"])(joined_vectors("embed_topk(items, 25, 4)"))
+query("sql_embed_disjoint_pairs", SQL["embed_disjoint_pairs"])(joined_vectors("embed_disjoint_pairs(items, 25)"))
