@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prefscale.llm.text import SPACE, packed, unpacked
+from prefscale.llm.text import SPACE, giving_back, packed, unpacked
 from prefscale.session import cut, ship, table
 
 #: Bytes of texts that a trie holds before it spills a subtree.
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 48 << 20
 #: Owners of up to so many texts, of some 50 bytes each, are sent to every task.
 BROADCAST_TEXTS = 100_000
 #: What a node costs beside its label.
@@ -187,9 +187,9 @@ def text_owners(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     body = F.encode(normal_text(F.col("text")), "UTF-8")
     rows = docs.select(body.alias("body"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("keep_id"))
     rows = rows.select(F.unhex(F.sha2("body", 256)).alias("text_key"), F.length("body").cast("long").alias("n_bytes"), "body", "keep_id", F.lit(1).cast("long").alias("group_size"))
-    local = rows.mapInPandas(lambda parts: local_owners(parts, budget), ENTRY)
+    local = rows.mapInPandas(giving_back(lambda parts: local_owners(parts, budget)), ENTRY)
     dealt = local.repartition("n_bytes", "text_key").sortWithinPartitions("n_bytes", "text_key")
-    return dealt.mapInPandas(lambda parts: final_owners(parts, budget), ENTRY).select("text_key", F.nullif("keep_id", F.lit(NO_ID)).alias("keep_id"), "group_size")
+    return dealt.mapInPandas(giving_back(lambda parts: final_owners(parts, budget)), ENTRY).select("text_key", F.nullif("keep_id", F.lit(NO_ID)).alias("keep_id"), "group_size")
 
 
 def exact_groups(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prefscale.llm.text import packed, unpacked
+from prefscale.llm.text import giving_back, packed, unpacked
 from prefscale.operators.graph import connected_components
 from prefscale.session import cut, ship, table
 
@@ -215,10 +215,10 @@ def reduce_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sets_and_blocks(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, set_key, sketch) of every row, and the meetings (key, doc_id, centre) of documents with the
     same block: each but the smallest with the smallest of its task or of all. One pass over the texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(map_side(k, percent), MADE)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(map_side(k, percent)), MADE)
     # rows of documents, and those that have met their centre, only pass through: they go anywhere
     place = F.when(F.col("key").isNull() | F.col("other").isNotNull(), F.xxhash64("doc_id", "other")).otherwise(F.col("key"))
-    made = cut(rows.repartition(place).sortWithinPartitions("key").mapInArrow(reduce_side, MADE))
+    made = cut(rows.repartition(place).sortWithinPartitions("key").mapInArrow(giving_back(reduce_side), MADE))
     thin = made.where("key is null").select("doc_id", F.col("other").alias("n_shingles"), "set_key", "sketch")
     return thin, made.where("key is not null").select("key", "doc_id", F.col("other").alias("centre"))
 
@@ -226,11 +226,11 @@ def sets_and_blocks(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for i in range(0, len(part), 256):
-                some = part.iloc[i : i + 256]
+            for i in range(0, len(part), 64):
+                some = part.iloc[i : i + 64]
                 yield pd.DataFrame({"doc_id": some["doc_id"], "shingles": [shingle_set(t, k).view(np.int64) for t in some["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInPandas(giving_back(work), "doc_id long, shingles array<long>")
 
 
 def close(pairs: DataFrame, thin: DataFrame, percent: int) -> DataFrame:
@@ -372,7 +372,7 @@ def cross_pairs(met: DataFrame, thin: DataFrame, labels: DataFrame, percent: int
     work = rows.withColumn("at", F.explode(F.when(F.col("component") == F.col("main"), rights).otherwise(F.concat(rights, lefts))))
     work = work.select("key", "main", "task", "at.*", "doc_id", "component", "n_shingles", "sketch")
     work = work.repartition("main", "task", "i", "j").sortWithinPartitions("key", "i", "j", "right")
-    pairs = work.drop("main", "task").mapInPandas(across(percent, best), "apart long, a long, b long, outside long")
+    pairs = work.drop("main", "task").mapInPandas(giving_back(across(percent, best)), "apart long, a long, b long, outside long")
     if best:
         pairs = pairs.groupBy("outside").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
     return pairs.select("a", "b").distinct()

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefscale.llm.text import giving_back
 from prefscale.session import ship, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -414,7 +415,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, deco
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, *new], [*batch.schema.names, *made])
                 at += len(texts)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(giving_back(work), schema)
 
 
 def decode_pieces(rows: DataFrame, model: str = MODEL) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscale.llm.text import packed, unpacked
+from prefscale.llm.text import giving_back, packed, unpacked
 from prefscale.session import ship, table
 
 MAX_LABELLED = 40_000
@@ -183,7 +183,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> pd
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"], "x": list(feature_rows(part["text"])), "y": part["quality"].astype("float64")})
 
-    return rows.mapInPandas(work, "doc_id long, x array<double>, y double").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "x").limit(max_labelled).toPandas()
+    return rows.mapInPandas(giving_back(work), "doc_id long, x array<double>, y double").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "x").limit(max_labelled).toPandas()
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> AdditiveModel:
