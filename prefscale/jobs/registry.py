@@ -121,6 +121,12 @@ def choice_denominators(s, d):
     return rounded(consensus.choice_denominators(fx.brand_rankings(s, d), fx.fixed_params(s)))
 
 
+@query("suffix_prefix_sums", f"WITH {fx.R_BRAND}, {fx.PARAMS}, {fx.LL}, t AS (SELECT *, sum(CASE WHEN pos <= n - 2 THEN 1 / suffix ELSE 0 END) OVER (PARTITION BY ranking_id, component ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix FROM s) SELECT ranking_id, component::BIGINT AS component, pos::BIGINT AS pos, round(suffix, 6) AS suffix, round(prefix, 6) AS prefix FROM t")
+def suffix_prefix_sums(s, d):
+    entries = consensus.suffix_weight_sums(consensus.placed(fx.brand_rankings(s, d), fx.fixed_params(s)))
+    return rounded(consensus.prefix_reciprocal_sums(entries).select("ranking_id", "component", "pos", "suffix", "prefix"))
+
+
 @query("luce_flows", f"WITH {fx.R_BRAND}, {fx.PARAMS}, {fx.LL} SELECT a.component::BIGINT AS component, z.item::BIGINT AS loser, a.item::BIGINT AS winner, round(sum(1 / a.suffix), 6) AS rate FROM s a JOIN s z ON a.ranking_id = z.ranking_id AND a.component = z.component AND a.pos < z.pos GROUP BY 1, 2, 3")
 def luce_flows(s, d):
     return rounded(consensus.luce_flows(fx.brand_rankings(s, d), fx.fixed_params(s)))

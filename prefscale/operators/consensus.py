@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prefscale.operators.breaking import weight_of
+from prefscale.operators.evaluate import with_thetas
 
 
 def borda(rankings: DataFrame) -> DataFrame:
@@ -58,17 +59,37 @@ def prefix_reciprocal_sums(entries: DataFrame) -> DataFrame:
     return entries.withColumn("prefix", F.sum(chosen).over(on))
 
 
+def running(values: Column) -> Column:
+    """The sums of an array of numbers up to each place."""
+    start = F.struct(F.array().cast("array<double>").alias("all"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, v: Column) -> Column:
+        return F.struct(F.concat(acc["all"], F.array(acc["sum"] + v)).alias("all"), (acc["sum"] + v).alias("sum"))
+
+    return F.aggregate(values, start, step, lambda acc: acc["all"])
+
+
+def with_suffixes(rankings: DataFrame, params: DataFrame) -> DataFrame:
+    """(component, thetas, items, weight, suffix): each ranking with each model and, by place, the sum of e^theta from there to
+    its end; items that the model lacks weigh nothing. Made in the row, so nothing is shuffled for a small model."""
+    rows = with_thetas(rankings.where("items is not null").select("items", weight_of(rankings).alias("weight")), params)
+    weights = F.transform("items", lambda x: F.coalesce(F.exp(F.col("thetas")[x]), F.lit(0.0)))
+    return rows.withColumn("suffix", F.reverse(running(F.reverse(weights))))
+
+
 def choice_denominators(rankings: DataFrame, params: DataFrame) -> DataFrame:
-    """(component, item, denom): what an item's wins are divided by in a minorise-maximise step."""
-    entries = prefix_reciprocal_sums(suffix_weight_sums(placed(rankings, params)))
-    return entries.groupBy("component", "item").agg(F.sum(F.col("weight") * F.col("prefix")).alias("denom"))
+    """(component, item, denom): what an item's wins are divided by in a minorise-maximise step. Only sums are shuffled."""
+    rows = with_suffixes(rankings, params)
+    chosen = running(F.transform("suffix", lambda s, i: F.when((i <= F.size("items") - 2) & (s > 0), 1 / s).otherwise(0.0)))
+    entry = F.explode(F.zip_with("items", chosen, lambda x, p: F.struct(x.alias("item"), p.alias("prefix"))))
+    rows = rows.select("component", "thetas", "weight", entry.alias("e")).where("thetas[e.item] is not null")
+    return rows.groupBy("component", "e.item").agg(F.sum(F.col("weight") * F.col("e.prefix")).alias("denom"))
 
 
 def luce_flows(rankings: DataFrame, params: DataFrame) -> DataFrame:
-    """(component, loser, winner, rate): weight of the pair over the suffix sum at the winner's place."""
-    e = suffix_weight_sums(placed(rankings, params))
-    # made in the row from the places behind the winner's, so no join of a ranking with itself is needed
-    behind = F.struct(F.col("pos"), F.col("item"), F.col("suffix"), F.col("weight"))
-    rows = e.groupBy("ranking_id", "component").agg(F.sort_array(F.collect_list(behind)).alias("e"))
-    pairs = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y: F.struct(y["item"].alias("loser"), x["item"].alias("winner"), (x["weight"] / x["suffix"]).alias("rate")))))
-    return rows.select("component", F.explode(pairs).alias("p")).groupBy("component", "p.loser", "p.winner").agg(F.sum("p.rate").alias("rate"))
+    """(component, loser, winner, rate): weight of the pair over the suffix sum at the winner's place. Only sums are shuffled."""
+    rows = with_suffixes(rankings, params)
+    pair = lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(y.alias("loser"), x.alias("winner"), (F.col("weight") / F.get("suffix", i)).alias("rate")))
+    rows = rows.select("component", "thetas", F.explode(F.flatten(F.transform("items", pair))).alias("p"))
+    rows = rows.where("thetas[p.winner] is not null and thetas[p.loser] is not null")
+    return rows.groupBy("component", "p.loser", "p.winner").agg(F.sum("p.rate").alias("rate"))

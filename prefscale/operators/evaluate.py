@@ -66,13 +66,17 @@ def own_maps(rows: DataFrame, params: DataFrame) -> DataFrame:
     return own.groupBy("items", "component").agg(F.map_from_entries(F.collect_list(F.struct("item", "theta"))).alias("thetas"))
 
 
-def pl_log_likelihood(rankings: DataFrame, params: DataFrame) -> DataFrame:
-    """(ranking_id, component, ll, weight). A small model goes to every task as one map a component; nothing is shuffled."""
-    rows = rankings.select("ranking_id", "items", weight_of(rankings).alias("weight"))
+def with_thetas(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``rows`` (items, ...) with component and thetas, a map. A small model goes to every task as one map a component, and
+    nothing is shuffled; of a large one each row gets its own items."""
     if is_small(params):
-        rows = rows.join(F.broadcast(param_maps(params)))
-    else:
-        rows = rows.join(params.select("component").distinct()).join(own_maps(rows, params), ["items", "component"], "left")
+        return rows.join(F.broadcast(param_maps(params)))
+    return rows.join(params.select("component").distinct()).join(own_maps(rows, params), ["items", "component"], "left")
+
+
+def pl_log_likelihood(rankings: DataFrame, params: DataFrame) -> DataFrame:
+    """(ranking_id, component, ll, weight)."""
+    rows = with_thetas(rankings.select("ranking_id", "items", weight_of(rankings).alias("weight")), params)
     return rows.select("ranking_id", "component", ranking_log_likelihood(F.col("items"), F.col("thetas")).alias("ll"), "weight")
 
 
