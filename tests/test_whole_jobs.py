@@ -15,8 +15,8 @@ LARGER = "/root/testdata/sf0.01"
 
 
 def test_weighted_breaking_has_every_place(spark):
-    got = registry.QUERIES["rank_break_weighted_full"](spark, LARGER).toPandas()
-    same_rows(got, connection(LARGER).sql(registry.SQL["rank_break_weighted_full"]).df())
+    got = registry.QUERIES["rank_break_weighted"](spark, LARGER).toPandas()
+    same_rows(got, connection(LARGER).sql(registry.SQL["rank_break_weighted"]).df())
     want = {}
     for r in fx.nation_rankings(spark, LARGER).collect():
         for i, a in enumerate(r["items"]):
@@ -41,7 +41,7 @@ def components(edges):
 
 
 def test_components_of_all_parts_and_suppliers(spark):
-    got = {r["node"]: r["component"] for r in registry.QUERIES["connected_components_full"](spark, LARGER).collect()}
+    got = {r["node"]: r["component"] for r in registry.QUERIES["connected_components"](spark, LARGER).collect()}
     lines = connection(LARGER).sql("SELECT l_partkey, l_suppkey + 1000000000 FROM lineitem").fetchall()
     assert got == components(lines) and len(got) == 2100
 
