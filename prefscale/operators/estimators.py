@@ -103,25 +103,39 @@ def held_blocks(rankings: DataFrame) -> Iterator[DataFrame]:
         yield rows
 
 
+#: Up to so many sums of all tasks together come to the driver as they are; more are added by a shuffle first.
+DIRECT_SUMS = 1 << 21
+
+
 def pass_over(rankings: DataFrame, n: int, work, kinds: int = 1, keyed: bool = False) -> np.ndarray:
-    """Sums over all rankings of what ``work(idx, weight)`` gives for a block: an array, added per task, then by a
-    groupBy over its places. One job; only non-zero sums travel. keyed: ``work`` also gets a hash of each ranking_id.
-    Passes that are repeated should be given ``held_blocks``."""
+    """Sums over all rankings of what ``work(idx, weight)`` gives for a block: an array of ``kinds`` numbers, added per task,
+    then on the driver or, if tasks times kinds are many, by a groupBy over its places. One job; rankings don't leave their
+    tasks. keyed: ``work`` also gets a hash of each ranking_id. Passes that are repeated should be given ``held_blocks``."""
     blocks = rankings if rankings.columns == BLOCK_NAMES else packed_blocks(rankings)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+    def total_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(kinds)
         for batch in batches:
             for rows, width, items, weights, keys in zip(*[batch.column(c) for c in BLOCK_NAMES], strict=True):
                 idx = np.frombuffer(items.as_buffer(), "<i4").reshape(rows.as_py(), width.as_py()).astype(np.int64)
                 own = [np.frombuffer(keys.as_buffer(), "<i8")] if keyed else []
-                more = np.ravel(work(idx, np.frombuffer(weights.as_buffer(), "<f8"), *own)).astype(float)
-                total = more if total is None else total + more
-        at = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at] if total is not None else np.zeros(0))], ["at", "v"])
+                total += np.ravel(work(idx, np.frombuffer(weights.as_buffer(), "<f8"), *own))
+        return total
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([total_of(batches).astype("<f8").tobytes()])], ["v"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = total_of(batches)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "v"])
 
-    rows = blocks.mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
     out = np.zeros(kinds)
+    if kinds * blocks.rdd.getNumPartitions() <= DIRECT_SUMS:
+        for v in blocks.mapInArrow(whole, "v binary").toArrow()["v"]:
+            out += np.frombuffer(v.as_buffer(), "<f8")
+        return out
+    rows = blocks.mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
     out[rows["at"].to_numpy()] = rows["v"].to_numpy()
     return out
 

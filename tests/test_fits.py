@@ -158,7 +158,9 @@ def test_a_cut_fit_says_so(two_groups):
         estimators.luce_mm(df, 6, max_iters=1)
 
 
-def test_packed_blocks_hold_every_ranking(spark):
+@pytest.mark.parametrize("direct", [0, 1 << 21])
+def test_packed_blocks_hold_every_ranking(spark, monkeypatch, direct):
+    monkeypatch.setattr(estimators, "DIRECT_SUMS", direct)
     rng = np.random.default_rng(4)
     rows = [(i, rng.permutation(40)[: rng.integers(0, 41)].tolist() if i % 17 else None, float(i % 3 + 1)) for i in range(5_000)]
     df = spark.createDataFrame(rows, "ranking_id long, items array<int>, weight double").repartition(3)
