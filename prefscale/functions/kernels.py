@@ -5,7 +5,7 @@ A batch is a matrix of item ids, padded with -1, one ranking a row. Items are 0
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -62,13 +62,26 @@ def denominators(theta: np.ndarray, idx: np.ndarray, weight: np.ndarray) -> np.n
 
 def flows(theta: np.ndarray, idx: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """rate[loser, winner]: weight over the suffix sum at the winner's place."""
+    n, out = len(theta), np.zeros(len(theta) ** 2)
+    for key, rate in flow_pairs(theta, idx, weight):
+        own, sums = summed([key], [rate]) if 8 * len(key) < n * n else (slice(None), np.bincount(key, rate, n * n))
+        out[own] += sums
+    return out.reshape(n, n)
+
+
+def flow_pairs(theta: np.ndarray, idx: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``flows``, for each place of the winner: (loser x n + winner, rate) of the pairs that occur, not yet summed."""
     n, s = len(theta), suffix_sums(theta, idx)
-    out = np.zeros(n * n)
     for t in range(idx.shape[1] - 1):
         behind = idx[:, t + 1 :] >= 0
         rate = np.broadcast_to((weight / np.where(s[:, t] > 0, s[:, t], 1.0))[:, None], behind.shape)
-        out += np.bincount((idx[:, t + 1 :] * n + idx[:, t][:, None])[behind], rate[behind], n * n)
-    return out.reshape(n, n)
+        yield (idx[:, t + 1 :] * n + idx[:, t][:, None])[behind], rate[behind]
+
+
+def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its values."""
+    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return own, np.bincount(at, np.concatenate(values), len(own))
 
 
 def pair_sums(idx: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:

@@ -122,6 +122,12 @@ def pass_over(rankings: DataFrame, n: int, work, kinds: int = 1, keyed: bool = F
                 total += np.ravel(work(idx, np.frombuffer(weights.as_buffer(), "<f8"), *own))
         return total
 
+    return added(blocks, total_of, kinds)
+
+
+def added(rows: DataFrame, total_of, kinds: int) -> np.ndarray:
+    """The sum over tasks of ``total_of(batches)``, an array of ``kinds`` numbers that a task makes of its Arrow batches."""
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total_of(batches).astype("<f8").tobytes()])], ["v"])
 
@@ -131,12 +137,12 @@ def pass_over(rankings: DataFrame, n: int, work, kinds: int = 1, keyed: bool = F
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "v"])
 
     out = np.zeros(kinds)
-    if kinds * blocks.rdd.getNumPartitions() <= DIRECT_SUMS:
-        for v in blocks.mapInArrow(whole, "v binary").toArrow()["v"]:
+    if kinds * rows.rdd.getNumPartitions() <= DIRECT_SUMS:
+        for v in rows.mapInArrow(whole, "v binary").toArrow()["v"]:
             out += np.frombuffer(v.as_buffer(), "<f8")
         return out
-    rows = blocks.mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    out[rows["at"].to_numpy()] = rows["v"].to_numpy()
+    sums = rows.mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out[sums["at"].to_numpy()] = sums["v"].to_numpy()
     return out
 
 
@@ -198,9 +204,10 @@ def rank_centrality_from_probs(pairs: DataFrame, n: int, lambd: float = 0.0, max
 
 
 def luce_spectral(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int = 5_000, tol: float = 1e-8) -> DataFrame:
-    """Luce spectral ranking: flows at the current estimate, the chain's stationary distribution, until it settles. At
-    most MAX_ITEMS items; ``luce_mm`` has the same solution and no such limit."""
-    check_dense(n)
+    """Luce spectral ranking: flows at the current estimate, the chain's stationary distribution, until it settles. Above
+    MAX_ITEMS items the flows are a table of the pairs that occur (``luce_spectral_sparse``)."""
+    if n > MAX_ITEMS:
+        return luce_spectral_sparse(rankings, n, nu, max_iters, tol)
     pi = np.full(n, 1 / n)
     with held_blocks(rankings) as rows:
         for _ in range(max_iters):
@@ -215,6 +222,107 @@ def luce_spectral(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int
     return params_frame(rankings, k.centred(np.log(pi)))
 
 
+#: Pairs that a task sums up before it hands them on.
+HELD_PAIRS = 1 << 20
+#: Groups of items whose shares are set right together, and cycles of that in one iteration of the fit.
+GROUPS, CYCLES = 64, 30
+
+
+def sparse_flows(blocks: DataFrame, theta: np.ndarray, nu: float) -> DataFrame:
+    """(low, high, up, down): rates from the item ``low`` to ``high`` and back, of pairs that occur; nu is added to both where
+    one is 0. Tasks sum up at most HELD_PAIRS pairs at a time, and only sums are shuffled."""
+    n = len(theta)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rates, size = [], [], 0
+        for batch in batches:
+            for rows, width, items, weights in zip(*[batch.column(c) for c in BLOCK_NAMES[:4]], strict=True):
+                idx = np.frombuffer(items.as_buffer(), "<i4").reshape(rows.as_py(), width.as_py()).astype(np.int64)
+                for key, rate in k.flow_pairs(theta, idx, np.frombuffer(weights.as_buffer(), "<f8")):
+                    keys, rates, size = [*keys, key], [*rates, rate], size + len(key)
+                    if size >= HELD_PAIRS:
+                        keys, rates = ([x] for x in k.summed(keys, rates))
+                        size = len(keys[0])
+                        if 2 * size >= HELD_PAIRS:
+                            yield as_batch(keys[0], rates[0])
+                            keys, rates, size = [], [], 0
+        if keys:
+            yield as_batch(*k.summed(keys, rates))
+
+    def as_batch(keys: np.ndarray, rates: np.ndarray) -> pa.RecordBatch:
+        loser, winner = keys // n, keys % n
+        up = loser < winner
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(loser, winner), np.maximum(loser, winner), np.where(up, rates, 0.0), np.where(up, 0.0, rates))], ["low", "high", "up", "down"])
+
+    pairs = blocks.mapInArrow(work, "low long, high long, up double, down double")
+    pairs = pairs.groupBy("low", "high").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    extra = F.when((F.col("up") > 0) != (F.col("down") > 0), F.lit(float(nu))).otherwise(0.0)
+    return pairs.select("low", "high", (F.col("up") + extra).alias("up"), (F.col("down") + extra).alias("down"))
+
+
+def flow_sums(flows: DataFrame, pi: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What flows into each item, at which rate it is left, and what flows from group to group, at the shares ``pi``."""
+    n = len(pi)
+
+    def total_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        into, rate, between = np.zeros(n), np.zeros(n), np.zeros(GROUPS * GROUPS)
+        for batch in batches:
+            low, high, up, down = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high", "up", "down"))
+            for src, dst, r in ((low, high, up), (high, low, down)):
+                into += np.bincount(dst, pi[src] * r, n)
+                rate += np.bincount(src, r, n)
+                between += np.bincount(group[src] * GROUPS + group[dst], pi[src] * r, GROUPS * GROUPS)
+        return np.concatenate([into, rate, between])
+
+    into, rate, between = np.split(added(flows, total_of, 2 * n + GROUPS * GROUPS), [n, 2 * n])
+    return into, rate, between.reshape(GROUPS, GROUPS)
+
+
+def stationary_of_flows(flows: DataFrame, pi: np.ndarray, goal: float) -> tuple[np.ndarray, float]:
+    """(shares, how much of the flow is still out of balance) of the chain with these flows, from the shares ``pi``: by turns
+    groups of items get the shares that the chain of groups settles to (aggregation), and each item half of what flows
+    into it (disaggregation). Groups are items of like share, then items of like number."""
+    n = len(pi)
+    for cycle in range(CYCLES):
+        order = np.argsort(pi, kind="stable") if cycle % 2 == 0 else np.arange(n)
+        group = np.empty(n, np.int64)
+        group[order] = np.arange(n) * GROUPS // n
+        into, rate, between = flow_sums(flows, pi, group)
+        if np.any((rate == 0) & (into > 0)):
+            raise ValueError("some items never lose, so their strength has no bound; give a nu above 0")
+        far = np.abs(into - pi * rate).sum() / max((pi * rate).sum(), 1e-300)
+        if far < goal:
+            break
+        mass = np.bincount(group, pi, GROUPS)
+        there = np.flatnonzero(mass > 0)
+        settled = k.stationary(between[np.ix_(there, there)] / mass[there][:, None])
+        factor = np.ones(GROUPS)
+        factor[there] = settled / mass[there] * mass.sum()
+        pi = pi * factor[group]
+        into, rate, _ = flow_sums(flows, pi, group)
+        pi = np.where(rate > 0, (pi + into / np.where(rate > 0, rate, 1.0)) / 2, pi)  # an item without flows keeps its share
+        pi = pi / pi.sum()
+    return pi, far
+
+
+def luce_spectral_sparse(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int = 5_000, tol: float = 1e-8) -> DataFrame:
+    """``luce_spectral`` for many items: only pairs that occur have a row. The driver holds a few numbers an item. Settled
+    when the estimate changes by less than ``tol`` of its own length. Items of no ranking keep an equal share; with nu = 0
+    each item must lose to some other and win against some, or it has no finite strength."""
+    pi, far, done = np.full(n, 1 / n), 0.1, False
+    with held_blocks(rankings) as rows:
+        for _ in range(max_iters):
+            with kept(sparse_flows(rows, np.log(pi), nu)) as flows:
+                new, balance = stationary_of_flows(flows, pi, max(far / 10, tol / 10))
+            new = np.maximum(new, 1e-300)
+            far = np.linalg.norm(new - pi) / np.linalg.norm(pi)
+            pi, done = new, far < tol and balance < tol
+            if done:
+                break
+    say_if_cut(done, max_iters)
+    return params_frame(rankings, k.centred(np.log(pi)))
+
+
 def luce_spectral_map(rankings: DataFrame, n: int, a0: float = 1.0, b0: float | None = None, max_iters: int = 5_000, tol: float = 1e-9) -> tuple[DataFrame, float]:
     """The same with a gamma prior, by its fixed point pi = (wins + a0 d) / (denominators + b0), where d is the mass of
     the prior's own state. Returns params and d."""

@@ -1,8 +1,10 @@
 """Estimators and mixtures: agreement among them, and recovery of known models."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from prefscale.functions import kernels
 from prefscale.functions.links import logit
 from prefscale.operators import breaking, clustering, estimators, evaluate, mixture, sampling
 
@@ -176,3 +178,44 @@ def test_packed_blocks_hold_every_ranking(spark, monkeypatch, direct):
         assert blocks.count() < 60
     assert estimators.pass_over(df, 40, lambda idx, w, key: [len(set(key.tolist()))], 1, keyed=True)[0] == sum(len(r[1] or []) > 1 for r in rows)
     assert estimators.pass_over(df.limit(0), 40, lambda idx, w: k.win_sums(idx, w, 40), 40).sum() == 0
+
+
+def choices(n, m, size, seed):
+    """m rankings of ``size`` of n items, drawn from strengths that lie evenly between -1 and 1."""
+    rng = np.random.default_rng(seed)
+    theta = rng.permutation(np.linspace(-1, 1, n))
+    picked = rng.integers(0, n, (m, size))
+    picked = picked[[len(set(r)) == size for r in picked.tolist()]]
+    order = np.argsort(-(theta[picked] + rng.gumbel(size=picked.shape)), axis=1)
+    return theta, np.take_along_axis(picked, order, 1)
+
+
+def test_sparse_flows_give_the_dense_fit(data):
+    _, df = data
+    for nu in (0.0, 0.01):
+        assert values(estimators.luce_spectral_sparse(df, 6, nu)) == pytest.approx(values(estimators.luce_spectral(df, 6, nu)), abs=1e-6)
+    lone = values(estimators.luce_spectral_sparse(df, 7), 7)
+    assert lone[:6] - lone[:6].mean() == pytest.approx(values(estimators.luce_spectral(df, 6)), abs=1e-6)
+
+
+def test_sparse_flows_pass_on_parts_of_their_sums(data, monkeypatch):
+    _, df = data
+    monkeypatch.setattr(estimators, "HELD_PAIRS", 50)
+    assert values(estimators.luce_spectral_sparse(df, 6)) == pytest.approx(values(estimators.luce_spectral(df, 6)), abs=1e-6)
+
+
+def test_items_that_never_lose_need_smoothing(spark):
+    df = spark.createDataFrame([(0, [0, 1, 2]), (1, [0, 2, 1])], "ranking_id long, items array<int>")
+    with pytest.raises(ValueError, match="never lose"):
+        estimators.luce_spectral_sparse(df, 3, nu=0.0)
+    assert values(estimators.luce_spectral_sparse(df, 3), 3)[0] > 0
+
+
+def test_many_items_by_sparse_flows(spark):
+    n = estimators.MAX_ITEMS + 200
+    theta, rows = choices(n, 40_000, 5, 4)
+    df = spark.createDataFrame(pd.DataFrame({"ranking_id": range(len(rows)), "items": rows.tolist()}))
+    got = values(estimators.luce_spectral(df, n, nu=0.0, tol=1e-6), n)
+    wins, denom = kernels.win_sums(rows, np.ones(len(rows)), n), kernels.denominators(got, rows, np.ones(len(rows)))
+    assert wins == pytest.approx(np.exp(got) * denom, rel=1e-3, abs=1e-3)  # the likelihood has no slope there
+    assert np.corrcoef(got, theta)[0, 1] > 0.9

@@ -56,7 +56,7 @@ def test_rank_centrality_over_tables_is_the_dense_one(spark, monkeypatch):
     monkeypatch.setattr(estimators, "MAX_ITEMS", 3)
     assert values(estimators.rank_centrality(df, 7, max_iters=12, eps=0.0), 7) == pytest.approx(dense[0])
     assert values(estimators.rank_centrality_from_probs(pairs, 7, 0.1, 12, 0.0), 7) == pytest.approx(dense[1])
-    for refused in (lambda: estimators.luce_spectral(df, 7), lambda: mixture.fit_mixture(df, 2, 7, "gmm"), lambda: estimators.pair_gmm(df, 7)):
+    for refused in (lambda: mixture.fit_mixture(df, 2, 7, "gmm"), lambda: estimators.pair_gmm(df, 7)):
         with pytest.raises(ValueError, match="too many"):
             refused()
     assert estimators.luce_mm(df, 7, alpha=0.5, max_iters=2).count() == 7
