@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,14 +87,93 @@ def logit(sigma: float = 1.0) -> Link:
     )
 
 
-def on_series(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
-    return lambda c: F.pandas_udf(lambda s: pd.Series(f(s.to_numpy(float))), "double")(c)
+#: Terms of the series and levels of the continued fraction of the incomplete gamma function, and Newton steps of its inverse.
+TERMS, NEWTON_STEPS = 120, 40
+
+
+def log_upper_gamma(a: float, y: Column) -> Column:
+    """ln Q(a, y), Q being the upper incomplete gamma function over the whole one, for a constant a > 0 and y >= 0: by the
+    series of the lower one for y < a + 1, by a continued fraction beyond, where Q may be far too small for a double."""
+    levels = F.sequence(F.lit(1), F.lit(TERMS))
+    term = lambda acc, n: F.struct((acc["t"] * y / (n + a)).alias("t"), (acc["s"] + acc["t"] * y / (n + a)).alias("s"))
+    total = F.aggregate(levels, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), term, lambda acc: acc["s"])
+    lower = F.exp(a * F.log(y) - y - math.lgamma(a + 1)) * total
+    down = F.aggregate(F.reverse(levels), y + 2 * TERMS + 1 - a, lambda f, k: y + 2 * k - 1 - a - k * (k - a) / f)
+    return F.when(y <= 0, 0.0).when(y < a + 1, F.log1p(-lower)).otherwise(a * F.log(y) - y - math.lgamma(a) - F.log(down))
+
+
+def np_log_upper_gamma(a: float, y: np.ndarray) -> np.ndarray:
+    y = np.asarray(y, float)
+    near = y < a + 1
+    low = np.where(near & (y > 0), y, 1.0)
+    term = total = np.ones_like(low)
+    for n in range(1, TERMS + 1):
+        term = term * low / (n + a)
+        total = total + term
+    lower = np.where(y > 0, np.exp(a * np.log(low) - low - math.lgamma(a + 1)) * total, 0.0)
+    high = np.where(near, a + 1.0, y)
+    down = high + 2 * TERMS + 1 - a
+    for k in range(TERMS, 0, -1):
+        down = high + 2 * k - 1 - a - k * (k - a) / down
+    return np.where(near, np.log1p(-np.where(near, lower, 0.0)), a * np.log(high) - high - math.lgamma(a) - np.log(down))
+
+
+def upper_place(beta: float, log_u: Column) -> Column:
+    """The x >= 0 with ln Q(1 / beta, x^beta) = log_u, by Newton steps on that logarithm from 0 on. It is concave in x for
+    beta >= 1 and convex below, so the steps come near from one side, after the first at the latest."""
+    a, norm = 1 / beta, math.log(beta) - math.lgamma(1 / beta)
+
+    def step(x: Column, _: Column) -> Column:
+        y = F.pow(x, F.lit(beta))
+        here = F.struct(log_upper_gamma(a, y).alias("q"), x.alias("x"), y.alias("y"))
+        # the slope of ln Q is -density / Q, the density being beta / Gamma(1 / beta) e^-y
+        return F.aggregate(F.array(here), x, lambda _x, h: F.greatest(h["x"] + (h["q"] - log_u) * F.exp(h["q"] + h["y"] - norm), F.lit(0.0)))
+
+    return F.when(log_u.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
+
+
+def np_upper_place(beta: float, log_u: np.ndarray) -> np.ndarray:
+    a, norm = 1 / beta, math.log(beta) - math.lgamma(1 / beta)
+    x = np.zeros_like(np.asarray(log_u, float))
+    for _ in range(NEWTON_STEPS):
+        y = np.power(x, beta)
+        q = np_log_upper_gamma(a, y)
+        x = np.maximum(x + (q - log_u) * np.exp(q + y - norm), 0.0)
+    return x
+
+
+def gennorm(beta: float, sigma: float = 1.0) -> Link:
+    """The generalised normal of shape beta: its density falls by e^-|x / sigma|^beta. All of it is Column functions."""
+    if beta == 1:
+        return laplace(sigma)
+    a, log_top = 1 / beta, math.log(beta / (2 * sigma)) - math.lgamma(1 / beta)
+
+    def cdf(x: Column) -> Column:
+        tail = F.exp(log_upper_gamma(a, F.pow(F.abs(x / sigma), F.lit(beta)))) / 2
+        return F.when(x < 0, tail).otherwise(1 - tail)
+
+    def np_cdf(x: np.ndarray) -> np.ndarray:
+        tail = np.exp(np_log_upper_gamma(a, np.power(np.abs(np.asarray(x, float) / sigma), beta))) / 2
+        return np.where(np.asarray(x) < 0, tail, 1 - tail)
+
+    def np_phi(p: np.ndarray) -> np.ndarray:
+        p = np.asarray(p, float)
+        return np.where(p < 0.5, -sigma, sigma) * np_upper_place(beta, np.log(2 * np.minimum(p, 1 - p)))
+
+    return Link(
+        phi=lambda p: F.when(p < 0.5, -sigma).otherwise(sigma) * upper_place(beta, F.log(2 * F.least(p, 1 - p))),
+        cdf=cdf,
+        pdf=lambda x: F.exp(log_top - F.pow(F.abs(x / sigma), F.lit(beta))),
+        np_phi=np_phi,
+        np_cdf=np_cdf,
+        np_pdf=lambda x: np.exp(log_top - np.power(np.abs(np.asarray(x, float) / sigma), beta)),
+    )
 
 
 def probit(sigma: float = 1.0) -> Link:
-    s = math.sqrt(2) * sigma
-    cdf, pdf, ppf = (lambda x: normal_cdf(x / s)), (lambda x: normal_pdf(x / s) / s), (lambda p: normal_ppf(p) * s)
-    return Link(on_series(ppf), on_series(cdf), on_series(pdf), ppf, cdf, pdf)
+    """The normal of deviation sqrt(2) sigma, which is the generalised one of shape 2 and scale 2 sigma."""
+    s, columns = math.sqrt(2) * sigma, gennorm(2.0, 2 * sigma)
+    return replace(columns, np_phi=lambda p: normal_ppf(p) * s, np_cdf=lambda x: normal_cdf(x / s), np_pdf=lambda x: normal_pdf(x / s) / s)
 
 
 def gumbel_ev(sigma: float = 1.0, c: float = 0.5) -> Link:
@@ -124,21 +202,6 @@ def laplace(sigma: float = 1.0) -> Link:
     )
 
 
-def gennorm(beta: float, sigma: float = 1.0, points: int = 4001, reach: float = 40.0) -> Link:
-    """The generalised normal of shape beta; other shapes than 1 by a table of the integrated density."""
-    if beta == 1:
-        return laplace(sigma)
-    x = np.linspace(-reach, reach, points)
-    dens = beta / (2 * math.gamma(1 / beta)) * np.exp(-np.power(np.abs(x), beta))
-    area = np.concatenate([[0], np.cumsum((dens[1:] + dens[:-1]) / 2 * np.diff(x))])
-    area /= area[-1]
-    cdf = lambda v: np.interp(np.asarray(v) / sigma, x, area)
-    pdf = lambda v: np.interp(np.asarray(v) / sigma, x, dens) / sigma
-    inside = np.flatnonzero(np.diff(area) > 0)
-    phi = lambda p: np.interp(p, area[inside], x[inside]) * sigma
-    return Link(on_series(phi), on_series(cdf), on_series(pdf), phi, cdf, pdf)
-
-
 NAMED: dict[str, Callable[..., Link]] = {"logit": logit, "probit": probit, "gumbel_ev": gumbel_ev, "gennorm": gennorm, "laplace": laplace}
 
 
@@ -148,4 +211,6 @@ def link(which: str | Link, **options: float) -> Link:
 
 
 def log_normal_cdf(z: Column) -> Column:
-    return on_series(lambda x: log_normal_cdf_np(x)[0])(z)
+    """ln Phi(z), however far to the left."""
+    tail = log_upper_gamma(0.5, z * z / 2) - math.log(2)
+    return F.when(z < 0, tail).otherwise(F.log1p(-F.exp(tail)))

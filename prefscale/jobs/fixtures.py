@@ -37,6 +37,13 @@ def event_rankings(spark: SparkSession, d: str) -> DataFrame:
     return rankings_from_scores(table(spark, d, "events").groupBy("user_id", event_item()).agg(F.count("*").alias("score")), "user_id")
 
 
+def part_rankings(spark: SparkSession, d: str) -> DataFrame:
+    """(ranking_id, items) per order: its parts, numbered from 0, by quantity."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") - 1).alias("item")).agg(F.sum("l_quantity").alias("score"))
+    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("item").alias("i"))))
+    return rows.groupBy(F.col("l_orderkey").alias("ranking_id")).agg(F.transform(best, lambda x: x["i"]).alias("items"))
+
+
 def daily_event_rankings(spark: SparkSession, d: str) -> DataFrame:
     """(ranking_id, day, items) per user and day."""
     rows = table(spark, d, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("day"), event_item()).agg(F.count("*").alias("score"))

@@ -14,6 +14,7 @@ from prefscale.functions.sql import register_sql
 from prefscale.jobs import fixtures as fx
 from prefscale.jobs import grid
 from prefscale.operators import breaking, clustering, consensus, dynamic, estimators, evaluate, graph, mixture, prepare, sampling
+from prefscale.session import written
 from prefscale.streaming import timed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -420,7 +421,13 @@ def links(s, d):
     return rounded(pairs.select("item", "opponent", logit().phi(p).alias("logit"), laplace().phi(p).alias("laplace"), gumbel_ev().phi(p).alias("gumbel"), logit().cdf(p).alias("cdf")))
 
 
-@query("links_helpers")
+def place_sql(beta: float, scale: float, p: str) -> str:
+    """Halving steps for the inverse of the generalised normal, its distribution by the series of the gamma function."""
+    lower = f"m * exp(-pow(m, {beta})) * list_sum(list_transform(range(0, 120), n -> exp(n * ln(pow(m, {beta})) - lgamma({1 / beta!r} + n + 1))))"
+    return f"h_{p}(k, item, opponent, p, lo, hi) AS (SELECT 0, item, opponent, p, 0.0::DOUBLE, 8.0::DOUBLE FROM x UNION ALL SELECT k + 1, item, opponent, p, CASE WHEN low < want THEN m ELSE lo END, CASE WHEN low < want THEN hi ELSE m END FROM (SELECT *, {lower} AS low, abs(2 * p - 1) AS want FROM (SELECT *, (lo + hi) / 2 AS m FROM h_{p}) WHERE k < 52)), {p} AS (SELECT item, opponent, sign(p - 0.5) * {scale} * (lo + hi) / 2 AS v FROM h_{p} WHERE k = 52)"
+
+
+@query("links_helpers", f"WITH RECURSIVE {fx.R_BRAND}, {fx.PROBS}, x AS (SELECT v.item, v.opponent, (v.a + 1) / (v.a + o.a + 2) AS p FROM v JOIN v o ON v.item = o.opponent AND v.opponent = o.item), {place_sql(2.0, 2.0, 'probit')}, {place_sql(1.5, 1.0, 'gennorm')} SELECT item::BIGINT AS item, opponent::BIGINT AS opponent, round(probit.v, 6) AS probit, round(gennorm.v, 6) AS gennorm FROM probit JOIN gennorm USING (item, opponent)")
 def links_helpers(s, d):
     pairs = breaking.pair_probs(breaking.pair_counts(fx.brand_rankings(s, d)), "all", 1.0)
     return rounded(pairs.select("item", "opponent", probit().phi(F.col("p")).alias("probit"), gennorm(1.5).phi(F.col("p")).alias("gennorm")))
@@ -511,6 +518,15 @@ def kernel_pair_counts(s, d):
     return rounded(timed.kernel_pair_counts(counts, 30, 0.05))
 
 
+@query("kernel_pair_counts_stream", f"WITH {TIMED}, c AS (SELECT date_diff('day', TIMESTAMP '2024-01-01', day::TIMESTAMP) AS t, winner, loser, count(*)::DOUBLE AS wins FROM k GROUP BY 1, 2, 3), e AS (SELECT max(date_diff('day', TIMESTAMP '2024-01-01', day::TIMESTAMP)) AS open FROM r), s AS (SELECT i AS t FROM e, range(open) x(i) WHERE i + 4 < open) SELECT s.t, winner::BIGINT AS winner, loser::BIGINT AS loser, round(sum(wins * exp(-pow((s.t - c.t) / 1.5, 2) / 2) / sqrt(2 * pi())), 6) AS wins FROM c JOIN s ON abs(s.t - c.t) <= 4 GROUP BY 1, 2, 3")
+def kernel_pair_counts_stream(s, d):
+    """The smoothed counts of all days that the stream of rankings has closed."""
+    source = written(fx.daily_event_rankings(s, d).select("ranking_id", F.col("day").alias("ts"), "items"))
+    stream = s.readStream.schema(source.schema).parquet(source.inputFiles()[0].rpartition("/")[0])
+    out = timed.kernel_pair_counts_stream(stream, 1.5, "1 day", "0 seconds", "2024-01-01")
+    return rounded(timed.run_to_end(out).where("t >= 0"))
+
+
 KERNEL = f"{TIMED}, c AS (SELECT date_diff('day', TIMESTAMP '2024-01-01', day::TIMESTAMP) AS t, winner, loser, count(*)::DOUBLE AS wins FROM k GROUP BY 1, 2, 3), z AS (SELECT z.t, winner, loser, sum(wins * exp(-pow((z.t - c.t) / 1.5, 2) / 2) / sqrt(2 * pi())) AS wins FROM c JOIN (SELECT i AS t FROM range(30) x(i)) z ON abs(z.t - c.t) <= 4 GROUP BY 1, 2, 3), both_ways AS (SELECT t, winner AS i, loser AS j, wins AS a, 0.0::DOUBLE AS b FROM z UNION ALL SELECT t, loser, winner, 0.0, wins FROM z), p AS (SELECT t, i, j, sum(a) + 1 AS a, sum(a) + sum(b) + 2 AS n FROM both_ways GROUP BY 1, 2, 3)"
 #: More turns than any step's fit takes to settle to the digits that are compared.
 TURNS = 800
@@ -675,6 +691,14 @@ SMOOTHED = f"{fx.R_BRAND}, {fx.PROBS}, x AS (SELECT v.item, v.opponent, (v.a + 1
 query("rank_centrality_from_probs", f"WITH RECURSIVE {SMOOTHED}, f AS (SELECT opponent AS src, item AS dst, p AS rate FROM y), {stationary_sql('f', 'p1', 600)}, {LN_PI.format('p1')}")(over_pairs(estimators.rank_centrality_from_probs))
 LEAST_SQUARES = "h AS (SELECT item, opponent, ln(p / (1 - p)) AS phi FROM y), met AS (SELECT item, opponent, count(*) AS m FROM (SELECT item, opponent FROM h UNION ALL SELECT opponent, item FROM h) GROUP BY 1, 2), deg AS (SELECT item, sum(m) AS deg FROM met GROUP BY 1), rhs AS (SELECT item, sum(phi) AS rhs FROM (SELECT item, phi FROM h UNION ALL SELECT opponent, -phi FROM h) GROUP BY 1), it(step, item, theta) AS (SELECT 0, i::INTEGER, 0.0::DOUBLE FROM range(25) z(i) UNION ALL SELECT step + 1, met.item, (any_value(rhs) + sum(m * theta)) / (any_value(deg) + 0.5) FROM it JOIN met ON it.item = met.opponent JOIN deg ON deg.item = met.item JOIN rhs ON rhs.item = met.item WHERE step < 400 GROUP BY step + 1, met.item), l AS (SELECT item, theta FROM it WHERE step = 400) SELECT 0::BIGINT AS component, item::BIGINT AS item, round(theta - avg(theta) OVER (), 6) AS theta FROM l"
 query("luce_spectral")(fitted(estimators.luce_spectral))
+@query("luce_spectral_parts")
+def luce_spectral_parts(s, d):
+    """Strengths of all parts from the order of their quantities within orders, on a table of the pairs that occur."""
+    rows = fx.part_rankings(s, d)
+    n = fx.table(s, d, "part").agg(F.max("p_partkey")).first()[0] or 0
+    return rounded(estimators.luce_spectral_sparse(rows, n, tol=1e-6))
+
+
 query("luce_spectral_map")(fitted(lambda r, n: estimators.luce_spectral_map(r, n)[0]))
 query("pair_gmm")(fitted(estimators.pair_gmm))
 query("pair_cml")(fitted(estimators.pair_cml))

@@ -278,11 +278,12 @@ def flow_sums(flows: DataFrame, pi: np.ndarray, group: np.ndarray) -> tuple[np.n
     return into, rate, between.reshape(GROUPS, GROUPS)
 
 
-def stationary_of_flows(flows: DataFrame, pi: np.ndarray, goal: float) -> tuple[np.ndarray, float]:
+def stationary_of_flows(flows: DataFrame, pi: np.ndarray, least: float) -> tuple[np.ndarray, float]:
     """(shares, how much of the flow is still out of balance) of the chain with these flows, from the shares ``pi``: by turns
     groups of items get the shares that the chain of groups settles to (aggregation), and each item half of what flows
-    into it (disaggregation). Groups are items of like share, then items of like number."""
-    n = len(pi)
+    into it (disaggregation). Groups are items of like share, then items of like number. It ends at a tenth of the first
+    imbalance, as the flows change with the shares anyway, or at ``least``."""
+    n, goal = len(pi), None
     for cycle in range(CYCLES):
         order = np.argsort(pi, kind="stable") if cycle % 2 == 0 else np.arange(n)
         group = np.empty(n, np.int64)
@@ -291,7 +292,8 @@ def stationary_of_flows(flows: DataFrame, pi: np.ndarray, goal: float) -> tuple[
         if np.any((rate == 0) & (into > 0)):
             raise ValueError("some items never lose, so their strength has no bound; give a nu above 0")
         far = np.abs(into - pi * rate).sum() / max((pi * rate).sum(), 1e-300)
-        if far < goal:
+        goal = max(far / 10, least) if goal is None else goal
+        if far <= goal:
             break
         mass = np.bincount(group, pi, GROUPS)
         there = np.flatnonzero(mass > 0)
@@ -309,11 +311,11 @@ def luce_spectral_sparse(rankings: DataFrame, n: int, nu: float = 0.01, max_iter
     """``luce_spectral`` for many items: only pairs that occur have a row. The driver holds a few numbers an item. Settled
     when the estimate changes by less than ``tol`` of its own length. Items of no ranking keep an equal share; with nu = 0
     each item must lose to some other and win against some, or it has no finite strength."""
-    pi, far, done = np.full(n, 1 / n), 0.1, False
+    pi, done = np.full(n, 1 / n), False
     with held_blocks(rankings) as rows:
         for _ in range(max_iters):
             with kept(sparse_flows(rows, np.log(pi), nu)) as flows:
-                new, balance = stationary_of_flows(flows, pi, max(far / 10, tol / 10))
+                new, balance = stationary_of_flows(flows, pi, tol / 10)
             new = np.maximum(new, 1e-300)
             far = np.linalg.norm(new - pi) / np.linalg.norm(pi)
             pi, done = new, far < tol and balance < tol
