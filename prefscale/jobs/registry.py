@@ -423,7 +423,7 @@ def links(s, d):
 
 def place_sql(beta: float, scale: float, p: str) -> str:
     """Halving steps for the inverse of the generalised normal, its distribution by the series of the gamma function."""
-    lower = f"m * exp(-pow(m, {beta})) * list_sum(list_transform(range(0, 120), n -> exp(n * ln(pow(m, {beta})) - lgamma({1 / beta!r} + n + 1))))"
+    lower = f"m * exp(-pow(m, {beta})) * list_sum([exp(n * ln(pow(m, {beta})) - lgamma({1 / beta!r} + n + 1)) for n in range(0, 120)])"
     return f"h_{p}(k, item, opponent, p, lo, hi) AS (SELECT 0, item, opponent, p, 0.0::DOUBLE, 8.0::DOUBLE FROM x UNION ALL SELECT k + 1, item, opponent, p, CASE WHEN low < want THEN m ELSE lo END, CASE WHEN low < want THEN hi ELSE m END FROM (SELECT *, {lower} AS low, abs(2 * p - 1) AS want FROM (SELECT *, (lo + hi) / 2 AS m FROM h_{p}) WHERE k < 52)), {p} AS (SELECT item, opponent, sign(p - 0.5) * {scale} * (lo + hi) / 2 AS v FROM h_{p} WHERE k = 52)"
 
 
