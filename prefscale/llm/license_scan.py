@@ -4,9 +4,12 @@ A file's words stream through the automaton, which at each word knows the longes
 occurs in some template (matching statistics). Runs that cannot be longer and have at least ``min_run`` words are
 anchored at their places in the templates and chained, in order in the file and in the template and without long gaps;
 a template's span is reported if its best chain covers enough of it. A licence has several templates, each covered for
-itself: the head, further parts and the warranty. Its short notices, and templates of fewer than ``min_run`` words, hold
-no long run and are found whole or not at all; they and the base phrases have an automaton of their own, through which
-the words stream too: where the run that ends at a word is as long as one of them that ends the same way, it stands there.
+itself: the head, further parts and the warranty. Notices of six and more words are templates too, with an automaton of
+their own and shorter runs and gaps: all matches of each notice that cannot be longer are chained, and one word in six may
+be missing from the best chain, but none of those that no other licence's notices have. Shorter notices, and templates of
+fewer than ``min_run`` words, are found whole or not at all; they and the base phrases have a third automaton: where the
+run that ends at a word is as long as one of them that ends the same way, it stands there. The score is 1 where a base
+phrase stands, else the largest share that a chain covers of its template or notice.
 
 Defined results: a null or empty text has no words, no labels and the score 0; every row of the input gives one row; the
 text is scanned whole, in one pass, whatever its length. Labels name the wordings that a text has, not which of them
@@ -72,6 +75,8 @@ NOTICES = {
     "cc-by": ("cc by 4 0", "creative commons attribution 4 0"),
     "proprietary": ("all rights reserved",),
 }
+#: Notices of so many words are chained; one word in so many may be missing, and so many words may stand between two runs.
+NOTICE_WORDS, NOTICE_GAP = 6, 3
 MIN_RUN = 5
 MAX_GAP = 12
 COVERAGE = 0.6
@@ -177,6 +182,72 @@ class ShortWordings:
                     yield number, offset + at + 1 - sizes[number]
 
 
+class NoticeChains:
+    """Longer notices in an automaton. Each state knows every place in every notice that a run ending there ends at, and how
+    much of the run the notice shares, so that no notice's matches are lost where another one has longer ones."""
+
+    def __init__(self, notices: list[tuple[str, list[int]]]):
+        long = [x for x in notices if len(x[1]) >= NOTICE_WORDS]
+        self.names, self.texts = [k for k, _ in long], [t for _, t in long]
+        self.least = [max(2, len(t) // 3) for t in self.texts]
+        self.longest = max(map(len, self.texts), default=0)
+        self.shortest_run = min(self.least, default=self.longest + 1)
+        elsewhere = {k: {w for other, t in notices if other != k for w in t} for k in self.names}
+        self.needed = [{i for i, w in enumerate(t) if w not in elsewhere[k]} for k, t in long]
+        self.automaton = a = SuffixAutomaton(self.texts)
+        self.ways: list[dict[tuple[int, int], int | None]] = [{} for _ in a.long]  # None: as much as the run has
+        for state in sorted(range(1, len(a.long)), key=a.long.__getitem__):
+            up = a.link[state]
+            shared = {place: a.long[up] if cap is None else cap for place, cap in self.ways[up].items()}
+            self.ways[state] = shared | {place: None for place in a.ends[state]}
+
+    def matches(self, words: list[int], offset: int) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """(number of the notice, (first word, first word in the notice, words)) of matches that go on to neither side."""
+        step, state, length = self.automaton.step, 0, 0
+        for at, word in enumerate(words):
+            state, length = step(state, length, word)
+            after = words[at + 1] if at + 1 < len(words) else 0
+            for (number, end), cap in self.ways[state].items():
+                n, text = length if cap is None else min(cap, length), self.texts[number]
+                if n >= self.least[number] and (end + 1 == len(text) or text[end + 1] != after):
+                    yield number, (offset + at + 1 - n, end + 1 - n, n)
+
+    def spans(self, segments: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, last word, share) of the notices whose best chain has all that is needed."""
+        anchors: dict[int, list] = {}
+        for at, part in segments:
+            if len(part) >= self.shortest_run:
+                for number, match in self.matches(part, at):
+                    anchors.setdefault(number, []).append(match)
+        out = []
+        for number, found in sorted(anchors.items()):
+            chain, size = best_chain(sorted(found), NOTICE_GAP, self.longest), len(self.texts[number])
+            covered = {i for _, there, n in chain for i in range(there, there + n)}
+            if size - len(covered) <= size // NOTICE_WORDS and self.needed[number] <= covered:
+                out.append((self.names[number], chain[0][0], chain[-1][0] + chain[-1][2] - 1, len(covered) / size))
+        return out
+
+
+def best_chain(matches: list[tuple[int, int, int]], max_gap: int, longest: int) -> list[tuple[int, int, int]]:
+    """Of sorted (text start, template start, words), those of the chain with most words; of several the first to begin."""
+    best: list[tuple[int, int, int]] = []  # words up to here, first word, the match before
+    for i, (at, there, n) in enumerate(matches):
+        total, first, before = n, at, -1
+        for j in range(i - 1, -1, -1):
+            p_at, p_there, p_n = matches[j]
+            if at - p_at > max_gap + longest:
+                break  # no match is as long as that
+            if 0 <= at - p_at - p_n <= max_gap and there >= p_there + p_n and best[j][0] + n > total:
+                total, first, before = best[j][0] + n, best[j][1], j
+        best.append((total, first, before))
+    at = max(range(len(best)), key=lambda i: (best[i][0], -best[i][1]))
+    out = []
+    while at >= 0:
+        out.append(matches[at])
+        at = best[at][2]
+    return out[::-1]
+
+
 class Scanner:
     """Phrases and templates made ready for scanning."""
 
@@ -190,7 +261,9 @@ class Scanner:
         self.longest = max(self.sizes, default=0)
         self.automaton = SuffixAutomaton(texts)
         whole = [x for x in every if 0 < len(x[1]) < min_run]
-        whole += [(k, n) for k in sorted(notices or {}) for t in notices[k] if (n := self._numbers(t))]
+        notes = [(k, n) for k in sorted(notices or {}) for t in notices[k] if (n := self._numbers(t))]
+        self.notes = NoticeChains(notes)
+        whole += [x for x in notes if len(x[1]) < NOTICE_WORDS]
         base = [(label, n) for p, label in phrases.items() if (n := self._numbers(p))]
         self.short, self.labels, self.phrases = ShortWordings([n for _, n in base + whole]), [label for label, _ in base + whole], len(base)
         self.min_run, self.max_gap, self.coverage = min_run, max_gap, coverage
@@ -204,24 +277,23 @@ class Scanner:
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         known = np.r_[False, ids > 0, False]
         edges = np.flatnonzero(known[1:] != known[:-1]).reshape(-1, 2)  # runs of words that are in some wording
-        segments = [(int(a), ids[a:b].tolist()) for a, b in edges[(edges[:, 1] - edges[:, 0]) >= min(self.short.least, self.min_run)]]
+        segments = [(int(a), ids[a:b].tolist()) for a, b in edges[(edges[:, 1] - edges[:, 0]) >= min(self.short.least, self.min_run, self.notes.shortest_run)]]
         found = [x for at, part in segments for x in self.short.places(part, at)]
         base = [(number, at) for number, at in found if number < self.phrases]
         labels = {self.labels[number] for number, _ in base}
-        spans = self.whole(found) + self.spans(segments)
+        spans = self.notice_spans(found, segments) + self.spans(segments)
         score = 1.0 if labels else max((s[3] for s in spans), default=0.0)
         every = labels | {s[0] for s in spans if s[3] >= self.coverage}
         first, last = (min(at for _, at in base), max(at for _, at in base)) if base else (None, None)
         return len(words), len(base), first, last, ",".join(sorted(labels)), ",".join(sorted(every)), float(score), [s for s in spans if s[3] >= self.coverage]
 
-    def whole(self, found: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
-        """Each label's first notice: (label, first word, last word, 1.0)."""
-        first: dict[str, tuple[int, int]] = {}
-        for number, at in found:
-            if number >= self.phrases:
-                span = (at, at + self.short.sizes[number] - 1)
-                first[self.labels[number]] = min(first.get(self.labels[number], span), span)
-        return [(label, a, b, 1.0) for label, (a, b) in sorted(first.items())]
+    def notice_spans(self, found: list[tuple[int, int]], segments: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
+        """Each label's best notice, the first of several: (label, first word, last word, share of the notice)."""
+        every = [(self.labels[number], at, at + self.short.sizes[number] - 1, 1.0) for number, at in found if number >= self.phrases]
+        best: dict[str, tuple[str, int, int, float]] = {}
+        for span in sorted(every + self.notes.spans(segments), key=lambda s: (-s[3], s[1], s[2])):
+            best.setdefault(span[0], span)
+        return [best[label] for label in sorted(best)]
 
     def spans(self, segments: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
         """Per template, the best chain of long matches: (label, first word, last word, share of the template)."""
@@ -233,25 +305,11 @@ class Scanner:
                         anchors.setdefault(number, []).append((start, end - length + 1, length))
         out = []
         for number, matches in sorted(anchors.items()):
-            start, end, covered = self.chain(sorted(matches))
-            out.append((self.names[number], start, end, covered / self.sizes[number]))
+            chain = best_chain(sorted(matches), self.max_gap, self.longest)
+            covered = sum(n for _, _, n in chain)
+            out.append((self.names[number], chain[0][0], chain[-1][0] + chain[-1][2] - 1, covered / self.sizes[number]))
         return out
 
-    def chain(self, matches: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-        """The chain with most words in (text start, template start, words): (first word, last word, words)."""
-        best = []
-        for i, (at, there, n) in enumerate(matches):
-            total, first = n, at
-            for j in range(i - 1, -1, -1):
-                p_at, p_there, p_n = matches[j]
-                if at - p_at > self.max_gap + self.longest:
-                    break  # no match is as long as that
-                if 0 <= at - p_at - p_n <= self.max_gap and there >= p_there + p_n and best[j][0] + n > total:
-                    total, first = best[j][0] + n, best[j][1]
-            best.append((total, first, at + n - 1))
-        words, first, last = max(best, key=lambda x: (x[0], -x[1]))
-        return first, last, words
-
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str | Sequence[str]] = WORDINGS, phrases: Mapping[str, str] = PHRASES, min_run: int = MIN_RUN, max_gap: int = MAX_GAP, coverage: float = COVERAGE, notices: Mapping[str, Sequence[str]] = NOTICES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): words, places and labels of phrases, all labels, the score and the spans."""

@@ -246,6 +246,71 @@ def test_short_notices_and_further_parts_get_labels(spark):
     assert got[1]["base_labels"] == "" and got[1]["n_base"] == 0
 
 
+def plain_notices(text, notices):
+    """Spans of the longer notices: all matches and all chains are tried."""
+    words = text.split()
+    long = [(k, t.split()) for k in sorted(notices) for t in notices[k] if len(t.split()) >= 6]
+    out = []
+    for label, t in long:
+        same = lambda i, k: 0 <= i < len(words) and 0 <= k < len(t) and words[i] == t[k]
+        anchors = []
+        for i in range(len(words)):
+            for k in range(len(t)):
+                if same(i, k) and not same(i - 1, k - 1):
+                    n = next(n for n in range(1, len(t) + 1) if not same(i + n, k + n))
+                    anchors += [(i, k, n)] if n >= max(2, len(t) // 3) else []
+        chains = [[a] for a in anchors]
+        for c in chains:  # grows while it is read
+            chains += [[*c, a] for a in anchors if 0 <= a[0] - c[-1][0] - c[-1][2] <= 3 and a[1] >= c[-1][1] + c[-1][2]]
+        own = {w for other in notices if other != label for x in notices[other] for w in x.split()}
+        if chains:
+            most = max(sum(a[2] for a in c) for c in chains)
+            tops = [c for c in chains if sum(a[2] for a in c) == most]
+            good = [{i for _, k, n in c for i in range(k, k + n)} >= {i for i, w in enumerate(t) if w not in own} for c in tops]
+            out.append((label, most / len(t), len(t) - most <= len(t) // 6, set(good)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_chained_notices_by_brute_force(seed):
+    rng, seen = random.Random(seed), 0
+    vocab = "abcdefghi"[: rng.randrange(5, 10)]
+    words = lambda k: [rng.choice(vocab) for _ in range(k)]
+    notices = {lab: (" ".join([*words(rng.randrange(3, 6)), lab * 2, *words(rng.randrange(2, 9))]), " ".join(words(4))) for lab in "xyz"}
+    chains = Scanner({}, {"p q": "p"}, 5, 12, 0.6, notices)
+    for _ in range(20):
+        t = rng.choice(notices[rng.choice("xyz")][:1]).split()
+        at = rng.randrange(len(t))
+        edit = rng.choice([t, t[:at] + t[at + 1 :], t[:at] + ["other"] * rng.randrange(1, 6) + t[at:], t[:at] + ["other"] + t[at + 1 :]])
+        text = " ".join([*words(2), *edit, *words(2)])
+        ids = [chains.vocab.get(w.encode(), 0) for w in text.split()]
+        got = {(k, round(c, 9)) for k, _, _, c in chains.notes.spans([(0, ids)])}
+        for label, share, enough, good in plain_notices(text, notices):
+            found = (label, round(share, 9)) in got
+            assert not (found and not enough) and (found in good if enough and len(good) == 1 else True)
+            seen += found
+        assert len(got) <= sum(enough for _, _, enough, _ in plain_notices(text, notices))
+    assert seen > 0
+
+
+def test_edited_notices_have_scores_below_one(spark):
+    texts = {
+        "licensed under the gnu public general license": "",  # what tells it from others is broken up
+        "released under terms of the GNU General Public License": "gpl",
+        "the GNU General Public License, either version 3": "gpl",
+        "under the apache license, version 2": "apache-2",
+        "spdx license identifier mpl 2 0": "",
+        "spdx license identifier apache 2 0": "apache-2",
+        "creative commons attribution noncommercial 4 0": "cc-by-nc",
+        "creative commons attribution 4 0": "cc-by",
+        "under the terms of the general agreement": "",
+        " ".join(TEMPLATES["bsd"].split()[:20] + ["edited"] + TEMPLATES["bsd"].split()[24:]): "bsd",
+    }
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == list(texts.values())
+    assert [0 < got[i]["score"] < 1 for i in (1, 9)] == [True] * 2 and [got[i]["score"] for i in (0, 2, 3, 4, 5)] == [0, 1, 1, 0, 1]  # the fourth has a base phrase
+
+
 def test_short_templates_are_found_and_long_ones_chained():
     short = Scanner({"s": "red green", "t": ("a b c d e f", "blue")}, {"x y": "z"}, 5, 12, 0.6)
     assert [short.scan(t)[5] for t in ("a red green b", "red a green", "some blue", "a b c d e f")] == ["s", "", "t", "t"]
