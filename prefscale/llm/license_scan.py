@@ -75,6 +75,9 @@ NOTICES = {
     "cc-by": ("cc by 4 0", "creative commons attribution 4 0"),
     "proprietary": ("all rights reserved",),
 }
+#: The base phrases that the contract of op7_license_scan names; "the mit license" alone is a notice beside them.
+CONTRACT_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+CONTRACT_NOTICES = NOTICES | {"mit": (*NOTICES["mit"], "the mit license")}
 #: Notices of so many words are chained; one word in so many may be missing, and so many words may stand between two runs.
 NOTICE_WORDS, NOTICE_GAP = 6, 3
 MIN_RUN = 5
@@ -329,12 +332,13 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str | Sequence[str]]
 
 
 def op7_license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can tell of the same scan: words, and places and labels of the base phrases."""
-    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    """What SQL can tell of a scan: words, and places and labels of the operator's own base phrases, PHRASES."""
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    """The scan with the base phrases of the contract."""
+    return scan_licenses(table(spark, sf_dir, "documents"), phrases=CONTRACT_PHRASES, notices=CONTRACT_NOTICES).drop("spans")
 
 
 PLACES = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS spot, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) - {len(p.split()) - 2})) AS i FROM d) WHERE w[i : i + {len(p.split()) - 1}] = [{', '.join(repr(x) for x in p.split())}]" for p, label in PHRASES.items())

@@ -311,6 +311,14 @@ def test_edited_notices_have_scores_below_one(spark):
     assert [0 < got[i]["score"] < 1 for i in (1, 9)] == [True] * 2 and [got[i]["score"] for i in (0, 2, 3, 4, 5)] == [0, 1, 1, 0, 1]  # the fourth has a base phrase
 
 
+def test_license_query_has_the_phrases_of_its_contract(spark, tmp_path):
+    texts = ["Released under the MIT License.", "see the MIT license", "mit license", "under the mit license, under the\nmit-license cc by nc", "under  the apache license version 2", None]
+    documents(spark, [(i, t, "a") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.op7_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[i][:5] for i in range(len(texts))] == [(5, 1, 1, 1, "mit"), (4, 0, None, None, ""), (2, 0, None, None, ""), (11, 3, 0, 8, "cc-by-nc,mit"), (6, 1, 2, 2, "apache-2"), (0, 0, None, None, "")]
+    assert [got[i][5:] for i in range(len(texts))] == [("mit", 1.0), ("mit", 1.0), ("", 0.0), ("cc-by-nc,mit", 1.0), ("apache-2", 1.0), ("", 0.0)]
+
+
 def test_short_templates_are_found_and_long_ones_chained():
     short = Scanner({"s": "red green", "t": ("a b c d e f", "blue")}, {"x y": "z"}, 5, 12, 0.6)
     assert [short.scan(t)[5] for t in ("a red green b", "red a green", "some blue", "a b c d e f")] == ["s", "", "t", "t"]
