@@ -566,11 +566,10 @@ def preference_levels_brand(s, d):
     return rounded(graph.preference_levels(breaking.pair_probs(breaking.pair_counts(fx.brand_rankings(s, d))), 0.03))
 
 
-def part_pairs(s, d):
-    """Per customer the parts they bought, by quantity; comparisons of parts."""
+def bought_parts(s, d):
+    """Per customer the parts they bought, by quantity."""
     lines = fx.table(s, d, "lineitem").join(fx.table(s, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = prepare.rankings_from_scores(lines.groupBy("o_custkey", F.col("l_partkey").alias("item")).agg(F.sum("l_quantity").alias("score")), "o_custkey")
-    return breaking.pair_probs(breaking.pair_counts(rows))
+    return prepare.rankings_from_scores(lines.groupBy("o_custkey", F.col("l_partkey").alias("item")).agg(F.sum("l_quantity").alias("score")), "o_custkey")
 
 
 R_PART = fx.R_NATION.replace("s_nationkey AS item", "l_partkey AS item").replace(" JOIN supplier ON l_suppkey = s_suppkey", "")
@@ -579,13 +578,15 @@ R_PART = fx.R_NATION.replace("s_nationkey AS item", "l_partkey AS item").replace
 @query("preference_levels_part", f"WITH RECURSIVE {R_PART}, {fx.PROBS.replace('v AS (', 'v0 AS (')}, {X_EDGES.replace('FROM v v JOIN v o', 'FROM v0 v JOIN v0 o')}, v AS (SELECT DISTINCT item FROM x), e AS (SELECT item AS a, opponent AS b FROM x WHERE p > 0.5 + 0.2 AND total >= 4), {level_sql('u0 AS (SELECT 1)')}")
 def preference_levels_part(s, d):
     """Parts with clear majorities of at least four comparisons: one large circle, small ones, and chains beside them."""
-    return rounded(graph.preference_levels(part_pairs(s, d), 0.2, 4))
+    rows = bought_parts(s, d)
+    items = rows.where("size(items) > 1").select(F.explode("items").alias("item"))
+    return rounded(graph.preference_levels(graph.pairs_met_often(rows, 4), 0.2, 4, items))
 
 
 @query("connected_components_parts", f"WITH RECURSIVE {R_PART}, {fx.PROBS.replace('v AS (', 'v0 AS (')}, {X_EDGES.replace('FROM v v JOIN v o', 'FROM v0 v JOIN v0 o')}, e AS (SELECT item AS a, opponent AS b FROM x WHERE total >= 5), t(node, seen) AS (SELECT a, least(a, b) FROM e UNION SELECT e.b, t.seen FROM t JOIN e ON t.node = e.a) SELECT node, min(seen) AS component FROM t GROUP BY 1")
 def connected_components_parts(s, d):
     """Parts that many customers bought both of: hundreds of components of unlike size."""
-    edges = part_pairs(s, d).where("total >= 5 and item < opponent")
+    edges = graph.pairs_met_often(bought_parts(s, d), 5).where("item < opponent")
     return graph.connected_components(edges.select(F.col("item").alias("src"), F.col("opponent").alias("dst")))
 
 

@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prefscale.jobs import fixtures as fx
 from prefscale.jobs import registry
-from prefscale.operators import evaluate, graph, mixture
+from prefscale.operators import breaking, evaluate, graph, mixture
 from tests.compare import DATA, connection, same_rows
 
 LARGER = "/root/testdata/sf0.01"
@@ -97,3 +98,19 @@ def test_twelve_labels_are_matched(spark):
     turned = params.withColumn("component", (params["component"] * 3 + 1) % 10)
     assert evaluate.mixture_l2_error(params, turned).first()["err"] == pytest.approx(0, abs=1e-6)
     assert evaluate.mixture_l2_error(params.limit(0), turned).first()["err"] == 0
+
+
+def test_pairs_met_often_are_those_of_the_pair_table(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_PAIRS", 300)
+    monkeypatch.setattr(graph, "GROUP_PAIRS", 100)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.permutation(60)[: rng.integers(0, 12)] * 30_000_000).tolist() if i % 9 else None, float(i % 3) / 2) for i in range(700)]
+    rows += [(1000 + i, [7, 11], 1.0) for i in range(50)] + [(2000, [5, 5, 9], 3.0)]
+    df = spark.createDataFrame(rows, "ranking_id long, items array<long>, weight double").repartition(3)
+    want = breaking.pair_probs(breaking.pair_counts(df)).where("total >= 3")
+    got = graph.pairs_met_often(df, 3.0)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert graph.pairs_met_often(df.limit(0), 3.0).count() == 0
+    levels = graph.preference_levels(got, 0.1, 3.0, df.where("size(items) > 1").select(F.explode("items").alias("item")))
+    assert sorted(map(tuple, levels.collect())) == sorted(map(tuple, graph.preference_levels(breaking.pair_probs(breaking.pair_counts(df)), 0.1, 3.0).collect()))
