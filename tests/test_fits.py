@@ -219,3 +219,14 @@ def test_many_items_by_sparse_flows(spark):
     wins, denom = kernels.win_sums(rows, np.ones(len(rows)), n), kernels.denominators(got, rows, np.ones(len(rows)))
     assert wins == pytest.approx(np.exp(got) * denom, rel=1e-3, abs=1e-3)  # the likelihood has no slope there
     assert np.corrcoef(got, theta)[0, 1] > 0.9
+
+
+def test_jumps_shorten_slow_fits_and_are_taken_back():
+    slow = np.array([0.999, 0.99, 0.5])
+    x, jumps, steps = np.array([1.0, -2.0, 3.0]), mixture.Jumps(), 0
+    while np.abs(x * slow - x).max() > 1e-9:
+        x, steps = jumps.next(x, x * slow), steps + 1
+    assert steps < 400  # without jumps over 13,000
+    jumps = mixture.Jumps()
+    one, two = jumps.next(np.ones(1), np.full(1, 0.9)), jumps.next(np.full(1, 0.9), np.full(1, 0.82))
+    assert one == 0.9 and jumps.jumped and two < 0.82 and jumps.back() == 0.82 and not jumps.jumped
