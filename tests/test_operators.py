@@ -176,3 +176,23 @@ def test_split_parts_are_disjoint_and_whole(spark):
         assert evaluate.check_split(each, r.select("ranking_id")).count() == 0
     exact = as_dict(prepare.split_rankings(r).groupBy("part").count(), "part", "count")
     assert exact == {("train",): 66, ("val",): 16, ("test",): 21}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_random_matching_sorts_a_ranking_once(spark):
+    rows = spark.createDataFrame([(0, [3, 1, 2])], "ranking_id long, items array<int>")
+    assert plan_of(breaking.rank_break(rows, "random", 1)).count("array_sort(") == 1
+
+
+def test_entries_meet_a_small_model_in_their_task(spark):
+    rows = spark.createDataFrame([(i, [i % 3, 3, 4]) for i in range(20)], "ranking_id long, items array<int>")
+    params = spark.range(5).select(F.lit(0).alias("component"), F.col("id").cast("int").alias("item"), F.lit(0.5).alias("theta"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = consensus.placed(rows, params)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() and got.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
