@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prefscale.operators.breaking import weight_of
-from prefscale.operators.evaluate import with_thetas
+from prefscale.operators.evaluate import is_small, with_thetas
 
 
 def borda(rankings: DataFrame) -> DataFrame:
@@ -41,9 +41,9 @@ def win_counts(rankings: DataFrame, a0: float = 0.0) -> DataFrame:
 
 def placed(rankings: DataFrame, params: DataFrame) -> DataFrame:
     """(ranking_id, component, pos, item, weight, len, w): each entry with its item's e^theta. params is a table of
-    items and components, joined by item."""
+    items and components, joined by item; a small one goes to every task, as few items would be few and large groups."""
     rows = rankings.select("ranking_id", F.posexplode("items").alias("pos", "item"), F.size("items").alias("len"), weight_of(rankings).alias("weight"))
-    return rows.join(params, "item").withColumn("w", F.exp("theta"))
+    return rows.join(F.broadcast(params) if is_small(params) else params, "item").withColumn("w", F.exp("theta"))
 
 
 def suffix_weight_sums(entries: DataFrame) -> DataFrame:
