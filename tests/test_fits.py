@@ -230,3 +230,33 @@ def test_jumps_shorten_slow_fits_and_are_taken_back():
     jumps = mixture.Jumps()
     one, two = jumps.next(np.ones(1), np.full(1, 0.9)), jumps.next(np.full(1, 0.9), np.full(1, 0.82))
     assert one == 0.9 and jumps.jumped and two < 0.82 and jumps.back() == 0.82 and not jumps.jumped
+
+
+def test_pair_tables_are_those_of_each_pair():
+    rng = np.random.default_rng(8)
+    for n, width, twice in ((7, 7, False), (7, 7, True), (30, 5, False), (6, 1, False)):
+        rows = [rng.permutation(n)[: rng.integers(1, width + 1)].tolist() for _ in range(50)]
+        if twice:
+            rows[3] = [2, 5, 2]
+        idx, _ = kernels.matrix(rows, 1)
+        rates = [rng.random(idx.shape), rng.random(idx.shape)]
+        want = np.zeros((2, n, n))
+        for r, items in enumerate(rows):
+            for i, a in enumerate(items):
+                for b in items[i + 1 :]:
+                    want[:, a, b] += [x[r, i] for x in rates]
+        assert kernels.pair_tables(idx, rates, n) == pytest.approx(want)
+
+
+def test_a_pass_has_a_task_a_core_and_no_plan_of_its_own(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [i % 5, 5]) for i in range(200)], "ranking_id long, items array<int>").repartition(40)
+    with estimators.held_blocks(df) as blocks:
+        blocks.count()
+        monkeypatch.setattr(estimators, "added", None)  # sums this few come as they are
+        spark.sparkContext.setJobGroup("one pass", "")
+        assert estimators.pass_over(blocks, 6, lambda idx, w: kernels.win_sums(idx, w, 6), 6).tolist() == [40.0] * 5 + [0.0]
+        tracker = spark.sparkContext.statusTracker()
+        [job] = tracker.getJobIdsForGroup("one pass")
+        last = tracker.getStageInfo(max(tracker.getJobInfo(job).stageIds))  # what it stands on was there already
+        assert last.numTasks <= spark.sparkContext.defaultParallelism
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
