@@ -13,6 +13,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -239,101 +240,124 @@ def luce_spectral(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int
 
 #: Pairs that a task sums up before it hands them on.
 HELD_PAIRS = 1 << 20
-#: Groups of items whose shares are set right together, and cycles of that in one iteration of the fit.
-GROUPS, CYCLES = 64, 30
+#: Numbers of a slice of sums that tasks hand on together.
+SLICE = 1 << 14
 
 
-def sparse_flows(blocks: DataFrame, theta: np.ndarray, nu: float) -> DataFrame:
-    """(low, high, up, down): rates from the item ``low`` to ``high`` and back, of pairs that occur; nu is added to both where
-    one is 0. Tasks sum up at most HELD_PAIRS pairs at a time, and only sums are shuffled."""
-    n = len(theta)
+def repeated_pairs(blocks: DataFrame) -> DataFrame:
+    """As rows of BLOCKS without keys, of width 2: pairs of different items that stand together in more than one ranking, with
+    how much more than a pair that one has beaten the other in only counts for (all times, if both have). Tasks sum up at
+    most HELD_PAIRS pairs at a time, and only sums are shuffled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rates, size = [], [], 0
+        keys, ups, size = [], [], 0
         for batch in batches:
             for rows, width, items, weights in zip(*[batch.column(c) for c in BLOCK_NAMES[:4]], strict=True):
                 idx = np.frombuffer(items.as_buffer(), "<i4").reshape(rows.as_py(), width.as_py()).astype(np.int64)
-                for key, rate in k.flow_pairs(theta, idx, np.frombuffer(weights.as_buffer(), "<f8")):
-                    keys, rates, size = [*keys, key], [*rates, rate], size + len(key)
+                idx = idx[np.frombuffer(weights.as_buffer(), "<f8") > 0]
+                for t in range(idx.shape[1] - 1):
+                    one, two = np.broadcast_to(idx[:, t : t + 1], idx[:, t + 1 :].shape), idx[:, t + 1 :]
+                    use = (two >= 0) & (two != one)
+                    one, two = one[use], two[use]
+                    keys, ups, size = [*keys, np.minimum(one, two) << 32 | np.maximum(one, two)], [*ups, one < two], size + len(one)
                     if size >= HELD_PAIRS:
-                        keys, rates = ([x] for x in k.summed(keys, rates))
-                        size = len(keys[0])
-                        if 2 * size >= HELD_PAIRS:
-                            yield as_batch(keys[0], rates[0])
-                            keys, rates, size = [], [], 0
-        if keys:
-            yield as_batch(*k.summed(keys, rates))
-
-    def as_batch(keys: np.ndarray, rates: np.ndarray) -> pa.RecordBatch:
-        loser, winner = keys // n, keys % n
-        up = loser < winner
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(loser, winner), np.maximum(loser, winner), np.where(up, rates, 0.0), np.where(up, 0.0, rates))], ["low", "high", "up", "down"])
-
-    pairs = blocks.mapInArrow(work, "low long, high long, up double, down double")
-    pairs = pairs.groupBy("low", "high").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    extra = F.when((F.col("up") > 0) != (F.col("down") > 0), F.lit(float(nu))).otherwise(0.0)
-    return pairs.select("low", "high", (F.col("up") + extra).alias("up"), (F.col("down") + extra).alias("down"))
-
-
-def flow_sums(flows: DataFrame, pi: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What flows into each item, at which rate it is left, and what flows from group to group, at the shares ``pi``."""
-    n = len(pi)
+                        yield as_batch(keys, ups)
+                        keys, ups, size = [], [], 0
+        if size:
+            yield as_batch(keys, ups)
 
-    def total_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        into, rate, between = np.zeros(n), np.zeros(n), np.zeros(GROUPS * GROUPS)
+    def as_batch(keys: list[np.ndarray], ups: list[np.ndarray]) -> pa.RecordBatch:
+        own, at = np.unique(np.concatenate(keys), return_inverse=True)
+        up, every = np.bincount(at, np.concatenate(ups), len(own)).astype(np.int64), np.bincount(at, minlength=len(own))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (own, up, every - up)], ["pair", "up", "down"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, high, up, down = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high", "up", "down"))
-            for src, dst, r in ((low, high, up), (high, low, down)):
-                into += np.bincount(dst, pi[src] * r, n)
-                rate += np.bincount(src, r, n)
-                between += np.bincount(group[src] * GROUPS + group[dst], pi[src] * r, GROUPS * GROUPS)
-        return np.concatenate([into, rate, between])
-
-    into, rate, between = np.split(added(flows, total_of, 2 * n + GROUPS * GROUPS), [n, 2 * n])
-    return into, rate, between.reshape(GROUPS, GROUPS)
-
-
-def stationary_of_flows(flows: DataFrame, pi: np.ndarray, least: float) -> tuple[np.ndarray, float]:
-    """(shares, how much of the flow is still out of balance) of the chain with these flows, from the shares ``pi``: by turns
-    groups of items get the shares that the chain of groups settles to (aggregation), and each item half of what flows
-    into it (disaggregation). Groups are items of like share, then items of like number. It ends at a tenth of the first
-    imbalance, as the flows change with the shares anyway, or at ``least``."""
-    n, goal = len(pi), None
-    for cycle in range(CYCLES):
-        order = np.argsort(pi, kind="stable") if cycle % 2 == 0 else np.arange(n)
-        group = np.empty(n, np.int64)
-        group[order] = np.arange(n) * GROUPS // n
-        into, rate, between = flow_sums(flows, pi, group)
-        if np.any((rate == 0) & (into > 0)):
-            raise ValueError("some items never lose, so their strength has no bound; give a nu above 0")
-        far = np.abs(into - pi * rate).sum() / max((pi * rate).sum(), 1e-300)
-        goal = max(far / 10, least) if goal is None else goal
-        if far <= goal:
-            break
-        mass = np.bincount(group, pi, GROUPS)
-        there = np.flatnonzero(mass > 0)
-        settled = k.stationary(between[np.ix_(there, there)] / mass[there][:, None])
-        factor = np.ones(GROUPS)
-        factor[there] = settled / mass[there] * mass.sum()
-        pi = pi * factor[group]
-        into, rate, _ = flow_sums(flows, pi, group)
-        pi = np.where(rate > 0, (pi + into / np.where(rate > 0, rate, 1.0)) / 2, pi)  # an item without flows keeps its share
-        pi = pi / pi.sum()
-    return pi, far
+            pair, more = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "more"))
+            if len(pair):
+                idx = np.stack([pair >> 32, pair & 0xFFFFFFFF], 1).astype("<i4")
+                cells = [len(pair), 2, idx.tobytes(), more.astype("<f8").tobytes(), None]
+                yield pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip(cells, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], BLOCK_NAMES)
+
+    sums = blocks.mapInArrow(work, "pair long, up long, down long").groupBy("pair").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    more = F.col("up") + F.col("down") - F.when((F.col("up") == 0) | (F.col("down") == 0), 1).otherwise(0)
+    return sums.where("up + down > 1").select("pair", more.alias("more")).mapInArrow(packed, BLOCKS)
+
+
+def chain_sums(blocks: RDD, pi: np.ndarray, nu: float) -> tuple[np.ndarray, np.ndarray]:
+    """What flows into each item at the shares ``pi``, and at which rate it is left: by the rankings in ``blocks``, and by nu both
+    ways between items that met, from which the ``repeated_pairs`` among the blocks are taken off again. One job; tasks add
+    slices of their sums before these reach the driver."""
+    n = len(pi)
+
+    def work(parts: Iterator[Row]) -> Iterator[tuple[int, np.ndarray]]:
+        total, met = np.zeros((2, n)), np.zeros(n, np.int64)
+        into, rate = total
+        for rows, width, items, weights, keys in parts:
+            idx, weight = np.frombuffer(items, "<i4").reshape(rows, width), np.frombuffer(weights, "<f8")
+            if keys is None:
+                for own, other in (idx.T, idx.T[::-1]):
+                    np.subtract.at(into, own, nu * weight * pi[other])
+                    np.subtract.at(met, own, weight.astype(np.int64))
+                continue
+            idx, weight = idx[weight > 0], weight[weight > 0][:, None]
+            there, share = idx >= 0, np.append(pi, 0.0)[idx]
+            s = np.cumsum(share[:, ::-1], 1)[:, ::-1]
+            behind = np.concatenate([s[:, 1:], np.zeros((len(s), 1))], 1)
+            chosen = np.concatenate([there[:, 1:], np.zeros((len(s), 1), bool)], 1)
+            once = np.where(chosen, weight / np.where(there, s, 1.0), 0.0)
+            np.add.at(into, idx[there], (once * behind + nu * (s[:, :1] - share))[there])
+            np.add.at(rate, idx[there], (np.cumsum(once, 1) - once)[there])
+            np.add.at(met, idx[there], np.broadcast_to(there.sum(1)[:, None] - 1, idx.shape)[there])
+        rate += nu * met
+        flat = total.ravel()
+        for at in range(0, 2 * n, SLICE):
+            if flat[at : at + SLICE].any():
+                yield at, flat[at : at + SLICE]
+
+    out = np.zeros(2 * n)
+    sums = blocks.mapPartitions(work)
+    for at, x in sums.reduceByKey(np.add).collect() if n > SLICE else sums.collect():
+        out[at : at + SLICE] += x
+    return out[:n], out[n:]
+
+
+#: Steps that a fit is extrapolated from, and how many times a share may grow or shrink in a step.
+STEPS_HELD, FURTHEST = 5, 16.0
 
 
 def luce_spectral_sparse(rankings: DataFrame, n: int, nu: float = 0.01, max_iters: int = 5_000, tol: float = 1e-8) -> DataFrame:
-    """``luce_spectral`` for many items: only pairs that occur have a row. The driver holds a few numbers an item. Settled
-    when the estimate changes by less than ``tol`` of its own length. Items of no ranking keep an equal share; with nu = 0
-    each item must lose to some other and win against some, or it has no finite strength."""
-    pi, done = np.full(n, 1 / n), False
-    with held_blocks(rankings) as rows:
+    """``luce_spectral`` for many items, without a table of flows: what flows into an item and out of it at the present shares are
+    sums over the rankings, one pass an iteration, and only pairs that met more than once have a row, for nu. An item's next
+    share is what flows in over the rate at which it is left; steps are extrapolated from the last STEPS_HELD, until that
+    makes the imbalance worse. The driver holds a few numbers an item. Settled when a step changes the estimate by less than
+    ``tol`` of its own length. Items of no ranking keep an equal share; with nu = 0 each item must lose to some other and
+    win against some, or it has no finite strength."""
+    pi, done, held, last = np.full(n, 1 / n), False, [], np.inf
+    with held_blocks(rankings) as rows, kept(repeated_pairs(rows) if nu else rows) as repeats:
+        sc = rows.sparkSession.sparkContext
+        tasks = sc.union([x.rdd.coalesce(sc.defaultParallelism) for x in ([rows, repeats] if nu else [rows])])
         for _ in range(max_iters):
-            with kept(sparse_flows(rows, np.log(pi), nu)) as flows:
-                new, balance = stationary_of_flows(flows, pi, tol / 10)
-            new = np.maximum(new, 1e-300)
-            far = np.linalg.norm(new - pi) / np.linalg.norm(pi)
-            pi, done = new, far < tol and balance < tol
+            into, rate = chain_sums(tasks, pi, nu)
+            if np.any((rate <= 0) & (into > 1e-12 * pi)):
+                raise ValueError("some items never lose, so their strength has no bound; give a nu above 0")
+            use = rate > 0
+            flow = pi * rate
+            balance = np.abs(into - flow)[use].sum() / max(flow.sum(), 1e-300)
+            change = np.log(np.clip(into[use] / np.maximum(flow[use], 1e-300), 1 / FURTHEST, FURTHEST))
+            far = np.linalg.norm(pi[use] * np.expm1(change)) / np.linalg.norm(pi)
+            done = bool(far < tol and balance < tol)
+            here = np.log(pi[use])
+            if not balance <= 2 * last:
+                held, change = [], change / 2  # the start of a chain that swings
+            held, last = [*held, (here, change)][-STEPS_HELD - 1 :], balance
+            step = change
+            if len(held) > 1 and not done:
+                moved, bent = (np.diff(np.array(x), axis=0) for x in zip(*held, strict=True))
+                step = change - np.linalg.lstsq(bent @ bent.T, bent @ change, rcond=1e-12)[0] @ (moved + bent)
+            new = np.exp(np.clip(here + np.clip(step, -np.log(FURTHEST), np.log(FURTHEST)), np.log(1e-300), None))
+            pi = pi.copy()
+            pi[use] = new / new.sum() * (use.sum() / n)
             if done:
                 break
     say_if_cut(done, max_iters)

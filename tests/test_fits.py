@@ -260,3 +260,23 @@ def test_a_pass_has_a_task_a_core_and_no_plan_of_its_own(spark, monkeypatch):
         last = tracker.getStageInfo(max(tracker.getJobInfo(job).stageIds))  # what it stands on was there already
         assert last.numTasks <= spark.sparkContext.defaultParallelism
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sparse_fit_has_few_passes_and_smooths_pairs_met_one_way(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.permutation(40)[: rng.integers(0, 5)].tolist(), float(i % 3)) for i in range(400)]
+    rows += [(1000 + i, [0, 1], 1.0) for i in range(3)] + [(2000, [39, 38, 37], 0.0)]
+    df = spark.createDataFrame(rows, "ranking_id long, items array<int>, weight double").repartition(5)
+    met = {}
+    for _, items, w in rows:
+        for i, a in enumerate(items):
+            for b in items[i + 1 :]:
+                met[a, b] = met.get((a, b), 0) + (w > 0)
+    assert any(v > 1 and not met.get((b, a)) for (a, b), v in met.items()) and any(v and met.get((b, a)) for (a, b), v in met.items())
+    for nu in (0.01, 5.0):
+        spark.sparkContext.setJobGroup(f"fit {nu}", "")
+        got = estimators.luce_spectral_sparse(df, 40, nu)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit {nu}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert values(got, 40) == pytest.approx(values(estimators.luce_spectral(df, 40, nu), 40), abs=1e-5)
+        assert jobs < 60
