@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -60,48 +61,87 @@ def pair_sketch(idx: np.ndarray, width: int = SKETCH_WIDTH) -> np.ndarray:
 Embedding = str | Callable[[Column], Column]
 
 
-def embedded(rankings: DataFrame, n: int, embedding: Embedding, width: int = SKETCH_WIDTH) -> tuple[DataFrame, int]:
-    """(ranking_id, v, weight) of the rankings that have items, and the length of v. ``sketch``: of ``width`` numbers,
-    however many items there are; the others have one for each pair of items."""
+#: Vectors that a task makes at a time.
+VECTOR_ROWS = 256
+
+
+@dataclass
+class Vectors:
+    """Rankings as vectors, made in the task that uses them, VECTOR_ROWS at a time: ``rows`` (ranking_id, v,
+    weight) have what ``matrix`` makes them from."""
+
+    rows: DataFrame
+    matrix: Callable[[pa.ListArray], np.ndarray]
+
+    def cache(self) -> Vectors:
+        return Vectors(self.rows.cache(), self.matrix)
+
+    def moved(self, to: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        """(ranking_id, v) with v as ``to`` gives it."""
+
+        matrix = self.matrix
+
+        def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, x, _ in made(parts, matrix):
+                y = np.ascontiguousarray(to(x), float)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1], pa.int32()), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([ids, lists], ["ranking_id", "v"])
+
+        return self.rows.mapInArrow(work, f"ranking_id {self.rows.schema['ranking_id'].dataType.simpleString()}, v array<double>")
+
+
+def made(parts: Iterator[pa.RecordBatch], matrix: Callable[[pa.ListArray], np.ndarray]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, vectors, weights), VECTOR_ROWS at a time."""
+    for part in parts:
+        for at in range(0, part.num_rows, VECTOR_ROWS):
+            some = part.slice(at, VECTOR_ROWS)
+            yield some.column("ranking_id"), matrix(some.column("v")), some.column("weight").to_numpy(zero_copy_only=False).astype(float)
+
+
+def places(lists: pa.ListArray) -> np.ndarray:
+    """The lists as a matrix of their numbers, padded with -1."""
+    starts, sizes = lists.offsets.to_numpy()[:-1], np.diff(lists.offsets.to_numpy())
+    at = np.arange(sizes.max(initial=0))
+    there = at < sizes[:, None]
+    return np.where(there, lists.values.to_numpy(zero_copy_only=False)[np.where(there, starts[:, None] + at, 0)] if there.any() else 0, -1)
+
+
+def embedded(rankings: DataFrame, n: int, embedding: Embedding, width: int = SKETCH_WIDTH) -> tuple[Vectors, int]:
+    """The vectors of the rankings that have items, and their length. ``sketch``: of ``width`` numbers, however many items there are; the others
+    have one for each pair of items."""
     ship(rankings.sparkSession)
-    rows = rankings.where(F.size("items") > 0).select("ranking_id", "items", weight_of(rankings).alias("weight"))
+    rows = rankings.where(F.size("items") > 0).select("ranking_id", "items", weight_of(rankings).cast("double").alias("weight"))
     if callable(embedding):
         rows = rows.select("ranking_id", embedding(F.col("items")).cast("array<double>").alias("v"), "weight")
         first = rows.select(F.size("v").alias("k")).first()
-        return rows, first["k"] if first else 0
+        dim = first["k"] if first else 0
+        return Vectors(rows, lambda lists: lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), dim)), dim
     if embedding not in ("signed", "disjoint", "sketch"):
         raise ValueError(embedding)
+    rows = rows.select("ranking_id", F.col("items").cast("array<long>").alias("v"), "weight")
+    if embedding == "sketch":
+        return Vectors(rows, lambda lists: pair_sketch(places(lists), width)), width
+    return Vectors(rows, lambda lists: pair_vectors(places(lists), n)), n * (n - 1) // 2
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in range(0, len(part), 256):
-                some = part.iloc[i : i + 256]
-                idx, _ = k.matrix(some["items"].tolist(), 1)
-                yield pd.DataFrame({"ranking_id": some["ranking_id"], "v": list(pair_sketch(idx, width) if embedding == "sketch" else pair_vectors(idx, n)), "weight": some["weight"]})
 
-    kind = rankings.schema["ranking_id"].dataType.simpleString()
-    return rows.mapInPandas(work, f"ranking_id {kind}, v array<double>, weight double"), width if embedding == "sketch" else n * (n - 1) // 2
-
-
-def summed(vectors: DataFrame, work, size: int) -> np.ndarray:
+def summed(vectors: Vectors, work, size: int) -> np.ndarray:
     """Sums over all vectors of the array that ``work(x, weight)`` gives for a batch."""
+    matrix = vectors.matrix
 
-    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for part in parts:
-            for i in range(0, len(part), 256):
-                some = part.iloc[i : i + 256]
-                total += work(np.stack(some["v"].to_numpy()).astype(float), some["weight"].to_numpy(float)).ravel()
+        for _, x, weight in made(parts, matrix):
+            total += work(x, weight).ravel()
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": at, "x": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "x"])
 
-    rows = vectors.select("v", "weight").mapInPandas(partial, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    rows = vectors.rows.mapInArrow(partial, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
     out = np.zeros(size)
-    out[rows["at"].to_numpy(int)] = rows["x"].to_numpy(float)
+    out[rows["at"].to_numpy()] = rows["x"].to_numpy()
     return out
 
 
-def leading(vectors: DataFrame, dim: int, components: int, centred: bool = False, rounds: int = 1_000, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+def leading(vectors: Vectors, dim: int, components: int, centred: bool = False, rounds: int = 1_000, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
     """The largest eigenvalues of X'X (or of the weighted covariance), their vectors, and the trace.
 
     Up to MAX_DIM entries from the whole matrix, summed in one pass; beyond it by subspace iteration, a pass each, of
@@ -149,25 +189,25 @@ def pair_matrix(weights: np.ndarray, n: int) -> np.ndarray:
     return out + out.T
 
 
-def projection(rows: DataFrame, dim: int, components: int, reduce: str, lambd: float, seed: int) -> np.ndarray | None:
+def projection(vectors: Vectors, dim: int, components: int, reduce: str, lambd: float, seed: int) -> np.ndarray | None:
     """The matrix by which vectors are reduced; None if they stay."""
     rng = np.random.default_rng(seed)
     if reduce == "none":
         return None
     if reduce in ("rand_gauss", "rand_sparse"):
-        to = min(dim, max(1, int(8 * np.log(max(2, rows.count())))))
+        to = min(dim, max(1, int(8 * np.log(max(2, vectors.rows.count())))))
         if reduce == "rand_gauss":
             return rng.normal(size=(dim, to)) / np.sqrt(to)
         return rng.choice([1.0, 0.0, -1.0], size=(dim, to), p=[1 / 6, 2 / 3, 1 / 6]) * np.sqrt(3 / to)
     if reduce == "nuclear":  # needs all singular values
         if dim > MAX_DIM:
             raise ValueError(f"vectors of {dim} entries are too long for reduce='nuclear'; the limit is {MAX_DIM}")
-        values, v, _ = leading(rows, dim, dim)
+        values, v, _ = leading(vectors, dim, dim)
         s = np.sqrt(np.maximum(values, 0))
         return (v * (np.maximum(s - lambd, 0) / np.maximum(s, 1e-12))) @ v.T
     if reduce not in ("pca", "pca_scaled", "svd"):
         raise ValueError(reduce)
-    values, top, _ = leading(rows, dim, min(components, dim), seed=seed)
+    values, top, _ = leading(vectors, dim, min(components, dim), seed=seed)
     if reduce == "pca":  # rows of U
         return top / np.maximum(np.sqrt(np.maximum(values, 0)), 1e-12)
     # rows of U S; distances of the rank-K reconstruction (svd) are the same in these coordinates
@@ -181,8 +221,8 @@ def cluster_rankings(rankings: DataFrame, components: int, n: int, embedding: Em
     The centres are items x items tables, of at most MAX_ITEMS items; centres=False leaves them out (None)."""
     if centres:
         check_dense(n)
-    rows, dim = embedded(rankings, n, embedding, width)
-    to = projection(rows, dim, components, reduce, lambd, seed)
+    vectors, dim = embedded(rankings, n, embedding, width)
+    to = projection(vectors, dim, components, reduce, lambd, seed)
     if embedding == "disjoint":
         use = np.zeros(dim, bool)
         at = {p: q for q, p in enumerate(zip(*np.triu_indices(n, 1), strict=True))}
@@ -190,16 +230,8 @@ def cluster_rankings(rankings: DataFrame, components: int, n: int, embedding: Em
         for a, b in order[: n // 2 * 2].reshape(-1, 2):
             use[at[min(a, b), max(a, b)]] = True
         to = use.astype(float)[:, None] * (np.eye(dim)[:, use] if to is None else to)
-    if to is not None:
-        shared = rankings.sparkSession.sparkContext.broadcast(to)  # entries x components; all of it for nuclear only
-
-        def reduced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                x = np.stack(part["v"].to_numpy()).astype(float) if len(part) else np.zeros((0, dim))
-                yield pd.DataFrame({"ranking_id": part["ranking_id"], "v": list(x @ shared.value)})
-
-        kind = rankings.schema["ranking_id"].dataType.simpleString()
-        rows = rows.select("ranking_id", "v").mapInPandas(reduced, f"ranking_id {kind}, v array<double>")
+    shared = rankings.sparkSession.sparkContext.broadcast(to)  # entries x components; all of it for nuclear only
+    rows = vectors.moved(lambda x: x if shared.value is None else x @ shared.value)
     points = rows.select("ranking_id", array_to_vector("v").alias("features"))
     with kept(points) as held:
         model = KMeans(k=components, seed=seed, maxIter=1_000).fit(held)  # until the centres stay

@@ -280,3 +280,20 @@ def test_sparse_fit_has_few_passes_and_smooths_pairs_met_one_way(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         assert values(got, 40) == pytest.approx(values(estimators.luce_spectral(df, 40, nu), 40), abs=1e-5)
         assert jobs < 60
+
+
+def test_vectors_are_made_in_the_task_that_uses_them(two_groups, capsys):
+    _, df = two_groups
+    labels, _ = clustering.cluster_rankings(df, 2, 6, "sketch", width=64, centres=False)
+    assert labels.count() == 1200
+    capsys.readouterr()
+    labels.explain()
+    assert capsys.readouterr().out.count("MapIn") == 1  # no second Python worker that reads whole batches of vectors
+    rows = df.select("ranking_id", "items").where("ranking_id < 700").coalesce(1)
+    vectors, dim = clustering.embedded(rows, 6, "sketch", 16)
+    to = np.arange(32.0).reshape(16, 2)
+    got = {r["ranking_id"]: r["v"] for r in vectors.moved(lambda x: x @ to).collect()}
+    held = rows.collect()
+    want = clustering.pair_sketch(kernels.matrix([r["items"] for r in held], 1)[0], 16)
+    assert dim == 16 and np.array([got[r["ranking_id"]] for r in held]) == pytest.approx(want @ to)
+    assert clustering.summed(vectors, lambda x, w: w @ x, 16) == pytest.approx(want.sum(0))
