@@ -13,7 +13,6 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -284,7 +283,7 @@ def repeated_pairs(blocks: DataFrame) -> DataFrame:
     return sums.where("up + down > 1").select("pair", more.alias("more")).mapInArrow(packed, BLOCKS)
 
 
-def chain_sums(blocks: RDD, pi: np.ndarray, nu: float) -> tuple[np.ndarray, np.ndarray]:
+def chain_sums(blocks: DataFrame, pi: np.ndarray, nu: float) -> tuple[np.ndarray, np.ndarray]:
     """What flows into each item at the shares ``pi``, and at which rate it is left: by the rankings in ``blocks``, and by nu both
     ways between items that met, from which the ``repeated_pairs`` among the blocks are taken off again. One job; tasks add
     slices of their sums before these reach the driver."""
@@ -316,7 +315,8 @@ def chain_sums(blocks: RDD, pi: np.ndarray, nu: float) -> tuple[np.ndarray, np.n
                 yield at, flat[at : at + SLICE]
 
     out = np.zeros(2 * n)
-    sums = blocks.mapPartitions(work)
+    tasks = blocks.rdd.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
+    sums = tasks.mapPartitions(work)
     for at, x in sums.reduceByKey(np.add).collect() if n > SLICE else sums.collect():
         out[at : at + SLICE] += x
     return out[:n], out[n:]
@@ -334,11 +334,9 @@ def luce_spectral_sparse(rankings: DataFrame, n: int, nu: float = 0.01, max_iter
     ``tol`` of its own length. Items of no ranking keep an equal share; with nu = 0 each item must lose to some other and
     win against some, or it has no finite strength."""
     pi, done, held, last = np.full(n, 1 / n), False, [], np.inf
-    with held_blocks(rankings) as rows, kept(repeated_pairs(rows) if nu else rows) as repeats:
-        sc = rows.sparkSession.sparkContext
-        tasks = sc.union([x.rdd.coalesce(sc.defaultParallelism) for x in ([rows, repeats] if nu else [rows])])
+    with held_blocks(rankings) as rows, kept(rows.unionByName(repeated_pairs(rows)) if nu else rows) as blocks:
         for _ in range(max_iters):
-            into, rate = chain_sums(tasks, pi, nu)
+            into, rate = chain_sums(blocks, pi, nu)
             if np.any((rate <= 0) & (into > 1e-12 * pi)):
                 raise ValueError("some items never lose, so their strength has no bound; give a nu above 0")
             use = rate > 0
