@@ -108,12 +108,54 @@ class Jumps:
         return self.plain
 
 
+class Climb:
+    """Quasi-Newton steps (L-BFGS) up a slope that EM steps tell: a step times what it counts (``scale``: wins, or rankings of a
+    component) is the slope, and 1 / scale the first guess of the curvature's inverse, so without memory it goes the EM step.
+    Only pairs of steps and slopes that bend downwards are kept, so it leaves saddles as the steps do. Where it came down, ``back``
+    shortens the step twice, then gives the EM step and forgets."""
+
+    #: Steps that are remembered, the longest change of a parameter in a step, and how often a step is shortened.
+    KEPT, LONGEST, SHORTER = 10, 2.0, 2
+
+    def __init__(self):
+        self.steps: list[tuple[np.ndarray, np.ndarray]] = []
+        self.jumped, self.tries, self.base, self.way, self.slope, self.plain = False, 0, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)
+
+    def next(self, x: np.ndarray, image: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        slope = scale * (image - x)
+        if self.jumped:
+            step, bend = x - self.base, self.slope - slope
+            if step @ bend > 1e-10 * np.sqrt((step @ step) * (bend @ bend)):
+                self.steps = [*self.steps, (step, bend)][-self.KEPT :]
+        way, shares = slope.copy(), []
+        for step, bend in reversed(self.steps):
+            shares.append((step @ way) / (step @ bend))
+            way -= shares[-1] * bend
+        if self.steps:
+            step, bend = self.steps[-1]
+            way *= (step @ bend) / (bend @ (bend / scale))
+        way /= scale
+        for (step, bend), share in zip(self.steps, reversed(shares), strict=True):
+            way += step * (share - (bend @ way) / (step @ bend))
+        way *= min(1.0, self.LONGEST / max(float(np.abs(way).max()), 1e-300))
+        self.base, self.way, self.slope, self.plain, self.jumped, self.tries = x, way, slope, image, True, 0
+        return x + way
+
+    def back(self) -> np.ndarray:
+        self.tries += 1
+        if self.tries <= self.SHORTER:
+            return self.base + self.way / 4**self.tries
+        self.steps, self.jumped = [], False
+        return self.plain
+
+
 def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm", start: np.ndarray | DataFrame | None = None, max_iters: int = 5_000, tol: float = 1e-6, seed: int = 0, link: str | Link = "logit", nu: float = 0.01, a0: float = 0.0, c: float = 1.0, d: float = 0.0, alpha0: float = 1.0, step_size: float = 0.5, trim: float | None = None, hard: bool | str = False, inner: int = 1, extra_refinement: bool = False, pair_weights: np.ndarray | None = None) -> MixtureFit:
     """EM with the given M step; stops when the squared change of the utilities is below tol, which ``converged`` tells; if
     max_iters comes first it is false, and a warning is given. ``mm``, ``map`` and ``spectral`` ascend the likelihood (the
     posterior); ``gmm``, ``cml`` and ``surrogate`` fit pair tables instead, each by its own objective, and the likelihood may
-    fall on the way. After some plain steps they are accelerated (``Jumps``; not with trim or hard): a jump counts where what
-    they ascend doesn't fall, or else where the next step is not over twice as long as the last. Rankings of one item count for nothing. trim: smaller posteriors become 0; hard: the largest posterior becomes 1, or with ``draw`` that of one
+    fall on the way. After some plain steps they are accelerated (``mm`` and ``map`` by ``Climb``, the others by ``Jumps``; not
+    with trim or hard): a jump counts where what they ascend doesn't fall, or else where the next step is not over twice as long
+    as the last. Rankings of one item count for nothing. trim: smaller posteriors become 0; hard: the largest posterior becomes 1, or with ``draw`` that of one
     component drawn by a hash of (ranking_id, seed, iteration). spectral: ``inner`` Luce iterations, a pass each, with the
     same posteriors; extra_refinement: a second run from the first one's end with up to 100. surrogate: pair_weights
     (items x items, symmetric; say ``pair_weights_pca``) multiply the comparisons in both steps. All M steps but mm and
@@ -142,8 +184,12 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
         """Sums under the posteriors of (thetas, alpha), with flows at the utilities ``at``."""
 
         def work(idx: np.ndarray, weight: np.ndarray, key: np.ndarray) -> np.ndarray:
-            suffixes = [] if m_step == "surrogate" else [k.suffix_sums(theta, idx) for theta in thetas]
-            like = pair_log_likelihood(thetas, idx, named, pair_w) if m_step == "surrogate" else k.log_likelihood(thetas, idx, suffixes)
+            if m_step == "surrogate":
+                like = pair_log_likelihood(thetas, idx, named, pair_w)
+            else:
+                places, gap = k.turned(idx, n)
+                inverses, logs = zip(*[k.chances(theta, places, gap) for theta in thetas], strict=True)
+                like = np.array(logs).T
             q, total = k.posterior(like + np.log(np.maximum(alpha, 1e-300)))
             if trim is not None:
                 q = np.where(q < trim, 0.0, q)
@@ -153,10 +199,10 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
                 q = (np.arange(q.shape[1]) == drawn[:, None]).astype(float)
             own = (q * weight[:, None]).T
             if m_step in ("mm", "map"):
-                out = [x for w, theta, s in zip(own, thetas, suffixes, strict=True) for x in (k.win_sums(idx, w, n), k.denominators(theta, idx, w, s))]
+                out = k.turned_sums(places, gap, inverses, own, n)
             elif m_step == "spectral":
-                sums = suffixes if at is thetas else [k.suffix_sums(theta, idx) for theta in at]
-                out = [table.T.ravel() for table in k.pair_tables(idx, [k.choice_rates(s, w) for w, s in zip(own, sums, strict=True)], n)]
+                there = inverses if at is thetas else [k.chances(theta, places, gap)[0] for theta in at]
+                out = [table.T.ravel() for table in k.pair_tables(idx, [(s * w).T for w, s in zip(own, there, strict=True)], n)]
             else:
                 out = [k.pair_tables(idx, [np.broadcast_to(w[:, None], idx.shape) for w in own], n).ravel()]
             return np.concatenate([*out, (q * weight[:, None]).sum(0), [(total * weight).sum(), weight.sum()]])
@@ -168,16 +214,20 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
 
     def move(at: np.ndarray) -> None:
         fit.thetas, fit.alpha = at[: components * n].reshape(components, n), np.exp(at[components * n :] - at[components * n :].max())
+        fit.thetas = fit.thetas - fit.thetas.mean(1, keepdims=True)
         fit.alpha = fit.alpha / fit.alpha.sum()
 
-    jumps, change, goal, smooth, ascends = Jumps(), np.inf, -np.inf, trim is None and not hard, m_step in ("mm", "map", "spectral")
+    climbs, gain, loss = m_step in ("mm", "map"), *((a0, a0) if m_step == "mm" else (c - 1, d))
+    jumps, change, goal, smooth, ascends = Climb() if climbs else Jumps(), np.inf, -np.inf, trim is None and not hard, climbs or m_step == "spectral"
     while (turn := fit.iterations) < max_iters:
         sums = job(fit.thetas, fit.alpha, turn, fit.thetas)
         stats, mass, total, m = sums[:size].reshape(components, per), sums[size:-2], sums[-2], sums[-1]
         if m == 0:
             fit.converged = True
             break
-        before, goal = goal, total + (((c - 1) * fit.thetas - d * np.exp(fit.thetas)).sum() if m_step == "map" else 0.0)
+        before, goal = goal, total + ((gain * fit.thetas - loss * np.exp(fit.thetas)).sum() if climbs and (gain or loss) else 0.0)
+        if m_step == "map":
+            goal += (alpha0 - 1) * np.log(np.maximum(fit.alpha, 1e-300)).sum()
         if jumps.jumped and ascends and not goal >= before:
             goal = before
             move(jumps.back())
@@ -185,9 +235,8 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
         new = []
         for j in range(components):
             old = fit.thetas[j]
-            if m_step in ("mm", "map"):
-                wins, den = stats[j, :n], stats[j, n:]
-                up, down = (wins + a0, den + a0) if m_step == "mm" else (c - 1 + wins, d + den)
+            if climbs:
+                up, down = gain + stats[j, :n], loss + stats[j, n:]
                 new.append(k.centred(np.log(np.maximum(up, 1e-10) / np.maximum(down, 1e-10))))
                 continue
             table = stats[j].reshape(n, n)
@@ -221,7 +270,9 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
             fit.converged = True
             break
         if smooth and turn >= PLAIN_STEPS and turn + 1 < max_iters:
-            move(jumps.next(here, vector(fit.thetas, fit.alpha)))
+            shared = mass + (alpha0 - 1 if m_step == "map" else 0.0)
+            counts = [np.maximum(np.concatenate([(gain + stats[:, :n]).ravel(), shared]), 1e-10)] if climbs else []
+            move(jumps.next(here, vector(fit.thetas, fit.alpha), *counts))
     say_if_cut(fit.converged, max_iters)
     return fit
 

@@ -297,3 +297,39 @@ def test_vectors_are_made_in_the_task_that_uses_them(two_groups, capsys):
     want = clustering.pair_sketch(kernels.matrix([r["items"] for r in held], 1)[0], 16)
     assert dim == 16 and np.array([got[r["ranking_id"]] for r in held]) == pytest.approx(want @ to)
     assert clustering.summed(vectors, lambda x, w: w @ x, 16) == pytest.approx(want.sum(0))
+
+
+@pytest.mark.parametrize("step", ["mm", "map"])
+def test_climbs_take_few_passes_to_the_top(spark, monkeypatch, step):
+    rng = np.random.default_rng(11)
+    one = rng.normal(size=8) / 2
+    both = np.array([one, one + rng.normal(size=8) / 2])  # groups so alike that EM goes slowly
+    rows = [np.argsort(-(both[c] + rng.gumbel(size=8)))[: rng.integers(3, 9)].tolist() for c in rng.integers(0, 2, 4_000)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "ranking_id long, items array<int>")
+    passes, real = [], mixture.pass_over
+    monkeypatch.setattr(mixture, "pass_over", lambda *a, **o: passes.append(1) or real(*a, **o))
+    fit = mixture.fit_mixture(df, 2, 8, step, seed=1, c=1.1, d=0.1, tol=1e-10)
+    assert fit.converged and len(passes) < 80  # by plain extrapolation over 190
+    assert fit.log_likelihood[-1] > -5.803056
+
+
+def test_climbs_shorten_a_step_twice_and_then_go_the_plain_one():
+    climb = mixture.Climb()
+    x, image, scale = np.array([1.0, -1.0]), np.array([0.9, -0.8]), np.array([3.0, 5.0])
+    assert climb.next(x, image, scale) == pytest.approx(image) and climb.jumped
+    assert climb.back() == pytest.approx(x + (image - x) / 4) and climb.jumped
+    assert climb.back() == pytest.approx(x + (image - x) / 16) and climb.jumped
+    assert climb.back() == pytest.approx(image) and not climb.jumped
+
+
+def test_sums_over_turned_batches_are_those_of_the_rows():
+    rng = np.random.default_rng(3)
+    idx, _ = kernels.matrix([rng.permutation(9)[: rng.integers(2, 10)].tolist() for _ in range(300)])
+    weight = rng.random(300)
+    for far in (1.0, 300.0):  # shares of e^-600 and less are not multiplied
+        theta = far * np.linspace(-1, 1, 9)
+        places, gap = kernels.turned(idx, 9)
+        inverse, logs = kernels.chances(theta, places, gap)
+        wins, den = kernels.turned_sums(places, gap, [inverse], weight[None], 9)
+        assert logs == pytest.approx(kernels.log_likelihood(theta[None], idx)[:, 0], rel=1e-12, abs=1e-12)
+        assert wins == pytest.approx(kernels.win_sums(idx, weight, 9)) and den == pytest.approx(kernels.denominators(theta, idx, weight))
