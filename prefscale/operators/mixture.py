@@ -77,6 +77,10 @@ def pair_log_likelihood(thetas: np.ndarray, idx: np.ndarray, link: Link, pair_we
 
 #: Steps that a fit goes plainly before it is accelerated.
 PLAIN_STEPS = 10
+#: How many times the squared change may be after a jump what it was before, in fits of pair tables: where parts of a step shrink
+#: slowly a jump stirs up those that shrink fast, which the next steps mend. From so many iterations on it is less, lest a fit
+#: should go round in circles.
+STIRRED, LATER_STIRRED, LATER = 64.0, 4.0, 500
 
 
 class Jumps:
@@ -154,8 +158,8 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
     max_iters comes first it is false, and a warning is given. ``mm``, ``map`` and ``spectral`` ascend the likelihood (the
     posterior); ``gmm``, ``cml`` and ``surrogate`` fit pair tables instead, each by its own objective, and the likelihood may
     fall on the way. After some plain steps they are accelerated (``mm`` and ``map`` by ``Climb``, the others by ``Jumps``; not
-    with trim or hard): a jump counts where what they ascend doesn't fall, or else where the next step is not over twice as long
-    as the last. Rankings of one item count for nothing. trim: smaller posteriors become 0; hard: the largest posterior becomes 1, or with ``draw`` that of one
+    with trim or hard): a jump counts where what they ascend doesn't fall, or else where the next step is not over eight times as
+    long as the last. Rankings of one item count for nothing. trim: smaller posteriors become 0; hard: the largest posterior becomes 1, or with ``draw`` that of one
     component drawn by a hash of (ranking_id, seed, iteration). spectral: ``inner`` Luce iterations, a pass each, with the
     same posteriors; extra_refinement: a second run from the first one's end with up to 100. surrogate: pair_weights
     (items x items, symmetric; say ``pair_weights_pca``) multiply the comparisons in both steps. All M steps but mm and
@@ -259,7 +263,7 @@ def fit_mixture(rankings: DataFrame, components: int, n: int, m_step: str = "mm"
             if np.square(np.array(new) - np.array(last)).sum() < tol:
                 break
         last, change = change, float(np.square(np.array(new) - fit.thetas).sum())
-        if jumps.jumped and not ascends and not change <= 4 * last:
+        if jumps.jumped and not ascends and not change <= (STIRRED if turn < LATER else LATER_STIRRED) * last:
             change = last
             move(jumps.back())
             continue

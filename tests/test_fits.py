@@ -333,3 +333,27 @@ def test_sums_over_turned_batches_are_those_of_the_rows():
         wins, den = kernels.turned_sums(places, gap, [inverse], weight[None], 9)
         assert logs == pytest.approx(kernels.log_likelihood(theta[None], idx)[:, 0], rel=1e-12, abs=1e-12)
         assert wins == pytest.approx(kernels.win_sums(idx, weight, 9)) and den == pytest.approx(kernels.denominators(theta, idx, weight))
+
+
+def test_pair_table_fits_jump_further(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    one = rng.normal(size=8) / 2
+    both = np.array([one, one + rng.normal(size=8) / 2])
+    rows = [np.argsort(-(both[c] + rng.gumbel(size=8)))[: rng.integers(3, 9)].tolist() for c in rng.integers(0, 2, 4_000)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "ranking_id long, items array<int>")
+    passes, real = [], mixture.pass_over
+    monkeypatch.setattr(mixture, "pass_over", lambda *a, **o: passes.append(1) or real(*a, **o))
+    fit = mixture.fit_mixture(df, 2, 8, "gmm", seed=1)
+    assert fit.converged and len(passes) < 160  # with jumps that may but double the step 199
+    assert fit.alpha.max() == pytest.approx(0.978, abs=3e-3)
+
+
+def test_pair_tables_of_long_rankings():
+    rng = np.random.default_rng(2)
+    n = 140  # more places than a byte tells
+    idx, _ = kernels.matrix([rng.permutation(n)[: rng.integers(2, n + 1)].tolist() for _ in range(12)])
+    rate, want = rng.random(idx.shape), np.zeros((n, n))
+    for r, items in enumerate(idx):
+        for t, a in enumerate(items[items >= 0]):
+            want[a, items[items >= 0][t + 1 :]] += rate[r, t]
+    assert kernels.pair_tables(idx, [rate], n)[0] == pytest.approx(want)
